@@ -187,6 +187,35 @@ FROM (
 WHERE NOT (k > 12 AND pk % 3 = 0) AND NOT (k > 5 AND pk % 10 = 4)"""
 
 
+# --------------------------------------------------------------------------------------------
+# Corpus views derived from `documents`.
+def descriptions_sql(d: Dialect) -> str:
+    return """
+SELECT doc_id, CASE WHEN doc_id % 97 = 13 THEN NULL ELSE source END AS name,
+       CASE WHEN doc_id % 89 = 5 THEN NULL ELSE text END AS description
+FROM documents"""
+
+
+def tagged_sql(d: Dialect) -> str:
+    """English documents with at least 13 space-separated words; word 3 tagged <prod>,
+    words 6-7 and 12 tagged <attr>; variants by doc_id put punctuation right after a tag,
+    regex characters inside an entity, an untagged repeat of the product word, or no tags."""
+    w = ", ".join(f"split_part(text, ' ', {i}) AS w{i}" for i in range(1, 13))
+    prefix = " || ' ' || ".join(f"w{i}" for i in range(1, 13))
+    return f"""
+SELECT doc_id,
+  CASE WHEN doc_id % 10 = 9 THEN text ELSE
+    w1 || ' ' || w2 || ' <prod>' || w3 || '</prod>' || (CASE WHEN doc_id % 5 = 3 THEN '. ' ELSE ' ' END)
+    || w4 || ' ' || w5 || ' <attr>' || w6 || ' ' || w7 || '</attr>' || (CASE WHEN doc_id % 3 = 2 THEN ', ' ELSE ' ' END)
+    || w8 || ' ' || w9 || ' ' || w10 || ' ' || w11 || ' <attr>'
+    || (CASE WHEN doc_id % 6 = 0 THEN '(' || w12 || '+1.5)' ELSE w12 END) || '</attr>'
+    || substr(text, length({prefix}) + 1)
+    || (CASE WHEN doc_id % 4 = 1 THEN ' ' || w3 ELSE '' END)
+  END AS tagged_text
+FROM (SELECT doc_id, text, {w} FROM documents
+      WHERE lang = 'en' AND length(text) - length(replace(text, ' ', '')) >= 12) x"""
+
+
 FIXTURES = {
     "features": features_sql,
     "rules": rules_sql,
@@ -196,6 +225,8 @@ FIXTURES = {
     "category_blacklist": category_blacklist_sql,
     "catalog": catalog_sql,
     "specs_long": specs_long_sql,
+    "descriptions": descriptions_sql,
+    "tagged": tagged_sql,
 }
 DEPENDS: dict[str, list[str]] = {}
 
