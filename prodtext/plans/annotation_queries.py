@@ -9,6 +9,7 @@ from prodtext.operators import annotate as A
 from prodtext.operators import spans as S
 from prodtext.plans import sqlparts as Q
 from prodtext.plans.registry import register
+from prodtext.session import cut_lineage
 from prodtext.sources.fixtures import duck_with, register_fixtures
 
 # Predictions standing in for a tagger's output: every matching branch occurs
@@ -41,8 +42,10 @@ def text_of(tagged):
     return A.strip_tags(tagged).select("doc_id", "text")
 
 
-def gold_of(tagged):
-    return A.gold_spans(A.entity_positions(tagged))
+def gold_of(tagged, materialize: bool = False):
+    g = A.gold_spans(A.entity_positions(tagged))
+    # gold spans feed several joins; a reliable checkpoint keeps them from being re-derived.
+    return cut_lineage(g) if materialize else g
 
 
 def folds_of(tagged):
@@ -241,7 +244,7 @@ SELECT doc_id, CAST(pred_ord AS INT) AS pred_ord, start, "end", label, gold_ord,
 FROM matches""")
 def q_span_match(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    gold = gold_of(t)
+    gold = gold_of(t, True)
     m = S.span_match(fixture_predictions(spark, gold), gold)
     return m.select("doc_id", F.col("pred_ord").cast("int").alias("pred_ord"), "start", "end", "label", "gold_ord",
                     "exact", "perfect", "partial", "misclassified")
@@ -251,13 +254,13 @@ def q_span_match(spark, sf_dir):
 SELECT doc_id, start, "end", label FROM missed""")
 def q_missed_spans(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    gold = gold_of(t)
+    gold = gold_of(t, True)
     return S.missed_spans(S.span_match(fixture_predictions(spark, gold), gold), gold)
 
 
 def fixture_fold_metrics(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    text, gold, folds = text_of(t), gold_of(t), folds_of(t)
+    text, gold, folds = text_of(t), gold_of(t, True), folds_of(t)
     pred = fixture_predictions(spark, gold)
     m = S.span_match(pred, gold)
     sm = S.span_metrics(m, gold, folds)
@@ -327,8 +330,9 @@ gaz AS (SELECT doc_id, fold, CAST(start AS INT) AS start, CAST("end" AS INT) AS
 gpred AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS pred_ord FROM gaz)"""
 
 
-def gazetteer_predictions(t):
-    text, gold, folds = text_of(t), gold_of(t), folds_of(t)
+def gazetteer_predictions(t, gold=None):
+    text, folds = text_of(t), folds_of(t)
+    gold = gold if gold is not None else gold_of(t)
     tf = text.join(folds, "doc_id")
     d = A.gazetteer_train(gold, tf)
     return A.gazetteer_predict(tf, d)
@@ -354,8 +358,8 @@ def q_gazetteer_predict(spark, sf_dir):
 SELECT tag, metric, round(mean, 6) AS mean, round(std, 6) AS std FROM mean_std""")
 def q_kfold_extraction_quality(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    text, gold, folds = text_of(t), gold_of(t), folds_of(t)
-    pred = gazetteer_predictions(t)
+    text, gold, folds = text_of(t), gold_of(t, True), folds_of(t)
+    pred = cut_lineage(gazetteer_predictions(t, gold))
     pred = pred.withColumn("pred_ord", F.row_number().over(
         Window.partitionBy("doc_id").orderBy("start", "end", "label")))
     m = S.span_match(pred, gold)
