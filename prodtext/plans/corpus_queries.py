@@ -171,7 +171,7 @@ def q_parse_training_record(spark, sf_dir):
 
 
 @register("pack_sequences", W(ALL_CTES) + """,
-toks AS (SELECT record, list_filter(regexp_split_to_array(record || ' <OVERV_END>', '\\s+'), lambda w: w <> '') AS t
+toks AS (SELECT record, list_filter(regexp_split_to_array(record, '\\s+'), lambda w: w <> '') AS t
          FROM recs),
 tr AS (SELECT record, t[1:768] AS t FROM toks)
 SELECT CAST(len(t) AS INT) AS n_tokens,
