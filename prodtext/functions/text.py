@@ -56,7 +56,12 @@ def syllable_estimate(c) -> Column:
 def metric_normalize(c) -> Column:
     """Drop <h2>, </h2>, <br>; trim; lower; collapse runs of >= 2 whitespace to one space."""
     t = replace_all(col(c), [("<h2>", ""), ("</h2>", ""), ("<br>", "")])
-    return F.regexp_replace(F.lower(F.trim(t)), r"\s\s+", " ")
+    return F.regexp_replace(F.lower(strip_ws(t)), r"\s\s+", " ")
+
+
+def strip_ws(c) -> Column:
+    """Python ``str.strip()``: remove leading/trailing whitespace (not only spaces)."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
 def hash_bucket(seed, *keys) -> Column:

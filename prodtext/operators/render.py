@@ -130,16 +130,17 @@ def extract_description(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Cut at the pad marker, take DESCR_START..DESCR_END (greedy), headings h2 -> h4;
     null when the tags are absent."""
     cut = F.split_part(F.col(raw), F.lit(K.PAD), F.lit(1))
-    pat = f"{K.DESCR_START}(.*){K.DESCR_END}"
-    body = F.regexp_extract(cut, "(?s)" + pat, 1)
-    ok = cut.rlike("(?s)" + pat)
+    # '.' in the source pattern stops at a newline only, hence [^\n] (Java's '.' stops at more).
+    pat = f"{K.DESCR_START}([^\n]*){K.DESCR_END}"
+    body = F.regexp_extract(cut, pat, 1)
+    ok = cut.rlike(pat)
     d = replace_all(body, [("<h2>", "<h4>"), ("</h2>", "</h4>")])
     return df.withColumn("description", F.when(ok, d)).withColumn("valid", ok)
 
 
 # ---- T9 ------------------------------------------------------------------------------------
 def extract_title(df: DataFrame, col: str = "input") -> DataFrame:
-    pat = f"{K.NAME_START} (.*){K.NAME_END}"
+    pat = f"{K.NAME_START} ([^\n]*){K.NAME_END}"
     return df.withColumn("title", F.when(F.col(col).rlike(pat), F.regexp_extract(col, pat, 1)))
 
 

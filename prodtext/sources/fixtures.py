@@ -216,6 +216,33 @@ FROM (SELECT doc_id, text, {w} FROM documents
       WHERE lang = 'en' AND length(text) - length(replace(text, ' ', '')) >= 12) x"""
 
 
+# --------------------------------------------------------------------------------------------
+# Generated candidates from `conversations`: reference = user turn, candidates = the next
+# assistant turn rendered three ways (whole text each time); some have no tags, some are
+# empty, some prompts keep fewer than two valid samples, one sample carries a pad marker.
+def candidates_sql(d: Dialect) -> str:
+    nl = "chr(10)" if d.name == "duckdb" else "char(10)"
+    return f"""
+SELECT prompt_id, sample_id,
+  CASE
+    WHEN sample_id = 3 AND prompt_id % 7 = 0 THEN a_text
+    WHEN sample_id = 2 AND (prompt_id % 11 = 0 OR prompt_id % 7 = 0) THEN ''
+    WHEN sample_id = 1 THEN 'Prompt <DESCR_START>' || replace(a_text, {nl}, ' ')
+         || '<DESCR_END><|PAD|><DESCR_START> tail<DESCR_END>'
+    WHEN sample_id = 2 THEN '<DESCR_START><h2> Overview </h2>  <br>' || replace(a_text, {nl}, ' ') || '<DESCR_END>'
+    ELSE '<DESCR_START>' || replace(replace(a_text, {nl}, ' '), '. ', '.. ') || ' '
+         || replace(a_text, {nl}, ' ') || '<DESCR_END>'
+  END AS raw,
+  reference
+FROM (
+  SELECT u.conv_id * 1000 + u.turn AS prompt_id, u.text AS reference, a.text AS a_text,
+         {d.ords(3)} AS sample_id
+  FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'
+) x"""
+
+
 FIXTURES = {
     "features": features_sql,
     "rules": rules_sql,
@@ -227,6 +254,7 @@ FIXTURES = {
     "specs_long": specs_long_sql,
     "descriptions": descriptions_sql,
     "tagged": tagged_sql,
+    "candidates": candidates_sql,
 }
 DEPENDS: dict[str, list[str]] = {}
 
