@@ -243,6 +243,40 @@ FROM (
 ) x"""
 
 
+# --------------------------------------------------------------------------------------------
+# Reviews (one per document, product_id = doc_id): title line, an overview section with a
+# decimal number, and every text line as its own '<h4> Details </h4>' section (blank lines kept).
+def reviews_sql(d: Dialect) -> str:
+    nl = "chr(10)" if d.name == "duckdb" else "char(10)"
+    s = d.str_type()
+    return f"""
+SELECT CAST(doc_id AS {s}) AS product_id,
+  '# ' || source || {nl} || {nl} || '<h2> OVERVIEW</h2> ' || {nl} || {nl} || 'Display size 6.5 inch. '
+  || replace(text, {nl}, {nl} || {nl} || '<h4> Details </h4>' || {nl}) AS review
+FROM documents"""
+
+
+# Vectors from `embeddings`: even ids are sentences, odd ids are features; a product is a
+# (label, block of 100 ids) pair so each product holds a bounded number of vectors.
+def _vec_product(d: Dialect) -> str:
+    s = d.str_type()
+    return f"CAST(label AS {s}) || '-' || CAST(CAST(floor(vec_id / 100) AS BIGINT) AS {s})"
+
+
+def sentence_vectors_sql(d: Dialect) -> str:
+    return f"""
+SELECT {_vec_product(d)} AS product_id, CAST(CAST(floor(vec_id / 20) AS BIGINT) % 5 AS INT) AS para_ord,
+       CAST(vec_id AS INT) AS sent_ord, embedding AS vec
+FROM embeddings WHERE vec_id % 2 = 0"""
+
+
+def feature_vectors_sql(d: Dialect) -> str:
+    s = d.str_type()
+    return f"""
+SELECT {_vec_product(d)} AS product_id, 'f' || CAST(vec_id AS {s}) AS feature, embedding AS vec
+FROM embeddings WHERE vec_id % 2 = 1"""
+
+
 FIXTURES = {
     "features": features_sql,
     "rules": rules_sql,
@@ -255,6 +289,9 @@ FIXTURES = {
     "descriptions": descriptions_sql,
     "tagged": tagged_sql,
     "candidates": candidates_sql,
+    "reviews": reviews_sql,
+    "sentence_vectors": sentence_vectors_sql,
+    "feature_vectors": feature_vectors_sql,
 }
 DEPENDS: dict[str, list[str]] = {}
 
