@@ -309,11 +309,22 @@ def _closure(names) -> list[str]:
     return [n for n in order if n in need]
 
 
+_REGISTERED: dict[int, tuple[str, set]] = {}
+
+
 def register_fixtures(spark: SparkSession, sf_dir: str, names=None) -> None:
-    """Register driver tables and the requested fixture views (with their dependencies)."""
-    register_tables(spark, sf_dir)
+    """Register driver tables and the requested fixture views (with their dependencies).
+    Views are lazy plans; they are (re)registered only when the session or sf_dir changes."""
+    sid = id(spark._jsparkSession)
+    cur = _REGISTERED.get(sid)
+    if cur is None or cur[0] != sf_dir or not spark.catalog.tableExists("part"):
+        register_tables(spark, sf_dir)
+        cur = (sf_dir, set())
+        _REGISTERED[sid] = cur
     for n in _closure(names or list(FIXTURES)):
-        spark.sql(FIXTURES[n](SPARK)).createOrReplaceTempView(n)
+        if n not in cur[1]:
+            spark.sql(FIXTURES[n](SPARK)).createOrReplaceTempView(n)
+            cur[1].add(n)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
