@@ -19,7 +19,7 @@ def test_record_round_trip(spark):
     CO.write_records(recs, path)
     parsed = {r.title: r for r in CO.parse_training_record(CO.read_records(spark, path)).collect()}
     assert parsed["n1"].Description == "line oneline two"
-    assert parsed["n1"].input == "a<br>b (c)"
+    assert parsed["n1"].input == "a <br> b (c)"
     assert parsed["n2"].input == ""
     assert parsed["n2"].reject_reason is None
 
