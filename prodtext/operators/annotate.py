@@ -53,9 +53,10 @@ def entity_positions(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
     text = strip_tags(tagged.select("doc_id", col), col)
     ents = tagged_entities(tagged, col).select("doc_id", "tag_ord", "label", "entity").distinct()
     j = ents.join(text.select("doc_id", "text"), "doc_id")
-    pieces = j.select("doc_id", "tag_ord", "label", "entity",
-                      F.posexplode(F.split(F.col("text"), literal_escape(F.col("entity")), -1)).alias("k", "piece"),
-                      F.size(F.split(F.col("text"), literal_escape(F.col("entity")), -1)).alias("n"))
+    j = j.select("doc_id", "tag_ord", "label", "entity",
+                 F.split(F.col("text"), literal_escape(F.col("entity")), -1).alias("parts"))
+    pieces = j.select("doc_id", "tag_ord", "label", "entity", F.size("parts").alias("n"),
+                      F.posexplode("parts").alias("k", "piece"))
     w = (Window.partitionBy("doc_id", "tag_ord", "entity").orderBy("k")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     pos = pieces.withColumn("start", F.sum(F.length("piece")).over(w) + F.col("k") * F.length("entity"))
@@ -122,23 +123,30 @@ def token_ngrams(text: DataFrame, max_n: int, extra_cols=()) -> DataFrame:
             .select("doc_id", *extra_cols, "i", "start", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")))
 
 
+def gazetteer_index(dictionary: DataFrame) -> DataFrame:
+    """One row per surface: (surface_lc, n_tokens, entries array<struct<label, folds>>)."""
+    return dictionary.groupBy("surface_lc").agg(
+        F.max("n_tokens").alias("n_tokens"),
+        F.array_sort(F.collect_list(F.struct("label", "folds"))).alias("entries"))
+
+
 def gazetteer_predict(text: DataFrame, dictionary: DataFrame, fold_col: str | None = "fold") -> DataFrame:
     """Dictionary matches -> predicted spans (doc_id, start, end, label[, fold]).
 
-    With ``fold_col`` a match counts only if the surface was seen in another fold
+    With ``fold_col`` an entry counts only if its surface was seen in another fold
     (k-fold without training k dictionaries).  Matches contained in an earlier or
     longer match are dropped; ATTR wins a label tie."""
-    max_n = dictionary.agg(F.max("n_tokens")).first()[0] or 1
+    index = gazetteer_index(dictionary)
+    max_n = index.agg(F.max("n_tokens")).first()[0] or 1
     extra = [fold_col] if fold_col else []
     g = token_ngrams(text, int(max_n), extra).withColumn("surface_lc", F.lower("gram"))
-    m = g.join(dictionary.select("surface_lc", "label", "folds"), "surface_lc")
-    if fold_col:
-        m = m.where(F.exists("folds", lambda x: x != F.col(fold_col)))
-    m = (m.groupBy("doc_id", *extra, "start", "n", "gram").agg(F.min("label").alias("label"))
-         .withColumn("end", F.col("start") + F.length("gram")))
+    m = g.join(index.select("surface_lc", "entries"), "surface_lc")
+    ok = (lambda e: F.exists(e["folds"], lambda x: x != F.col(fold_col))) if fold_col else (lambda e: F.lit(True))
+    m = m.withColumn("label", F.array_min(F.transform(F.filter("entries", ok), lambda e: e["label"])))
+    m = m.where(F.col("label").isNotNull()).withColumn("end", F.col("start") + F.length("gram"))
     w = (Window.partitionBy("doc_id").orderBy(F.col("start"), F.col("end").desc())
          .rowsBetween(Window.unboundedPreceding, -1))
-    m = m.withColumn("prev_end", F.max("end").over(w))
+    m = m.select("doc_id", *extra, "start", "end", "label", "gram").withColumn("prev_end", F.max("end").over(w))
     keep = m.where(F.col("prev_end").isNull() | (F.col("prev_end") < F.col("end")))
     return keep.select("doc_id", *extra, F.col("start").cast("int").alias("start"),
                        F.col("end").cast("int").alias("end"), "label", F.col("gram").alias("entity"))

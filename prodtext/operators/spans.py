@@ -8,7 +8,7 @@ one bucket each, so only nearby pairs meet; the exact predicate is applied after
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodtext.functions.constants import KFOLD_K, METRIC_TAGS
@@ -91,15 +91,15 @@ def span_metrics(matches: DataFrame, gold: DataFrame, folds: DataFrame) -> DataF
 # ---- A5 / X1 / C11 -------------------------------------------------------------------------
 def entity_set_metrics(gold_surfaces: DataFrame, pred_surfaces: DataFrame, folds: DataFrame) -> DataFrame:
     """Lower-cased distinct surfaces per document; PROD only for documents with gold PROD.
-    Inputs: (doc_id, label, surface)."""
+    Inputs: (doc_id, label, surface).  Each input is read once: the PROD rule is a
+    per-document flag computed after the full outer join."""
     r = gold_surfaces.select("doc_id", "label", F.lower("surface").alias("s")).distinct().withColumn("in_r", F.lit(True))
     t = pred_surfaces.select("doc_id", "label", F.lower("surface").alias("s")).distinct().withColumn("in_t", F.lit(True))
-    t = t.join(folds.select("doc_id"), "doc_id", "left_semi")
-    prod_docs = gold_surfaces.where(F.col("label") == METRIC_TAGS[1]).select("doc_id").distinct()
-    t = t.where(F.col("label") == METRIC_TAGS[0]).unionByName(
-        t.where(F.col("label") == METRIC_TAGS[1]).join(prod_docs, "doc_id", "left_semi"))
-    j = r.join(t, ["doc_id", "label", "s"], "full").join(folds, "doc_id")
+    j = r.join(t, ["doc_id", "label", "s"], "full")
     in_r, in_t = F.coalesce("in_r", F.lit(False)), F.coalesce("in_t", F.lit(False))
+    has_prod = F.max((in_r & (F.col("label") == METRIC_TAGS[1])).cast("int")).over(Window.partitionBy("doc_id"))
+    j = j.withColumn("doc_has_prod", has_prod).where((F.col("label") != METRIC_TAGS[1]) | (F.col("doc_has_prod") == 1))
+    j = j.join(folds, "doc_id")
     return j.groupBy("fold", F.col("label").alias("tag")).agg(
         F.count_if(in_r & in_t).alias("correct"), F.count_if(in_r & ~in_t).alias("missed_init"),
         F.count_if(in_t & ~in_r).alias("FT_init"), F.count_if(in_t).alias("total_t_set"),

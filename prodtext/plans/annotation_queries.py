@@ -260,7 +260,7 @@ def q_missed_spans(spark, sf_dir):
 
 def fixture_fold_metrics(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    text, gold, folds = text_of(t), gold_of(t, True), folds_of(t)
+    text, gold, folds = cut_lineage(text_of(t)), gold_of(t, True), folds_of(t)
     pred = fixture_predictions(spark, gold)
     m = S.span_match(pred, gold)
     sm = S.span_metrics(m, gold, folds)
@@ -330,8 +330,9 @@ gaz AS (SELECT doc_id, fold, CAST(start AS INT) AS start, CAST("end" AS INT) AS
 gpred AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", label) AS pred_ord FROM gaz)"""
 
 
-def gazetteer_predictions(t, gold=None):
-    text, folds = text_of(t), folds_of(t)
+def gazetteer_predictions(t, gold=None, text=None):
+    text = text if text is not None else text_of(t)
+    folds = folds_of(t)
     gold = gold if gold is not None else gold_of(t)
     tf = text.join(folds, "doc_id")
     d = A.gazetteer_train(gold, tf)
@@ -358,8 +359,8 @@ def q_gazetteer_predict(spark, sf_dir):
 SELECT tag, metric, round(mean, 6) AS mean, round(std, 6) AS std FROM mean_std""")
 def q_kfold_extraction_quality(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    text, gold, folds = text_of(t), gold_of(t, True), folds_of(t)
-    pred = cut_lineage(gazetteer_predictions(t, gold))
+    text, gold, folds = cut_lineage(text_of(t)), gold_of(t, True), folds_of(t)
+    pred = cut_lineage(gazetteer_predictions(t, gold, text))
     pred = pred.withColumn("pred_ord", F.row_number().over(
         Window.partitionBy("doc_id").orderBy("start", "end", "label")))
     m = S.span_match(pred, gold)

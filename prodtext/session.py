@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` once as a parquet table in the shared checkpoint folder and read it
+    back: lineage is cut, the result survives executor loss, it is computed exactly once
+    (``Dataset.checkpoint`` would compute it twice without a cache) and the planner sees its
+    real size."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/mat-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
