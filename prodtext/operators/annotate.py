@@ -46,20 +46,35 @@ def tagged_entities(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
 
 
 # ---- N4 / J5 / C9 --------------------------------------------------------------------------
+def _tag_struct(tag_ord: int, label: str):
+    def f(e):
+        return F.struct(F.lit(tag_ord).alias("tag_ord"), F.lit(label).alias("label"), e.alias("entity"))
+    return f
+
+
 def entity_positions(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
     """Each distinct tagged surface, located literally in the stripped text: every
     non-overlapping left-to-right occurrence (including untagged ones).  Offsets are
-    code points, end exclusive."""
-    text = strip_tags(tagged.select("doc_id", col), col)
-    ents = tagged_entities(tagged, col).select("doc_id", "tag_ord", "label", "entity").distinct()
-    j = ents.join(text.select("doc_id", "text"), "doc_id")
-    j = j.select("doc_id", "tag_ord", "label", "entity",
-                 F.split(F.col("text"), literal_escape(F.col("entity")), -1).alias("parts"))
-    pieces = j.select("doc_id", "tag_ord", "label", "entity", F.size("parts").alias("n"),
-                      F.posexplode("parts").alias("k", "piece"))
+    code points, end exclusive.
+
+    Per document row: distinct surfaces per tag, the stripped text split on each surface,
+    and the piece lengths are computed in place; only (doc, surface, k, length) rows are
+    shuffled for the running sum, never the text."""
+    tg = F.col("_tg")
+    ents = []
+    for i, (open_t, close_t, label) in enumerate(ENTITY_TAGS):
+        found = F.array_distinct(F.regexp_extract_all(tg, F.lit(f"{open_t}(.+?){close_t}"), 1))
+        ents.append(F.transform(found, _tag_struct(i + 1, label)))
+    x = tagged.select("doc_id", F.col(col).alias("_tg")).select(
+        "doc_id", strip_tags_expr(tg).alias("text"), F.explode(F.concat(*ents)).alias("e"))
+    x = x.select("doc_id", "e.tag_ord", "e.label", "e.entity",
+                 F.transform(F.split(F.col("text"), literal_escape(F.col("e.entity")), -1),
+                             lambda p: F.length(p)).alias("lens"))
+    pieces = x.select("doc_id", "tag_ord", "label", "entity", F.size("lens").alias("n"),
+                      F.posexplode("lens").alias("k", "plen"))
     w = (Window.partitionBy("doc_id", "tag_ord", "entity").orderBy("k")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pos = pieces.withColumn("start", F.sum(F.length("piece")).over(w) + F.col("k") * F.length("entity"))
+    pos = pieces.withColumn("start", F.sum("plen").over(w) + F.col("k") * F.length("entity"))
     return (pos.where(F.col("k") < F.col("n") - 1)
             .select("doc_id", "tag_ord", "label", "entity", F.col("start").cast("int").alias("start"),
                     (F.col("start") + F.length("entity")).cast("int").alias("end")))
@@ -67,19 +82,19 @@ def entity_positions(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
 
 # ---- X3 / N6 -------------------------------------------------------------------------------
 def gold_spans(positions: DataFrame, metric_tags=("ATTR", "PROD")) -> DataFrame:
-    """Per document: ATTR spans then PROD spans (by offset) -> span_ord."""
+    """Per document: ATTR spans then PROD spans (by offset) -> span_ord.  The surface text
+    (``entity``) is carried along: a span is an occurrence of that literal."""
     rank = F.when(F.col("label") == metric_tags[0], 1).otherwise(2)
     w = Window.partitionBy("doc_id").orderBy(rank, "start", "end")
-    return (positions.select("doc_id", "start", "end", "label").distinct()
+    return (positions.groupBy("doc_id", "start", "end", "label").agg(F.min("entity").alias("entity"))
             .withColumn("span_ord", F.row_number().over(w).cast("int"))
-            .select("doc_id", "span_ord", "start", "end", "label"))
+            .select("doc_id", "span_ord", "start", "end", "label", "entity"))
 
 
 # ---- N5 ------------------------------------------------------------------------------------
 def gold_table(text: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, Description, Attributes, Product, Attributes_pos, Product_pos), lists in span order."""
-    s = spans.join(text.select("doc_id", "text"), "doc_id").withColumn(
-        "surface", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
+    s = spans.withColumnRenamed("entity", "surface")
 
     def lst(label, field):
         return F.transform(
@@ -95,11 +110,12 @@ def gold_table(text: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 # ---- N7 (re-aimed): dictionary extractor -----------------------------------------------------
-def gazetteer_train(spans: DataFrame, text: DataFrame, fold_col: str | None = "fold") -> DataFrame:
-    """Dictionary (surface_lc, label) -> set of folds where it was seen as gold."""
-    s = spans.join(text.select("doc_id", "text", *([fold_col] if fold_col else [])), "doc_id")
-    s = s.select(F.lower(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("surface_lc"),
-                 "label", (F.col(fold_col) if fold_col else F.lit(0)).alias("fold"))
+def gazetteer_train(spans: DataFrame, folds: DataFrame | None = None, fold_col: str | None = "fold") -> DataFrame:
+    """Dictionary (surface_lc, label) -> set of folds where it was seen as gold.
+    ``spans`` carry their surface (``entity``); ``folds`` maps doc_id -> fold."""
+    s = spans.join(folds.select("doc_id", fold_col), "doc_id") if fold_col else spans
+    s = s.select(F.lower("entity").alias("surface_lc"), "label",
+                 (F.col(fold_col) if fold_col else F.lit(0)).alias("fold"))
     return s.groupBy("surface_lc", "label").agg(
         F.array_sort(F.collect_set("fold")).alias("folds"),
         F.size(F.split(F.first("surface_lc"), " ")).alias("n_tokens"))

@@ -42,8 +42,10 @@ def text_of(tagged):
     return A.strip_tags(tagged).select("doc_id", "text")
 
 
-def gold_of(tagged, materialize: bool = False):
+def gold_of(tagged, materialize: bool = False, with_entity: bool = True):
     g = A.gold_spans(A.entity_positions(tagged))
+    if not with_entity:
+        g = g.drop("entity")
     # gold spans feed several joins; a reliable checkpoint keeps them from being re-derived.
     return cut_lineage(g) if materialize else g
 
@@ -60,6 +62,8 @@ def fixture_predictions(spark, gold):
 
 
 def surfaces(spans, text):
+    if "entity" in spans.columns:
+        return spans.select("doc_id", "label", F.col("entity").alias("surface"))
     return spans.join(text, "doc_id").select(
         "doc_id", "label", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"))
 
@@ -211,7 +215,7 @@ def q_entity_positions(spark, sf_dir):
 
 @register("gold_spans", W(ANN_CTES) + 'SELECT doc_id, span_ord, start, "end", label FROM gold_spans')
 def q_gold_spans(spark, sf_dir):
-    return gold_of(_fx(spark, sf_dir))
+    return gold_of(_fx(spark, sf_dir), with_entity=False)
 
 
 @register("gold_table", W(ANN_CTES) + """
@@ -335,7 +339,7 @@ def gazetteer_predictions(t, gold=None, text=None):
     folds = folds_of(t)
     gold = gold if gold is not None else gold_of(t)
     tf = text.join(folds, "doc_id")
-    d = A.gazetteer_train(gold, tf)
+    d = A.gazetteer_train(gold, folds)
     return A.gazetteer_predict(tf, d)
 
 
@@ -343,7 +347,7 @@ def gazetteer_predictions(t, gold=None, text=None):
 SELECT surface_lc, label, array_to_string(folds, ',') AS folds, CAST(n_tokens AS INT) AS n_tokens FROM dict""")
 def q_gazetteer_train(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    d = A.gazetteer_train(gold_of(t), text_of(t).join(folds_of(t), "doc_id"))
+    d = A.gazetteer_train(gold_of(t), folds_of(t))
     return d.select("surface_lc", "label", F.array_join(F.transform("folds", lambda x: x.cast("string")), ",").alias("folds"),
                     F.col("n_tokens").cast("int").alias("n_tokens"))
 
