@@ -29,8 +29,9 @@ def parse_review_paragraphs(reviews: DataFrame, key: str = "product_id", col: st
     w = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("is_h", is_h).withColumn("para_ord", F.sum(F.col("is_h").cast("int")).over(w))
     lines = lines.where(F.col("para_ord") > 0).withColumn("clean", strip_ws(replace_all(F.col("line"), MARKERS)))
+    # exactly one header line per section: the first (only) non-null collected value
     g = lines.groupBy(key, "para_ord").agg(
-        F.min_by(F.when(F.col("is_h"), F.col("clean")), F.when(F.col("is_h"), F.col("ln"))).alias("para_title"),
+        F.element_at(F.collect_list(F.when(F.col("is_h"), F.col("clean"))), 1).alias("para_title"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_h") & (F.col("clean") != ""),
                                                                        F.struct("ln", "clean")))),
                                  lambda x: x["clean"]), " ").alias("para_text"))
@@ -72,6 +73,8 @@ def text_pairs(sentences: DataFrame, features: DataFrame, threshold: float = COS
     """Cosine of word-count vectors > threshold; only (feature, sentence) pairs sharing a word meet."""
     sk = [key, "para_ord", "sent_ord"]
     fk = [key, "feature"]
+    # only sentences of products that have features can match
+    sentences = sentences.join(features.select(key).distinct(), key, "left_semi")
     st = token_counts(sentences, sk, "sentence")
     ft = token_counts(features, fk, feature_text)
     sn = st.groupBy(*sk).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("sn"))

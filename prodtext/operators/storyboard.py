@@ -42,9 +42,14 @@ def storyboard_intro(models: DataFrame, key: str = "product_id") -> DataFrame:
 
 
 def slide_timeline(slides: DataFrame, key: str = "product_id", chars_per_second: float = 15.0) -> DataFrame:
-    """Clips back to back; duration from narration length; background = total + 3 s."""
-    d = slides.withColumn("duration_s", F.length("narration") / F.lit(chars_per_second))
+    """Clips back to back; duration from narration length; background = total + 3 s.
+    Running totals are summed as integer character counts and divided once, so the
+    result does not depend on summation order."""
+    d = slides.withColumn("_chars", F.length("narration").cast("bigint"))
     w = Window.partitionBy(key).orderBy("slide_no")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (d.withColumn("start_s", F.sum("duration_s").over(run) - F.col("duration_s"))
-             .withColumn("music_s", F.sum("duration_s").over(Window.partitionBy(key)) + 3.0))
+    run = w.rowsBetween(Window.unboundedPreceding, -1)
+    cps = F.lit(chars_per_second)
+    return (d.withColumn("duration_s", F.col("_chars") / cps)
+             .withColumn("start_s", F.coalesce(F.sum("_chars").over(run), F.lit(0)) / cps)
+             .withColumn("music_s", F.sum("_chars").over(Window.partitionBy(key)) / cps + 3.0)
+             .drop("_chars"))

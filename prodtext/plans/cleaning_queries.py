@@ -11,6 +11,7 @@ from prodtext.operators.spans import round_cols
 from prodtext.plans import sqlparts as Q
 from prodtext.plans.evaluation_queries import EVAL_CTES, WORDS, extracted
 from prodtext.plans.registry import register
+from prodtext.session import cut_lineage
 from prodtext.sources.fixtures import duck_with
 
 KEYS = ["prompt_id", "sample_id"]
@@ -127,7 +128,16 @@ def q_clean_review(spark, sf_dir):
     return CL.clean_review(reviews(spark, sf_dir), KEYS).select(*KEYS, "clean")
 
 
-@register("heading_dedupe")
+@register("heading_dedupe", W + """,
+hd AS (SELECT prompt_id, string_agg('<br><h2> S' || CAST(sample_id AS VARCHAR) || ' </h2>   ' || text, ''
+                                    ORDER BY sample_id) AS text FROM rv GROUP BY 1),
+hh AS (SELECT prompt_id, text, regexp_extract_all(text, '<h2> ([^\\n]*?) </h2>', 1) AS heads FROM hd)
+SELECT prompt_id,
+  CASE WHEN len(heads) >= 2 THEN list_reduce(
+         flatten(list_transform(range(0, len(heads) - 1), lambda a: heads[a + 2:len(heads)])),
+         lambda acc, b: replace(replace(acc, '<br><h2> ' || b || ' </h2>', ''), '   ', ' '), text)
+       ELSE text END AS text
+FROM hh""")
 def q_heading_dedupe(spark, sf_dir):
     r = reviews(spark, sf_dir)
     doc = r.groupBy("prompt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
@@ -136,7 +146,15 @@ def q_heading_dedupe(spark, sf_dir):
     return doc.select("prompt_id", CL.heading_dedupe_expr(F.col("text")).alias("text"))
 
 
-@register("clean_review_join")
+@register("clean_review_join", W + """,
+lagged AS (SELECT *, lag(sentence) OVER (PARTITION BY prompt_id, sample_id ORDER BY sent_ord) AS prev FROM titled),
+joined AS (
+  SELECT prompt_id, sample_id,
+         string_agg(CASE WHEN prev IS NULL THEN sentence WHEN NOT contains(prev, '#') THEN '. ' || sentence
+                         ELSE sentence END, '' ORDER BY sent_ord) || '.' AS text
+  FROM lagged GROUP BY 1, 2)
+SELECT r.prompt_id, r.sample_id, j.text FROM rv r
+LEFT JOIN joined j ON r.prompt_id = j.prompt_id AND r.sample_id = j.sample_id""")
 def q_clean_review_join(spark, sf_dir):
     """W7 alone: re-join the title-wrapped sentences (no near-duplicate step)."""
     return _titled(spark, sf_dir).select(*KEYS, CL.join_sentences_expr(F.col("sentences")).alias("text"))
@@ -145,7 +163,7 @@ def q_clean_review_join(spark, sf_dir):
 @register("evaluate_candidates_clean")
 def q_evaluate_candidates_clean(spark, sf_dir):
     """T18 with the cleaned columns: BLEU/GLEU of the truncated cleaned review (falls back to raw)."""
-    e = extracted(spark, sf_dir)
+    e = cut_lineage(extracted(spark, sf_dir))
     c = CL.clean_review(e.where("valid").select(*KEYS, F.col("description").alias("text")), KEYS)
     c = c.select(*KEYS, F.coalesce("clean", "text").alias("clean_text"))
     v = e.where("valid").join(c, KEYS)

@@ -13,6 +13,7 @@ from prodtext.operators.spans import round_cols
 from prodtext.plans import catalog_queries as CQ
 from prodtext.plans import sqlparts as Q
 from prodtext.plans.registry import register
+from prodtext.session import cut_lineage
 from prodtext.sources.fixtures import duck_with, register_fixtures
 
 TEXT_THRESHOLD = 0.25
@@ -34,8 +35,9 @@ def product_features(spark, sf_dir):
 
 
 def text_alignment(spark, sf_dir):
-    sents = AL.paragraph_sentences(paragraphs(spark, sf_dir))
-    feats = R.feature_sentences(product_features(spark, sf_dir))
+    # both sides feed several joins: materialise each once in the checkpoint folder
+    sents = cut_lineage(AL.paragraph_sentences(paragraphs(spark, sf_dir)))
+    feats = cut_lineage(R.feature_sentences(product_features(spark, sf_dir)))
     pairs = AL.text_pairs(sents, feats, TEXT_THRESHOLD)
     return AL.align_features(sents, pairs)
 
@@ -90,6 +92,70 @@ feats AS (
 feats1 AS (SELECT * FROM feats WHERE feature <> '')"""
 
 
+
+TEXT_CTES = f"""
+sents AS (
+  SELECT product_id, para_ord, para_title,
+         CAST(row_number() OVER (PARTITION BY product_id, para_ord ORDER BY k) AS INT) AS sent_ord, piece AS sentence
+  FROM (SELECT product_id, para_ord, para_title, unnest(string_split(para_text, '.')) AS piece,
+               unnest(generate_series(1, len(string_split(para_text, '.')))) AS k FROM paras) x
+  WHERE piece <> ''),
+fs AS (SELECT DISTINCT product_id, feature, 'this product has ' || feature || '.' AS feature_sentence FROM feats1),
+stok AS (
+  SELECT product_id, para_ord, sent_ord, token, count(*) AS c FROM (
+    SELECT product_id, para_ord, sent_ord,
+           unnest(list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS token
+    FROM sents WHERE product_id IN (SELECT product_id FROM fs)) x GROUP BY 1, 2, 3, 4),
+ftok AS (
+  SELECT product_id, feature, token, count(*) AS c FROM (
+    SELECT product_id, feature,
+           unnest(list_filter(regexp_split_to_array(lower(feature_sentence), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS token
+    FROM fs) x GROUP BY 1, 2, 3),
+sn AS (SELECT product_id, para_ord, sent_ord, sqrt(sum(c * c)) AS sn FROM stok GROUP BY 1, 2, 3),
+fn AS (SELECT product_id, feature, sqrt(sum(c * c)) AS fn FROM ftok GROUP BY 1, 2),
+dots AS (
+  SELECT s.product_id, s.para_ord, s.sent_ord, f.feature, sum(s.c * f.c) AS dot
+  FROM stok s JOIN ftok f ON s.product_id = f.product_id AND s.token = f.token GROUP BY 1, 2, 3, 4),
+tpairs AS (
+  SELECT d.product_id, d.para_ord, d.sent_ord, d.feature
+  FROM dots d JOIN sn ON d.product_id = sn.product_id AND d.para_ord = sn.para_ord AND d.sent_ord = sn.sent_ord
+  JOIN fn ON d.product_id = fn.product_id AND d.feature = fn.feature
+  WHERE d.dot / (sn.sn * fn.fn) > {TEXT_THRESHOLD}),
+tfirst AS (SELECT product_id, para_ord, feature, min(sent_ord) AS sent_ord FROM tpairs GROUP BY 1, 2, 3),
+tfeat AS (
+  SELECT product_id, para_ord, sent_ord, feature,
+         row_number() OVER (PARTITION BY product_id, para_ord, sent_ord ORDER BY feature) AS fi FROM tfirst),
+talign AS (
+  SELECT s.product_id, s.para_ord, s.sent_ord, s.para_title, s.sentence,
+         coalesce((SELECT string_agg(feature, ',' ORDER BY feature) FROM tfeat t
+                   WHERE t.product_id = s.product_id AND t.para_ord = s.para_ord AND t.sent_ord = s.sent_ord), '') AS features
+  FROM sents s),
+capped AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, para_ord ORDER BY sent_ord, fi) AS rnk FROM tfeat) x
+  WHERE rnk <= 7),
+story AS (
+  SELECT s.product_id, CAST(row_number() OVER (PARTITION BY s.product_id ORDER BY s.para_ord, s.sent_ord) - 1 AS INT) AS slide_no,
+         s.para_title AS title,
+         coalesce((SELECT string_agg(c.feature, ' | ' ORDER BY c.rnk) FROM capped c
+                   WHERE c.product_id = s.product_id AND c.para_ord = s.para_ord AND c.sent_ord <= s.sent_ord), '') AS captions,
+         (SELECT CAST(count(*) AS INT) FROM capped c
+          WHERE c.product_id = s.product_id AND c.para_ord = s.para_ord AND c.sent_ord <= s.sent_ord) AS n_captions,
+         s.sentence AS narration
+  FROM sents s),
+intro AS (
+  SELECT product_id, CAST(-1 AS INT) AS slide_no,
+         'Welcome to the ' || title || ' review. Take into account that this review is generated automatically by an IA system.' AS narration
+  FROM catalog WHERE product_id IN (SELECT product_id FROM reviews)),
+allslides AS (SELECT product_id, slide_no, narration FROM intro UNION ALL SELECT product_id, slide_no, narration FROM story),
+timeline AS (
+  SELECT product_id, slide_no, length(narration) / 15.0 AS duration_s,
+         coalesce(sum(length(narration)) OVER (PARTITION BY product_id ORDER BY slide_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 15.0 AS start_s,
+         sum(length(narration)) OVER (PARTITION BY product_id) / 15.0 + 3.0 AS music_s
+  FROM allslides)"""
+
+_SW = CQ._w(CQ.CAT_FIX + ["reviews"], extra=Q.CATEGORY_CTES + "," + FEAT_CTES + "," + PARA_CTES + "," + TEXT_CTES)
+
 @register("parse_review_paragraphs", duck_with(["reviews"]) + "," + PARA_CTES + """
 SELECT product_id, para_ord, para_title, para_text FROM paras""")
 def q_parse_review_paragraphs(spark, sf_dir):
@@ -161,7 +227,7 @@ def q_unmatched_sentences(spark, sf_dir):
     return u.select("product_id", "para_ord", "sent_ord", F.col("unmatched_no").cast("bigint").alias("unmatched_no"))
 
 
-@register("text_alignment")
+@register("text_alignment", _SW + "SELECT product_id, para_ord, sent_ord, sentence, features FROM talign")
 def q_text_alignment(spark, sf_dir):
     a = text_alignment(spark, sf_dir)
     return a.select("product_id", "para_ord", "sent_ord", "sentence", F.array_join("features", ",").alias("features"))
@@ -171,16 +237,16 @@ def _story(spark, sf_dir):
     return SB.storyboard(text_alignment(spark, sf_dir))
 
 
-@register("storyboard")
+@register("storyboard", _SW + "SELECT product_id, slide_no, title, captions, narration FROM story")
 def q_storyboard(spark, sf_dir):
     s = _story(spark, sf_dir)
     return s.select("product_id", "slide_no", "title", F.array_join("captions", " | ").alias("captions"), "narration")
 
 
-@register("storyboard_captions")
+@register("storyboard_captions", _SW + "SELECT product_id, slide_no, n_captions, captions FROM story")
 def q_storyboard_captions(spark, sf_dir):
     s = _story(spark, sf_dir)
-    return s.select("product_id", "slide_no", F.size("captions").alias("n_captions"),
+    return s.select("product_id", "slide_no", F.size("captions").cast("int").alias("n_captions"),
                     F.array_join("captions", " | ").alias("captions"))
 
 
@@ -197,9 +263,11 @@ def q_storyboard_intro(spark, sf_dir):
     return SB.storyboard_intro(_models(spark, sf_dir)).select("product_id", "slide_no", "title", "narration")
 
 
-@register("slide_timeline")
+@register("slide_timeline", _SW + """
+SELECT product_id, slide_no, round(duration_s, 6) AS duration_s, round(start_s, 6) AS start_s,
+       round(music_s, 6) AS music_s FROM timeline""")
 def q_slide_timeline(spark, sf_dir):
-    slides = _story(spark, sf_dir).select("product_id", "slide_no", "title", "captions", "narration")
+    slides = cut_lineage(_story(spark, sf_dir)).select("product_id", "slide_no", "title", "captions", "narration")
     allv = SB.storyboard_intro(_models(spark, sf_dir)).unionByName(slides)
     t = SB.slide_timeline(allv)
     return round_cols(t.select("product_id", "slide_no", "duration_s", "start_s", "music_s"),
