@@ -9,6 +9,7 @@ from prodtext.operators import metrics as M
 from prodtext.operators import render as R
 from prodtext.operators.spans import round_cols
 from prodtext.plans.registry import register
+from prodtext.session import cut_lineage
 from prodtext.sources.fixtures import duck_with, register_fixtures
 
 
@@ -22,7 +23,8 @@ def extracted(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    return M.score_candidates(extracted(spark, sf_dir))
+    # extracted candidates feed the text side, the reference side and the n-gram join
+    return M.score_candidates(cut_lineage(extracted(spark, sf_dir)))
 
 
 def WORDS(x):
@@ -193,7 +195,46 @@ SELECT p.prompt_id, f.description AS review, {r6(['p.' + c for c in MS_COLS]).re
 FROM per_prompt p JOIN (SELECT prompt_id, arg_min(description, sample_id) AS description FROM ext WHERE valid
                         GROUP BY prompt_id) f ON p.prompt_id = f.prompt_id""")
 def q_evaluate_candidates(spark, sf_dir):
-    e = extracted(spark, sf_dir)
+    e = cut_lineage(extracted(spark, sf_dir))
     first = M.first_valid_candidate(e).select("prompt_id", F.col("description").alias("review"))
     per = round_cols(M.candidate_mean_std(M.score_candidates(e)), MS_COLS)
     return per.join(first, "prompt_id")
+
+
+BLEU_WORD_CTES = f"""
+wt AS (SELECT prompt_id, sample_id, {WORDS('text')} AS w FROM tr),
+wr AS (SELECT DISTINCT prompt_id, {WORDS('reference')} AS w FROM candidates),
+whpos AS (SELECT prompt_id, sample_id, w, unnest(range(1, greatest(len(w), 1) + 1)) AS i FROM wt),
+whg AS (SELECT prompt_id, sample_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram, count(*) AS cnt
+        FROM whpos, (VALUES (1), (2), (3), (4)) AS nn(n) WHERE i + n - 1 <= len(w) GROUP BY ALL),
+wrpos AS (SELECT prompt_id, w, unnest(range(1, greatest(len(w), 1) + 1)) AS i FROM wr),
+wrg AS (SELECT prompt_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram, count(*) AS rcnt
+        FROM wrpos, (VALUES (1), (2), (3), (4)) AS nn(n) WHERE i + n - 1 <= len(w) GROUP BY ALL),
+wclip AS (
+  SELECT h.prompt_id, h.sample_id,
+    sum(CASE WHEN h.n = 1 THEN least(h.cnt, coalesce(r.rcnt, 0)) END) AS m1,
+    sum(CASE WHEN h.n = 2 THEN least(h.cnt, coalesce(r.rcnt, 0)) END) AS m2,
+    sum(CASE WHEN h.n = 3 THEN least(h.cnt, coalesce(r.rcnt, 0)) END) AS m3,
+    sum(CASE WHEN h.n = 4 THEN least(h.cnt, coalesce(r.rcnt, 0)) END) AS m4
+  FROM whg h LEFT JOIN wrg r ON h.prompt_id = r.prompt_id AND h.n = r.n AND h.gram = r.gram GROUP BY 1, 2),
+wb0 AS (
+  SELECT t.prompt_id, t.sample_id, CAST(len(t.w) AS DOUBLE) AS c, CAST(len(r.w) AS DOUBLE) AS r,
+         coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, coalesce(m3, 0) AS m3, coalesce(m4, 0) AS m4
+  FROM wt t JOIN wr r ON t.prompt_id = r.prompt_id
+  LEFT JOIN wclip k ON t.prompt_id = k.prompt_id AND t.sample_id = k.sample_id)"""
+
+
+@register("bleu_word", W + "," + BLEU_WORD_CTES + """
+SELECT prompt_id, sample_id, round(
+    CASE WHEN m1 > 0 AND m2 > 0 AND m3 > 0 AND m4 > 0 THEN
+      (CASE WHEN c > r THEN 1.0 WHEN c = 0 THEN 0.0 ELSE exp(1 - r / c) END)
+      * exp((ln(m1 / greatest(1, greatest(0, c))) + ln(m2 / greatest(1, greatest(0, c - 1)))
+           + ln(m3 / greatest(1, greatest(0, c - 2))) + ln(m4 / greatest(1, greatest(0, c - 3)))) / 4)
+    ELSE 0.0 END, 6) AS bleu_word
+FROM wb0""")
+def q_bleu_word(spark, sf_dir):
+    e = cut_lineage(extracted(spark, sf_dir))
+    v = M.truncate_to_ref(e.where("valid"))
+    refs = e.select("prompt_id", "reference").dropDuplicates(["prompt_id"])
+    b = M.bleu_gleu(v, refs, level="word").select("prompt_id", "sample_id", F.col("bleu").alias("bleu_word"))
+    return round_cols(b, ["bleu_word"])
