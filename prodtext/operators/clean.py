@@ -13,12 +13,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from prodtext.functions.constants import NEAR_DUP_RATIO
 from prodtext.functions.stopwords import STOPWORDS_EN
+from prodtext.session import cut_lineage
 from prodtext.functions.text import SENTENCE_BREAK, SEP, is_title, replace_all, strip_ws, word_array
 
 
@@ -99,26 +100,86 @@ def similarity_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def length_band(length_col, ratio: float):
     """Geometric length bucket: pairs that can reach ``ratio`` sit in the same or adjacent bands."""
-    f = (2.0 - ratio) / ratio if ratio > 0 else 1e9  # max length factor allowed by 2*min/(la+lb) > ratio
+    f = (2.0 - ratio) / ratio  # max length factor allowed by 2*min/(la+lb) > ratio
     step = math.log(f) if f > 1 else 1.0
     return F.when(length_col == 0, F.lit(-1)).otherwise(F.floor(F.log(length_col.cast("double")) / F.lit(step)))
 
 
+def band_candidates(sent: DataFrame, keys, ratio: float) -> DataFrame:
+    """(keys, i, j), i < j, for sentences in the same or adjacent length bands."""
+    keys = list(keys)
+    s = sent.withColumn("_band", length_band(F.col("len"), ratio))
+    a = s.select(*keys, "i", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    b = s.select(*keys, F.col("i").alias("j"), "_band")
+    return a.join(b, keys + ["_band"]).where(F.col("i") < F.col("j")).select(*keys, "i", "j")
+
+
+def overlap_factor(ratio: float) -> float:
+    """c such that ratio(a, b) > ``ratio`` implies a and b share more than c*len - 1 character
+    bigram occurrences (for either string's length).
+
+    difflib's M matched characters lie in K <= ua + ub + 1 blocks (a gap in a or b separates
+    blocks), so at least M - K bigrams of a sit inside blocks and occur in b:
+    overlap >= 3M - la - lb - 1 > (3r/2 - 1)(la + lb) - 1, and lb > la * r / (2 - r)."""
+    return max(0.0, (1.5 * ratio - 1.0) * (1.0 + ratio / (2.0 - ratio)))
+
+
+def prefix_candidates(sent: DataFrame, keys, ratio: float) -> DataFrame:
+    """Exact candidate pairs (keys, i, j), i < j, for ratio > ``ratio`` by prefix filtering.
+
+    Each sentence becomes the set of its bigram occurrences (bigram, k-th occurrence),
+    ordered by (frequency in the review, bigram, k).  Sentences sharing more than t
+    elements must share one among their first n - t, so only those prefixes are joined."""
+    keys = list(keys)
+    c = overlap_factor(ratio)
+    s = sent.where(F.col("len") >= 2)
+    occ = s.select(*keys, "i", "len", F.explode(F.transform(
+        F.sequence(F.lit(1), F.col("len") - 1), lambda p: F.substring("s", p, 2))).alias("_g"))
+    cnt = occ.groupBy(*keys, "i", "len", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    freq = cnt.groupBy(*keys, "_g").agg(F.sum("_n").alias("_freq"))
+    per = cnt.join(freq, keys + ["_g"]).groupBy(*keys, "i", "len").agg(
+        F.array_sort(F.collect_list(F.struct("_freq", "_g", "_n"))).alias("_a"))
+    # occurrences in the global order (frequency in the review, bigram, k-th occurrence)
+    toks = F.flatten(F.transform("_a", lambda x: F.transform(
+        F.sequence(F.lit(1), x["_n"]), lambda k: F.struct(x["_g"].alias("_g"), k.alias("_k")))))
+    # conservative integer bound: t = floor(c*len - 1) (never larger than the true bound)
+    t = F.greatest(F.lit(0), F.floor(F.lit(c) * F.col("len") - 1))
+    plen = ((F.col("len") - 1) - t + 1).cast("int")
+    pre = per.select(*keys, "i", F.explode(F.slice(toks, 1, plen)).alias("_t")).select(
+        *keys, "i", F.col("_t._g").alias("_g"), F.col("_t._k").alias("_k"))
+    b = pre.withColumnRenamed("i", "j")
+    return pre.join(b, keys + ["_g", "_k"]).where(F.col("i") < F.col("j")).select(*keys, "i", "j").distinct()
+
+
 # ---- J7 ------------------------------------------------------------------------------------
-def near_dup_pairs(sent: DataFrame, keys, ratio: float = NEAR_DUP_RATIO) -> DataFrame:
-    """(keys, i, j, ratio) for i < j, neither containing '#', ratio(s_i, s_j) > ``ratio``."""
+def near_dup_pairs(sent: DataFrame, keys, ratio: float = NEAR_DUP_RATIO, scored_only: bool = False,
+                   max_band: int = 64) -> DataFrame:
+    """(keys, i, j, ratio) for i < j, neither containing '#', ratio(s_i, s_j) > ``ratio``.
+
+    Candidates: reviews whose length bands all hold at most ``max_band`` sentences pair
+    sentences of the same/adjacent band (a bounded equi-join); reviews with a larger band
+    (a hot group) use the exact bigram prefix filter instead, so no review is compared
+    all-pairs.  Both routes are exact.  Then the lossless length bound 2*min/(la+lb) > ratio is applied next, then the Arrow UDF
+    computes the exact ratio for the survivors only.  ``scored_only`` returns every scored
+    pair with its ratio (also those at or below the threshold)."""
     keys = list(keys)
-    s = sent.where(~F.col("s").contains("#")).withColumn("len", F.length("s")).withColumn(
-        "band", length_band(F.col("len"), ratio))
-    a = s.select(*keys, F.col("i"), F.col("s").alias("a"), F.col("len").alias("la"),
-                 F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    b = s.select(*keys, F.col("i").alias("j"), F.col("s").alias("b"), F.col("len").alias("lb"), "band")
-    pairs = a.join(b, keys + ["band"]).where(F.col("i") < F.col("j"))
+    s = sent.where(~F.col("s").contains("#")).withColumn("len", F.length("s"))
+    band_max = (s.withColumn("_band", length_band(F.col("len"), ratio)).groupBy(*keys, "_band").count()
+                .groupBy(*keys).agg(F.max("count").alias("_bmax")))
+    s = s.join(band_max, keys)
+    small, large = s.where(F.col("_bmax") <= max_band), s.where(F.col("_bmax") > max_band)
+    cand = band_candidates(small, keys, ratio).unionByName(prefix_candidates(large, keys, ratio))
+    s = s.drop("_bmax")
+    sa = s.select(*keys, "i", F.col("s").alias("a"), F.col("len").alias("la"))
+    sb = s.select(*keys, F.col("i").alias("j"), F.col("s").alias("b"), F.col("len").alias("lb"))
+    pairs = cand.join(sa, keys + ["i"]).join(sb, keys + ["j"])
     bound = F.when((F.col("la") + F.col("lb")) == 0, F.lit(1.0)).otherwise(
         2.0 * F.least("la", "lb") / (F.col("la") + F.col("lb")))
     pairs = pairs.where(bound > ratio)
-    return pairs.withColumn("ratio", similarity_ratio_udf("a", "b")).where(F.col("ratio") > ratio).select(
-        *keys, "i", "j", "ratio")
+    scored = pairs.withColumn("ratio", similarity_ratio_udf("a", "b"))
+    if not scored_only:
+        scored = scored.where(F.col("ratio") > ratio)
+    return scored.select(*keys, "i", "j", "ratio")
 
 
 def explode_sentences(df: DataFrame, keys, col: str = "sentences") -> DataFrame:
@@ -129,7 +190,9 @@ def drop_near_duplicates(df: DataFrame, keys, col: str = "sentences", ratio: flo
     """Remove sentence j when any earlier sentence i (even one removed itself) is similar;
     an anti-join, so not transitive and order independent."""
     keys = list(keys)
-    sent = explode_sentences(df, keys, col)
+    # the sentence rows feed the band sizing, both candidate routes, the pair texts and the
+    # anti-join: cut lineage once (parquet in the shared checkpoint folder)
+    sent = cut_lineage(explode_sentences(df, keys, col))
     removed = near_dup_pairs(sent, keys, ratio).select(*keys, F.col("j").alias("i")).distinct()
     kept = sent.join(removed, keys + ["i"], "left_anti")
     agg = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("_k"))

@@ -111,9 +111,10 @@ def _titled(spark, sf_dir):
 
 @register("similarity_ratio")
 def q_similarity_ratio(spark, sf_dir):
-    """Exact ratio for every same-review pair that passes the lossless length prefilter."""
+    """Exact ratio of every same-review pair the near-duplicate step scores (pairs that pass the
+    exact bigram prefix filter and the length bound for ratio > 0.9)."""
     sent = CL.explode_sentences(_titled(spark, sf_dir), KEYS)
-    pairs = CL.near_dup_pairs(sent, KEYS, ratio=0.0)
+    pairs = CL.near_dup_pairs(sent, KEYS, scored_only=True)
     return round_cols(pairs, ["ratio"])
 
 
