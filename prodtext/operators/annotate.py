@@ -86,7 +86,8 @@ def gold_spans(positions: DataFrame, metric_tags=("ATTR", "PROD")) -> DataFrame:
     (``entity``) is carried along: a span is an occurrence of that literal."""
     rank = F.when(F.col("label") == metric_tags[0], 1).otherwise(2)
     w = Window.partitionBy("doc_id").orderBy(rank, "start", "end")
-    return (positions.groupBy("doc_id", "start", "end", "label").agg(F.min("entity").alias("entity"))
+    # the surface is determined by (doc, start, end): a plain distinct (hash aggregate) suffices
+    return (positions.select("doc_id", "start", "end", "label", "entity").distinct()
             .withColumn("span_ord", F.row_number().over(w).cast("int"))
             .select("doc_id", "span_ord", "start", "end", "label", "entity"))
 
