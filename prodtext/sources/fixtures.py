@@ -223,7 +223,7 @@ FROM (SELECT doc_id, text, {w} FROM documents
 def candidates_sql(d: Dialect) -> str:
     nl = "chr(10)" if d.name == "duckdb" else "char(10)"
     return f"""
-SELECT prompt_id, sample_id,
+SELECT prompt_id, CAST(sample_id AS INT) AS sample_id,
   CASE
     WHEN sample_id = 3 AND prompt_id % 7 = 0 THEN a_text
     WHEN sample_id = 2 AND (prompt_id % 11 = 0 OR prompt_id % 7 = 0) THEN ''
