@@ -78,7 +78,7 @@ def spec_whitelist(specs: DataFrame, catalog: DataFrame, whitelist: DataFrame) -
     return (specs.join(catalog.select("product_id", "schema"), "product_id")
             .join(wl, ["schema", "spec_key"])
             .select("product_id", F.col("wl_ord").cast("int").alias("spec_ord"), "spec_key",
-                    "spec_value"))
+                    "spec_value", "schema"))
 
 
 # ---- P8 ------------------------------------------------------------------------------------
@@ -141,18 +141,21 @@ def specs_by_category(catalog: DataFrame, specs: DataFrame, features: DataFrame,
               .agg(F.min(F.struct("cat_ord", "feat_ord")).alias("pos")))
     w = Window.partitionBy("schema", "group_ord").orderBy("pos")
     wanted = F.broadcast(wanted.withColumn("key_ord", F.row_number().over(w)).drop("pos"))
-    grid = catalog.select("product_id", "schema").join(wanted, "schema")
+    grid = catalog.select("product_id", "schema", "title").join(wanted, "schema")
     out = grid.join(specs.select("product_id", "spec_key", "spec_value"), ["product_id", "spec_key"], "left")
     out = out.where(~F.col("spec_value").eqNullSafe(F.lit("No")) & ~F.contains("spec_key", F.lit("package")))
+    # schema and title ride along so later steps need no catalog re-join
     return out.select("product_id", "group_ord", F.col("key_ord").cast("int").alias("spec_ord"), "spec_key",
-                      "spec_value")
+                      "spec_value", "schema", "title")
 
 
 # ---- R2 ------------------------------------------------------------------------------------
-def version_merge(specs: DataFrame, part_cols=("product_id", "group_ord")) -> DataFrame:
+def version_merge(specs: DataFrame, part_cols=("product_id", "group_ord"), carry=()) -> DataFrame:
     """Drop nulls; key X plus X_version=v -> key 'X v' (value of X, placed last); drop every
-    key containing 'version'.  Implements the intended result for every key order."""
+    key containing 'version'.  Implements the intended result for every key order.
+    ``carry``: product attributes passed through unchanged (avoids re-joining the catalog)."""
     keys = list(part_cols)
+    carry = list(carry)
     s = specs.where(F.col("spec_value").isNotNull())
     is_ver = F.contains("spec_key", F.lit("version"))
     ver = (s.where(is_ver)
@@ -165,7 +168,7 @@ def version_merge(specs: DataFrame, part_cols=("product_id", "group_ord")) -> Da
     base = s.where(~is_ver).join(ver, keys + ["spec_key"], "left")
     max_ord = F.lit(1000000)
     return base.select(
-        *keys,
+        *keys, *carry,
         F.when(F.col("version_value").isNull(), F.col("spec_ord"))
          .otherwise(max_ord + F.col("version_ord")).cast("int").alias("spec_ord"),
         F.when(F.col("version_value").isNull(), F.col("spec_key"))
@@ -175,11 +178,13 @@ def version_merge(specs: DataFrame, part_cols=("product_id", "group_ord")) -> Da
 
 # ---- R3 ------------------------------------------------------------------------------------
 def spec_sample(specs: DataFrame, part_cols=("product_id", "group_ord"), n: int = MAX_SPECS,
-                seed: int = 42, titled: bool = False) -> DataFrame:
+                seed: int = 42, titled: bool = False, carry=()) -> DataFrame:
     """Keep at most n specs per group in seeded pseudo-random order (spec_ord = new rank)."""
     keys = list(part_cols)
+    carry = list(carry)
     w = Window.partitionBy(*keys).orderBy("rnd", "spec_key")
     out = (specs.withColumn("rnd", hash_bucket(seed, *keys, "spec_key"))
            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
     key = title_case(F.replace("spec_key", F.lit("_"), F.lit(" "))) if titled else F.col("spec_key")
-    return out.select(*keys, F.col("rank").cast("int").alias("spec_ord"), key.alias("spec_key"), "spec_value")
+    return out.select(*keys, *carry, F.col("rank").cast("int").alias("spec_ord"), key.alias("spec_key"),
+                      "spec_value")

@@ -64,12 +64,17 @@ def category_label(groups: DataFrame) -> DataFrame:
 
 
 def render_prompt_category(catalog: DataFrame, fields: DataFrame, groups: DataFrame) -> DataFrame:
-    """Prompt per (product, group); groups whose spec list is empty are omitted."""
-    agg = _collect_fields(fields.where(F.col("spec_value").isNotNull()), ["product_id", "group_ord"])
+    """Prompt per (product, group); groups whose spec list is empty are omitted.  When the
+    fields carry title and schema they are grouped along (no catalog re-join)."""
+    f = fields.where(F.col("spec_value").isNotNull())
+    if "title" in f.columns and "schema" in f.columns:
+        agg = _collect_fields(f, ["product_id", "group_ord", "title", "schema"])
+    else:
+        agg = _collect_fields(f, ["product_id", "group_ord"]).join(
+            catalog.select("product_id", "title", "schema"), "product_id")
     name = F.upper(F.concat("title", F.lit(" "), "schema"))
     labels = F.broadcast(category_label(groups))
-    return (agg.join(catalog.select("product_id", "title", "schema"), "product_id")
-            .join(labels, "group_ord")
+    return (agg.join(labels, "group_ord")
             .select("product_id", F.col("group_ord").cast("int").alias("group_ord"), "category",
                     replace_all(_prompt(name, F.col("feats")), K.CATEGORY_REPLACEMENTS).alias("input")))
 

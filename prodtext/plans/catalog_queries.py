@@ -75,7 +75,7 @@ FROM specs_long s JOIN catalog c ON s.product_id = c.product_id
 JOIN whitelist w ON w.schema = c.schema AND w.spec_key = s.spec_key""")
 def q_spec_whitelist(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    return C.spec_whitelist(f["specs_long"], f["catalog"], f["whitelist"])
+    return C.spec_whitelist(f["specs_long"], f["catalog"], f["whitelist"]).drop("schema")
 
 
 @register("features_lookup", _w() + """,
@@ -147,8 +147,12 @@ def category_specs(f):
     return C.specs_by_category(f["catalog"], f["specs_long"], f["features"], f["groups"], f["blacklist"])
 
 
+CARRY = ("schema", "title")
+SPEC_COLS = ["product_id", "group_ord", "spec_ord", "spec_key", "spec_value"]
+
+
 def category_fields(f):
-    smp = C.spec_sample(C.version_merge(category_specs(f)))
+    smp = C.spec_sample(C.version_merge(category_specs(f), carry=CARRY), carry=CARRY)
     return R.render_field(smp, f["catalog"], f["rules"])
 
 
@@ -170,19 +174,19 @@ def overview_prompts(f):
 @register("specs_by_category", _w(extra=Q.CATEGORY_CTES) + """
 SELECT product_id, group_ord, spec_ord, spec_key, spec_value FROM bycat""")
 def q_specs_by_category(spark, sf_dir):
-    return category_specs(_fx(spark, sf_dir))
+    return category_specs(_fx(spark, sf_dir)).select(*SPEC_COLS)
 
 
 @register("version_merge", _w(extra=Q.CATEGORY_CTES) + """
 SELECT product_id, group_ord, spec_ord, spec_key, spec_value FROM vm""")
 def q_version_merge(spark, sf_dir):
-    return C.version_merge(category_specs(_fx(spark, sf_dir)))
+    return C.version_merge(category_specs(_fx(spark, sf_dir))).select(*SPEC_COLS)
 
 
 @register("spec_sample10", _w(extra=Q.CATEGORY_CTES) + """
 SELECT product_id, group_ord, spec_ord, spec_key, spec_value FROM smp""")
 def q_spec_sample10(spark, sf_dir):
-    return C.spec_sample(C.version_merge(category_specs(_fx(spark, sf_dir))))
+    return C.spec_sample(C.version_merge(category_specs(_fx(spark, sf_dir)))).select(*SPEC_COLS)
 
 
 @register("spec_sample10_titled", _w(["specs_long"]) + f""",
