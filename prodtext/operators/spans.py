@@ -36,8 +36,9 @@ def span_match(pred: DataFrame, gold: DataFrame, bucket: int = BUCKET) -> DataFr
     g = gold.select("doc_id", "span_ord", F.col("start").alias("g0"), F.col("end").alias("g1"),
                     F.col("label").alias("g_label"))
     g = g.withColumn("b", F.explode(F.sequence(F.floor(F.col("g0") / bucket), F.floor(F.col("g1") / bucket))))
+    carry = ["fold"] if "fold" in pred.columns else []
     p = pred.select("doc_id", "pred_ord", F.col("start").alias("p0"), F.col("end").alias("p1"),
-                    F.col("label").alias("p_label"))
+                    F.col("label").alias("p_label"), *carry)
     pb = p.withColumn("b", F.explode(F.array_distinct(F.array(F.floor(F.col("p0") / bucket),
                                                                 F.floor(F.col("p1") / bucket)))))
     hit = ((F.col("g0") <= F.col("p1")) & (F.col("p1") <= F.col("g1"))) | \
@@ -46,12 +47,13 @@ def span_match(pred: DataFrame, gold: DataFrame, bucket: int = BUCKET) -> DataFr
     first = pairs.groupBy("doc_id", "pred_ord").agg(
         F.min_by(F.struct("span_ord", "g0", "g1", "g_label"), "span_ord").alias("m"))
     out = p.join(first, ["doc_id", "pred_ord"], "left").select(
-        "doc_id", "pred_ord", "p0", "p1", "p_label",
+        "doc_id", "pred_ord", "p0", "p1", "p_label", *carry,
         F.col("m.span_ord").alias("gold_ord"), F.col("m.g0").alias("g0"), F.col("m.g1").alias("g1"),
         F.col("m.g_label").alias("g_label"))
     exact = (F.col("p0") == F.col("g0")) & (F.col("p1") == F.col("g1"))
     return out.select(
-        "doc_id", "pred_ord", F.col("p0").alias("start"), F.col("p1").alias("end"), F.col("p_label").alias("label"),
+        "doc_id", "pred_ord", *carry, F.col("p0").alias("start"), F.col("p1").alias("end"),
+        F.col("p_label").alias("label"),
         "gold_ord", F.col("g0").alias("gold_start"), F.col("g1").alias("gold_end"), F.col("g_label").alias("gold_label"),
         F.coalesce(exact, F.lit(False)).alias("exact"),
         F.coalesce(exact & (F.col("p_label") == F.col("g_label")), F.lit(False)).alias("perfect"),
@@ -67,23 +69,26 @@ def missed_spans(matches: DataFrame, gold: DataFrame) -> DataFrame:
         "doc_id", F.col("gold_start").alias("start"), F.col("gold_end").alias("end"),
         tag_rank("label").alias("hit_rank")).where(F.col("hit_rank").isNotNull())
     hits = hits.groupBy("doc_id", "start", "end").agg(F.min("hit_rank").alias("hit_rank"))
-    g = gold.select("doc_id", "start", "end", "label", tag_rank("label").alias("rank")).distinct()
+    carry = ["fold"] if "fold" in gold.columns else []
+    g = gold.select("doc_id", *carry, "start", "end", "label", tag_rank("label").alias("rank")).distinct()
     j = g.join(hits, ["doc_id", "start", "end"], "left")
     return j.where(F.col("hit_rank").isNull() | (F.col("hit_rank") > F.col("rank"))).select(
-        "doc_id", "start", "end", "label")
+        "doc_id", *carry, "start", "end", "label")
 
 
 # ---- A6 ------------------------------------------------------------------------------------
 def span_metrics(matches: DataFrame, gold: DataFrame, folds: DataFrame) -> DataFrame:
     """(fold, tag) -> correct2, perfect, partial, FT, misclassified, missed, total_t, total_r."""
-    m = matches.join(folds, "doc_id").where(F.col("label").isin(*METRIC_TAGS))
+    def with_fold(df):
+        return df if "fold" in df.columns else df.join(folds, "doc_id")
+    m = with_fold(matches).where(F.col("label").isin(*METRIC_TAGS))
     pm = m.groupBy("fold", F.col("label").alias("tag")).agg(
         F.count_if("exact").alias("correct2"), F.count_if("perfect").alias("perfect"),
         F.count_if("partial").alias("partial"), F.count_if("misclassified").alias("misclassified"),
         F.count(F.lit(1)).alias("total_t"))
-    gm = gold.join(folds, "doc_id").groupBy("fold", F.col("label").alias("tag")).agg(
+    gm = with_fold(gold).groupBy("fold", F.col("label").alias("tag")).agg(
         F.count(F.lit(1)).alias("total_r"))
-    ms = missed_spans(matches, gold).join(folds, "doc_id").groupBy("fold", F.col("label").alias("tag")).agg(
+    ms = with_fold(missed_spans(matches, gold)).groupBy("fold", F.col("label").alias("tag")).agg(
         F.count(F.lit(1)).alias("missed"))
     return pm.join(gm, ["fold", "tag"], "full").join(ms, ["fold", "tag"], "full")
 
@@ -93,13 +98,16 @@ def entity_set_metrics(gold_surfaces: DataFrame, pred_surfaces: DataFrame, folds
     """Lower-cased distinct surfaces per document; PROD only for documents with gold PROD.
     Inputs: (doc_id, label, surface).  Each input is read once: the PROD rule is a
     per-document flag computed after the full outer join."""
-    r = gold_surfaces.select("doc_id", "label", F.lower("surface").alias("s")).distinct().withColumn("in_r", F.lit(True))
-    t = pred_surfaces.select("doc_id", "label", F.lower("surface").alias("s")).distinct().withColumn("in_t", F.lit(True))
-    j = r.join(t, ["doc_id", "label", "s"], "full")
+    carried = "fold" in gold_surfaces.columns and "fold" in pred_surfaces.columns
+    fc = ["fold"] if carried else []
+    r = gold_surfaces.select("doc_id", *fc, "label", F.lower("surface").alias("s")).distinct().withColumn("in_r", F.lit(True))
+    t = pred_surfaces.select("doc_id", *fc, "label", F.lower("surface").alias("s")).distinct().withColumn("in_t", F.lit(True))
+    j = r.join(t, ["doc_id", *fc, "label", "s"], "full")
     in_r, in_t = F.coalesce("in_r", F.lit(False)), F.coalesce("in_t", F.lit(False))
     has_prod = F.max((in_r & (F.col("label") == METRIC_TAGS[1])).cast("int")).over(Window.partitionBy("doc_id"))
     j = j.withColumn("doc_has_prod", has_prod).where((F.col("label") != METRIC_TAGS[1]) | (F.col("doc_has_prod") == 1))
-    j = j.join(folds, "doc_id")
+    if not carried:
+        j = j.join(folds, "doc_id")
     return j.groupBy("fold", F.col("label").alias("tag")).agg(
         F.count_if(in_r & in_t).alias("correct"), F.count_if(in_r & ~in_t).alias("missed_init"),
         F.count_if(in_t & ~in_r).alias("FT_init"), F.count_if(in_t).alias("total_t_set"),

@@ -63,7 +63,8 @@ def fixture_predictions(spark, gold):
 
 def surfaces(spans, text):
     if "entity" in spans.columns:
-        return spans.select("doc_id", "label", F.col("entity").alias("surface"))
+        return spans.select("doc_id", *(["fold"] if "fold" in spans.columns else []), "label",
+                            F.col("entity").alias("surface"))
     return spans.join(text, "doc_id").select(
         "doc_id", "label", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"))
 
@@ -363,8 +364,11 @@ def q_gazetteer_predict(spark, sf_dir):
 SELECT tag, metric, round(mean, 6) AS mean, round(std, 6) AS std FROM mean_std""")
 def q_kfold_extraction_quality(spark, sf_dir):
     t = _fx(spark, sf_dir)
-    text, gold, folds = cut_lineage(text_of(t)), gold_of(t, True), folds_of(t)
-    pred = cut_lineage(gazetteer_predictions(t, gold, text))
+    folds = folds_of(t)
+    text = cut_lineage(text_of(t))
+    # gold spans and predictions carry their document's fold: no fold joins downstream
+    gold = cut_lineage(gold_of(t).join(folds, "doc_id"))
+    pred = cut_lineage(gazetteer_predictions(t, gold.drop("fold"), text))
     pred = pred.withColumn("pred_ord", F.row_number().over(
         Window.partitionBy("doc_id").orderBy("start", "end", "label")))
     m = S.span_match(pred, gold)
