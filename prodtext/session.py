@@ -38,16 +38,26 @@ def get_spark(app: str = "prodtext", cpus: int | str = "*", shuffle_partitions:
     return spark
 
 
+_LOCAL_CKPT: dict[int, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; create a scratch one only when unset (tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``); create a
+    scratch one only when it is unset (tests, local runs)."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT.get(id(spark._jsparkSession))
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="prodtext-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    ctx_dir = spark.sparkContext.getCheckpointDir()
+    path = ctx_dir or tempfile.mkdtemp(prefix="prodtext-ckpt-", dir="/tmp")
+    if not ctx_dir:
+        spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # core configs may be read-only at runtime; remember it locally
+        pass
+    _LOCAL_CKPT[id(spark._jsparkSession)] = path
     return path
 
 
