@@ -65,7 +65,8 @@ def _ngram_total(length_col, n):
 
 
 def bleu_gleu(cands: DataFrame, refs: DataFrame, keys=("prompt_id", "sample_id"), ref_key: str = "prompt_id",
-              hyp: str = "text", ref: str = "reference", max_n: int = 4, level: str = "char") -> DataFrame:
+              hyp: str = "text", ref: str = "reference", max_n: int = 4, level: str = "char",
+              ref_counts: DataFrame | None = None) -> DataFrame:
     """BLEU (uniform weights, brevity penalty, 0 when any precision is 0) and GLEU (pooled
     clipped matches / max(total hyp, total ref)) per candidate.  ``level='char'`` scores
     strings as character sequences (what the source does); ``level='word'`` uses words."""
@@ -73,7 +74,9 @@ def bleu_gleu(cands: DataFrame, refs: DataFrame, keys=("prompt_id", "sample_id")
     counter = char_ngram_counts if level == "char" else word_ngram_counts
     unit_len = (lambda c: F.length(c)) if level == "char" else (lambda c: F.size(word_array(F.col(c))))
     h = counter(cands.select(*keys, hyp), keys, hyp, max_n)
-    r = counter(refs.select(ref_key, ref), [ref_key], ref, max_n).withColumnRenamed("cnt", "rcnt")
+    if ref_counts is None:
+        ref_counts = counter(refs.select(ref_key, ref), [ref_key], ref, max_n)
+    r = ref_counts.withColumnRenamed("cnt", "rcnt")
     m = h.join(r, [ref_key, "n", "gram"], "left")
     clip = m.groupBy(*keys).agg(*[
         F.sum(F.when(F.col("n") == n, F.least("cnt", F.coalesce("rcnt", F.lit(0))))).alias(f"m{n}")
@@ -164,13 +167,13 @@ def invalid_candidate_count(df: DataFrame) -> DataFrame:
 
 
 # ---- T18 -----------------------------------------------------------------------------------
-def score_candidates(cands: DataFrame, desc_col: str = "description") -> DataFrame:
+def score_candidates(cands: DataFrame, desc_col: str = "description", ref_counts: DataFrame | None = None) -> DataFrame:
     """Per valid candidate: truncated text, BLEU/GLEU vs reference, readability of the
     normalised truncated text."""
     v = cands.where(F.col("valid"))
     v = truncate_to_ref(v, desc_col, "reference", "text")
     refs = cands.select("prompt_id", "reference").dropDuplicates(["prompt_id"])
-    bg = bleu_gleu(v, refs)
+    bg = bleu_gleu(v, refs, ref_counts=ref_counts)
     r = readability(v.withColumn("norm", metric_normalize(F.col("text"))), "norm")
     return r.select("prompt_id", "sample_id", "text", "flesch", "coleman", "gunning").join(
         bg, ["prompt_id", "sample_id"])

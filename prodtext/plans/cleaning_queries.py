@@ -170,8 +170,10 @@ def q_evaluate_candidates_clean(spark, sf_dir):
     v = e.where("valid").join(c, KEYS)
     v = M.truncate_to_ref(v, "clean_text", "reference", "text")
     refs = e.select("prompt_id", "reference").dropDuplicates(["prompt_id"])
-    bg = M.bleu_gleu(v, refs).withColumnRenamed("bleu", "bleu_clean").withColumnRenamed("gleu", "gleu_clean")
-    raw = M.score_candidates(e)
+    # reference n-gram counts serve both the raw and the cleaned scoring: count them once
+    rc = cut_lineage(M.char_ngram_counts(refs, ["prompt_id"], "reference"))
+    bg = M.bleu_gleu(v, refs, ref_counts=rc).withColumnRenamed("bleu", "bleu_clean").withColumnRenamed("gleu", "gleu_clean")
+    raw = M.score_candidates(e, ref_counts=rc)
     s = raw.join(bg, KEYS)
     mets = M.METRICS + ["bleu_clean", "gleu_clean"]
     out = M.candidate_mean_std(s, mets)
