@@ -70,3 +70,32 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length(safe_role) + length(safe_text) + 24)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY norm)
+"""
+
+# Every window of item words, and every run of document words of the same length, as text.
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS gram
+  FROM b, unnest(generate_series(1, greatest(1, len(w) - 9))) AS q(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+hits AS MATERIALIZED (
+  SELECT g.r, g.s, g.n, win.item_id FROM (
+    SELECT d.r, q.s, sizes.n, array_to_string(d.w[q.s : q.s + sizes.n - 1], ' ') AS gram
+    FROM d, sizes, unnest(generate_series(1, len(d.w) - sizes.n + 1)) AS q(s)) g
+  JOIN win ON win.n = g.n AND win.gram = g.gram),
+words AS (SELECT r, count(DISTINCT s + k) AS n_hit FROM hits, unnest(generate_series(0, n - 1)) AS q(k) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS list FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

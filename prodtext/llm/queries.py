@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodtext.llm import chat, mixing, sharding
+from prodtext.llm import chat, decontamination, exact_dedup, mixing, sharding, simhash
 from prodtext.llm.common import read_documents
-from prodtext.llm.oracles import OP2_SQL, OP3_SQL
+from prodtext.llm.oracles import OP2_SQL, OP3_SQL, OP5_SQL, OP8_SQL
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +24,27 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.union(probe))).drop("escaped", "identical")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_documents(spark, sf_dir), shingle=3, max_distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_chat_format": op3_chat_format, "op7_sharding": op7_sharding}
-ORACLE = {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op3_chat_format": op3_chat_format, "op5_exact_dedup": op5_exact_dedup, "op6_simhash": op6_simhash,
+           "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination}
+ORACLE = {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
