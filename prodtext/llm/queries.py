@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodtext.llm import chat, decontamination, exact_dedup, mixing, sharding, simhash
-from prodtext.llm.common import read_documents
+from prodtext.llm import chat, decontamination, exact_dedup, langid, mixing, quality, sharding, simhash, toxicity
+from prodtext.llm.common import crc_mod, read_documents
 from prodtext.llm.oracles import OP2_SQL, OP3_SQL, OP5_SQL, OP8_SQL
 
 
@@ -24,6 +24,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.union(probe))).drop("escaped", "identical")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    return langid.identify(docs, langid.fit(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -45,6 +51,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_chat_format": op3_chat_format, "op5_exact_dedup": op5_exact_dedup, "op6_simhash": op6_simhash,
-           "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, threshold=0.3)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, threshold=0.5)
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op3_chat_format": op3_chat_format, "op4_language_id": op4_language_id,
+           "op5_exact_dedup": op5_exact_dedup, "op6_simhash": op6_simhash,
+           "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
 ORACLE = {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
