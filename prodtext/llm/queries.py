@@ -3,14 +3,43 @@ production parameters, to the whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodtext.llm import chat, decontamination, exact_dedup, langid, mixing, quality, sharding, simhash, toxicity
-from prodtext.llm.common import crc_mod, read_documents
+from prodtext.llm import chat, decontamination, exact_dedup, langid, mixing, quality, sharding, simhash, tokencounts, toxicity
+from prodtext.llm.common import crc_mod, cut, read_documents, shared_dir
 from prodtext.llm.oracles import OP2_SQL, OP3_SQL, OP5_SQL, OP8_SQL
 
 
+TOKENIZERS = {"bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "bpe_multi_50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
+# fixed value: how both vocabularies part a text before merging
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: every document is inserted; then copies of a text go, all but the one of
+    the largest doc_id; then the counts of the texts that stay are revised to those of the text
+    with each line once, where lines repeat."""
+    docs = read_documents(spark, sf_dir).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    keep, versions = ["doc_id", "source", "lang", "bytes"], list(TOKENIZERS)
+    rollup = tokencounts.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    rows = docs.withColumn("digest", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))
+    before = cut(tokencounts.token_counts(rows, TOKENIZERS, PATTERN, [*keep, "digest"]), "token-rows")
+    rollup.commit("1-insert", tokencounts.signed(before, versions, 1))
+    copies = before.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = cut(copies, "token-groups")
+    dropped = cut(before.join(copies, "digest").where("doc_id < last").drop("last", "n"), "token-copies")
+    rollup.commit("2-delete", tokencounts.signed(dropped, versions, -1))
+    tidy = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    changed = docs.withColumn("new", tidy).where("doc_id IS NOT NULL AND new <> text").drop("text").withColumnRenamed("new", "text").withColumn("bytes", F.octet_length("text").cast("long"))
+    after = cut(tokencounts.token_counts(changed, TOKENIZERS, PATTERN, keep).join(dropped.select("doc_id"), "doc_id", "left_anti"), "token-revised")
+    old = before.drop("digest").join(after.select("doc_id"), "doc_id", "left_semi")
+    rollup.commit("3-revise", tokencounts.signed(old, versions, -1).unionByName(tokencounts.signed(after, versions, 1)))
+    return rollup.totals()
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, threshold=0.5)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_chat_format": op3_chat_format, "op4_language_id": op4_language_id,
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_mixing": op2_mixing, "op3_chat_format": op3_chat_format, "op4_language_id": op4_language_id,
            "op5_exact_dedup": op5_exact_dedup, "op6_simhash": op6_simhash,
            "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
 ORACLE = {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
