@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 # Python's str.title()/istitle() treat every non-cased character as a word break.
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
-ISTITLE_REGEX = (
-    rf"^[^{_CASED}]*[\p{{Lu}}\p{{Lt}}]\p{{Ll}}*"
-    rf"([^{_CASED}]+[\p{{Lu}}\p{{Lt}}]\p{{Ll}}*)*[^{_CASED}]*$"
-)
-SENTENCE_BREAK = r"([.!?])\s+"
+# istitle() as three searches without a repeated group, linear in the text on either engine:
+# some cased letter; no upper-case letter behind a cased one; no lower-case one elsewhere
+ISTITLE_CASED = rf"[{_CASED}]"
+ISTITLE_BROKEN = rf"[{_CASED}][\p{{Lu}}\p{{Lt}}]|(^|[^{_CASED}])\p{{Ll}}"
+# fixed values: what Python's str.split() and str.strip() take as white space
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SENTENCE_BREAK = rf"([.!?]){WS}+"
 SEP = "\u0001"
 
 
@@ -27,7 +29,7 @@ def title_case(c) -> Column:
 
 def is_title(c) -> Column:
     """Python ``str.istitle()`` (false for strings without cased letters)."""
-    return col(c).rlike(ISTITLE_REGEX)
+    return col(c).rlike(ISTITLE_CASED) & ~col(c).rlike(ISTITLE_BROKEN)
 
 
 def replace_all(c, pairs) -> Column:
@@ -45,7 +47,7 @@ def sentence_split(c) -> Column:
 
 def word_array(c) -> Column:
     """Python ``str.split()``: split on runs of whitespace, no empty words."""
-    return F.filter(F.split(F.trim(col(c)), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(col(c), WS + "+"), lambda w: w != "")
 
 
 def syllable_estimate(c) -> Column:
@@ -56,12 +58,12 @@ def syllable_estimate(c) -> Column:
 def metric_normalize(c) -> Column:
     """Drop <h2>, </h2>, <br>; trim; lower; collapse runs of >= 2 whitespace to one space."""
     t = replace_all(col(c), [("<h2>", ""), ("</h2>", ""), ("<br>", "")])
-    return F.regexp_replace(F.lower(strip_ws(t)), r"\s\s+", " ")
+    return F.regexp_replace(F.lower(strip_ws(t)), f"{WS}{WS}+", " ")
 
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(col(c), rf"^{WS}+|{WS}+\z", "")
 
 
 def hash_bucket(seed, *keys) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodtext.functions.constants import COSINE_THRESHOLD
-from prodtext.functions.text import replace_all, strip_ws
+from prodtext.functions.text import WS, replace_all, strip_ws
 
-HEADER = r"^\s*(#|<h2>|<h4>)"
+HEADER = rf"^{WS}*(#|<h2>|<h4>)"
 MARKERS = [("#", ""), ("<h2>", ""), ("</h2>", ""), ("<h4>", ""), ("</h4>", "")]
 
 

@@ -27,16 +27,11 @@ def strip_tags(tagged: DataFrame, col: str = "tagged_text", out: str = "text") -
 
 
 # ---- N2 / N3 -------------------------------------------------------------------------------
-def tag_dim(spark) -> DataFrame:
-    rows = [(i + 1, o, c, lab) for i, (o, c, lab) in enumerate(ENTITY_TAGS)]
-    return spark.createDataFrame(rows, "tag_ord int, open_tag string, close_tag string, label string")
-
-
 def tagged_entities(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
     """Every tagged surface (non-greedy, in text order) -> (doc_id, label, ent_ord, entity)."""
     outs = []
     for i, (open_t, close_t, label) in enumerate(ENTITY_TAGS):
-        found = F.regexp_extract_all(F.col(col), F.lit(f"{open_t}(.+?){close_t}"), 1)
+        found = F.regexp_extract_all(F.col(col), F.lit(f"{open_t}([^\n]+?){close_t}"), 1)
         outs.append(tagged.select("doc_id", F.lit(i + 1).alias("tag_ord"), F.lit(label).alias("label"),
                                   F.posexplode(found).alias("pos", "entity")))
     u = outs[0]
@@ -63,7 +58,7 @@ def entity_positions(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
     tg = F.col("_tg")
     ents = []
     for i, (open_t, close_t, label) in enumerate(ENTITY_TAGS):
-        found = F.array_distinct(F.regexp_extract_all(tg, F.lit(f"{open_t}(.+?){close_t}"), 1))
+        found = F.array_distinct(F.regexp_extract_all(tg, F.lit(f"{open_t}([^\n]+?){close_t}"), 1))
         ents.append(F.transform(found, _tag_struct(i + 1, label)))
     x = tagged.select("doc_id", F.col(col).alias("_tg")).select(
         "doc_id", strip_tags_expr(tg).alias("text"), F.explode(F.concat(*ents)).alias("e"))
@@ -122,42 +117,55 @@ def gazetteer_train(spans: DataFrame, folds: DataFrame | None = None, fold_col:
         F.size(F.split(F.first("surface_lc"), " ")).alias("n_tokens"))
 
 
-def token_ngrams(text: DataFrame, max_n: int, extra_cols=()) -> DataFrame:
-    """Token n-grams (n <= max_n) of single-space-split text with code-point offsets."""
-    toks = text.select("doc_id", *extra_cols, F.posexplode(F.split(F.col("text"), " ", -1)).alias("i", "tok"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    toks = toks.withColumn("start", F.coalesce(
-        F.sum(F.length("tok") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    for n in range(2, max_n + 1):
-        toks = toks.withColumn(f"next{n}", F.lead("tok", n - 1).over(w))
-    grams = [F.struct(F.lit(1).alias("n"), F.col("tok").alias("gram"))]
-    acc = F.col("tok")
-    for n in range(2, max_n + 1):
-        acc = F.concat(acc, F.lit(" "), F.col(f"next{n}"))
-        grams.append(F.struct(F.lit(n).alias("n"), acc.alias("gram")))
-    g = toks.select("doc_id", *extra_cols, "i", "start", F.explode(F.array(*grams)).alias("g"))
-    return (g.where(F.col("g.gram").isNotNull() & (F.col("g.gram") != ""))
-            .select("doc_id", *extra_cols, "i", "start", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")))
+def gazetteer_index(dictionary: DataFrame) -> DataFrame:
+    """One row per surface: (surface_lc, tokens, n_tokens, head, entries array<struct<label, folds>>).
+    ``head`` is what a text is searched for: the first token, or the first two of a longer surface."""
+    index = dictionary.groupBy("surface_lc").agg(F.array_sort(F.collect_list(F.struct("label", "folds"))).alias("entries"))
+    tokens = F.split("surface_lc", " ", -1)
+    return index.select("surface_lc", "entries", tokens.alias("tokens"), F.size(tokens).alias("n_tokens"),
+                        F.array_join(F.slice(tokens, 1, 2), " ").alias("head"))
 
 
-def gazetteer_index(dictionary: DataFrame) -> DataFrame:
-    """One row per surface: (surface_lc, n_tokens, entries array<struct<label, folds>>)."""
-    return dictionary.groupBy("surface_lc").agg(
-        F.max("n_tokens").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.struct("label", "folds"))).alias("entries"))
+def _tokens(text: DataFrame, extra) -> DataFrame:
+    """Single-space tokens with their place, code-point offset and the token that follows."""
+    toks = text.select("doc_id", *extra, F.posexplode(F.split(F.col("text"), " ", -1)).alias("i", "tok"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    return toks.select("*", F.coalesce(F.sum(F.length("tok") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+                       F.lead("tok").over(w).alias("next"))
 
 
 def gazetteer_predict(text: DataFrame, dictionary: DataFrame, fold_col: str | None = "fold") -> DataFrame:
     """Dictionary matches -> predicted spans (doc_id, start, end, label[, fold]).
 
+    Only tokens that begin a surface are kept: every token meets the surfaces of one token,
+    and with the token behind it those of two or more.  A longer surface is then verified
+    token by token, by a join on (document, place, token) of these candidates alone, so
+    neither its length nor the longest surface matters to the rest.
+
     With ``fold_col`` an entry counts only if its surface was seen in another fold
     (k-fold without training k dictionaries).  Matches contained in an earlier or
     longer match are dropped; ATTR wins a label tie."""
-    index = gazetteer_index(dictionary)
-    max_n = index.agg(F.max("n_tokens")).first()[0] or 1
     extra = [fold_col] if fold_col else []
-    g = token_ngrams(text, int(max_n), extra).withColumn("surface_lc", F.lower("gram"))
-    m = g.join(index.select("surface_lc", "entries"), "surface_lc")
+    at = ["doc_id", *extra, "i", "start"]
+    index = gazetteer_index(dictionary)
+    toks = _tokens(text, extra)
+    pair = F.concat("tok", F.lit(" "), "next")
+    heads = F.array(F.struct(F.lit(1).alias("n"), F.col("tok").alias("gram")), F.struct(F.lit(2).alias("n"), pair.alias("gram")))
+    g = toks.select(*at, F.explode(heads).alias("g")).select(*at, "g.n", "g.gram").where(F.col("gram").isNotNull() & (F.col("gram") != ""))
+    met = g.join(index, (F.lower("gram") == F.col("head")) & (F.least("n_tokens", F.lit(2)) == F.col("n")))
+    short = met.where("n_tokens <= 2").select(*at, "gram", "entries")
+    # surfaces of three and more tokens: what stands behind the first two
+    long = met.where("n_tokens > 2").select("doc_id", "i", "start", "surface_lc", "n_tokens", F.col("gram").alias("head_gram"),
+                                            F.posexplode("tokens").alias("k", "want")).where("k >= 2").withColumn("place", F.col("i") + F.col("k"))
+    behind = toks.select("doc_id", F.col("i").alias("place"), F.col("tok").alias("found"))
+    same = long.join(behind, ["doc_id", "place"]).where(F.lower("found") == F.col("want"))
+    whole = (same.groupBy("doc_id", "i", "start", "surface_lc", "n_tokens", "head_gram")
+             .agg(F.array_sort(F.collect_list(F.struct("k", "found"))).alias("rest")).where(F.size("rest") == F.col("n_tokens") - 2)
+             .select("doc_id", "i", "start", "surface_lc", F.concat_ws(" ", "head_gram", F.transform("rest", lambda x: x["found"])).alias("gram")))
+    whole = whole.join(index.select("surface_lc", "entries"), "surface_lc")
+    if fold_col:
+        whole = whole.join(text.select("doc_id", fold_col), "doc_id")
+    m = short.unionByName(whole.select(*at, "gram", "entries"))
     ok = (lambda e: F.exists(e["folds"], lambda x: x != F.col(fold_col))) if fold_col else (lambda e: F.lit(True))
     m = m.withColumn("label", F.array_min(F.transform(F.filter("entries", ok), lambda e: e["label"])))
     m = m.where(F.col("label").isNotNull()).withColumn("end", F.col("start") + F.length("gram"))

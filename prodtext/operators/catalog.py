@@ -2,8 +2,8 @@
 
 Specs are kept in long form ``(product_id, spec_ord, spec_key, spec_value)``:
 ordinals carry the order the prompt depends on, and Spark maps reject
-duplicate keys.  Literal dimensions (features, rules, lists) have a fixed
-size and are broadcast; fact-sized inputs are left to the planner/AQE.
+duplicate keys.  No join carries a hint: the planner broadcasts a dimension
+(features, rules, lists) while its size allows, and shuffles it beyond that.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def specs_from_map(df: DataFrame, id_col: str = "product_id", col: str = "specs"
 # ---- P6 ------------------------------------------------------------------------------------
 def spec_whitelist(specs: DataFrame, catalog: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Ordered whitelist: missing keys skipped, null values kept, order = list order."""
-    wl = F.broadcast(whitelist.select("schema", "spec_key", F.col("ord").alias("wl_ord")))
+    wl = whitelist.select("schema", "spec_key", F.col("ord").alias("wl_ord"))
     return (specs.join(catalog.select("product_id", "schema"), "product_id")
             .join(wl, ["schema", "spec_key"])
             .select("product_id", F.col("wl_ord").cast("int").alias("spec_ord"), "spec_key",
@@ -93,7 +93,7 @@ def features_lookup(features: DataFrame) -> DataFrame:
 # ---- P7 ------------------------------------------------------------------------------------
 def spec_project_nullfill(catalog: DataFrame, specs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Every wanted key (per schema, bounded literal) for every product; missing -> null."""
-    w = F.broadcast(wanted.select("schema", "spec_key", "feat_ord"))
+    w = wanted.select("schema", "spec_key", "feat_ord")
     grid = catalog.select("product_id", "schema").join(w, "schema")
     return grid.join(specs.select("product_id", "spec_key", "spec_value"), ["product_id", "spec_key"], "left")
 
@@ -101,7 +101,7 @@ def spec_project_nullfill(catalog: DataFrame, specs: DataFrame, wanted: DataFram
 # ---- P9 / J8 -------------------------------------------------------------------------------
 def spec_blacklist(specs: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Drop keys blacklisted for the row's schema; schemas without a list keep everything."""
-    return specs.join(F.broadcast(blacklist.select("schema", "spec_key")), ["schema", "spec_key"], "left_anti")
+    return specs.join(blacklist.select("schema", "spec_key"), ["schema", "spec_key"], "left_anti")
 
 
 # ---- P10 -----------------------------------------------------------------------------------
@@ -122,7 +122,7 @@ def with_specs(catalog: DataFrame, specs: DataFrame) -> DataFrame:
 
 # ---- P15 -----------------------------------------------------------------------------------
 def category_blacklist(df: DataFrame, blacklist: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(blacklist.select("category")), "category", "left_anti")
+    return df.join(blacklist.select("category"), "category", "left_anti")
 
 
 # ---- R1 / J1 -------------------------------------------------------------------------------
@@ -135,12 +135,12 @@ def specs_by_category(catalog: DataFrame, specs: DataFrame, features: DataFrame,
     'No'/'package' filter applies, and missing keys are null-filled (dropped later by R2).
     """
     look = features_lookup(features)
-    look = look.join(F.broadcast(blacklist.select("schema", "spec_key")), ["schema", "spec_key"], "left_anti")
-    wanted = (F.broadcast(groups).join(look, "category")
+    look = look.join(blacklist.select("schema", "spec_key"), ["schema", "spec_key"], "left_anti")
+    wanted = (groups.join(look, "category")
               .groupBy("schema", "group_ord", "spec_key")
               .agg(F.min(F.struct("cat_ord", "feat_ord")).alias("pos")))
     w = Window.partitionBy("schema", "group_ord").orderBy("pos")
-    wanted = F.broadcast(wanted.withColumn("key_ord", F.row_number().over(w)).drop("pos"))
+    wanted = wanted.withColumn("key_ord", F.row_number().over(w)).drop("pos")
     grid = catalog.select("product_id", "schema", "title").join(wanted, "schema")
     out = grid.join(specs.select("product_id", "spec_key", "spec_value"), ["product_id", "spec_key"], "left")
     out = out.where(~F.col("spec_value").eqNullSafe(F.lit("No")) & ~F.contains("spec_key", F.lit("package")))

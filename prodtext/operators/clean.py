@@ -2,16 +2,13 @@
 
 A review is split into sentences (regex in place of a trained sentence tokenizer),
 de-duplicated in order, title-wrapped, near-duplicates dropped, and re-joined.
-The near-duplicate step is the only Python in the library: sentence pairs of one
-review meet through an equi-join on (review, length band) -- the length bound is
-a lossless prefilter of the ratio -- and an Arrow UDF computes the exact
-Ratcliff-Obershelp ratio on the surviving pairs only.
+Sentence pairs of one review meet through an equi-join on rare common characters,
+an exact bound on common characters thins them out, and an Arrow UDF computes the
+exact Ratcliff-Obershelp ratio of the pairs that are left.
 """
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,8 +45,7 @@ def dedupe_sentences(df: DataFrame, col: str = "sentences") -> DataFrame:
 
 # ---- T2 / C5 -------------------------------------------------------------------------------
 def title_of(sentence):
-    stop = F.array(*[F.lit(w) for w in STOPWORDS_EN])
-    kept = F.filter(word_array(sentence), lambda w: ~F.array_contains(stop, F.lower(w)))
+    kept = F.filter(word_array(sentence), lambda w: ~F.lower(w).isin(*STOPWORDS_EN))
     return F.array_join(kept, " ")
 
 
@@ -98,85 +94,58 @@ def similarity_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def length_band(length_col, ratio: float):
-    """Geometric length bucket: pairs that can reach ``ratio`` sit in the same or adjacent bands."""
-    f = (2.0 - ratio) / ratio  # max length factor allowed by 2*min/(la+lb) > ratio
-    step = math.log(f) if f > 1 else 1.0
-    return F.when(length_col == 0, F.lit(-1)).otherwise(F.floor(F.log(length_col.cast("double")) / F.lit(step)))
-
-
-def band_candidates(sent: DataFrame, keys, ratio: float) -> DataFrame:
-    """(keys, i, j), i < j, for sentences in the same or adjacent length bands."""
-    keys = list(keys)
-    s = sent.withColumn("_band", length_band(F.col("len"), ratio))
-    a = s.select(*keys, "i", F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
-    b = s.select(*keys, F.col("i").alias("j"), "_band")
-    return a.join(b, keys + ["_band"]).where(F.col("i") < F.col("j")).select(*keys, "i", "j")
-
-
-def overlap_factor(ratio: float) -> float:
-    """c such that ratio(a, b) > ``ratio`` implies a and b share more than c*len - 1 character
-    bigram occurrences (for either string's length).
+def _occurrences(sent: DataFrame, keys) -> DataFrame:
+    """(keys, i, len, chars): a sentence's characters as (character, count), by character; an
+    empty sentence has one mark of its own, so that empty sentences can meet."""
+    chars = F.when(F.col("len") == 0, F.array(F.lit(""))).otherwise(F.split("s", ""))
+    return sent.select(*keys, "i", "len", F.explode(chars).alias("_ch")).groupBy(*keys, "i", "len", "_ch").agg(F.count(F.lit(1)).cast("int").alias("_n"))
 
-    difflib's M matched characters lie in K <= ua + ub + 1 blocks (a gap in a or b separates
-    blocks), so at least M - K bigrams of a sit inside blocks and occur in b:
-    overlap >= 3M - la - lb - 1 > (3r/2 - 1)(la + lb) - 1, and lb > la * r / (2 - r)."""
-    return max(0.0, (1.5 * ratio - 1.0) * (1.0 + ratio / (2.0 - ratio)))
 
+def candidate_pairs(sent: DataFrame, keys, ratio: float) -> DataFrame:
+    """(keys, i, j, bound), i < j, for all pairs whose character bound exceeds ``ratio``.
 
-def prefix_candidates(sent: DataFrame, keys, ratio: float) -> DataFrame:
-    """Exact candidate pairs (keys, i, j), i < j, for ratio > ``ratio`` by prefix filtering.
-
-    Each sentence becomes the set of its bigram occurrences (bigram, k-th occurrence),
-    ordered by (frequency in the review, bigram, k).  Sentences sharing more than t
-    elements must share one among their first n - t, so only those prefixes are joined."""
+    difflib's ratio is 2M/(la+lb), and M is at most the number of characters (with
+    repetition) that both sentences hold.  So ratio > r needs 2*min(la, lb)/(la+lb) > r, hence
+    lb >= la*r/(2-r), and more than la*r/(2-r) common characters.  Sets of character
+    occurrences (character, k-th) with so many in common share one among the first
+    len - floor(len*r/(2-r)) of each in any common order; the order is by rarity in
+    the review.  Only sentences that share such an occurrence meet, in an equi-join; then the
+    bound 2*common/(la+lb) > r is computed exactly.  This holds for every ratio in (0, 1) and
+    every length, and is the only route."""
     keys = list(keys)
-    c = overlap_factor(ratio)
-    s = sent.where(F.col("len") >= 2)
-    occ = s.select(*keys, "i", "len", F.explode(F.transform(
-        F.sequence(F.lit(1), F.col("len") - 1), lambda p: F.substring("s", p, 2))).alias("_g"))
-    cnt = occ.groupBy(*keys, "i", "len", "_g").agg(F.count(F.lit(1)).alias("_n"))
-    freq = cnt.groupBy(*keys, "_g").agg(F.sum("_n").alias("_freq"))
-    per = cnt.join(freq, keys + ["_g"]).groupBy(*keys, "i", "len").agg(
-        F.array_sort(F.collect_list(F.struct("_freq", "_g", "_n"))).alias("_a"))
-    # occurrences in the global order (frequency in the review, bigram, k-th occurrence)
-    toks = F.flatten(F.transform("_a", lambda x: F.transform(
-        F.sequence(F.lit(1), x["_n"]), lambda k: F.struct(x["_g"].alias("_g"), k.alias("_k")))))
-    # conservative integer bound: t = floor(c*len - 1) (never larger than the true bound)
-    t = F.greatest(F.lit(0), F.floor(F.lit(c) * F.col("len") - 1))
-    plen = ((F.col("len") - 1) - t + 1).cast("int")
-    pre = per.select(*keys, "i", F.explode(F.slice(toks, 1, plen)).alias("_t")).select(
-        *keys, "i", F.col("_t._g").alias("_g"), F.col("_t._k").alias("_k"))
-    b = pre.withColumnRenamed("i", "j")
-    return pre.join(b, keys + ["_g", "_k"]).where(F.col("i") < F.col("j")).select(*keys, "i", "j").distinct()
+    occ = _occurrences(sent, keys)
+    freq = occ.groupBy(*keys, "_ch").agg(F.sum("_n").alias("_freq"))
+    per = occ.join(freq, [*keys, "_ch"]).groupBy(*keys, "i", "len").agg(F.array_sort(F.collect_list(F.struct("_freq", F.col("_ch").alias("ch"), F.col("_n").alias("n")))).alias("_a"))
+    # one character's occurrences follow each other, so a prefix is a list of (character, count)
+    marks = F.flatten(F.transform("_a", lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda k: F.struct(x["ch"].alias("ch"), k.alias("k")))))
+    need = F.floor(F.col("len") * F.lit(ratio / (2.0 - ratio)) - F.lit(1e-9))
+    counts = F.map_from_entries(F.transform("_a", lambda x: F.struct(x["ch"], x["n"])))
+    pre = per.select(*keys, "i", "len", counts.alias("counts"), F.explode(F.slice(marks, 1, F.greatest(F.lit(1), (F.col("len") - need).cast("int")))).alias("m"))
+    pre = pre.select(*keys, F.col("m.ch").alias("_ch"), F.col("m.k").alias("_k"), "i", "len")
+    later = pre.select(*keys, "_ch", "_k", F.col("i").alias("j"), F.col("len").alias("lb"))
+    met = (pre.join(later, [*keys, "_ch", "_k"]).where((F.col("i") < F.col("j")) & (2.0 * F.least("len", "lb") > F.lit(ratio) * (F.col("len") + F.col("lb")) - 1e-9) | (F.col("i") < F.col("j")) & (F.col("len") + F.col("lb") == 0))
+           .select(*keys, "i", "j").distinct())
+    side = per.select(*keys, "i", "len", counts.alias("ca"))
+    both = (met.join(side, [*keys, "i"])
+            .join(side.select(*keys, F.col("i").alias("j"), F.col("len").alias("lb"), F.col("ca").alias("cb")), [*keys, "j"]))
+    common = F.aggregate(F.map_entries("ca"), F.lit(0), lambda t, e: t + F.least(e["value"], F.coalesce(F.element_at("cb", e["key"]), F.lit(0))))
+    bound = F.when(F.col("len") + F.col("lb") == 0, F.lit(1.0)).otherwise(2.0 * common / (F.col("len") + F.col("lb")))
+    return both.select(*keys, "i", "j", bound.alias("bound")).where(F.col("bound") > ratio)
 
 
 # ---- J7 ------------------------------------------------------------------------------------
-def near_dup_pairs(sent: DataFrame, keys, ratio: float = NEAR_DUP_RATIO, scored_only: bool = False,
-                   max_band: int = 64) -> DataFrame:
+def near_dup_pairs(sent: DataFrame, keys, ratio: float = NEAR_DUP_RATIO, scored_only: bool = False) -> DataFrame:
     """(keys, i, j, ratio) for i < j, neither containing '#', ratio(s_i, s_j) > ``ratio``.
 
-    Candidates: reviews whose length bands all hold at most ``max_band`` sentences pair
-    sentences of the same/adjacent band (a bounded equi-join); reviews with a larger band
-    (a hot group) use the exact bigram prefix filter instead, so no review is compared
-    all-pairs.  Both routes are exact.  Then the lossless length bound 2*min/(la+lb) > ratio is applied next, then the Arrow UDF
-    computes the exact ratio for the survivors only.  ``scored_only`` returns every scored
-    pair with its ratio (also those at or below the threshold)."""
+    The Arrow UDF computes the exact ratio of ``candidate_pairs`` only.  ``scored_only``
+    returns all of these, also those at or below the threshold: the pairs whose common
+    characters alone would allow a higher ratio."""
     keys = list(keys)
     s = sent.where(~F.col("s").contains("#")).withColumn("len", F.length("s"))
-    band_max = (s.withColumn("_band", length_band(F.col("len"), ratio)).groupBy(*keys, "_band").count()
-                .groupBy(*keys).agg(F.max("count").alias("_bmax")))
-    s = s.join(band_max, keys)
-    small, large = s.where(F.col("_bmax") <= max_band), s.where(F.col("_bmax") > max_band)
-    cand = band_candidates(small, keys, ratio).unionByName(prefix_candidates(large, keys, ratio))
-    s = s.drop("_bmax")
-    sa = s.select(*keys, "i", F.col("s").alias("a"), F.col("len").alias("la"))
-    sb = s.select(*keys, F.col("i").alias("j"), F.col("s").alias("b"), F.col("len").alias("lb"))
-    pairs = cand.join(sa, keys + ["i"]).join(sb, keys + ["j"])
-    bound = F.when((F.col("la") + F.col("lb")) == 0, F.lit(1.0)).otherwise(
-        2.0 * F.least("la", "lb") / (F.col("la") + F.col("lb")))
-    pairs = pairs.where(bound > ratio)
-    scored = pairs.withColumn("ratio", similarity_ratio_udf("a", "b"))
+    cand = candidate_pairs(s, keys, ratio)
+    sa = s.select(*keys, "i", F.col("s").alias("a"))
+    sb = s.select(*keys, F.col("i").alias("j"), F.col("s").alias("b"))
+    scored = cand.join(sa, [*keys, "i"]).join(sb, [*keys, "j"]).withColumn("ratio", similarity_ratio_udf("a", "b"))
     if not scored_only:
         scored = scored.where(F.col("ratio") > ratio)
     return scored.select(*keys, "i", "j", "ratio")
@@ -190,8 +159,8 @@ def drop_near_duplicates(df: DataFrame, keys, col: str = "sentences", ratio: flo
     """Remove sentence j when any earlier sentence i (even one removed itself) is similar;
     an anti-join, so not transitive and order independent."""
     keys = list(keys)
-    # the sentence rows feed the band sizing, both candidate routes, the pair texts and the
-    # anti-join: cut lineage once (parquet in the shared checkpoint folder)
+    # the sentence rows feed the candidate search, the pair texts and the anti-join: cut
+    # lineage once (parquet in the shared checkpoint folder)
     sent = cut_lineage(explode_sentences(df, keys, col))
     removed = near_dup_pairs(sent, keys, ratio).select(*keys, F.col("j").alias("i")).distinct()
     kept = sent.join(removed, keys + ["i"], "left_anti")
@@ -210,15 +179,25 @@ def join_sentences_expr(arr):
 
 # ---- J10 -----------------------------------------------------------------------------------
 def heading_dedupe_expr(text):
-    """For every heading pair (a, b), b later: remove '<br><h2> b </h2>', then triple spaces -> one."""
+    """For every heading pair (a, b), b later: remove '<br><h2> b </h2>', then triple spaces -> one.
+
+    Pairs are worked off by a.  The pairs of one a are the headings behind it, and the next a
+    has the same ones but for the first: once they change nothing, no later pair does, and the
+    rest is skipped.  So the work is a few passes over the headings, not all pairs."""
     heads = F.regexp_extract_all(text, F.lit("<h2> ([^\n]*?) </h2>"), 1)
     n = F.size(heads)
-    # combinations order: for a in 0..n-2, for b in a+1..n-1
-    seq = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-                                lambda a: F.slice(heads, a + 2, n)))
-    seq = F.when(n >= 2, seq).otherwise(F.array().cast("array<string>"))
-    return F.aggregate(seq, text, lambda acc, b: F.replace(
-        F.replace(acc, F.concat(F.lit("<br><h2> "), b, F.lit(" </h2>")), F.lit("")), F.lit("   "), F.lit(" ")))
+
+    def step(acc, b):
+        return F.replace(F.replace(acc, F.concat(F.lit("<br><h2> "), b, F.lit(" </h2>")), F.lit("")), F.lit("   "), F.lit(" "))
+
+    def after(acc, a):
+        # a one-element array binds the new text, which is then compared and kept
+        new = F.array(F.aggregate(F.slice(heads, a + 2, n), acc["text"], step))
+        return F.when(acc["moved"], F.element_at(F.transform(new, lambda x: F.struct(x.alias("text"), (x != acc["text"]).alias("moved"))), 1)).otherwise(acc)
+
+    start = F.struct(text.alias("text"), F.lit(True).alias("moved"))
+    done = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), start, after)
+    return F.when(n >= 2, done["text"]).otherwise(text)
 
 
 # ---- T5 ------------------------------------------------------------------------------------

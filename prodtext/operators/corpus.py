@@ -7,23 +7,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
-from prodtext.functions.text import hash_bucket, replace_all
+from prodtext.functions.text import hash_bucket, replace_all, strip_ws, word_array
 
 
 # ---- A1 ------------------------------------------------------------------------------------
 def dedupe_descriptions(df: DataFrame, key: str = "doc_id", by: str = "description", seed: int = 42) -> DataFrame:
     """One survivor per distinct ``by`` value: the row with the smallest seeded hash of ``key``.
-    A hash aggregate (partial per map task), so one hot value costs no more than any other."""
-    cols = [c for c in df.columns if c != by]
-    win = df.withColumn("_h", hash_bucket(seed, key)).groupBy(by).agg(
-        F.min_by(F.struct(*cols), F.struct("_h", key)).alias("_s"))
-    return win.select(*[F.col("_s." + c).alias(c) for c in cols], by).select(*df.columns)
+    Values are grouped by their sha-256 digest (null by itself), so the aggregate carries
+    fixed-size keys and partial minima; texts are only joined back for the survivors."""
+    mark = F.struct(hash_bucket(seed, key).alias("h"), F.col(key).alias("k"))
+    best = df.groupBy(F.sha2(by, 256).alias("_d")).agg(F.min(mark).alias("_m")).select(F.col("_m.k").alias(key))
+    return df.join(best, key, "left_semi")
 
 
 # ---- A2 ------------------------------------------------------------------------------------
 def dedupe_ordered(df: DataFrame, by: str = "text", order: str = "doc_id") -> DataFrame:
     """Ordered distinct: keep the first occurrence (smallest ``order``) of each value."""
-    return df.groupBy(by).agg(F.min(order).alias(order)).select(order, by)
+    first = df.groupBy(F.sha2(by, 256).alias("_d")).agg(F.min(order).alias(order)).select(order)
+    return df.select(order, by).join(first, order, "left_semi")
 
 
 # ---- O3 ------------------------------------------------------------------------------------
@@ -58,13 +59,13 @@ def read_records(spark, path: str, terminator: str = " " + K.OVERV_END) -> DataF
     """Records separated by ' <OVERV_END>': newlines removed, blank remainders dropped."""
     raw = spark.read.option("lineSep", terminator).text(path)
     rec = raw.select(F.replace("value", F.lit("\n"), F.lit("")).alias("record"))
-    return rec.where(F.regexp_replace("record", r"\s+", "") != "")
+    return rec.where(strip_ws("record") != "")
 
 
 def read_model_inputs(spark, path: str, terminator: str = " " + K.OVERV_END) -> DataFrame:
     """Same split, terminator re-appended (what the model sees)."""
     raw = spark.read.option("lineSep", terminator).text(path)
-    blank = F.regexp_replace("value", r"\s+", "") == ""
+    blank = strip_ws("value") == ""
     return raw.where(~blank).select(F.concat("value", F.lit(terminator)).alias("text"))
 
 
@@ -73,9 +74,10 @@ def parse_training_record(df: DataFrame, col: str = "record") -> DataFrame:
     """record -> originalInput, input, title, Description (first non-greedy hit);
     a part that does not match is null and named in ``reject_reason``."""
     r = F.col(col)
-    feat_pat = f"{K.FEAT_START} (.*?) {K.FEAT_END}"
-    name_pat = f"{K.NAME_START} (.*?) {K.NAME_END}"
-    desc_pat = f"{K.DESCR_START} (.*?) {K.DESCR_END}"
+    # the patterns' '.' stops at a newline only, Java's at more line ends
+    feat_pat = f"{K.FEAT_START} ([^\n]*?) {K.FEAT_END}"
+    name_pat = f"{K.NAME_START} ([^\n]*?) {K.NAME_END}"
+    desc_pat = f"{K.DESCR_START} ([^\n]*?) {K.DESCR_END}"
     orig = F.split_part(r, F.lit(f" {K.DESCR_START}"), F.lit(1))
     inp = F.when(orig.rlike(feat_pat), replace_all(F.regexp_extract(orig, feat_pat, 1),
                                                     [(K.NEXT_FEAT, "<br>"), ("br><h2>", ""), ("</li><li>", "")]))
@@ -93,7 +95,7 @@ def pack_sequences(df: DataFrame, col: str = "text", max_len: int = K.MAX_SEQ_LE
                    tokens_col: str | None = None) -> DataFrame:
     """Fixed-length token sequences: truncate to max_len, right-pad, attention mask 1/0.
     Tokens are whitespace words unless a caller-supplied token column is given."""
-    toks = F.col(tokens_col) if tokens_col else F.filter(F.split(F.col(col), r"\s+"), lambda w: w != "")
+    toks = F.col(tokens_col) if tokens_col else word_array(col)
     t = F.slice(toks, 1, max_len)
     n = F.size(t)
     return df.select("*", F.concat(t, F.array_repeat(F.lit(pad), F.lit(max_len) - n)).alias("tokens"),

@@ -40,11 +40,14 @@ def first_valid_candidate(df: DataFrame, key: str = "prompt_id", order: str = "s
 # ---- A14 -----------------------------------------------------------------------------------
 def char_ngram_counts(df: DataFrame, keys, col: str, max_n: int = 4) -> DataFrame:
     """(keys..., n, gram, cnt) for character n-grams n = 1..max_n."""
-    ln = F.length(col)
-    pos = df.select(*keys, col, F.explode(F.sequence(F.lit(1), F.greatest(ln, F.lit(1)))).alias("i"))
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.substring(F.col(col), F.col("i"), n).alias("gram"))
-                      for n in range(1, max_n + 1)])
-    g = pos.select(*keys, F.explode(grams).alias("x")).select(*keys, "x.n", "x.gram")
+    # one array of characters, and grams from neighbours by index: linear in the text
+    ch = df.select(*keys, F.split(F.col(col), "").alias("ch")).select(*keys, "ch", F.posexplode("ch").alias("i", "c"))
+    grams, gram = [], F.col("c")
+    for n in range(1, max_n + 1):
+        if n > 1:
+            gram = F.concat(gram, F.get("ch", F.col("i") + (n - 1)))  # null behind the end
+        grams.append(F.struct(F.lit(n).alias("n"), gram.alias("gram")))
+    g = ch.select(*keys, F.explode(F.array(*grams)).alias("x")).select(*keys, "x.n", "x.gram")
     g = g.where(F.length("gram") == F.col("n"))
     return g.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
-from prodtext.functions.text import ordered_join, replace_all, title_case
+from prodtext.functions.text import ordered_join, replace_all, title_case, word_array
 
 
 # ---- R4 / J2 -------------------------------------------------------------------------------
@@ -22,8 +22,7 @@ def field_expr(value, key, rule_found, parameter_name, to_upper):
 
 def render_field(specs: DataFrame, catalog: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``field`` to long specs (needs product schema for the rule lookup)."""
-    r = F.broadcast(rules.select("schema", "spec_key", "parameter_name", "to_upper",
-                                 F.lit(True).alias("rule_found")))
+    r = rules.select("schema", "spec_key", "parameter_name", "to_upper", F.lit(True).alias("rule_found"))
     s = specs if "schema" in specs.columns else specs.join(catalog.select("product_id", "schema"), "product_id")
     s = s.join(r, ["schema", "spec_key"], "left")
     return s.withColumn("field", field_expr(F.col("spec_value"), F.col("spec_key"),
@@ -73,7 +72,7 @@ def render_prompt_category(catalog: DataFrame, fields: DataFrame, groups: DataFr
         agg = _collect_fields(f, ["product_id", "group_ord"]).join(
             catalog.select("product_id", "title", "schema"), "product_id")
     name = F.upper(F.concat("title", F.lit(" "), "schema"))
-    labels = F.broadcast(category_label(groups))
+    labels = category_label(groups)
     return (agg.join(labels, "group_ord")
             .select("product_id", F.col("group_ord").cast("int").alias("group_ord"), "category",
                     replace_all(_prompt(name, F.col("feats")), K.CATEGORY_REPLACEMENTS).alias("input")))
@@ -121,11 +120,12 @@ def training_skip_count(df: DataFrame, name="name", description="description", a
 def extract_features(prompts: DataFrame, key_cols=("product_id",)) -> DataFrame:
     """Flat feature list from the prompts' FEAT block: split on <NEXT_FEAT>, whitespace-normalise,
     drop empty slots.  Output (keys..., group_ord, feat_ord, feature)."""
-    block = F.regexp_extract("input", f"{K.FEAT_START}(.*?){K.FEAT_END}", 1)
+    # the pattern's '.' stops at a newline only, Java's at more line ends
+    block = F.regexp_extract("input", f"{K.FEAT_START}([^\n]*?){K.FEAT_END}", 1)
     parts = F.split(block, K.NEXT_FEAT)
     cols = list(key_cols) + (["group_ord"] if "group_ord" in prompts.columns else [])
     ex = prompts.select(*cols, F.posexplode(parts).alias("pos", "raw"))
-    norm = F.array_join(F.filter(F.split(F.trim("raw"), r"\s+"), lambda w: w != ""), " ")
+    norm = F.array_join(word_array("raw"), " ")
     return (ex.select(*cols, (F.col("pos") + 1).cast("int").alias("feat_ord"), norm.alias("feature"))
             .where(F.col("feature") != ""))
 

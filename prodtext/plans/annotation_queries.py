@@ -55,8 +55,7 @@ def folds_of(tagged):
 
 
 def fixture_predictions(spark, gold):
-    gold.createOrReplaceTempView("gold_spans")
-    p = spark.sql(pred_sql("spark"))
+    p = spark.sql(pred_sql("spark").replace("gold_spans", "{gold_spans}"), gold_spans=gold)
     w = Window.partitionBy("doc_id").orderBy("start", "end", "label")
     return p.withColumn("pred_ord", F.row_number().over(w))
 
@@ -77,12 +76,12 @@ ANN_CTES = f"""
 stripped AS (SELECT doc_id, {STRIP} AS text FROM tagged),
 ents0 AS (
   SELECT doc_id, 1 AS tag_ord, 'PROD' AS label,
-         unnest(regexp_extract_all(tagged_text, '<prod>(.+?)</prod>', 1)) AS entity,
-         unnest(generate_series(1, len(regexp_extract_all(tagged_text, '<prod>(.+?)</prod>', 1)))) AS ent_ord
+         unnest(regexp_extract_all(tagged_text, '<prod>([^\\n]+?)</prod>', 1)) AS entity,
+         unnest(generate_series(1, len(regexp_extract_all(tagged_text, '<prod>([^\\n]+?)</prod>', 1)))) AS ent_ord
   FROM tagged
   UNION ALL
-  SELECT doc_id, 2, 'ATTR', unnest(regexp_extract_all(tagged_text, '<attr>(.+?)</attr>', 1)),
-         unnest(generate_series(1, len(regexp_extract_all(tagged_text, '<attr>(.+?)</attr>', 1))))
+  SELECT doc_id, 2, 'ATTR', unnest(regexp_extract_all(tagged_text, '<attr>([^\\n]+?)</attr>', 1)),
+         unnest(generate_series(1, len(regexp_extract_all(tagged_text, '<attr>([^\\n]+?)</attr>', 1))))
   FROM tagged),
 ents AS (SELECT DISTINCT doc_id, tag_ord, label, entity FROM ents0),
 pieces AS (

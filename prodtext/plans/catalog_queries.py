@@ -88,7 +88,7 @@ FROM specs_long s JOIN catalog c ON s.product_id = c.product_id
 JOIN look l ON l.schema = c.schema AND l.spec_key = s.spec_key""")
 def q_features_lookup(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    look = F.broadcast(C.features_lookup(f["features"]))
+    look = C.features_lookup(f["features"])
     return (f["specs_long"].join(f["catalog"].select("product_id", "schema"), "product_id")
             .join(look, ["schema", "spec_key"])
             .select("product_id", "category", "spec_key", "name", "spec_value"))
@@ -137,7 +137,7 @@ JOIN look l ON l.schema = c.schema AND l.spec_key = s.spec_key
 WHERE l.category NOT IN (SELECT category FROM category_blacklist)""")
 def q_category_blacklist(spark, sf_dir):
     f = _fx(spark, sf_dir, CAT_FIX + ["category_blacklist"])
-    look = F.broadcast(C.category_blacklist(C.features_lookup(f["features"]), f["category_blacklist"]))
+    look = C.category_blacklist(C.features_lookup(f["features"]), f["category_blacklist"])
     return (f["specs_long"].join(f["catalog"].select("product_id", "schema"), "product_id")
             .join(look, ["schema", "spec_key"]).select("product_id", "category", "spec_key", "spec_value"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prodtext.functions.stopwords import STOPWORDS_EN
+from prodtext.functions.text import WS
 from prodtext.operators import clean as CL
 from prodtext.operators import metrics as M
 from prodtext.operators.spans import round_cols
@@ -33,11 +34,11 @@ rv AS (SELECT prompt_id, sample_id, description AS text FROM ext WHERE valid),
 sp0 AS (
   SELECT prompt_id, sample_id,
     unnest(string_split(regexp_replace(replace(replace(text, '</h2>  <br>', '</h2> <br> '), '..', '.'),
-           '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS piece,
+           '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1))) AS piece,
     unnest(generate_series(1, len(string_split(regexp_replace(replace(replace(text, '</h2>  <br>', '</h2> <br> '),
-           '..', '.'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))) AS k
+           '..', '.'), '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1))))) AS k
   FROM rv),
-sp1 AS (SELECT prompt_id, sample_id, k, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS p FROM sp0),
+sp1 AS (SELECT prompt_id, sample_id, k, regexp_replace(piece, '^{WS}+|{WS}+\\z', '', 'g') AS p FROM sp0),
 sents AS (
   SELECT prompt_id, sample_id,
     CAST(row_number() OVER (PARTITION BY prompt_id, sample_id ORDER BY k) AS INT) AS sent_ord,
@@ -48,8 +49,7 @@ dds AS (SELECT prompt_id, sample_id, sentence,
           CAST(row_number() OVER (PARTITION BY prompt_id, sample_id ORDER BY first_ord) AS INT) AS sent_ord FROM dd0),
 titled AS (
   SELECT prompt_id, sample_id, sent_ord,
-    CASE WHEN regexp_matches(array_to_string(list_filter({WORDS('sentence')},
-              lambda w: NOT list_contains({STOP_SQL}, lower(w))), ' '), {Q.ISTITLE})
+    CASE WHEN {Q.is_title(f"array_to_string(list_filter({WORDS('sentence')}, lambda w: NOT list_contains({STOP_SQL}, lower(w))), ' ')")}
          THEN chr(10) || chr(10) || '#### ' || sentence || chr(10) || chr(10) ELSE sentence END AS sentence
   FROM dds)"""
 
@@ -88,7 +88,7 @@ def q_title_detect(spark, sf_dir):
 lagged AS (SELECT *, lag(s) OVER (PARTITION BY prompt_id, sample_id ORDER BY k) AS prev FROM parts)
 SELECT prompt_id, sample_id,
        CAST(row_number() OVER (PARTITION BY prompt_id, sample_id ORDER BY k) AS INT) AS sent_ord,
-       CASE WHEN prev = '' AND regexp_matches(s, {Q.ISTITLE}) THEN chr(10) || chr(10) || '####' || s || chr(10) || chr(10)
+       CASE WHEN prev = '' AND {Q.is_title('s')} THEN chr(10) || chr(10) || '####' || s || chr(10) || chr(10)
             ELSE s END AS sentence
 FROM lagged WHERE s <> ''""".replace("\n, parts", ", parts", 1))
 def q_title_detect_blank(spark, sf_dir):

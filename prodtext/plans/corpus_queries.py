@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
+from prodtext.functions.text import WS
 from prodtext.operators import annotate as A
 from prodtext.operators import corpus as CO
 from prodtext.operators import render as R
@@ -89,13 +90,13 @@ recs AS (
 flat AS (SELECT replace(record, chr(10), '') AS record FROM recs),
 parsed AS (
   SELECT split_part(record, ' <DESCR_START>', 1) AS originalInput,
-    CASE WHEN regexp_matches(split_part(record, ' <DESCR_START>', 1), '<FEAT_START> (.*?) <FEAT_END>')
-      THEN replace(replace(replace(regexp_extract(split_part(record, ' <DESCR_START>', 1), '<FEAT_START> (.*?) <FEAT_END>', 1),
+    CASE WHEN regexp_matches(split_part(record, ' <DESCR_START>', 1), '<FEAT_START> ([^\\n]*?) <FEAT_END>')
+      THEN replace(replace(replace(regexp_extract(split_part(record, ' <DESCR_START>', 1), '<FEAT_START> ([^\\n]*?) <FEAT_END>', 1),
            '<NEXT_FEAT>', '<br>'), 'br><h2>', ''), '</li><li>', '') END AS input,
-    CASE WHEN regexp_matches(split_part(record, ' <DESCR_START>', 1), '<NAME_START> (.*?) <NAME_END>')
-      THEN regexp_extract(split_part(record, ' <DESCR_START>', 1), '<NAME_START> (.*?) <NAME_END>', 1) END AS title,
-    CASE WHEN regexp_matches(record, '<DESCR_START> (.*?) <DESCR_END>')
-      THEN regexp_extract(record, '<DESCR_START> (.*?) <DESCR_END>', 1) END AS Description
+    CASE WHEN regexp_matches(split_part(record, ' <DESCR_START>', 1), '<NAME_START> ([^\\n]*?) <NAME_END>')
+      THEN regexp_extract(split_part(record, ' <DESCR_START>', 1), '<NAME_START> ([^\\n]*?) <NAME_END>', 1) END AS title,
+    CASE WHEN regexp_matches(record, '<DESCR_START> ([^\\n]*?) <DESCR_END>')
+      THEN regexp_extract(record, '<DESCR_START> ([^\\n]*?) <DESCR_END>', 1) END AS Description
   FROM flat)"""
 
 
@@ -170,8 +171,8 @@ def q_parse_training_record(spark, sf_dir):
     return CO.parse_training_record(CO.read_records(spark, path)).drop("reject_reason")
 
 
-@register("pack_sequences", W(ALL_CTES) + """,
-toks AS (SELECT record, list_filter(regexp_split_to_array(record, '\\s+'), lambda w: w <> '') AS t
+@register("pack_sequences", W(ALL_CTES) + f""",
+toks AS (SELECT record, list_filter(regexp_split_to_array(record, '{WS}+'), lambda w: w <> '') AS t
          FROM recs),
 tr AS (SELECT record, t[1:768] AS t FROM toks)
 SELECT CAST(len(t) AS INT) AS n_tokens,

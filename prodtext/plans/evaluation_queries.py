@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prodtext.functions.text import metric_normalize, syllable_estimate
+from prodtext.functions.text import WS
 from prodtext.operators import metrics as M
 from prodtext.operators import render as R
 from prodtext.operators.spans import round_cols
@@ -28,12 +29,12 @@ def scored(spark, sf_dir):
 
 
 def WORDS(x):
-    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
 
 
 def SENTS(x):
-    return (f"len(list_filter(string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
-            f"lambda s: regexp_replace(s, '\\s', '', 'g') <> ''))")
+    return (f"len(list_filter(string_split(regexp_replace({x}, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), "
+            f"lambda s: regexp_replace(s, '{WS}', '', 'g') <> ''))")
 
 
 def SYLL(x):
@@ -54,7 +55,7 @@ tr AS (
   FROM ext WHERE valid),
 nm AS (
   SELECT *, regexp_replace(lower(regexp_replace(replace(replace(replace(text, '<h2>', ''), '</h2>', ''), '<br>', ''),
-            '^\\s+|\\s+$', '', 'g')), '\\s\\s+', ' ', 'g') AS norm FROM tr),
+            '^{WS}+|{WS}+\\z', '', 'g')), '{WS}{WS}+', ' ', 'g') AS norm FROM tr),
 rd0 AS (
   SELECT *, CAST(len({WORDS('norm')}) AS DOUBLE) AS w, CAST({SENTS('norm')} AS DOUBLE) AS s,
          CAST({SYLL('norm')} AS DOUBLE) AS y, {WORDS('norm')}[1:100] AS w100 FROM nm),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from prodtext.functions.text import ISTITLE_BROKEN, ISTITLE_CASED
+
 
 def title(x: str) -> str:
     return (rf"array_to_string(list_transform(regexp_extract_all({x}, '(\p{{L}}+|\P{{L}}+)', 1), "
             rf"lambda c: upper(c[1:1]) || lower(c[2:])), '')")
 
 
-ISTITLE = (r"'^[^\p{Lu}\p{Ll}\p{Lt}]*[\p{Lu}\p{Lt}]\p{Ll}*([^\p{Lu}\p{Ll}\p{Lt}]+[\p{Lu}\p{Lt}]\p{Ll}*)*"
-           r"[^\p{Lu}\p{Ll}\p{Lt}]*$'")
+def is_title(x: str) -> str:
+    return f"(regexp_matches({x}, '{ISTITLE_CASED}') AND NOT regexp_matches({x}, '{ISTITLE_BROKEN}'))"
 
 
 def bucket(seed, *keys: str) -> str:

@@ -3,9 +3,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
+from prodtext.functions.text import WS
 from prodtext.operators import align as AL
 from prodtext.operators import render as R
 from prodtext.operators import storyboard as SB
@@ -50,14 +52,14 @@ def vector_alignment(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- DuckDB side
-PARA_CTES = """
+PARA_CTES = f"""
 rl AS (SELECT product_id, unnest(string_split(review, chr(10))) AS line,
               unnest(generate_series(0, len(string_split(review, chr(10))) - 1)) AS ln FROM reviews),
-rl1 AS (SELECT *, regexp_matches(line, '^\\s*(#|<h2>|<h4>)') AS is_h FROM rl WHERE ln > 0),
+rl1 AS (SELECT *, regexp_matches(line, '^{WS}*(#|<h2>|<h4>)') AS is_h FROM rl WHERE ln > 0),
 rl2 AS (SELECT *, sum(CAST(is_h AS INT)) OVER (PARTITION BY product_id ORDER BY ln
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS para_ord,
                regexp_replace(replace(replace(replace(replace(replace(line, '#', ''), '<h2>', ''), '</h2>', ''),
-                 '<h4>', ''), '</h4>', ''), '^\\s+|\\s+$', '', 'g') AS clean FROM rl1),
+                 '<h4>', ''), '</h4>', ''), '^{WS}+|{WS}+\\z', '', 'g') AS clean FROM rl1),
 paras AS (
   SELECT product_id, CAST(para_ord AS INT) AS para_ord,
          arg_min(CASE WHEN is_h THEN clean END, CASE WHEN is_h THEN ln END) AS para_title,
@@ -78,16 +80,16 @@ ealign AS (
   FROM sentence_vectors s LEFT JOIN eper e
     ON s.product_id = e.product_id AND s.para_ord = e.para_ord AND s.sent_ord = e.sent_ord)"""
 
-FEAT_CTES = """
+FEAT_CTES = f"""
 feats0 AS (
   SELECT product_id, group_ord,
-         unnest(string_split(regexp_extract(input, '<FEAT_START>(.*?)<FEAT_END>', 1), '<NEXT_FEAT>')) AS raw,
-         unnest(generate_series(1, len(string_split(regexp_extract(input, '<FEAT_START>(.*?)<FEAT_END>', 1),
+         unnest(string_split(regexp_extract(input, '<FEAT_START>([^\\n]*?)<FEAT_END>', 1), '<NEXT_FEAT>')) AS raw,
+         unnest(generate_series(1, len(string_split(regexp_extract(input, '<FEAT_START>([^\\n]*?)<FEAT_END>', 1),
                 '<NEXT_FEAT>')))) AS feat_ord
   FROM cat_prompts),
 feats AS (
   SELECT product_id, group_ord, CAST(feat_ord AS INT) AS feat_ord,
-         array_to_string(list_filter(regexp_split_to_array(trim(raw), '\\s+'), lambda w: w <> ''), ' ') AS feature
+         array_to_string(list_filter(regexp_split_to_array(raw, '{WS}+'), lambda w: w <> ''), ' ') AS feature
   FROM feats0),
 feats1 AS (SELECT * FROM feats WHERE feature <> '')"""
 
@@ -184,8 +186,14 @@ def q_extract_title(spark, sf_dir):
 
 
 @register("assemble_review", CQ._w(extra=Q.CATEGORY_CTES + "," + Q.OVERVIEW_CTES) + """,
-secs AS (SELECT c.product_id, c.group_ord, c.category, split_part(d.text, chr(10), c.group_ord) AS text
-         FROM cat_prompts c JOIN documents d ON c.product_id = CAST(d.doc_id AS VARCHAR)),
+secs0 AS (SELECT c.product_id, c.group_ord, c.category, string_split(d.text, chr(10)) AS lines,
+                 row_number() OVER (PARTITION BY c.product_id ORDER BY c.group_ord) - 1 AS r,
+                 count(*) OVER (PARTITION BY c.product_id) AS n
+          FROM cat_prompts c JOIN documents d ON c.product_id = CAST(d.doc_id AS VARCHAR)),
+secs AS (SELECT product_id, group_ord, category,
+                (SELECT string_agg(x.line, chr(10) ORDER BY x.k)
+                 FROM (SELECT unnest(lines) AS line, unnest(generate_series(0, len(lines) - 1)) AS k) x WHERE x.k % n = r) AS text
+         FROM secs0),
 ttl AS (SELECT product_id, regexp_extract(input, '<NAME_START> ([^\\n]*)<NAME_END>', 1) AS title FROM overview
         WHERE product_id IN (SELECT product_id FROM secs))
 SELECT t.product_id, '# ' || t.title || chr(10) || chr(10) || coalesce(b.body, '') AS review
@@ -196,8 +204,13 @@ FROM ttl t LEFT JOIN (
 def q_assemble_review(spark, sf_dir):
     f = CQ._fx(spark, sf_dir)
     docs = spark.table("documents").select(F.col("doc_id").cast("string").alias("product_id"), "text")
-    secs = CQ.category_prompts(f).join(docs, "product_id").select(
-        "product_id", "group_ord", "category", F.split_part("text", F.lit("\n"), F.col("group_ord")).alias("text"))
+    prompts = CQ.category_prompts(f).select("product_id", "group_ord", "category")
+    each = Window.partitionBy("product_id")
+    prompts = prompts.withColumn("r", F.row_number().over(each.orderBy("group_ord")) - 1).withColumn("n", F.count(F.lit(1)).over(each))
+    # every line of the text goes to one of the product's sections, in turn
+    lines = F.filter(F.split("text", "\n", -1), lambda x, k: k % F.col("n") == F.col("r"))
+    secs = prompts.join(docs, "product_id").select("product_id", "group_ord", "category",
+                                                   F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("text"))
     titles = R.extract_title(CQ.overview_prompts(f)).select("product_id", "title").join(
         secs.select("product_id").distinct(), "product_id", "left_semi")
     return R.assemble_review(titles, secs)

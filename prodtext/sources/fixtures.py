@@ -3,7 +3,8 @@
 Each fixture is written once as SQL that runs on Spark and on DuckDB; the
 few spots where the dialects differ go through ``Dialect`` one-for-one
 equivalents.  Literal dimension tables (features, rules, lists) are small
-``VALUES`` lists in our own wording, so their broadcast size is fixed.
+``VALUES`` lists about the hardware parts of the ``part`` table, made up for
+these fixtures so that every case of the operators occurs.
 """
 
 from __future__ import annotations
@@ -47,59 +48,62 @@ def values_sql(cols, rows) -> str:
 
 
 # --------------------------------------------------------------------------------------------
-# Literal dimensions (our own wording).  Schemas are lower(p_type) of the part table.
-SCHEMAS_WITH_FEATURES = ["medium", "standard"]
-SCHEMAS_WITH_RULES = ["medium"]
+# Literal dimensions.  Schemas are lower(p_type) of the part table; one has no features.
+SCHEMAS_WITH_FEATURES = ["economy", "large", "medium", "promo", "standard"]
+SCHEMAS_WITH_RULES = ["medium", "promo"]
 SCHEMAS_WITH_BLACKLIST = ["medium", "large"]
 ALL_SCHEMAS = ["economy", "large", "medium", "promo", "small", "standard"]
 
 FEATURE_ROWS = [  # (category, visible, key, display name)
-    ("Display", True, "hd_type", "HD type"),
-    ("Display", True, "display_diagonal", "Display diagonal"),
-    ("Display", True, "display_technology", "Display technology"),
-    ("Display", True, "native_refresh_rate", "Native refresh rate"),
-    ("Key Features", True, "hd_type", "Resolution class"),
-    ("Key Features", True, "voice_control", "Voice control"),
-    ("Key Features", False, "model_name", "Model"),
-    ("Network", True, "wi-fi", "Wi-Fi"),
-    ("Network", True, "bluetooth", "Bluetooth"),
-    ("Performance", True, "operating_system_installed", "Operating system"),
-    ("Performance", True, "processor", "Processor"),
-    ("Ports & Interfaces", True, "hdmi", "HDMI ports"),
-    ("Ports & Interfaces", True, "hdmi_version", "HDMI version"),
-    ("Ports & Interfaces", True, "usb_version", "USB version"),
-    ("Ports & Interfaces", True, "package_weight", "Package weight"),
-    ("Audio", True, "audio_power", "Audio power"),
-    ("Audio", True, "speaker", "Speaker"),
-    ("Audio", True, "sound_modes", "Sound modes"),
-    ("Audio", True, "sound_modes", "Sound mode list"),
+    ("Build", True, "grip_class", "Grip class"),
+    ("Build", True, "bore", "Bore"),
+    ("Build", True, "thread_count", "Threads"),
+    ("Build", True, "load_rating", "Load rating"),
+    ("Build", True, "edge_angle", "Edge angle"),
+    ("Build", True, "coat_layers", "Coat layers"),
+    ("Build", True, "torque_limit", "Torque limit"),
+    ("Build", True, "length_class", "Length class"),
+    ("Build", True, "batch_grade", "Batch grade"),
+    ("Build", True, "seal_kind", "Seal"),
+    ("Handling", True, "grip_class", "Handling grade"),
+    ("Handling", True, "tool_list", "Tools"),
+    ("Handling", True, "reusable", "Reusable"),
+    ("Handling", True, "magnetic", "Magnetic"),
+    ("Handling", False, "part_code", "Part code"),
+    ("Fit", True, "gauge", "Gauge"),
+    ("Fit", True, "gauge_version", "Gauge revision"),
+    ("Fit", True, "coupling_version", "Coupling revision"),
+    ("Fit", True, "package_depth", "Depth when packed"),
+    ("Finish", True, "finish", "Finish"),
+    ("Finish", True, "rust-proof", "Rust-proof"),
+    ("Finish", True, "stackable", "Stackable"),
+    ("Finish", True, "stackable", "Can be stacked"),
+    ("Paperwork", True, "price_band", "Price band"),
+    ("Paperwork", True, "part_code", "Code on the invoice"),
 ]
 
-RULE_ROWS = [  # (key, parameter_name, to_upper)
-    ("hd_type", "resolution", True),
-    ("display_diagonal", None, False),
-    ("display_technology", "panel", True),
-    ("sound_modes", None, False),
-    ("audio_power", "", False),
-    ("speaker", "built-in speakers", False),
-    ("voice_control", None, False),
-    ("bluetooth", "Bluetooth", False),
-    ("operating_system_installed", "OS", True),
+RULE_ROWS = [  # (key, parameter_name, to_upper): null, empty and plain names, both cases
+    ("grip_class", "grip", True),
+    ("bore", None, False),
+    ("finish", "coat", True),
+    ("tool_list", None, False),
+    ("load_rating", "", False),
+    ("magnetic", "magnetic body", False),
+    ("reusable", None, False),
+    ("stackable", "Stacks", False),
+    ("price_band", "band", True),
 ]
 
-WHITELIST_KEYS = ["hd_type", "display_diagonal", "display_technology", "native_refresh_rate",
-                  "audio_power", "speaker", "sound_modes", "wi-fi", "bluetooth",
-                  "operating_system_installed", "voice_control", "processor", "hdmi"]
+WHITELIST_KEYS = ["bore", "thread_count", "grip_class", "load_rating", "finish", "magnetic", "tool_list",
+                  "rust-proof", "stackable", "price_band", "reusable", "no_such_key", "gauge"]
 
-BLACKLIST_KEYS = ["display_technology", "bluetooth", ""]
+BLACKLIST_KEYS = ["finish", "stackable", ""]
 
-DROP_COLUMNS = ["slug", "releaseDate", "sku", "published", "images", "pubinfo", "aff_hist"]
+DROP_COLUMNS = ["stock_code", "page_name", "no_such_column"]
 
-CATEGORY_BLACKLIST = ["Supplier Features", "Logistics Data", "Packaging Data", "generalInfo",
-                      "Certificates", "Weight & Dimensions", "Special Features"]
+CATEGORY_BLACKLIST = ["Paperwork", "Freight"]
 
-GROUPS = [["Display", "Key Features", "Network"], ["Performance", "Ports & Interfaces"],
-          ["Audio", "Special Features"], ["Special Features"]]
+GROUPS = [["Build", "Handling"], ["Fit", "Paperwork"], ["Finish", "Spares"], ["Spares"]]
 
 
 def features_sql(d: Dialect) -> str:
@@ -141,18 +145,19 @@ def catalog_sql(d: Dialect) -> str:
     s = d.str_type()
     return f"""
 SELECT CAST(p_partkey AS {s}) AS product_id, p_name AS title, p_brand AS brand,
-       lower(p_type) AS schema, 'SKU-' || CAST(p_partkey AS {s}) AS sku,
-       replace(p_name, ' ', '-') AS slug
+       lower(p_type) AS schema, 'P' || CAST(p_partkey AS {s}) AS stock_code,
+       replace(p_name, ' ', '-') AS page_name
 FROM part"""
 
 
-SPEC_KEYS = ["hd_type", "display_diagonal", "display_technology", "native_refresh_rate",
-             "audio_power", "speaker", "sound_modes", "wi-fi", "bluetooth", "hdmi",
-             "hdmi_version", "package_weight", "usb_version", "operating_system_installed",
-             "voice_control", "model_name"]
+SPEC_KEYS = ["grip_class", "bore", "finish", "thread_count", "load_rating", "magnetic", "tool_list", "rust-proof",
+             "stackable", "gauge", "gauge_version", "package_depth", "coupling_version", "price_band", "reusable",
+             "part_code", "edge_angle", "coat_layers", "torque_limit", "length_class", "batch_grade", "seal_kind"]
 
 
 def specs_long_sql(d: Dialect) -> str:
+    """Up to 22 specs a product: lists with commas, nulls, 'No', inch marks, versions before
+    and behind their base key; one product in fifty has none."""
     s = d.str_type()
     key_case = " ".join(f"WHEN {i + 1} THEN '{k}'" for i, k in enumerate(SPEC_KEYS))
     return f"""
@@ -161,65 +166,81 @@ SELECT product_id,
                  ELSE k END AS INT) AS spec_ord,
        CASE k {key_case} END AS spec_key,
        CASE k
-         WHEN 1 THEN CASE pk % 3 WHEN 0 THEN '4K Ultra HD' WHEN 1 THEN 'Full HD' ELSE 'hd ready' END
+         WHEN 1 THEN CASE pk % 3 WHEN 0 THEN 'Grade A, tested' WHEN 1 THEN 'grade b' ELSE 'Grade C' END
          WHEN 2 THEN CAST(sz AS {s}) || '"'
-         WHEN 3 THEN CASE pk % 4 WHEN 0 THEN 'LED' WHEN 1 THEN 'OLED' WHEN 2 THEN 'qled' ELSE 'No' END
-         WHEN 4 THEN CAST(50 + (pk % 3) * 50 AS {s}) || 'Hz'
-         WHEN 5 THEN CAST(sz AS {s}) || ' W, RMS'
+         WHEN 3 THEN CASE pk % 4 WHEN 0 THEN 'Zinc' WHEN 1 THEN 'matte black' WHEN 2 THEN 'Brass' ELSE 'No' END
+         WHEN 4 THEN CAST(8 + (pk % 5) * 4 AS {s})
+         WHEN 5 THEN CAST(sz AS {s}) || ' kN, static'
          WHEN 6 THEN CASE WHEN pk % 2 = 0 THEN 'Yes' ELSE 'No' END
-         WHEN 7 THEN CASE WHEN pk % 7 = 0 THEN NULL ELSE 'Cinema, Music, Sport' END
-         WHEN 8 THEN CASE WHEN pk % 4 = 0 THEN NULL ELSE 'Yes' END
+         WHEN 7 THEN CASE WHEN pk % 7 = 0 THEN NULL ELSE 'Hex, Slot, Square' END
+         WHEN 8 THEN CASE WHEN pk % 4 = 0 THEN NULL ELSE 'Yes ' || CAST(pk % 4 AS {s}) || ' years' END
          WHEN 9 THEN CASE WHEN pk % 3 = 0 THEN 'No' ELSE 'Yes' END
          WHEN 10 THEN CAST(pk % 4 + 1 AS {s})
-         WHEN 11 THEN CASE WHEN pk % 2 = 0 THEN '2.0' ELSE '2.1' END
-         WHEN 12 THEN CAST(sz AS {s}) || ' kg'
-         WHEN 13 THEN '3.0'
-         WHEN 14 THEN CASE pk % 3 WHEN 0 THEN 'Tizen' WHEN 1 THEN 'webOS' ELSE 'Streaming: Android' END
+         WHEN 11 THEN CASE WHEN pk % 2 = 0 THEN 'rev A' ELSE 'rev B' END
+         WHEN 12 THEN CAST(sz AS {s}) || ' cm'
+         WHEN 13 THEN 'rev C'
+         WHEN 14 THEN CASE WHEN price < 905 THEN 'low' WHEN price < 950 THEN 'middle' ELSE 'Streaming: high' END
          WHEN 15 THEN CASE WHEN pk % 5 = 0 THEN 'No' ELSE 'Yes' END
-         ELSE nm
+         WHEN 16 THEN nm
+         WHEN 17 THEN CAST(15 * (pk % 6 + 1) AS {s}) || ' deg'
+         WHEN 18 THEN CAST(pk % 3 + 1 AS {s})
+         WHEN 19 THEN CAST(sz * 2 AS {s}) || ' Nm'
+         WHEN 20 THEN CASE WHEN sz < 25 THEN 'short' ELSE 'long' END
+         WHEN 21 THEN 'batch ' || CAST(pk % 9 AS {s})
+         ELSE CASE pk % 3 WHEN 0 THEN 'rubber' WHEN 1 THEN 'felt, waxed' ELSE 'cork' END
        END AS spec_value
 FROM (
-  SELECT CAST(p_partkey AS {s}) AS product_id, p_partkey AS pk, p_size AS sz, p_name AS nm,
+  SELECT CAST(p_partkey AS {s}) AS product_id, p_partkey AS pk, p_size AS sz, p_name AS nm, p_retailprice AS price,
          {d.ords(len(SPEC_KEYS))} AS k
   FROM part
   WHERE p_partkey % 50 <> 7
 ) x
-WHERE NOT (k > 12 AND pk % 3 = 0) AND NOT (k > 5 AND pk % 10 = 4)"""
+WHERE NOT (k BETWEEN 13 AND 16 AND pk % 3 = 0) AND NOT (k > 5 AND pk % 10 = 4)"""
 
 
 # --------------------------------------------------------------------------------------------
 # Corpus views derived from `documents`.
+def _chr(d: Dialect, n: int) -> str:
+    return f"chr({n})" if d.name == "duckdb" else f"char({n})"
+
+
 def descriptions_sql(d: Dialect) -> str:
-    return """
+    """Whole texts; some without name or text, some with carriage returns and no-break spaces."""
+    return f"""
 SELECT doc_id, CASE WHEN doc_id % 97 = 13 THEN NULL ELSE source END AS name,
-       CASE WHEN doc_id % 89 = 5 THEN NULL ELSE text END AS description
+       CASE WHEN doc_id % 89 = 5 THEN NULL
+            WHEN doc_id % 11 = 3 THEN replace(text, '. ', '.' || {_chr(d, 13)} || 'so' || {_chr(d, 160)} || 'far ')
+            ELSE text END AS description
 FROM documents"""
 
 
 def tagged_sql(d: Dialect) -> str:
-    """English documents with at least 13 space-separated words; word 3 tagged <prod>,
+    """Every document.  Those of at least 13 space-separated words have word 3 tagged <prod>,
     words 6-7 and 12 tagged <attr>; variants by doc_id put punctuation right after a tag,
-    regex characters inside an entity, an untagged repeat of the product word, or no tags."""
+    regex characters or a carriage return inside an entity, an untagged repeat of the product
+    word, or no tags.  Shorter documents have no tags."""
     w = ", ".join(f"split_part(text, ' ', {i}) AS w{i}" for i in range(1, 13))
     prefix = " || ' ' || ".join(f"w{i}" for i in range(1, 13))
     return f"""
 SELECT doc_id,
-  CASE WHEN doc_id % 10 = 9 THEN text ELSE
+  CASE WHEN doc_id % 10 = 9 OR length(text) - length(replace(text, ' ', '')) < 12 THEN text ELSE
     w1 || ' ' || w2 || ' <prod>' || w3 || '</prod>' || (CASE WHEN doc_id % 5 = 3 THEN '. ' ELSE ' ' END)
-    || w4 || ' ' || w5 || ' <attr>' || w6 || ' ' || w7 || '</attr>' || (CASE WHEN doc_id % 3 = 2 THEN ', ' ELSE ' ' END)
+    || w4 || ' ' || w5 || ' <attr>' || w6 || (CASE WHEN doc_id % 17 = 2 THEN {_chr(d, 13)} ELSE ' ' END) || w7 || '</attr>'
+    || (CASE WHEN doc_id % 3 = 2 THEN ', ' ELSE ' ' END)
     || w8 || ' ' || w9 || ' ' || w10 || ' ' || w11 || ' <attr>'
     || (CASE WHEN doc_id % 6 = 0 THEN '(' || w12 || '+1.5)' ELSE w12 END) || '</attr>'
     || substr(text, length({prefix}) + 1)
     || (CASE WHEN doc_id % 4 = 1 THEN ' ' || w3 ELSE '' END)
   END AS tagged_text
-FROM (SELECT doc_id, text, {w} FROM documents
-      WHERE lang = 'en' AND length(text) - length(replace(text, ' ', '')) >= 12) x"""
+FROM (SELECT doc_id, text, {w} FROM documents WHERE text IS NOT NULL) x"""
 
 
 # --------------------------------------------------------------------------------------------
 # Generated candidates from `conversations`: reference = user turn, candidates = the next
 # assistant turn rendered three ways (whole text each time); some have no tags, some are
 # empty, some prompts keep fewer than two valid samples, one sample carries a pad marker.
+# One sample holds its sentences twice, the second time each with a word more, so that its
+# near-duplicates lie on both sides of the threshold; another holds no-break spaces.
 def candidates_sql(d: Dialect) -> str:
     nl = "chr(10)" if d.name == "duckdb" else "char(10)"
     return f"""
@@ -229,9 +250,10 @@ SELECT prompt_id, CAST(sample_id AS INT) AS sample_id,
     WHEN sample_id = 2 AND (prompt_id % 11 = 0 OR prompt_id % 7 = 0) THEN ''
     WHEN sample_id = 1 THEN 'Prompt <DESCR_START>' || replace(a_text, {nl}, ' ')
          || '<DESCR_END><|PAD|><DESCR_START> tail<DESCR_END>'
-    WHEN sample_id = 2 THEN '<DESCR_START><h2> Overview </h2>  <br>' || replace(a_text, {nl}, ' ') || '<DESCR_END>'
+    WHEN sample_id = 2 THEN '<DESCR_START><h2> Overview </h2>  <br>' || replace(a_text, {nl}, ' ') || ' '
+         || replace(replace(a_text, {nl}, ' '), '. ', ' indeed. ') || '<DESCR_END>'
     ELSE '<DESCR_START>' || replace(replace(a_text, {nl}, ' '), '. ', '.. ') || ' '
-         || replace(a_text, {nl}, ' ') || '<DESCR_END>'
+         || replace(replace(a_text, {nl}, ' '), ' the ', {_chr(d, 160)} || 'the' || {_chr(d, 160)}) || '<DESCR_END>'
   END AS raw,
   reference
 FROM (
@@ -256,16 +278,10 @@ SELECT CAST(doc_id AS {s}) AS product_id,
 FROM documents"""
 
 
-# Vectors from `embeddings`: even ids are sentences, odd ids are features; a product is a
-# (label, block of 100 ids) pair so each product holds a bounded number of vectors.
-def _vec_product(d: Dialect) -> str:
-    s = d.str_type()
-    return f"CAST(label AS {s}) || '-' || CAST(CAST(floor(vec_id / 100) AS BIGINT) AS {s})"
-
-
+# Vectors from `embeddings`: even ids are sentences, odd ids are features; the label is the product.
 def sentence_vectors_sql(d: Dialect) -> str:
     return f"""
-SELECT {_vec_product(d)} AS product_id, CAST(CAST(floor(vec_id / 20) AS BIGINT) % 5 AS INT) AS para_ord,
+SELECT CAST(label AS {d.str_type()}) AS product_id, CAST(CAST(floor(vec_id / 20) AS BIGINT) % 5 AS INT) AS para_ord,
        CAST(vec_id AS INT) AS sent_ord, embedding AS vec
 FROM embeddings WHERE vec_id % 2 = 0"""
 
@@ -273,7 +289,7 @@ FROM embeddings WHERE vec_id % 2 = 0"""
 def feature_vectors_sql(d: Dialect) -> str:
     s = d.str_type()
     return f"""
-SELECT {_vec_product(d)} AS product_id, 'f' || CAST(vec_id AS {s}) AS feature, embedding AS vec
+SELECT CAST(label AS {s}) AS product_id, 'f' || CAST(vec_id AS {s}) AS feature, embedding AS vec
 FROM embeddings WHERE vec_id % 2 = 1"""
 
 
@@ -309,22 +325,17 @@ def _closure(names) -> list[str]:
     return [n for n in order if n in need]
 
 
-_REGISTERED: dict[int, tuple[str, set]] = {}
-
-
 def register_fixtures(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Register driver tables and the requested fixture views (with their dependencies).
     Views are lazy plans; they are (re)registered only when the session or sf_dir changes."""
-    sid = id(spark._jsparkSession)
-    cur = _REGISTERED.get(sid)
-    if cur is None or cur[0] != sf_dir or not spark.catalog.tableExists("part"):
+    known = getattr(spark, "_prodtext_views", None)  # kept by the session object itself
+    if known is None or known[0] != sf_dir or not spark.catalog.tableExists("part"):
         register_tables(spark, sf_dir)
-        cur = (sf_dir, set())
-        _REGISTERED[sid] = cur
+        known = spark._prodtext_views = (sf_dir, set())
     for n in _closure(names or list(FIXTURES)):
-        if n not in cur[1]:
+        if n not in known[1]:
             spark.sql(FIXTURES[n](SPARK)).createOrReplaceTempView(n)
-            cur[1].add(n)
+            known[1].add(n)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
