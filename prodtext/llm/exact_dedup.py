@@ -137,7 +137,10 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = 16384) -> DataFrame:
         blocks = -(-blocks // 2)
     heads = (state.where("idx = 0").select("row", "doc_id", F.col("n").alias("n_blocks"), "name", "sha").join(done, "row", "left")
              .select("row", "doc_id", "n_blocks", F.coalesce("last", "name").alias("name"), "sha"))
+    heads = cut(heads, "dedup-heads")
+    # a table of its own: the join's sides are then plain shuffles, whose large keys can be split
     groups = heads.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(groups, "dedup-groups")
     return (heads.join(groups, ["n_blocks", "name"])
             .select("doc_id", "n_blocks", "name", F.col("keep.doc_id").alias("keep_id"), "group_size",
                     (F.col("row") == F.col("keep.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")))
