@@ -38,26 +38,41 @@ def get_spark(app: str = "prodtext", cpus: int | str = "*", shuffle_partitions:
     return spark
 
 
-_LOCAL_CKPT: dict[int, str] = {}
+_SCRATCH = "_prodtext_scratch"
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process (``local[n]``; ``local-cluster`` is not)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``); create a
-    scratch one only when it is unset (tests, local runs)."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT.get(id(spark._jsparkSession))
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    ctx_dir = spark.sparkContext.getCheckpointDir()
-    path = ctx_dir or tempfile.mkdtemp(prefix="prodtext-ckpt-", dir="/tmp")
-    if not ctx_dir:
-        spark.sparkContext.setCheckpointDir(path)
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # core configs may be read-only at runtime; remember it locally
-        pass
-    _LOCAL_CKPT[id(spark._jsparkSession)] = path
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or the
+    context's checkpoint folder.  Only a local session may leave both unset; it gets a
+    scratch folder.  On a cluster that would lose rows, so it is an error there."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or getattr(spark, _SCRATCH, None)
+    if not current:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="prodtext-ckpt-")
+        setattr(spark, _SCRATCH, current)
+        delete_at_end(spark, current)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return current
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the driver's JVM ends."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted at the end of the session."""
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
     return path
 
 
@@ -67,6 +82,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     (``Dataset.checkpoint`` would compute it twice without a cache) and the planner sees its
     real size."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/mat-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "mat")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
