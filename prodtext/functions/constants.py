@@ -43,4 +43,5 @@ GUNNING = 0.4
 CATEGORY_REPLACEMENTS = [("Yes ", ""), ('"', " inch"), ("Streaming: ", "")]
 OVERVIEW_REPLACEMENTS = [("Yes ", ""), ('"', " Inch")]
 FEATURE_TEMPLATE = ("this product has ", ".")
-INTRO_NARRATION = "Let's discover together the main features of the "
+# Fixed value: narration of the first slide (the product model goes between).
+INTRO = ("Welcome to the ", " review. Take into account that this review is generated automatically by an IA system.")

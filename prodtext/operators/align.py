@@ -4,12 +4,14 @@ Similarity joins stay inside one product: features of a product come from its
 prompts (a bounded list) and are compared with that product's sentences.  For
 text, vectors are word counts and the join runs on shared (product, token)
 pairs with dot products summed per pair -- exact for count vectors, and only
-pairs that share a word meet.  Caller-supplied dense vectors are compared per
-product with ``zip_with`` + ``aggregate``.
+pairs that share a word meet.  Caller-supplied dense vectors are compared block
+by block in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,20 +48,47 @@ def paragraph_sentences(paras: DataFrame, key: str = "product_id") -> DataFrame:
 
 
 # ---- J6 (dense) ----------------------------------------------------------------------------
-def cosine_expr(a, b):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.try_divide(dot, na * nb)
+def _blocks(vectors: DataFrame, key: str, ids: list[str], names: tuple[str, str], block: int) -> DataFrame:
+    """(key, block, ids, vectors): a product's vectors in blocks of about ``block``, by hash."""
+    n = vectors.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    row = F.struct(F.struct(*ids).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    return (vectors.join(n, key).withColumn("_b", F.pmod(F.xxhash64(*ids), F.col("_n")).cast("int"))
+            .groupBy(key, "_b").agg(F.collect_list(row).alias("_rows"))
+            .select(key, F.col("_b").alias(names[0]), F.col("_rows").alias(names[1])))
 
 
 def embedding_pairs(sent_vecs: DataFrame, feat_vecs: DataFrame, threshold: float = COSINE_THRESHOLD,
-                    key: str = "product_id") -> DataFrame:
-    """(product, para, sent, feature, sim) with cosine > threshold, within a product."""
-    s = sent_vecs.select(key, "para_ord", "sent_ord", F.col("vec").alias("sv"))
-    f = feat_vecs.select(key, "feature", F.col("vec").alias("fv"))
-    return (s.join(f, key).withColumn("sim", cosine_expr(F.col("sv"), F.col("fv")))
-            .where(F.col("sim") > threshold).select(key, "para_ord", "sent_ord", "feature", "sim"))
+                    key: str = "product_id", block: int = 512) -> DataFrame:
+    """(product, para, sent, feature, sim) with cosine > threshold, within a product.
+
+    Sentences and features are packed into blocks; every block of sentences meets every block
+    of features of its product, as one row, and the blocks are dealt over the cluster by
+    (product, sentence block, feature block), so a product with many vectors is many
+    small tasks.  A task multiplies the two blocks and hands on the pairs above the
+    threshold only: no pair below it ever is a row.  Zero vectors match nothing."""
+    ids = sent_vecs.select("para_ord", "sent_ord").schema
+    kinds = {f.name: f.dataType.simpleString() for f in [*ids, *feat_vecs.select("feature").schema, *sent_vecs.select(key).schema]}
+    s = _blocks(sent_vecs.select(key, "para_ord", "sent_ord", "vec"), key, ["para_ord", "sent_ord"], ("sb", "sents"), block)
+    f = _blocks(feat_vecs.select(key, "feature", "vec"), key, ["feature"], ("fb", "feats"), block)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(key).to_pylist()
+            for k, sents, feats in zip(keys, b.column("sents").to_pylist(), b.column("feats").to_pylist()):
+                x, y = (np.array([r["vec"] for r in side]) for side in (sents, feats))
+                norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+                sim = np.divide(x @ y.T, norms, out=np.full(norms.shape, -2.0), where=norms > 0)
+                i, j = np.nonzero(sim > threshold)
+                yield pa.RecordBatch.from_pylist(
+                    [{key: k, **sents[a]["id"], **feats[z]["id"], "sim": float(sim[a, z])} for a, z in zip(i, j)],
+                    schema=pa.schema([(key, b.column(key).type), *[(c, _arrow(kinds[c])) for c in ("para_ord", "sent_ord", "feature")], ("sim", pa.float64())]))
+
+    out = ", ".join(f"{c} {kinds[c]}" for c in (key, "para_ord", "sent_ord", "feature")) + ", sim double"
+    return s.join(f, key).repartition(key, "sb", "fb").select(key, "sents", "feats").mapInArrow(run, out)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
 
 
 # ---- J6 (word counts) ----------------------------------------------------------------------

@@ -49,11 +49,6 @@ def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-# ---- S9 ------------------------------------------------------------------------------------
-def write_records(df: DataFrame, path: str, col: str = "record") -> None:
-    df.select(col).write.mode("overwrite").text(path)
-
-
 # ---- S6 / S7 -------------------------------------------------------------------------------
 def read_records(spark, path: str, terminator: str = " " + K.OVERV_END) -> DataFrame:
     """Records separated by ' <OVERV_END>': newlines removed, blank remainders dropped."""

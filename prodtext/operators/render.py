@@ -111,9 +111,10 @@ def render_training_record(df: DataFrame, name="name", description="description"
         F.col(name), F.array_join(F.col(attrs), f" {K.NEXT_FEAT} "), F.col(description)))
 
 
-def training_skip_count(df: DataFrame, name="name", description="description", attrs="att_list") -> DataFrame:
+def training_skip_count(df: DataFrame, name="name", description="description", attrs="att_list", by=()) -> DataFrame:
+    """Rows that ``render_training_record`` skips and all rows, for each value of ``by``."""
     bad = F.col(name).isNull() | F.col(description).isNull() | F.col(attrs).isNull()
-    return df.agg(F.count_if(bad).cast("bigint").alias("skipped"), F.count(F.lit(1)).cast("bigint").alias("total"))
+    return df.groupBy(*by).agg(F.count_if(bad).cast("bigint").alias("skipped"), F.count(F.lit(1)).cast("bigint").alias("total"))
 
 
 # ---- T7 ------------------------------------------------------------------------------------

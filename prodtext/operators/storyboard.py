@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prodtext.functions.constants import MAX_CAPTIONS
-
-# Fixed value: narration of the first slide (product model inserted in the middle).
-INTRO = ("Welcome to the ", " review. Take into account that this review is generated automatically by an IA system.")
-
+from prodtext.functions.constants import INTRO, MAX_CAPTIONS
 
 def brand_model(catalog: DataFrame) -> DataFrame:
     """Brand and model (= title) per product."""

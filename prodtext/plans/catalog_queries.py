@@ -69,6 +69,17 @@ def q_spec_filter(spark, sf_dir):
     return C.spec_filter(f["specs_long"])
 
 
+@register("spec_filter_map", _w(["specs_long"]) + f"""
+SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY spec_ord) AS INT) AS spec_ord, spec_key, spec_value
+FROM specs_long WHERE {Q.SPEC_FILTER}""")
+def q_spec_filter_map(spark, sf_dir):
+    """The filter on specs held as a map, in insertion order."""
+    specs = _fx(spark, sf_dir, ["specs_long"])["specs_long"]
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("spec_ord", "spec_key", "spec_value"))), lambda x: F.struct(x["spec_key"], x["spec_value"]))
+    maps = specs.groupBy("product_id").agg(F.map_from_entries(entries).alias("specs"))
+    return C.specs_from_map(C.spec_filter_map(maps))
+
+
 @register("spec_whitelist", _w() + f"""
 SELECT s.product_id, CAST(w.ord AS INT) AS spec_ord, s.spec_key, s.spec_value
 FROM specs_long s JOIN catalog c ON s.product_id = c.product_id
@@ -212,6 +223,17 @@ def q_render_prompt_overview(spark, sf_dir):
     return overview_prompts(_fx(spark, sf_dir))
 
 
+_NULL_CTES = Q.OVERVIEW_CTES.replace("string_agg(field,", "string_agg(coalesce(field, 'not stated'),").replace(
+    "FROM ov_fld WHERE spec_value IS NOT NULL GROUP BY 1", "FROM ov_fld GROUP BY 1")
+
+
+@register("render_prompt_overview_nulls", _w(extra=_NULL_CTES) + "SELECT product_id, input FROM overview")
+def q_render_prompt_overview_nulls(spark, sf_dir):
+    """Null specs stay in the prompt, as a text of their own."""
+    prods, fields = overview_fields(_fx(spark, sf_dir))
+    return R.render_prompt_overview(prods, fields, null_text="not stated")
+
+
 @register("render_prompt_category", _w(extra=Q.CATEGORY_CTES) + """
 SELECT product_id, group_ord, category, input FROM cat_prompts""")
 def q_render_prompt_category(spark, sf_dir):

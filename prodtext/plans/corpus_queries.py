@@ -3,8 +3,6 @@ record file round trip and sequence packing (A1, A4, A13, A15, O3-O5, N8-N10, R1
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
@@ -15,7 +13,8 @@ from prodtext.operators import render as R
 from prodtext.plans import sqlparts as Q
 from prodtext.plans.annotation_queries import ANN_CTES, gold_of, text_of
 from prodtext.plans.registry import register
-from prodtext.session import cut_lineage, ensure_checkpoint_dir
+from prodtext.session import scratch_path
+from prodtext.sources import sinks as SK
 from prodtext.sources.fixtures import duck_with, register_fixtures
 
 
@@ -36,13 +35,11 @@ def described_attrs(spark, desc, tagged):
     return A.attr_list(A.gazetteer_predict(text, d, fold_col=None))
 
 
-def records(spark, sf_dir):
+def records(spark, sf_dir, fill: bool = True):
+    """Deduplicated descriptions with split and attributes; ``fill``: no attribute is an empty list."""
     desc, tagged = _fx(spark, sf_dir)
-    d = CO.split_train_valid_test(deduped(desc))
-    attrs = described_attrs(spark, desc, tagged)
-    d = d.join(attrs, "doc_id", "left").withColumn(
-        "att_list", F.coalesce("att_list", F.array().cast("array<string>")))
-    return d
+    d = CO.split_train_valid_test(deduped(desc)).join(described_attrs(spark, desc, tagged), "doc_id", "left")
+    return d.withColumn("att_list", F.coalesce("att_list", F.array().cast("array<string>"))) if fill else d
 
 
 # ---------------------------------------------------------------- DuckDB side
@@ -147,21 +144,19 @@ def q_render_training_record(spark, sf_dir):
     return R.render_training_record(records(spark, sf_dir)).select("doc_id", "split", "record")
 
 
-@register("training_skip_count", W(DEDUP) + """
-SELECT split, CAST(count_if(name IS NULL OR description IS NULL) AS BIGINT) AS skipped,
-       CAST(count(*) AS BIGINT) AS total FROM sp GROUP BY split""")
+@register("training_skip_count", W(ALL_CTES) + """
+SELECT s.split, CAST(count_if(s.name IS NULL OR s.description IS NULL OR a.attributes IS NULL) AS BIGINT) AS skipped,
+       CAST(count(*) AS BIGINT) AS total FROM sp s LEFT JOIN attrs a ON a.doc_id = s.doc_id GROUP BY s.split""")
 def q_training_skip_count(spark, sf_dir):
-    d = CO.split_train_valid_test(deduped(_fx(spark, sf_dir)[0]))
-    bad = F.col("name").isNull() | F.col("description").isNull()
-    return d.groupBy("split").agg(F.count_if(bad).cast("bigint").alias("skipped"),
-                                  F.count(F.lit(1)).cast("bigint").alias("total"))
+    """Documents without any attribute keep a null list here, and are skipped like those
+    without name or text."""
+    return R.training_skip_count(records(spark, sf_dir, fill=False), by=["split"])
 
 
 def _record_files(spark, sf_dir) -> str:
     """Write the rendered records as text (S9) into the shared checkpoint folder."""
-    path = f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
-    recs = cut_lineage(R.render_training_record(records(spark, sf_dir)).select("record"))
-    CO.write_records(recs, path)
+    path = scratch_path(spark, "records")
+    SK.write_records(R.render_training_record(records(spark, sf_dir)), path)
     return path
 
 

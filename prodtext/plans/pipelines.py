@@ -1,15 +1,8 @@
-"""End-to-end pipelines (the three lifecycles), each one lazy plan per stage with
-checkpoints only where a result is reused.
-
-* product_review_storyboard: catalog -> prompts -> (generated sections) -> review ->
-  paragraphs -> alignment -> storyboard -> timeline
-* corpus_records: descriptions -> dedupe -> dictionary attributes -> split -> records
-* extraction_quality: tagged corpus -> spans -> k-fold dictionary -> metrics -> mean/std
-"""
+"""The product lifecycle in one call: prompts and reviews to timeline rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prodtext.operators import align as AL
@@ -27,10 +20,3 @@ def product_review_storyboard(prompts: DataFrame, reviews: DataFrame, models: Da
     slides = SB.storyboard(aligned).select("product_id", "slide_no", "title", "captions", "narration")
     intro = SB.storyboard_intro(models.join(reviews.select("product_id"), "product_id", "left_semi"))
     return SB.slide_timeline(intro.unionByName(slides))
-
-
-def run_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three lifecycles over the driver tables (lazy; caller decides what to write)."""
-    from prodtext.plans import QUERIES
-    return {k: QUERIES[k](spark, sf_dir) for k in ("complete_input", "render_training_record",
-                                                    "kfold_extraction_quality", "slide_timeline")}

@@ -18,6 +18,7 @@ from prodtext.plans.registry import register
 from prodtext.session import cut_lineage
 from prodtext.sources.fixtures import duck_with, register_fixtures
 
+INTRO_SQL = f"'{K.INTRO[0]}' || title || '{K.INTRO[1]}'"
 TEXT_THRESHOLD = 0.25
 VEC_THRESHOLD = 0.25  # driver vectors: 0.5 is almost never exceeded (see README)
 
@@ -44,9 +45,9 @@ def text_alignment(spark, sf_dir):
     return AL.align_features(sents, pairs)
 
 
-def vector_alignment(spark, sf_dir):
+def vector_alignment(spark, sf_dir, threshold=VEC_THRESHOLD):
     f = _fx(spark, sf_dir, ["sentence_vectors", "feature_vectors"])
-    pairs = AL.embedding_pairs(f["sentence_vectors"], f["feature_vectors"], VEC_THRESHOLD)
+    pairs = AL.embedding_pairs(f["sentence_vectors"], f["feature_vectors"], threshold)
     sents = f["sentence_vectors"].select("product_id", "para_ord", "sent_ord")
     return AL.align_features(sents, pairs)
 
@@ -146,7 +147,7 @@ story AS (
   FROM sents s),
 intro AS (
   SELECT product_id, CAST(-1 AS INT) AS slide_no,
-         'Welcome to the ' || title || ' review. Take into account that this review is generated automatically by an IA system.' AS narration
+         {INTRO_SQL} AS narration
   FROM catalog WHERE product_id IN (SELECT product_id FROM reviews)),
 allslides AS (SELECT product_id, slide_no, narration FROM intro UNION ALL SELECT product_id, slide_no, narration FROM story),
 timeline AS (
@@ -230,6 +231,15 @@ def q_align_features(spark, sf_dir):
     return a.select("product_id", "para_ord", "sent_ord", F.array_join("features", ",").alias("features"))
 
 
+@register("align_features_default", duck_with(["sentence_vectors", "feature_vectors"]) + ","
+          + VEC_CTES.replace(f"sim > {VEC_THRESHOLD}", f"sim > {K.COSINE_THRESHOLD}") + """
+SELECT product_id, para_ord, sent_ord, features FROM ealign""")
+def q_align_features_default(spark, sf_dir):
+    """The alignment at the operator's own threshold."""
+    a = vector_alignment(spark, sf_dir, K.COSINE_THRESHOLD)
+    return a.select("product_id", "para_ord", "sent_ord", F.array_join("features", ",").alias("features"))
+
+
 @register("unmatched_sentences", duck_with(["sentence_vectors", "feature_vectors"]) + "," + VEC_CTES + """
 SELECT product_id, para_ord, sent_ord,
        CAST(sum(CASE WHEN features = '' THEN 1 ELSE 0 END) OVER (PARTITION BY product_id ORDER BY para_ord, sent_ord
@@ -268,9 +278,9 @@ def _models(spark, sf_dir):
     return SB.brand_model(f["catalog"]).join(f["reviews"].select("product_id"), "product_id", "left_semi")
 
 
-@register("storyboard_intro", duck_with(["catalog", "reviews"]) + """
+@register("storyboard_intro", duck_with(["catalog", "reviews"]) + f"""
 SELECT product_id, CAST(-1 AS INT) AS slide_no, title,
-       'Welcome to the ' || title || ' review. Take into account that this review is generated automatically by an IA system.' AS narration
+       {INTRO_SQL} AS narration
 FROM catalog WHERE product_id IN (SELECT product_id FROM reviews)""")
 def q_storyboard_intro(spark, sf_dir):
     return SB.storyboard_intro(_models(spark, sf_dir)).select("product_id", "slide_no", "title", "narration")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_json_documents(spark: SparkSession, path: str, schema: str | None = None,
-                        multi_line: bool = True) -> DataFrame:
-    """S3: JSON documents (one document or an array per file with multiLine)."""
+def read_json_documents(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """S3: JSON documents, one per line; ``multi_line`` for files that are one document or an
+    array (each such file is one task's)."""
     r = spark.read.option("multiLine", multi_line)
     if schema:
         r = r.schema(schema)
@@ -22,21 +22,24 @@ def parse_json_column(df: DataFrame, col: str, schema: str, out: str = "parsed")
 
 def read_line_list(spark: SparkSession, path: str, value: str = "value") -> DataFrame:
     """Ordered line list, blank lines kept as '' (like str.splitlines on the whole file).
-    Output (ord, value) with 1-based ordinals; one row per line of each file."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("_file", F.input_file_name())
+    Output (ord, value) with 1-based ordinals; one row per line of each file.  These are lists of
+    settings: the line number needs the file as one row, so a file must fit a row."""
+    whole = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
     lines = whole.select("_file", F.posexplode(F.split(F.regexp_replace("value", r"(\r?\n)$", ""), r"\r?\n", -1))
                          .alias("pos", value))
     return lines.select("_file", (F.col("pos") + 1).alias("ord"), value)
 
 
 def read_descriptions_csv(spark: SparkSession, path: str, index_col: str = "_c0") -> DataFrame:
-    """CSV with header, quoted multi-line fields; the unnamed index column is dropped."""
+    """CSV with header, quoted multi-line fields; the unnamed index column is dropped.
+    Quoted line ends make a file one task's: write large corpora as many files."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return df.drop(index_col, "", "Unnamed: 0")
 
 
-def read_json_string_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file holding one JSON array of strings -> (doc_ord, text)."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "text")).select(
+def read_json_string_array(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """JSON arrays of strings -> (doc_ord, text), doc_ord from 1 in each array.  A file is one
+    array, or with ``per_line`` each of its lines is, which Spark splits over tasks."""
+    arrays = spark.read.text(path, wholetext=not per_line)
+    return arrays.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "text")).select(
         (F.col("pos") + 1).alias("doc_ord"), "text")

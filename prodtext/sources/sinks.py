@@ -13,9 +13,11 @@ def write_records(df: DataFrame, path: str, col: str = "record") -> None:
     df.select(col).write.mode("overwrite").text(path)
 
 
-def write_product_json(df: DataFrame, path: str, key: str = "product_id") -> None:
-    """JSON per product (partition folder per id)."""
-    df.write.mode("overwrite").partitionBy(key).json(path)
+def write_product_json(df: DataFrame, path: str, key: str = "product_id", buckets: int = 64) -> None:
+    """Products as JSON lines, found by bucket: a product is in the folder bucket=<hash of
+    its id modulo ``buckets``>, one file each, so neither folders nor files grow with the products."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    df.withColumn("bucket", bucket).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def write_text(df: DataFrame, path: str, col: str) -> None:
@@ -27,3 +29,9 @@ def write_annotation_corpora(tagged: DataFrame, path: str, col: str = "tagged_te
     """Tagged and untagged corpora as JSON lines under path/tagged and path/untagged."""
     tagged.select("doc_id", F.col(col).alias("text")).write.mode("overwrite").json(f"{path}/tagged")
     tagged.select("doc_id", strip_tags_expr(F.col(col)).alias("text")).write.mode("overwrite").json(f"{path}/untagged")
+
+
+def write_json_arrays(df: DataFrame, path: str, col: str, group: str, order: str) -> None:
+    """JSON arrays of strings, one array per line and ``group``, elements by ``order``."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct(order, col))), lambda x: x[col])
+    df.groupBy(group).agg(F.to_json(items).alias("value")).select("value").write.mode("overwrite").text(path)
