@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prodtext.operators import corpus as CO
 from prodtext.operators import render as R
 from prodtext.session import ensure_checkpoint_dir
+from prodtext.sources import sinks as SK
 
 
 def test_record_round_trip(spark):
@@ -16,7 +17,7 @@ def test_record_round_trip(spark):
     assert recs.count() == 2
     assert R.training_skip_count(df).first().skipped == 1
     path = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
-    CO.write_records(recs, path)
+    SK.write_records(recs, path)
     parsed = {r.title: r for r in CO.parse_training_record(CO.read_records(spark, path)).collect()}
     assert parsed["n1"].Description == "line oneline two"
     assert parsed["n1"].input == "a <br> b (c)"
@@ -35,3 +36,13 @@ def test_pack_sequences(spark):
     df = spark.createDataFrame([("a b  c",)], "text string")
     r = CO.pack_sequences(df, max_len=5).first()
     assert r.tokens == ["a", "b", "c", "<|PAD|>", "<|PAD|>"] and r.attention_mask == [1, 1, 1, 0, 0]
+
+
+def test_line_ends_and_digest_dedupe(spark):
+    """A carriage return, NEL or line separator inside a part does not end it."""
+    rec = "<OVERV_START> <NAME_START> n\x85m <NAME_END> <FEAT_START> a\rb <FEAT_END> <DESCR_START> one\rtwo\u2028three <DESCR_END>"
+    r = CO.parse_training_record(spark.createDataFrame([(rec,)], "record string")).first()
+    assert (r.title, r.input, r.Description, r.reject_reason) == ("n\x85m", "a\rb", "one\rtwo\u2028three", None)
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", None), (4, "d", None), (5, "e", "y")], "doc_id long, name string, description string")
+    got = CO.dedupe_descriptions(df).collect()
+    assert sorted(str(r.description) for r in got) == ["None", "x", "y"]

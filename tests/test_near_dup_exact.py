@@ -1,4 +1,4 @@
-"""The bigram prefix filter must not lose any pair: compare with brute force over all pairs."""
+"""The candidate search must not lose any pair: compare with brute force over all pairs."""
 
 from difflib import SequenceMatcher
 
@@ -11,7 +11,7 @@ from prodtext.operators import clean as CL
 CRAFTED = [
     "the panel is bright and the colours are vivid", "the panel is bright and the colors are vivid",
     "the panel is bright, and the colours are vivid!", "a completely different sentence about sound",
-    "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaab", "ab", "ba", "xyz xyz xyz", "xyz xyz xyy",
+    "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaab", "ab", "axb", "ba", "", "a", "b", "abc", "xyz xyz xyz", "xyz xyz xyy", "é😀", "é😀a",
 ]
 
 
@@ -22,22 +22,32 @@ def brute(rows, ratio):
         by.setdefault(k, []).append((i, s))
     for k, lst in by.items():
         lst = [(i, s) for i, s in lst if "#" not in s]
-        for x in range(len(lst)):
-            for y in range(len(lst)):
-                (i, a), (j, b) = lst[x], lst[y]
+        for i, a in lst:
+            for j, b in lst:
                 if i < j and SequenceMatcher(None, a, b).ratio() > ratio:
                     out.add((k, i, j))
     return out
 
 
-@pytest.mark.parametrize("ratio,max_band", [(0.6, 0), (0.8, 0), (0.9, 0), (0.9, 64)])
-def test_prefix_filter_is_exact(spark, sf_dir, ratio, max_band):
+@pytest.mark.parametrize("ratio", [0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.95])
+def test_candidates_are_exact_on_short_texts(spark, ratio):
+    df = spark.createDataFrame([(-1, i, s) for i, s in enumerate(CRAFTED)], "k long, i int, s string")
+    got = {(r.k, r.i, r.j) for r in CL.near_dup_pairs(df, ["k"], ratio).collect()}
+    assert got == brute([(-1, i, s) for i, s in enumerate(CRAFTED)], ratio)
+
+
+def test_candidates_are_exact_on_reviews(spark, sf_dir):
     sents = E.queries()["dedupe_sentences"](spark, sf_dir).select(
-        (F.col("prompt_id") * 10 + F.col("sample_id")).alias("k"), (F.col("sent_ord") - 1).alias("i"),
-        F.col("sentence").alias("s"))
-    crafted = spark.createDataFrame([(-1, i, s) for i, s in enumerate(CRAFTED)], "k long, i int, s string")
-    allsent = sents.unionByName(crafted.select(F.col("k").cast("long"), "i", "s"))
-    rows = [(r.k, r.i, r.s) for r in allsent.collect()]
-    got = {(r.k, r.i, r.j) for r in CL.near_dup_pairs(allsent, ["k"], ratio, max_band=max_band).collect()}
-    assert got == brute(rows, ratio)
-    assert any(k == -1 for k, _, _ in got)
+        (F.col("prompt_id") * 10 + F.col("sample_id")).alias("k"), (F.col("sent_ord") - 1).alias("i"), F.col("sentence").alias("s"))
+    rows = [(r.k, r.i, r.s) for r in sents.collect()]
+    got = {(r.k, r.i, r.j) for r in CL.near_dup_pairs(sents, ["k"], 0.9).collect()}
+    assert got == brute(rows, 0.9) and got
+
+
+def test_size_of_a_review_does_not_matter(spark):
+    """The same pairs in a review of two sentences and in one of three hundred."""
+    few = [(0, 0, "ab"), (0, 1, "axb")]
+    many = [(1, 0, "ab"), (1, 1, "axb")] + [(1, i, f"q{i}w{i * 7}") for i in range(2, 300)]
+    df = spark.createDataFrame(few + many, "k long, i int, s string")
+    got = {(r.k, r.i, r.j) for r in CL.near_dup_pairs(df, ["k"], 0.7).collect()}
+    assert {(0, 0, 1), (1, 0, 1)} <= got

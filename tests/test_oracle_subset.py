@@ -12,7 +12,8 @@ from prodtext.sources.tables import TABLES
 
 SUBSET = ["complete_input", "spec_sample10", "version_merge", "entity_positions", "span_metrics",
           "render_training_record", "bleu", "candidate_mean_std", "title_detect", "align_features",
-          "parse_review_paragraphs", "json_props"]
+          "parse_review_paragraphs", "json_props", "similarity_ratio", "clean_review",
+          "gazetteer_predict", "assemble_review", "line_list_file", "json_array_file", "embedding_pairs"]
 
 
 def _norm(v):

@@ -1,24 +1,21 @@
-"""Checkpoint folder resolution: the cluster's setting wins; a scratch folder only when unset."""
+"""Checkpoint folder resolution: the cluster's setting wins; only a local session may do without."""
+
+import pytest
 
 from prodtext import session as S
 
 
 class _Conf:
-    def __init__(self, value, refuse):
-        self.value, self.refuse = value, refuse
+    def __init__(self, value):
+        self.value = value
 
     def get(self, key, default=None):
         return self.value if self.value else default
 
-    def set(self, key, value):
-        if self.refuse:
-            raise RuntimeError("read-only core config")
-        self.value = value
-
 
 class _Ctx:
-    def __init__(self):
-        self.dir = None
+    def __init__(self, master):
+        self.dir, self.master = None, master
 
     def getCheckpointDir(self):
         return self.dir
@@ -28,19 +25,24 @@ class _Ctx:
 
 
 class _Spark:
-    def __init__(self, value, refuse):
-        self.conf, self.sparkContext, self._jsparkSession = _Conf(value, refuse), _Ctx(), object()
+    def __init__(self, value, master="spark://host:7077"):
+        self.conf, self.sparkContext = _Conf(value), _Ctx(master)
 
 
 def test_cluster_setting_is_used():
-    s = _Spark("/shared/ckpt", refuse=True)
+    s = _Spark("/shared/ckpt")
     assert S.ensure_checkpoint_dir(s) == "/shared/ckpt"
     assert s.sparkContext.dir == "/shared/ckpt"
 
 
-def test_unset_creates_scratch_once_even_if_conf_is_read_only():
-    s = _Spark(None, refuse=True)
+def test_unset_on_a_cluster_is_an_error():
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            S.ensure_checkpoint_dir(_Spark(None, master))
+
+
+def test_unset_locally_creates_one_scratch_folder(monkeypatch):
+    monkeypatch.setattr(S, "delete_at_end", lambda spark, path: None)
+    s = _Spark(None, "local[8]")
     first = S.ensure_checkpoint_dir(s)
-    assert first.startswith("/tmp/prodtext-ckpt-")
-    assert S.ensure_checkpoint_dir(s) == first
-    assert s.sparkContext.dir == first
+    assert S.ensure_checkpoint_dir(s) == first == s.sparkContext.dir

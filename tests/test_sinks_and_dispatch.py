@@ -11,9 +11,12 @@ from prodtext.sources.fixtures import fixture
 def test_product_json_and_text_sinks(spark, sf_dir):
     cat = fixture(spark, sf_dir, "catalog").limit(5)
     d = tempfile.mkdtemp(prefix="prodtext-test-", dir="/tmp")
-    SK.write_product_json(cat, os.path.join(d, "json"))
-    parts = [p for p in os.listdir(os.path.join(d, "json")) if p.startswith("product_id=")]
-    assert len(parts) == 5
+    SK.write_product_json(cat, os.path.join(d, "json"), buckets=3)
+    folders = [p for p in os.listdir(os.path.join(d, "json")) if p.startswith("bucket=")]
+    assert 1 <= len(folders) <= 3
+    for f in folders:
+        assert len([p for p in os.listdir(os.path.join(d, "json", f)) if p.endswith(".json")]) == 1
+    assert spark.read.json(os.path.join(d, "json")).select("product_id").distinct().count() == 5
     SK.write_text(cat, os.path.join(d, "txt"), "title")
     assert spark.read.text(os.path.join(d, "txt")).count() == 5
 

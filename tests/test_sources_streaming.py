@@ -35,9 +35,9 @@ def test_line_list_keeps_blank_lines(spark):
     d = scratch()
     p = os.path.join(d, "list.txt")
     with open(p, "w") as f:
-        f.write("hd_type\n\nwi-fi\nhdmi\n")
+        f.write("bore\n\nrust-proof\ngauge\n")
     rows = RD.read_line_list(spark, p).orderBy("ord").collect()
-    assert [r.value for r in rows] == "hd_type\n\nwi-fi\nhdmi\n".splitlines()
+    assert [(r.ord, r.value) for r in rows] == [(1, "bore"), (2, ""), (3, "rust-proof"), (4, "gauge")]
 
 
 def test_csv_descriptions(spark, sf_dir):

@@ -38,3 +38,9 @@ def test_syllables_and_normalize(spark):
     expected = re.sub(r"\s\s+", " ", "  <h2>Beautiful</h2>   QUEUE <br> a  ".replace("<h2>", "").replace("</h2>", "")
                       .replace("<br>", "").strip().lower())
     assert r.n == expected
+
+
+def test_words_are_parted_by_any_white_space(spark):
+    text = "one\u00a0two\u2003three\x1cfour\x85five \u3000"
+    r = spark.createDataFrame([(text,)], "s string").select(T.word_array("s").alias("w"), T.strip_ws("s").alias("p")).first()
+    assert r.w == text.split() and r.p == text.strip()
