@@ -10,12 +10,15 @@ by block in Arrow batches.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prodtext.functions.constants import COSINE_THRESHOLD
+from prodtext.functions.constants import COSINE_THRESHOLD, FEATURE_TEMPLATE
 from prodtext.functions.text import WS, replace_all, strip_ws
 
 HEADER = rf"^{WS}*(#|<h2>|<h4>)"
@@ -98,19 +101,31 @@ def token_counts(df: DataFrame, keys, text: str) -> DataFrame:
 
 
 def text_pairs(sentences: DataFrame, features: DataFrame, threshold: float = COSINE_THRESHOLD,
-               key: str = "product_id", feature_text: str = "feature_sentence") -> DataFrame:
-    """Cosine of word-count vectors > threshold; only (feature, sentence) pairs sharing a word meet."""
-    sk = [key, "para_ord", "sent_ord"]
-    fk = [key, "feature"]
+               key: str = "product_id", feature_text: str = "feature_sentence", template: str = " ".join(FEATURE_TEMPLATE)) -> DataFrame:
+    """Cosine of word-count vectors > threshold; only (feature, sentence) pairs sharing a word meet.
+
+    The words of ``template`` must be in every feature text (empty: none are), so a join on them would pair each sentence
+    that holds one with all features.  Their part of the dot product depends on the
+    sentence alone: it is added afterwards, and the join runs on what else a feature says.
+    Pairs that share template words only are added where these alone exceed the threshold."""
+    sk, fk = [key, "para_ord", "sent_ord"], [key, "feature"]
+    fixed = Counter(re.findall(r"[^\W_]+", template.lower()))
+    times = F.lit(0)
+    for token, n in fixed.items():
+        times = F.when(F.col("token") == token, F.lit(n)).otherwise(times)
     # only sentences of products that have features can match
     sentences = sentences.join(features.select(key).distinct(), key, "left_semi")
     st = token_counts(sentences, sk, "sentence")
     ft = token_counts(features, fk, feature_text)
-    sn = st.groupBy(*sk).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("sn"))
+    sn = st.groupBy(*sk).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("sn"), F.sum(F.col("c") * times).alias("given"))
     fn = ft.groupBy(*fk).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("fn"))
-    dot = (st.withColumnRenamed("c", "sc").join(ft.withColumnRenamed("c", "fc"), [key, "token"])
+    own = ft.withColumn("fc", F.col("c") - times).where("fc > 0").drop("c")
+    dot = (st.withColumnRenamed("c", "sc").join(own, [key, "token"])
            .groupBy(*sk, "feature").agg(F.sum(F.col("sc") * F.col("fc")).alias("dot")))
-    sim = dot.join(sn, sk).join(fn, fk).withColumn("sim", F.col("dot") / (F.col("sn") * F.col("fn")))
+    by_template = (sn.where("given > 0").join(fn, key).where(F.col("given") > F.lit(threshold) * F.col("sn") * F.col("fn") * (1 - 1e-12))
+                   .select(*sk, "feature", F.lit(0).cast("long").alias("dot")))
+    met = dot.unionByName(by_template).groupBy(*sk, "feature").agg(F.sum("dot").alias("dot"))
+    sim = met.join(sn, sk).join(fn, fk).withColumn("sim", (F.col("dot") + F.col("given")) / (F.col("sn") * F.col("fn")))
     return sim.where(F.col("sim") > threshold).select(*sk, "feature", "sim")
 
 
