@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component stays: that of the smallest doc_id."""
     numbered = _numbered(docs)
     found = simhash.near_duplicates(numbered, shingle=3, max_distance=3, row="row_no")
-    gone = cut(found.where("NOT kept").select(F.col("row").alias("row_no")), "pipeline-gone")
+    gone = cut(found.where("NOT kept").select(F.col("row").alias("row_no")), "pipeline-gone", rows=docs.count())
     return numbered.join(gone, "row_no", "left_anti").select(*docs.columns)
 
 

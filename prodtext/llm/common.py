@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str = "table") -> DataFrame:
+ROWS_PER_FILE = 100_000
+
+
+def cut(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back: later
     readers neither recompute it nor depend on the executors that made it, and the planner
-    knows its real size."""
+    knows its real size.
+
+    ``rows``, a bound on the number of (short) rows where the caller knows one, sets the number of
+    files: as many as ROWS_PER_FILE asks for, not one for each shuffle partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value of any class of this package; the function returned gives it in a task.
+    It travels pickled by value, is unpickled once in a worker process, and stays with the
+    broadcast variable, so what it gathers there (a memo, an encoder) serves later tasks."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> object:
+        if getattr(data, "unpickled", None) is None:
+            data.unpickled = pickle.loads(data.value)
+        return data.unpickled
+
+    return get
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

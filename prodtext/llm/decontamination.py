@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prodtext.llm.common import cut
+from prodtext.llm.common import cut, ship
 
 #: every byte of [\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing, ends a word
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -65,10 +65,10 @@ class Windows:
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Store the segments of (row, doc_id, text) as a table: rows and doc_ids, the documents'
     first positions and lengths, and the postings: terms, their counts, and positions."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value
+        ids = shared()
 
         def segment(rows, doc_ids, lengths, terms):
             lengths = np.array(lengths, dtype=np.int64)
@@ -148,7 +148,7 @@ def search(index: DataFrame, win: Windows, slop: int = 2) -> DataFrame:
     """One row per document: row, doc_id, n_words, spans (start, stop of the words in exact
     matches, merged), items (ids matched exactly, sorted as text) and near_items (ids
     matched within ``slop`` words, exact ones included).  ``slop`` 0 leaves proximity out."""
-    shared = index.sparkSession.sparkContext.broadcast(win)
+    shared = ship(index.sparkSession, win)
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def spans_of(start, stop):
@@ -158,7 +158,7 @@ def search(index: DataFrame, win: Windows, slop: int = 2) -> DataFrame:
         return [{"start": int(a), "stop": int(z)} for a, z in zip(start[new], np.concatenate((stop[:-1][new[1:]], stop[-1:])))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        win = shared.value
+        win = shared()
         for b in batches:
             for seg in b.to_pylist():
                 terms, counts = np.array(seg["terms"], dtype=np.int64), np.array(seg["counts"], dtype=np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prodtext.llm.common import cut
+from prodtext.llm.common import ROWS_PER_FILE, cut
 
 FLUSH_BYTES, FLUSH_ROWS = 16 << 20, 50_000
 
@@ -80,7 +80,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named(keyed: DataFrame, rows_of: Callable, schema: T.StructType, label: str) -> DataFrame:
-    """Occurrences of all keys that ``rows_of`` finds, each with its key's name."""
+    """Table of the occurrences of all keys that ``rows_of`` finds, each with its key's name."""
     fields = schema.fieldNames()
     arrow = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() if isinstance(f.dataType, T.StringType)
              else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64() for f in schema]
@@ -89,7 +89,8 @@ def _named(keyed: DataFrame, rows_of: Callable, schema: T.StructType, label: str
     names = (entries.select("lid", "key", F.xxhash64("key").alias("h")).repartition("h").sortWithinPartitions("h", "key")
              .select("lid", "key").mapInArrow(_number, "lid long, name long"))
     names = cut(names, f"{label}-names")
-    return entries.select("lid", "occ").join(names, "lid").select("name", F.explode("occ").alias("o")).select("o.*", "name")
+    named = entries.select("lid", "occ").join(names, "lid").select("name", F.explode("occ").alias("o")).select("o.*", "name")
+    return cut(named, label, rows=entries.select(F.sum(F.size("occ"))).first()[0] or 0)
 
 
 def _blocks(block_bytes: int) -> Callable:
@@ -122,25 +123,27 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = 16384) -> DataFrame:
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("doc_id", id_type),
                            T.StructField("n", T.IntegerType()), T.StructField("sha", T.BinaryType())])
     texts = docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("binary").alias("text"))
-    state = cut(_named(texts, _blocks(block_bytes), schema, "dedup-blocks"), "dedup-blocks")
+    state = _named(texts, _blocks(block_bytes), schema, "dedup-blocks")
     left = state.where("n > 1").select("row", "n", "idx", "name")
-    blocks = state.agg(F.max("n")).first()[0] or 1
+    blocks, n_rows, n_left = state.agg(F.max("n"), F.count_if(F.col("idx") == 0), F.count_if(F.col("n") > 1)).first()
+    blocks = blocks or 1
     pair_schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("idx", T.IntegerType())])
     done = left.where("false").select("row", F.col("name").alias("last"))
     while blocks > 1:
         pairs = (left.groupBy("row", "n", (F.col("idx") / 2).cast("int").alias("half"))
                  .agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("z"))
                  .select("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("half").alias("idx"), "a", "z"))
-        named = cut(_named(pairs, _pairs, pair_schema, "dedup-pairs"), "dedup-pairs")
+        n_left = (n_left + 1) // 2  # about half as many names are left; the files' number needs no more
+        named = _named(pairs.coalesce(1 + n_left // ROWS_PER_FILE), _pairs, pair_schema, "dedup-pairs")
         done = done.union(named.where("n = 1").select("row", "name"))
         left = named.where("n > 1")
         blocks = -(-blocks // 2)
     heads = (state.where("idx = 0").select("row", "doc_id", F.col("n").alias("n_blocks"), "name", "sha").join(done, "row", "left")
              .select("row", "doc_id", "n_blocks", F.coalesce("last", "name").alias("name"), "sha"))
-    heads = cut(heads, "dedup-heads")
+    heads = cut(heads, "dedup-heads", rows=n_rows)
     # a table of its own: the join's sides are then plain shuffles, whose large keys can be split
     groups = heads.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    groups = cut(groups, "dedup-groups")
+    groups = cut(groups, "dedup-groups", rows=n_rows)
     return (heads.join(groups, ["n_blocks", "name"])
             .select("doc_id", "n_blocks", "name", F.col("keep.doc_id").alias("keep_id"), "group_size",
                     (F.col("row") == F.col("keep.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")))

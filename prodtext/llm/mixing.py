@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tupl
     sources = cut(sainte_lague(sources, ["one"], ["src"], "target", "seats", "cap_blocks")
                   .select("source", "src", "source_size", "target", F.col("quota").alias("source_blocks"),
                           F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens))).cast("long").alias("n_shards")),
-                  "mix-sources")
+                  "mix-sources", rows=0)  # one row per source
     placed = (sizes.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source"))).drop("of")
               .withColumn("shard", md5_long(F.lit(seed), F.lit("shard"), F.col("doc_id")) % F.col("n_shards")))
     cells = (placed.groupBy("src", "shard").agg(F.sum("size").alias("ring"), F.first("source_blocks").alias("source_blocks"))
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tupl
              .select("src", "shard", "ring", F.col("quota").alias("blocks"),
                      (md5_long(F.lit(seed), F.lit("start"), F.col("src"), F.col("shard"))
                       % F.greatest(F.lit(1), F.ceil(F.col("ring") / block_tokens)) * block_tokens).cast("long").alias("start")))
-    cells = cut(cells, "mix-cells")
+    cells = cut(cells, "mix-cells", rows=sizes.count())
     order = Window.partitionBy("src", "shard").orderBy(md5_long(F.lit(seed), F.lit("place"), F.col("doc_id")), F.col("doc_id").asc_nulls_first(), "size")
     lying = (placed.withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
              .join(cells, ["src", "shard"]).withColumn("stop", F.col("start") + F.col("blocks") * block_tokens))
@@ -131,7 +131,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     numbered = docs.select(*[F.col(c).alias(f"in_{c}") for c in columns], F.monotonically_increasing_id().alias("mix_row"))
     small = numbered.select("mix_row", F.col("in_doc_id").alias("doc_id"), F.col("in_source").alias("source"), F.col("in_text").alias("text"))
-    mix = cut(mix_sources(small, carry=["mix_row"], **options).where("taken > 0").select(F.col("in_mix_row").alias("mix_row"), "size", "pieces"), "mix-pieces")
+    mix = cut(mix_sources(small, carry=["mix_row"], **options).where("taken > 0").select(F.col("in_mix_row").alias("mix_row"), "size", "pieces"), "mix-pieces", rows=docs.count())
     words = F.regexp_extract_all(F.col("in_text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(words, (F.col("p.start") + 1).cast("int"), F.col("p.length").cast("int")), "")
     rows = (numbered.join(mix, "mix_row").withColumn("p", F.explode("pieces"))

@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from prodtext.llm.common import ship
 from prodtext.llm.labelled import class_counts, collect_features, logistic, platt, sampled_labels, scored
 
 _RUNS = re.compile(r"(.)\1+")
@@ -130,5 +131,5 @@ def fit(rows: list[np.ndarray], y: np.ndarray, shares: tuple[int, int], bits: in
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, per_class: int = 8000, bits: int = 18, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every document."""
     rows, y = collect_features(docs, sampled_labels(labels, label, folds, per_class), lambda t: ngrams(t, bits))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, y, class_counts(labels, label, folds), bits))  # 2 MB at 18 bits
-    return scored(docs, lambda t: shared.value.score(t), folds, threshold)
+    shared = ship(docs.sparkSession, fit(rows, y, class_counts(labels, label, folds), bits))  # 2 MB at 18 bits
+    return scored(docs, lambda t: shared().score(t), folds, threshold)

@@ -29,8 +29,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = cut(tokencounts.token_counts(rows, TOKENIZERS, PATTERN, [*keep, "digest"]), "token-rows")
     rollup.commit("1-insert", tokencounts.signed(before, versions, 1))
     copies = before.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = cut(copies, "token-groups")
-    dropped = cut(before.join(copies, "digest").where("doc_id < last").drop("last", "n"), "token-copies")
+    n_rows = before.count()
+    copies = cut(copies, "token-groups", rows=n_rows)
+    dropped = cut(before.join(copies, "digest").where("doc_id < last").drop("last", "n"), "token-copies", rows=n_rows)
     rollup.commit("2-delete", tokencounts.signed(dropped, versions, -1))
     tidy = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
     changed = docs.withColumn("new", tidy).where("doc_id IS NOT NULL AND new <> text").drop("text").withColumnRenamed("new", "text").withColumn("bytes", F.octet_length("text").cast("long"))

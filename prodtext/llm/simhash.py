@@ -201,7 +201,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     root is the smallest node.  Neighbour lists are never gathered: each step is a minimum per
     node, joined back to its edges."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    state = None
+    n_edges, state = edges.count(), None
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -209,7 +209,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         larger = larger.where("a <> b").distinct()
         low = larger.groupBy("a").agg(F.min("b").alias("low"))
         small = larger.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
-        edges = cut(small.where("a <> b").distinct(), "cc-edges")
+        edges = cut(small.where("a <> b").distinct(), "cc-edges", rows=n_edges)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -228,10 +228,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, se
     rows = docs.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()).select("row", "doc_id", "text")
     prints = cut(with_fingerprints(rows, ["row", "doc_id"], shingle, seed), "simhash-prints")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    nodes = cut(nodes, "simhash-nodes")
+    n_rows = prints.count()
+    nodes = cut(nodes, "simhash-nodes", rows=n_rows)
     members = _anchor_rows(nodes).repartition("anchor").sortWithinPartitions("anchor", "fp")
     roots = components(members.mapInArrow(_stars(max_distance), "a long, b long"))
-    grouped = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
+    grouped = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots", rows=n_rows)
     firsts = grouped.groupBy("root").agg(F.min("first").alias("of_all"))
-    named = cut(grouped.join(firsts, "root").select("fp", F.col("of_all.doc_id").alias("component_id"), F.col("of_all.row").alias("keep_row")), "simhash-named")
+    named = cut(grouped.join(firsts, "root").select("fp", F.col("of_all.doc_id").alias("component_id"), F.col("of_all.row").alias("keep_row")), "simhash-named", rows=n_rows)
     return prints.join(named, "fp").select("row", "doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"))

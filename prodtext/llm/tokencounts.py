@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prodtext.llm.common import ship
+
 KEYS = ["source", "lang", "version"]
 MEASURES = ["documents", "tokens", "bytes"]
 SCHEMA = "source string, lang string, version string, documents bigint, tokens bigint, bytes bigint"
@@ -41,22 +43,37 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
+class Vocabularies:
+    """Vocabulary files as a broadcast value.  The encoders are made once in a worker process and
+    stay with the value: made anew for each task, they would fill its memory."""
+
+    def __init__(self, files: dict[str, bytes], pattern: str):
+        self.files, self.pattern, self.made = files, pattern, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": None}
+
+    def coders(self) -> dict:
+        if self.made is None:
+            import base64
+
+            import tiktoken
+
+            self.made = {}
+            for v, lines in self.files.items():
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+                self.made[v] = tiktoken.Encoding(v, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return self.made
+
+
 def token_counts(docs: DataFrame, tokenizers: dict[str, str], pattern: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and, for each version, tokens_<version>: the number of tokens of the
     whole text.  ``tokenizers`` maps versions to vocabulary files (base64 token and rank on
     each line); they are read here and sent to the tasks, some MB each."""
-    files = {v: open(p, "rb").read() for v, p in tokenizers.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(files)
-
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        import base64
-
-        import tiktoken
+    shared = ship(docs.sparkSession, Vocabularies({v: open(p, "rb").read() for v, p in tokenizers.items()}, pattern))
 
-        coders = {}
-        for v, lines in shared.value.items():
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
-            coders[v] = tiktoken.Encoding(v, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coders = shared().coders()
         for texts in batches:
             counts = {v: [] for v in coders}
             for text in texts:
@@ -103,7 +120,8 @@ class Rollup:
         if self._done(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
-        sums.where(" OR ".join(f"{m} <> 0" for m in MEASURES)).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batch={batch}")
+        # a row for each source, language and version: one small file
+        sums.where(" OR ".join(f"{m} <> 0" for m in MEASURES)).repartition(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batch={batch}")
         return True
 
     def totals(self) -> DataFrame:

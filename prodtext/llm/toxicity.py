@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prodtext.llm.common import ship
 from prodtext.llm.decontamination import words_of
 from prodtext.llm.labelled import class_counts, collect_features, logistic, platt, sampled_labels, score_column, scored
 
@@ -155,18 +156,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, shares: tuple[int, int], bits: in
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, per_class: int = 5000, bits: int = 30, factors: int = 4):
-    """The fitted machine as a broadcast variable (8192 terms at most)."""
+    """The fitted machine, shipped to the tasks (8192 terms at most)."""
     rows, y = collect_features(docs, sampled_labels(labels, label, folds, per_class), lambda t: terms(t, bits))
-    return docs.sparkSession.sparkContext.broadcast(fit(rows, y, class_counts(labels, label, folds), bits, factors))
+    return ship(docs.sparkSession, fit(rows, y, class_counts(labels, label, folds), bits, factors))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, **options) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every document."""
     shared = fitted(docs, labels, folds=folds, **options)
-    return scored(docs, lambda t: shared.value.score(t), folds, threshold)
+    return scored(docs, lambda t: shared().score(t), folds, threshold)
 
 
 def toxicity_column(docs: DataFrame, labels: DataFrame, **options) -> Column:
     """The score as a column for ``docs``, to filter by."""
     shared = fitted(docs, labels, **options)
-    return score_column(lambda t: shared.value.score(t))(F.col("text"))
+    return score_column(lambda t: shared().score(t))(F.col("text"))
