@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodtext.llm import decontamination, mixing, sharding, simhash, toxicity
-from prodtext.llm.common import cut, read_documents, shared_dir
+from prodtext.llm.common import cut, free_name, read_documents, shared_dir
 
 TOXIC_FROM = 0.5
 
@@ -22,31 +22,33 @@ TOXIC_FROM = 0.5
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_no", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with an id for each row, and the id's name."""
+    row = free_name(docs, "row_no")
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine scores below the threshold; labels come from the table."""
     score = toxicity.toxicity_column(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    return docs.withColumn("toxic_score", score).where(F.col("toxic_score") < TOXIC_FROM).select(*columns)
+    name = free_name(docs, "toxic_score")
+    return docs.withColumn(name, score).where(F.col(name) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id."""
-    numbered = _numbered(docs)
-    found = simhash.near_duplicates(numbered, shingle=3, max_distance=3, row="row_no")
-    gone = cut(found.where("NOT kept").select(F.col("row").alias("row_no")), "pipeline-gone", rows=docs.count())
-    return numbered.join(gone, "row_no", "left_anti").select(*docs.columns)
+    numbered, row = _numbered(docs)
+    found = simhash.near_duplicates(numbered, shingle=3, max_distance=3, row=row)
+    gone = cut(found.where("NOT kept").select(F.col("row").alias(row)), "pipeline-gone", rows=docs.count())
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
-    numbered = _numbered(docs)
-    found = decontamination.decontaminate(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, slop=0, row="row_no")
-    gone = cut(found.where(F.size("spans") > 0).select(F.col("row").alias("row_no")), "pipeline-gone")
-    return numbered.join(gone, "row_no", "left_anti").select(*docs.columns)
+    numbered, row = _numbered(docs)
+    found = decontamination.decontaminate(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, slop=0, row=row)
+    gone = cut(found.where(F.size("spans") > 0).select(F.col("row").alias(row)), "pipeline-gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,14 @@ def cut(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast a value of any class of this package; the function returned gives it in a task.
     It travels pickled by value, is unpickled once in a worker process, and stays with the
