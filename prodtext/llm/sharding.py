@@ -5,8 +5,8 @@ Rows with equal text form a group that stays together.  Groups that hold more th
 them); all smaller groups are summed into ``bundles`` hash bundles.  So the packing sees at
 most 4 * ``bundles`` vectors, however large the table is, and runs on the driver.  Largest
 first, each goes to the shard where the dot product of its vector with the shard's residual
-capacity is highest.  A group larger than a whole shard's capacity cannot keep the shards
-equal in one piece: it is cut into pieces of a quarter capacity, by hash of doc_id.
+capacity is highest.  A group with more bytes than a whole shard's share cannot keep the sizes
+equal in one piece: its rows are dealt out in turn to pieces of a quarter capacity.
 
 Defined results: null text has no bytes (size 1, crc32 0) and is a group apart from empty
 text; repeated rows get slots of their own; an empty table gives an empty result; null
@@ -64,7 +64,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096, chu
         if r["digest"] is None:
             items.append((r["bundle"], vector))
             continue
-        load = max(x / c for x, c in zip(vector, capacity))
+        load = r["size"] / capacity[0]
         pieces = 1 if load <= 1 else int(min(r["n"], math.ceil(4 * load)))
         large.append((bytearray(r["digest"]), next_id, pieces))
         items += [(next_id + i, vector / pieces) for i in range(pieces)]
@@ -76,16 +76,24 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096, chu
 
     large_df = spark.createDataFrame(large, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("first_item", T.IntegerType()), T.StructField("pieces", T.IntegerType())]))
     shard_df = spark.createDataFrame(placed, T.StructType([T.StructField("item", T.IntegerType()), T.StructField("shard", T.IntegerType())]))
-    piece = F.col("first_item") + F.pmod(F.xxhash64(F.lit("piece"), F.col("doc_id")), F.col("pieces")).cast("int")
-    # slots: rows are numbered inside (shard, chunk), and chunks follow each other
     chunks = max(64, math.ceil(n_rows / chunk_rows))
     chunk = F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id"), F.col("text_crc32")), F.lit(chunks))
-    sharded = (rows.join(large_df, "digest", "left").withColumn("item", F.coalesce(piece, bundle))
-               .join(shard_df, "item").withColumn("chunk", chunk))
-    sharded = cut(sharded.select("doc_id", "size", "tokens", "text_crc32", "digest", "shard", "chunk"), "shard-placed")
-    ahead = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (sharded.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n"))
-    inside = Window.partitionBy("shard", "chunk").orderBy(F.col("doc_id").asc_nulls_first(), "digest")
-    return (sharded.withColumn("rank", F.row_number().over(inside)).join(offsets, ["shard", "chunk"])
-            .select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot")))
+    found = rows.withColumn("chunk", chunk).join(large_df, "digest", "left")
+    whole = found.where("pieces IS NULL OR pieces = 1").withColumn("item", F.coalesce("first_item", bundle))
+    if any(pieces > 1 for _, _, pieces in large):
+        # rows of a group in pieces are dealt out in turn
+        split = _numbered(found.where("pieces > 1"), ["digest"], "turn")
+        whole = whole.unionByName(split.withColumn("item", (F.col("first_item") + F.col("turn") % F.col("pieces")).cast("int")).drop("turn"))
+    sharded = cut(whole.join(shard_df, "item").select("doc_id", "size", "tokens", "text_crc32", "digest", "shard", "chunk"), "shard-placed", rows=n_rows)
+    return _numbered(sharded, ["shard"], "slot").select("doc_id", "size", "tokens", "text_crc32", "shard", "slot")
+
+
+def _numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Add ``out``: numbers from 0 without gaps for each value of ``keys``.  Rows are numbered
+    inside (keys, chunk), and chunks follow each other, so no task sees all rows of a key."""
+    ahead = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_offset", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n"))
+    inside = Window.partitionBy(*keys, "chunk").orderBy(F.col("doc_id").asc_nulls_first(), *([] if "digest" in keys else ["digest"]))
+    return (rows.withColumn("_rank", F.row_number().over(inside)).join(offsets, [*keys, "chunk"])
+            .withColumn(out, (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_rank", "_offset"))
