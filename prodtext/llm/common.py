@@ -29,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 ROWS_PER_FILE = 100_000
+SCAN_BYTES = 128 << 20
+
+
+def files_for(rows: int) -> int:
+    return 1 + rows // ROWS_PER_FILE
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A table whose splits are small (many short files) in fewer tasks: at least SCAN_BYTES each,
+    but two tasks for each core.  Splits of that size or more stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # huge where unknown
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // SCAN_BYTES)), 1 << 30))
 
 
 def cut(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFrame:
@@ -40,7 +52,7 @@ def cut(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFra
     files: as many as ROWS_PER_FILE asks for, not one for each shuffle partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)).write.parquet(path)
+    (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
