@@ -11,7 +11,7 @@ from prodtext.operators import annotate as A
 from prodtext.operators import corpus as CO
 from prodtext.operators import render as R
 from prodtext.plans import sqlparts as Q
-from prodtext.plans.annotation_queries import ANN_CTES, gold_of, text_of
+from prodtext.plans.annotation_queries import ANN_CTES, gold_of
 from prodtext.plans.registry import register
 from prodtext.session import scratch_path
 from prodtext.sources import sinks as SK

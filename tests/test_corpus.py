@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from prodtext.operators import corpus as CO
 from prodtext.operators import render as R
