@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prodtext.llm.common import ROWS_PER_FILE, cut
+from prodtext.llm.common import cut, files_for, gathered
 
 FLUSH_BYTES, FLUSH_ROWS = 16 << 20, 50_000
 
@@ -86,11 +86,13 @@ def _named(keyed: DataFrame, rows_of: Callable, schema: T.StructType, label: str
              else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64() for f in schema]
     out = T.StructType([T.StructField("lid", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("occ", T.ArrayType(schema))])
     entries = cut(keyed.mapInArrow(_local_entries(rows_of, fields, arrow), out), f"{label}-entries")
+    n_entries, n_rows = entries.agg(F.count(F.lit(1)), F.sum(F.size("occ"))).first()
     names = (entries.select("lid", "key", F.xxhash64("key").alias("h")).repartition("h").sortWithinPartitions("h", "key")
              .select("lid", "key").mapInArrow(_number, "lid long, name long"))
-    names = cut(names, f"{label}-names")
+    # an exchange of short rows: names are given per partition, so these may not be merged
+    names = cut(names.repartition(files_for(n_entries)), f"{label}-names")
     named = entries.select("lid", "occ").join(names, "lid").select("name", F.explode("occ").alias("o")).select("o.*", "name")
-    return cut(named, label, rows=entries.select(F.sum(F.size("occ"))).first()[0] or 0)
+    return cut(named, label, rows=n_rows or 0)
 
 
 def _blocks(block_bytes: int) -> Callable:
@@ -122,7 +124,7 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = 16384) -> DataFrame:
         id_type = T.LongType()
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("doc_id", id_type),
                            T.StructField("n", T.IntegerType()), T.StructField("sha", T.BinaryType())])
-    texts = docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("binary").alias("text"))
+    texts = gathered(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("binary").alias("text")))
     state = _named(texts, _blocks(block_bytes), schema, "dedup-blocks")
     left = state.where("n > 1").select("row", "n", "idx", "name")
     blocks, n_rows, n_left = state.agg(F.max("n"), F.count_if(F.col("idx") == 0), F.count_if(F.col("n") > 1)).first()
@@ -134,7 +136,7 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = 16384) -> DataFrame:
                  .agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("z"))
                  .select("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("half").alias("idx"), "a", "z"))
         n_left = (n_left + 1) // 2  # about half as many names are left; the files' number needs no more
-        named = _named(pairs.coalesce(1 + n_left // ROWS_PER_FILE), _pairs, pair_schema, "dedup-pairs")
+        named = _named(pairs.coalesce(files_for(n_left)), _pairs, pair_schema, "dedup-pairs")
         done = done.union(named.where("n = 1").select("row", "name"))
         left = named.where("n > 1")
         blocks = -(-blocks // 2)
