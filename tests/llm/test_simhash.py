@@ -59,7 +59,7 @@ def test_links_of_planted_fingerprints(spark, monkeypatch):
     prints = list(dict.fromkeys(prints))
     nodes = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in prints], "fp long")
     members = S._anchor_rows(nodes).repartition("anchor").sortWithinPartitions("anchor", "fp")
-    roots = S.components(members.mapInArrow(S._stars(3), "a long, b long"))
+    roots = S.components(members.mapInArrow(S._stars(3), "a long, b long"), 1000)
     got = {r.node % 2**64: r.root % 2**64 for r in roots.collect()}
     want = brute_components(dict(enumerate(prints)))
     groups = lambda m: sorted(sorted(g) for g in m if len(g) > 1)
