@@ -38,9 +38,9 @@ def files_for(rows: int) -> int:
 
 def gathered(df: DataFrame) -> DataFrame:
     """A table whose splits are small (many short files) in fewer tasks: at least SCAN_BYTES each,
-    but two tasks for each core.  Splits of that size or more stay as they are."""
+    but four tasks for each core.  Splits of that size or more stay as they are."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # huge where unknown
-    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // SCAN_BYTES)), 1 << 30))
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // SCAN_BYTES)), 1 << 30))
 
 
 def cut(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFrame:

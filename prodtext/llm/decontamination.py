@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The training texts are indexed in segments, as search engines do: each segment is one row of
-a stored table and holds, for some thousand documents, the sorted list of (term, position)
+a stored table and holds, for some hundred documents, the sorted list of (term, position)
 postings of the test terms.  Documents lie behind each other with a gap, so one position
 names a document and a place in it.  A test item is searched by windows of consecutive
 words.  For each window the offset-adjusted posting lists are intersected from its rarest
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prodtext.llm.common import cut, ship
+from prodtext.llm.common import cut, gathered, ship
 
 #: every byte of [\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing, ends a word
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SEGMENT_WORDS = 1 << 19
+SEGMENT_WORDS = 1 << 17  # some hundred KB of postings: segments also travel in batches
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -102,7 +102,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], gap: int, segment
     names = ["rows", "doc_ids", "starts", "lengths", "terms", "counts", "positions"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"rows array<bigint>, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, terms array<int>, counts array<int>, positions binary"
-    return cut(docs.select("row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, out), "postings")
+    return cut(gathered(docs.select("row", "doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(run, out), "postings")
 
 
 def _members(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -160,7 +160,8 @@ def search(index: DataFrame, win: Windows, slop: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win = shared()
         for b in batches:
-            for seg in b.to_pylist():
+            for i in range(b.num_rows):
+                seg = b.slice(i, 1).to_pylist()[0]
                 terms, counts = np.array(seg["terms"], dtype=np.int64), np.array(seg["counts"], dtype=np.int64)
                 raw = seg["positions"]
                 positions = np.frombuffer(raw, "<i8" if len(raw) == 8 * counts.sum() else "<i4").astype(np.int64)
