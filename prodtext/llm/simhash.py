@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prodtext.llm.common import cut
+from prodtext.llm.common import cut, files_for, gathered
 
 SLICE = 4 << 20  # bytes of a text that are split into words at once
 
@@ -196,11 +196,11 @@ def _stars(max_distance: int):
     return run
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: int, max_rounds: int = 60) -> DataFrame:
     """(node, root): connected components of (a, b) by large-star and small-star steps; the
-    root is the smallest node.  Neighbour lists are never gathered: each step is a minimum per
+    root is the smallest node.  ``nodes``, about how many there are, sets the number of files.  Neighbour lists are never gathered: each step is a minimum per
     node, joined back to its edges."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().repartition(files_for(nodes)), "cc-edges")
     n_edges, state = edges.count(), None
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
@@ -225,13 +225,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, se
     is returned too; without it, rows are told apart by an id given while reading."""
     if max_distance > 3:
         raise ValueError("anchors of radius 1 on halves serve distances up to 3")
-    rows = docs.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    rows = gathered(docs.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()).select("row", "doc_id", "text"))
     prints = cut(with_fingerprints(rows, ["row", "doc_id"], shingle, seed), "simhash-prints")
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     n_rows = prints.count()
     nodes = cut(nodes, "simhash-nodes", rows=n_rows)
     members = _anchor_rows(nodes).repartition("anchor").sortWithinPartitions("anchor", "fp")
-    roots = components(members.mapInArrow(_stars(max_distance), "a long, b long"))
+    roots = components(members.mapInArrow(_stars(max_distance), "a long, b long"), n_rows)
     grouped = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots", rows=n_rows)
     firsts = grouped.groupBy("root").agg(F.min("first").alias("of_all"))
     named = cut(grouped.join(firsts, "root").select("fp", F.col("of_all.doc_id").alias("component_id"), F.col("of_all.row").alias("keep_row")), "simhash-named", rows=n_rows)
