@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prodtext.llm.common import cut, md5_long, word_count
+from prodtext.llm.common import cut, gathered, md5_long, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2),
@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tupl
     reading is a second range.  ``carry`` names further input columns to keep."""
     # renamed inside, as the columns that the mix adds could clash with those carried along
     kept = [F.col(c).alias(f"in_{c}") for c in carry]
-    sizes = cut(docs.select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = cut(gathered(docs).select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, share, max_epochs)
     blocks = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sources = (targets.withColumn("one", F.lit(1))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodtext.llm import chat, decontamination, exact_dedup, langid, mixing, quality, sharding, simhash, tokencounts, toxicity
-from prodtext.llm.common import crc_mod, cut, read_documents, shared_dir
+from prodtext.llm.common import crc_mod, cut, gathered, read_documents, shared_dir
 from prodtext.llm.oracles import OP2_SQL, OP3_SQL, OP5_SQL, OP8_SQL
 
 
@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep, versions = ["doc_id", "source", "lang", "bytes"], list(TOKENIZERS)
     rollup = tokencounts.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
     rows = docs.withColumn("digest", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))
-    before = cut(tokencounts.token_counts(rows, TOKENIZERS, PATTERN, [*keep, "digest"]), "token-rows")
+    before = cut(tokencounts.token_counts(gathered(rows), TOKENIZERS, PATTERN, [*keep, "digest"]), "token-rows")
     rollup.commit("1-insert", tokencounts.signed(before, versions, 1))
     copies = before.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     n_rows = before.count()
@@ -35,7 +35,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("2-delete", tokencounts.signed(dropped, versions, -1))
     tidy = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
     changed = docs.withColumn("new", tidy).where("doc_id IS NOT NULL AND new <> text").drop("text").withColumnRenamed("new", "text").withColumn("bytes", F.octet_length("text").cast("long"))
-    after = cut(tokencounts.token_counts(changed, TOKENIZERS, PATTERN, keep).join(dropped.select("doc_id"), "doc_id", "left_anti"), "token-revised")
+    after = cut(tokencounts.token_counts(gathered(changed), TOKENIZERS, PATTERN, keep).join(dropped.select("doc_id"), "doc_id", "left_anti"), "token-revised")
     old = before.drop("digest").join(after.select("doc_id"), "doc_id", "left_semi")
     rollup.commit("3-revise", tokencounts.signed(old, versions, -1).unionByName(tokencounts.signed(after, versions, 1)))
     return rollup.totals()

@@ -10,7 +10,7 @@ equal in one piece: its rows are dealt out in turn to pieces of a quarter capaci
 
 Defined results: null text has no bytes (size 1, crc32 0) and is a group apart from empty
 text; repeated rows get slots of their own; an empty table gives an empty result; null
-doc_id is a value like any other; further columns are ignored unless carried.
+doc_id is a value like any other; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prodtext.llm.common import cut, word_count
+from prodtext.llm.common import cut, gathered, word_count
 
 
 def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:
@@ -43,7 +43,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096, chu
     """One row per document: doc_id, size, tokens, text_crc32, shard, slot (gapless from 0 in
     each shard).  ``chunk_rows`` is the aim for the rows that one window numbers."""
     spark = docs.sparkSession
-    rows = cut(docs.select(
+    rows = cut(gathered(docs).select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         word_count(F.col("text")).alias("tokens"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
