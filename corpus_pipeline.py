@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs.  All but the last return the columns of documents.
-Stages that drop documents find them by an id given while reading their input table; the
-table is read the same way each time, so the ids agree.
+Stages that drop documents find them by a row id.  It is given once, in a copy of the stage's
+input that is written to the shared folder, and read from there by the operator and by the join
+that drops rows: an id made anew at each reading would follow the splits, which can change.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodtext.llm import decontamination, mixing, sharding, simhash, toxicity
-from prodtext.llm.common import cut, free_name, read_documents, shared_dir
+from prodtext.llm.common import cut, free_name, gathered, read_documents, shared_dir
 
 TOXIC_FROM = 0.5
 
@@ -23,9 +24,9 @@ ORACLE_SQL = None
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with an id for each row, and the id's name."""
+    """``docs``, written once with an id for each row, and the id's name."""
     row = free_name(docs, "row_no")
-    return docs.withColumn(row, F.monotonically_increasing_id()), row
+    return cut(gathered(docs).withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component stays: that of the smallest doc_id."""
     numbered, row = _numbered(docs)
     found = simhash.near_duplicates(numbered, shingle=3, max_distance=3, row=row)
-    gone = cut(found.where("NOT kept").select(F.col("row").alias(row)), "pipeline-gone", rows=docs.count())
+    gone = cut(found.where("NOT kept").select(F.col("row").alias(row)), "pipeline-gone", rows=numbered.count())
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 

@@ -127,11 +127,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     that covers the whole document keeps its text as it is; a shorter one keeps the words of
     the range and the white space between them, and ``n_chars``, if there, follows.  Rows
     without words are not taken: there is nothing in them to weigh.  Rows are told apart by an
-    id given while reading, so ``docs`` must be a table or read the same way each time."""
+    id that is written once with them, so ``docs`` need not be read the same way each time."""
     columns = docs.columns
-    numbered = docs.select(*[F.col(c).alias(f"in_{c}") for c in columns], F.monotonically_increasing_id().alias("mix_row"))
+    numbered = cut(gathered(docs).select(*[F.col(c).alias(f"in_{c}") for c in columns], F.monotonically_increasing_id().alias("mix_row")), "mix-rows")
     small = numbered.select("mix_row", F.col("in_doc_id").alias("doc_id"), F.col("in_source").alias("source"), F.col("in_text").alias("text"))
-    mix = cut(mix_sources(small, carry=["mix_row"], **options).where("taken > 0").select(F.col("in_mix_row").alias("mix_row"), "size", "pieces"), "mix-pieces", rows=docs.count())
+    mix = cut(mix_sources(small, carry=["mix_row"], **options).where("taken > 0").select(F.col("in_mix_row").alias("mix_row"), "size", "pieces"), "mix-pieces", rows=numbered.count())
     words = F.regexp_extract_all(F.col("in_text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(words, (F.col("p.start") + 1).cast("int"), F.col("p.length").cast("int")), "")
     rows = (numbered.join(mix, "mix_row").withColumn("p", F.explode("pieces"))

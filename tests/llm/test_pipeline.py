@@ -90,3 +90,27 @@ def test_repeated_rows_leave_one(spark):
     docs = cut(spark.createDataFrame([(1, "same words here today")] * 3 + [(2, "Same words HERE today")], "doc_id long, text string"))
     assert P.drop_near_duplicates(spark, docs, "").count() == 1
     assert sum(r.kept for r in simhash.near_duplicates(docs).collect()) == 1
+
+
+@pytest.mark.parametrize("stage, module, operator", [("drop_near_duplicates", P.simhash, "near_duplicates"), ("drop_contaminated", P.decontamination, "decontaminate"), ("mix", P.mixing, "mix_sources")])
+def test_splits_that_change_between_readings(spark, sf_dir, documents, monkeypatch, tmp_path, stage, module, operator):
+    """Row ids hold when the table is split otherwise after the operator has read it."""
+    documents.repartition(6).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = sorted(map(tuple, cut(getattr(P, stage)(spark, docs, sf_dir)).select("doc_id", "text").collect()))
+    plain, cost = getattr(module, operator), spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def then_resplit(*args, **options):
+        out = cut(plain(*args, **options))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a file each
+        return out
+
+    monkeypatch.setattr(module, operator, then_resplit)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = sorted(map(tuple, cut(getattr(P, stage)(spark, docs, sf_dir)).select("doc_id", "text").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == want
