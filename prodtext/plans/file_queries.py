@@ -44,11 +44,11 @@ def q_descriptions_csv_file(spark, sf_dir):
 SELECT CAST(row_number() OVER (PARTITION BY source ORDER BY t.doc_id) AS INT) AS doc_ord, t.tagged_text AS text
 FROM tagged t JOIN documents d ON d.doc_id = t.doc_id""")
 def q_json_array_file(spark, sf_dir):
-    """An array of strings for each source, one per line."""
+    """The strings of each source in order, as arrays of bounded size, one per line."""
     path = scratch_path(spark, "arrays")
     tagged = fixture(spark, sf_dir, "tagged").join(spark.table("documents").select("doc_id", "source"), "doc_id")
     SK.write_json_arrays(tagged, path, "tagged_text", "source", "doc_id")
-    return RD.read_json_string_array(spark, path, per_line=True).select(F.col("doc_ord").cast("int").alias("doc_ord"), "text")
+    return RD.read_json_arrays(spark, path).select(F.col("doc_ord").cast("int").alias("doc_ord"), "text")
 
 
 @register("product_json_file", duck_with(["catalog"]) + "SELECT product_id, title, brand, schema FROM catalog")

@@ -43,3 +43,11 @@ def read_json_string_array(spark: SparkSession, path: str, per_line: bool = Fals
     arrays = spark.read.text(path, wholetext=not per_line)
     return arrays.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "text")).select(
         (F.col("pos") + 1).alias("doc_ord"), "text")
+
+
+def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of ``sinks.write_json_arrays`` -> (group, doc_ord, text), doc_ord from 1 in each
+    group.  Lines are of bounded size and Spark splits them over tasks."""
+    lines = spark.read.text(path).select(F.from_json("value", "`group` string, first bigint, items array<string>").alias("line"))
+    return lines.select("line.group", "line.first", F.posexplode("line.items").alias("pos", "text")).select(
+        "group", (F.col("first") + F.col("pos")).alias("doc_ord"), "text")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodtext.operators.annotate import strip_tags_expr
+from prodtext.session import cut_lineage
 
 
 def write_records(df: DataFrame, path: str, col: str = "record") -> None:
@@ -31,7 +32,28 @@ def write_annotation_corpora(tagged: DataFrame, path: str, col: str = "tagged_te
     tagged.select("doc_id", strip_tags_expr(F.col(col)).alias("text")).write.mode("overwrite").json(f"{path}/untagged")
 
 
-def write_json_arrays(df: DataFrame, path: str, col: str, group: str, order: str) -> None:
-    """JSON arrays of strings, one array per line and ``group``, elements by ``order``."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(order, col))), lambda x: x[col])
-    df.groupBy(group).agg(F.to_json(items).alias("value")).select("value").write.mode("overwrite").text(path)
+def write_json_arrays(df: DataFrame, path: str, col: str, group: str, order: str, array_bytes: int = 1 << 20, chunk_rows: int = 4096) -> None:
+    """JSON arrays of strings, elements by ``order`` in each ``group``, in lines of bounded size:
+    {group, first, items}, with ``first`` the place of the first item in its group, from 1.
+
+    Keys without texts are dealt to ranges of (group, order), about ``chunk_rows`` each, and numbered
+    inside (group, range); ranges follow each other.  An array ends at ``array_bytes`` and holds one
+    text beyond that at most.  Texts of equal ``order`` lie by hash; equal ones are interchangeable."""
+    bare = df.select(F.col(group).alias("group"), F.col(order).alias("order"), F.col(col).alias("item"), F.monotonically_increasing_id().alias("row"))
+    rows = cut_lineage(bare)  # written, so that the ids hold
+    size = F.coalesce(F.octet_length("item"), F.lit(0)) + 1
+    keys = rows.select("group", "order", F.xxhash64("item").alias("tie"), "row", size.alias("size"))
+    ranges = max(1, -(-rows.count() // chunk_rows))
+    dealt = cut_lineage(keys.repartitionByRange(ranges, "group", "order", "tie", "row").withColumn("chunk", F.spark_partition_id()))
+    ahead = Window.partitionBy("group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (dealt.groupBy("group", "chunk").agg(F.count(F.lit(1)).alias("n"))
+               .select(F.col("group").alias("of"), F.col("chunk").alias("at"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset")))
+    inside = Window.partitionBy("group", "chunk").orderBy("order", "tie", "row")
+    before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = (dealt.withColumn("rank", F.row_number().over(inside)).withColumn("piece", F.floor(before / array_bytes))
+              .join(offsets, F.col("group").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at")))
+              .select("row", "chunk", "piece", (F.col("offset") + F.col("rank")).alias("place")))
+    lines = (rows.select("group", "row", "item").join(placed, "row").groupBy("group", "chunk", "piece")
+             .agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("items")))
+    line = F.struct("group", F.col("items")[0]["place"].alias("first"), F.transform("items", lambda x: x["item"]).alias("items"))
+    lines.select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 from prodtext.operators import catalog as C
+from prodtext.sources import readers as RD
 from prodtext.sources import sinks as SK
 from prodtext.sources.fixtures import fixture
 
@@ -31,3 +32,20 @@ def test_sample_products_dispatch(spark, sf_dir):
     assert len(rows) == 7 and all(r.schema == "medium" for r in rows)
     assert [r.product_id for r in rows] == [r.product_id for r in C.sample_products(cat, 7, "medium").collect()]
     assert C.sample_products(cat, None, "medium").count() == 0
+
+
+def test_json_arrays_are_bounded(spark):
+    """A group is many lines, and its texts keep their order and places; null groups and texts too."""
+    rows = [(g, i, None if i == 7 else "" if i == 8 else f"{g} \n\"{i}\" " + "x" * (i % 50)) for g, n in (("hot", 3000), ("b", 9), (None, 40)) for i in range(n)]
+    rows += [("tie", 5, "same")] * 500 + [("tie", 5, "other")]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(5)
+    path = os.path.join(tempfile.mkdtemp(prefix="prodtext-test-", dir="/tmp"), "arrays")
+    SK.write_json_arrays(df, path, "text", "source", "doc_id", array_bytes=1000, chunk_rows=400)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert len(lines) > 50 and max(map(len, lines)) < 4000
+    got = {(r.group, r.doc_ord): r.text for r in RD.read_json_arrays(spark, path).collect()}
+    assert len(got) == len(rows)
+    want = {(g, i + 1): t for g, i, t in rows if g != "tie"}
+    assert {k: t for k, t in got.items() if k[0] != "tie"} == want
+    assert sorted(t for k, t in got.items() if k[0] == "tie") == ["other"] + ["same"] * 500
+    assert sorted(k[1] for k in got if k[0] == "tie") == list(range(1, 502))
