@@ -99,3 +99,99 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+# crc32 bit by bit over the characters of a number, written in decimal.
+CRC_SQL = r"""xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split({0}, ''), lambda x: [ascii(x)::UBIGINT, 4294967296, 4294967296, 4294967296, 4294967296, 4294967296, 4294967296, 4294967296, 4294967296]))),
+      lambda c, b: CASE WHEN b < 4294967296 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END) END))"""
+
+# Levels one by one, for all trees at once; siblings by their index; folding over a list of steps.
+OP11_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(@CRC@ % 7 = 0, false) AS bad FROM documents),
+hashed AS MATERIALIZED (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + bad::INT)::VARCHAR) || ':' || (n_chars + bad::INT), '-') || tail) AS shown FROM d),
+ranked AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+    count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+lv(tree, level, idx, digest, n) AS (
+  SELECT tree, 0, rank, leaf, n FROM ranked
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (n + 1) // 2 FROM lv WHERE n > 1 GROUP BY tree, level + 1, idx // 2, (n + 1) // 2),
+tv(level, idx, digest, n) AS (
+  SELECT 0, tree, digest, (SELECT count(DISTINCT tree) FROM ranked) FROM lv WHERE n = 1
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (n + 1) // 2 FROM tv WHERE n > 1 GROUP BY level + 1, idx // 2, (n + 1) // 2),
+steps AS (
+  SELECT r.tree, r.rank, o.level, CASE WHEN s.idx IS NULL THEN 'N' WHEN s.idx < o.idx THEN 'L' ELSE 'R' END AS side, s.digest
+  FROM ranked r JOIN lv o ON o.tree = r.tree AND o.n > 1 AND o.idx = r.rank >> o.level LEFT JOIN lv s ON s.tree = o.tree AND s.level = o.level AND s.idx = xor(o.idx, 1)
+  UNION ALL
+  SELECT r.tree, r.rank, 1000 + o.level, CASE WHEN s.idx IS NULL THEN 'N' WHEN s.idx < o.idx THEN 'L' ELSE 'R' END, s.digest
+  FROM ranked r JOIN tv o ON o.n > 1 AND o.idx = r.tree >> o.level LEFT JOIN tv s ON s.level = o.level AND s.idx = xor(o.idx, 1)),
+proofs AS (
+  SELECT tree, rank, sha256(coalesce(string_agg(digest, '' ORDER BY level), '')) AS proof_sha256, list(side || coalesce(digest, '') ORDER BY level) AS path FROM steps GROUP BY tree, rank),
+folded AS (
+  SELECT r.*, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(r.shown, coalesce(p.path, [])), lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root
+  FROM ranked r LEFT JOIN proofs p ON p.tree = r.tree AND p.rank = r.rank)
+SELECT f.doc_id, f.leaf, s.digest AS subroot, t.digest AS root, f.proof_sha256, f.folded_root, f.folded_root = t.digest AS verified
+FROM folded f JOIN lv s ON s.tree = f.tree AND s.n = 1 JOIN tv t ON t.n = 1
+""".replace("@CRC@", CRC_SQL.format("doc_id::VARCHAR"))
+
+# One step of the recursion takes one row of every conversation through all edits; a state keeps its best.
+OP12_SQL = r"""
+WITH RECURSIVE c AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, @CRC@ % 20 AS what
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)),
+damaged AS (
+  SELECT conv_id, turn, CASE what WHEN 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, unnest(generate_series(1, CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS q(k)),
+placed AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+kinds AS MATERIALIZED (
+  SELECT conv, conv_id, i, turn, role, text, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'sound' END AS fault FROM placed),
+added(q, q1, letters, lines) AS (VALUES (0, 0, '', []::VARCHAR[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+  (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])),
+turns_to(q1, initial, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS MATERIALIZED (
+  SELECT q, q1 AS q2, letters || 'D' AS letters, lines, 3 * len(letters) + 4 AS cost, 'D' AS edit, NULL::VARCHAR AS initial, NULL::VARCHAR AS new_role FROM added
+  UNION ALL SELECT q, q2, letters || 'K', lines, 3 * len(letters), 'K', initial, NULL FROM added JOIN turns_to USING (q1)
+  UNION ALL SELECT q, q2, letters || 'R', lines, 3 * len(letters) + 3, 'R', NULL, CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END FROM added JOIN turns_to USING (q1) WHERE initial <> 's'),
+walk(conv, i, q, cost, audit, lines) AS (
+  SELECT DISTINCT conv, 0::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM kinds
+  UNION ALL
+  SELECT conv, i, q, cost, audit, lines FROM (
+    SELECT w.conv, w.i + 1 AS i, e.q2 AS q, w.cost + e.cost + CASE WHEN k.fault = 'truncated' AND e.edit <> 'D' THEN 3 ELSE 0 END AS cost, w.audit || e.letters AS audit,
+      w.lines || e.lines || CASE e.edit WHEN 'D' THEN [] ELSE [coalesce(e.new_role, k.role) || ':' || k.text] END AS lines
+    FROM walk w JOIN kinds k ON k.conv = w.conv AND k.i = w.i + 1 JOIN edits e ON e.q = w.q AND (e.initial IS NULL OR e.initial = k.initial) AND (e.edit = 'D' OR k.fault NOT IN ('blank', 'duplicate')))
+  QUALIFY row_number() OVER (PARTITION BY conv, q ORDER BY cost, audit) = 1),
+ended AS (
+  SELECT conv, w.cost + 3 * len(t.letters) AS cost, audit || t.letters AS audit, w.lines || t.lines AS lines FROM walk w
+  JOIN (VALUES (0, '', []::VARCHAR[]), (1, 'II', ['user:', 'assistant:']), (2, 'I', ['assistant:']), (3, '', [])) AS t(q, letters, lines) ON t.q = w.q
+  WHERE i = (SELECT count(*) FROM kinds k WHERE k.conv = w.conv) QUALIFY row_number() OVER (PARTITION BY conv ORDER BY w.cost + 3 * len(t.letters), audit || t.letters) = 1),
+counted AS (
+  SELECT conv, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM kinds GROUP BY conv),
+found AS (SELECT * FROM counted JOIN ended USING (conv))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+""".replace("@CRC@", CRC_SQL.format("key"))
+
+# Every pair of documents that share a shingle, then everything that links reach.
+OP13_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[k : k + 4], ' ') AS gram FROM d, unnest(generate_series(1, greatest(1, len(w) - 4))) AS q(k) WHERE len(w) > 0),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.gram = y.gram AND x.r <> y.r GROUP BY x.r, y.r) p
+  JOIN sizes na ON na.r = p.a JOIN sizes nb ON nb.r = p.b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, (SELECT count(*) FROM links WHERE links.a = d.r)::BIGINT AS n_links
+FROM d LEFT JOIN sizes USING (r) JOIN comp USING (r)
+"""

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prodtext.llm import chat, decontamination, exact_dedup, langid, mixing, quality, sharding, simhash, tokencounts, toxicity
+from prodtext.llm import chat, decontamination, exact_dedup, jaccard, langid, merkle, mixing, quality, repair, sharding, simhash, tokencounts, toxicity
 from prodtext.llm.common import crc_mod, cut, gathered, read_documents, shared_dir
-from prodtext.llm.oracles import OP2_SQL, OP3_SQL, OP5_SQL, OP8_SQL
+from prodtext.llm.oracles import OP2_SQL, OP3_SQL, OP5_SQL, OP8_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 TOKENIZERS = {"bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "bpe_multi_50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
@@ -89,7 +89,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, threshold=0.5)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verifier is shown n_chars one too high where 7 divides the crc32 of doc_id."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    shown = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.merkle_manifest(read_documents(spark, sf_dir), presented=shown)[0].drop("path")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair.digest(*repair.repair_conversations(damaged, present="present"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read_documents(spark, sf_dir), width=5, percent=80)
+
+
 QUERIES = {"op1_token_counts": op1_token_counts, "op2_mixing": op2_mixing, "op3_chat_format": op3_chat_format, "op4_language_id": op4_language_id,
            "op5_exact_dedup": op5_exact_dedup, "op6_simhash": op6_simhash,
-           "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity}
-ORACLE = {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
+           "op7_sharding": op7_sharding, "op8_decontamination": op8_decontamination, "op9_quality": op9_quality, "op10_toxicity": op10_toxicity,
+           "op11_merkle_manifest": op11_merkle_manifest, "op12_conversation_repair": op12_conversation_repair, "op13_jaccard_join": op13_jaccard_join}
+ORACLE = {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL,
+          "op11_merkle_manifest": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_jaccard_join": OP13_SQL}
