@@ -44,7 +44,8 @@ from prodtext.llm.simhash import SLICE, _word_slices, components
 
 FLUSH = 1 << 20        # postings that a task gathers before it sends them
 BUCKET = 1 << 20       # aim for the postings of a bucket
-CELL = 1 << 21         # aim for the shingles of a cell of a cluster
+CELL = 1 << 20         # aim for the shingles of a cell of a cluster
+PROBES = 1 << 22       # binary searches of long lists that are made at once
 WORDS_HELD = 100_000   # words whose hash a task remembers; a word that is not is hashed again
 LONG_LIST = 0.1        # weight of the longest list's logarithm in the number of long lists
 
@@ -96,6 +97,24 @@ def _bytes(a: np.ndarray, kind: str) -> bytes:
     return a.astype(kind).tobytes()
 
 
+def _named(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A shingle's name is its bucket, the first ``bits`` bits of its hash (16 at most), and its last 48
+    bits: as a bucket holds about ``BUCKET`` postings, these tell its shingles apart at any number of buckets."""
+    top = hashes >> np.uint64(64 - min(bits, 16)) if bits else np.zeros_like(hashes)
+    return top << np.uint64(48) | hashes & np.uint64((1 << 48) - 1)
+
+
+def _low(names: np.ndarray) -> bytes:
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _whole(low: bytes, bucket: int, bits: int) -> np.ndarray:
+    """Names of which a bucket was sent the last 48 bits."""
+    out = np.zeros((len(low) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64((bucket >> max(0, bits - 16)) << 48)
+
+
 def _flush_schema(id_type: T.DataType) -> T.StructType:
     """A flush's documents (kind 0), or postings (kind 1: of a bucket; kind 2: back to their flush)."""
     return T.StructType([T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("flush", T.LongType()),
@@ -106,7 +125,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
 
-def _postings(width: int, buckets: int, schema: pa.Schema):
+def _postings(width: int, bits: int, schema: pa.Schema):
     """(doc_id, text) to flushes.  A flush's row keeps the documents (ids, sizes, set keys) and the
     postings of shingles that occur in it more than once; the others go to buckets with their document."""
 
@@ -120,8 +139,10 @@ def _postings(width: int, buckets: int, schema: pa.Schema):
             n_flushes += 1
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             hashes, doc = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(hashes, kind="stable")
-            hashes, doc = hashes[order], doc[order]
+            buckets = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+            hashes = _named(hashes, bits)
+            order = np.lexsort((hashes, buckets)) if bits > 16 else np.argsort(hashes, kind="stable")
+            hashes, doc, buckets = hashes[order], doc[order], buckets[order]
             new = np.concatenate(([True], hashes[1:] != hashes[:-1]))[:len(hashes)]
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate((first, [len(hashes)])))
@@ -129,12 +150,11 @@ def _postings(width: int, buckets: int, schema: pa.Schema):
             rows = [{"part": number, "kind": 0, "flush": number, "ids": list(ids), "sizes": _bytes(sizes, "<i8"),
                      "keys": b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "often": _bytes(hashes[many], "<u8"), "doc": _bytes(doc[many], "<u2")}]
             once, once_doc, often, count = hashes[~many], doc[~many], hashes[first][count > 1], count[count > 1]
-            place = lambda h: (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            edges = np.arange(buckets + 1)
-            a, z = np.searchsorted(place(once), edges), np.searchsorted(place(often), edges)
-            rows += [{"part": b, "kind": 1, "flush": number, "once": _bytes(once[a[b]:a[b + 1]], "<u8"), "doc": _bytes(once_doc[a[b]:a[b + 1]], "<u2"),
-                      "often": _bytes(often[z[b]:z[b + 1]], "<u8"), "count": _bytes(count[z[b]:z[b + 1]], "<u4")}
-                     for b in range(buckets) if a[b] < a[b + 1] or z[b] < z[b + 1]]
+            once_in, often_in = buckets[~many], buckets[first][np.diff(np.concatenate((first, [len(hashes)]))) > 1]
+            used = np.unique(buckets)
+            a, z = np.searchsorted(once_in, np.append(used, 1 << bits)), np.searchsorted(often_in, np.append(used, 1 << bits))
+            rows += [{"part": int(b), "kind": 1, "flush": number, "once": _low(once[a[i]:a[i + 1]]), "doc": _bytes(once_doc[a[i]:a[i + 1]], "<u2"),
+                      "often": _low(often[z[i]:z[i + 1]]), "count": _bytes(count[z[i]:z[i + 1]], "<u4")} for i, b in enumerate(used)]
             ids.clear(), sets.clear()
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist(rows[at:at + 64], schema)
@@ -167,14 +187,14 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
         yield held
 
 
-def _shared(schema: pa.Schema):
+def _shared(bits: int, schema: pa.Schema):
     """Postings sorted by bucket, to those of shingles that occur more than once, back to their
     flush with the length of the list.  Rows of flushes pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def bucket(held: list[dict]) -> Iterator[pa.RecordBatch]:
             get = lambda row, column, kind: np.frombuffer(row[column] or b"", kind)
-            once, often = [get(r, "once", "<u8") for r in held], [get(r, "often", "<u8") for r in held]
+            once, often = ([_whole(r[c], r["part"], bits) for r in held] for c in ("once", "often"))
             hashes = np.concatenate(once + often)
             count = np.concatenate([np.ones(sum(map(len, once)), np.int64), *[get(r, "count", "<u4") for r in held]])
             order = np.argsort(hashes, kind="stable")
@@ -190,7 +210,7 @@ def _shared(schema: pa.Schema):
                 more = df > 1
                 if more.any() or len(z):
                     rows.append({"part": r["flush"], "kind": 2, "flush": r["flush"], "once": a[more].tobytes(), "doc": get(r, "doc", "<u2")[more].tobytes(),
-                                 "often": z.tobytes(), "count": _bytes(np.concatenate((df[more], df_often)), "<u8")})
+                                 "often": z.tobytes(), "count": _bytes(np.minimum(np.concatenate((df[more], df_often)), 2**32 - 1), "<u4")})
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist(rows[at:at + 64], schema)
 
@@ -226,10 +246,10 @@ def _documents(percent: int, schema: pa.Schema):
             get = lambda row, column, kind: np.frombuffer(row[column] or b"", kind)
             sizes = get(head, "sizes", "<i8")
             many, many_doc = get(head, "often", "<u8"), get(head, "doc", "<u2")
-            often, often_df = np.concatenate([np.empty(0, np.uint64), *[get(r, "often", "<u8") for r in rest]]), [np.empty(0, np.uint64)]
+            often, often_df = np.concatenate([np.empty(0, np.uint64), *[get(r, "often", "<u8") for r in rest]]), [np.empty(0, np.uint32)]
             once, once_doc, once_df = [], [], []
             for r in rest:
-                a, df = get(r, "once", "<u8"), get(r, "count", "<u8")
+                a, df = get(r, "once", "<u8"), get(r, "count", "<u4")
                 once.append(a), once_doc.append(get(r, "doc", "<u2")), once_df.append(df[:len(a)]), often_df.append(df[len(a):])
             order = np.argsort(often)
             often, often_df = often[order], np.concatenate(often_df)[order]
@@ -259,37 +279,40 @@ def _documents(percent: int, schema: pa.Schema):
 def divide_skip(terms: list[np.ndarray], sizes: np.ndarray, percent: int, sides: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(document, its partners before it) of sets whose similarity is at least ``percent``.  ``sides``:
     documents of side 2 are compared with all, of 0 and 1 with the other side only."""
-    length = np.array([len(t) for t in terms], dtype=np.int64)
-    flat, owner = np.concatenate([np.empty(0, np.int64), *terms]), np.repeat(np.arange(len(terms)), length)
-    order = np.argsort(flat, kind="stable")  # lists are in order of document
+    ends = np.cumsum([0, *map(len, terms)])
+    flat, owner = np.concatenate([np.empty(0, np.int64), *terms]), np.repeat(np.arange(len(terms)), np.diff(ends))
+    order = np.argsort(flat, kind="stable")  # list after list, each in order of document
     flat, owner = flat[order], owner[order]
-    names, first = np.unique(flat, return_index=True)
-    last = np.append(first[1:], len(flat))
-    for i, mine in enumerate(terms):
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))[:len(flat)])
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
+    lists = number * len(terms) + owner  # sorted: a document in a list is found by binary search
+    place = np.empty(len(flat), np.int64)
+    place[order] = np.arange(len(flat))
+    for i in range(len(terms)):
         need = -(-percent * int(sizes[i]) // 100)
-        at = np.searchsorted(names, mine)
-        a = first[at]
-        z = a + np.array([np.searchsorted(owner[x:y], i) for x, y in zip(a, last[at])], dtype=np.int64)  # only documents before this one
+        z = place[ends[i]:ends[i + 1]]  # a list's part before this document
+        a = first[number[z]]
         some = z > a
         a, z = a[some], z[some]
         if len(a) < need:
             continue
         by_length = np.argsort(z - a, kind="stable")
         a, z = a[by_length], z[by_length]
-        n_long = int(need / (LONG_LIST * math.log2(max(2, int(z[-1] - a[-1]))) + 1))
-        n_long = min(n_long, need - 1)
+        n_long = min(int(need / (LONG_LIST * math.log2(max(2, int(z[-1] - a[-1]))) + 1)), need - 1)
         n_short = len(a) - n_long
-        merged = np.sort(np.concatenate([owner[x:y] for x, y in zip(a[:n_short], z[:n_short])]), kind="stable")
+        size = (z - a)[:n_short]
+        merged = np.sort(owner[np.repeat(a[:n_short] - np.cumsum(size) + size, size) + np.arange(size.sum())], kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
         count = np.diff(np.append(starts, len(merged)))
         found, count = merged[starts][count >= need - n_long], count[count >= need - n_long]
         other = (sizes[found] * 100 >= percent * sizes[i]) & (sizes[i] * 100 >= percent * sizes[found]) & ((sides[found] == 2) | (sides[found] != sides[i]))
         found, count = found[other], count[other]
-        for x, y in zip(a[n_short:], z[n_short:]):
-            if not len(found):
-                break
-            place = np.searchsorted(owner[x:y], found)
-            count += (place < y - x) & (owner[x:y][np.minimum(place, y - x - 1)] == found)
+        if len(found):
+            step = max(1, PROBES // len(found))
+            for at in range(n_short, len(a), step):
+                probe = number[a[at:at + step], None] * len(terms) + found
+                where = np.minimum(np.searchsorted(lists, probe), len(lists) - 1)
+                count = count + (lists[where] == probe).sum(axis=0)
         found = found[100 * count >= percent * (sizes[found] + sizes[i] - count)]
         if len(found):
             yield i, found
@@ -356,11 +379,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, cell: int =
     100 * intersection >= percent * union of their sets of ``width``-word shingles."""
     texts = gathered(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + n_bytes // (6 * BUCKET)  # about 6 bytes a word
+    bits = (n_bytes // (6 * BUCKET)).bit_length()  # 2^bits buckets; about 6 bytes a word
     id_type = docs.schema["doc_id"].dataType
     flushes = _flush_schema(id_type)
-    sent = texts.mapInArrow(_postings(width, buckets, _arrow(flushes)), flushes)
-    back = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_shared(_arrow(flushes)), flushes)
+    sent = texts.mapInArrow(_postings(width, bits, _arrow(flushes)), flushes)
+    back = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_shared(bits, _arrow(flushes)), flushes)
     schema = T.StructType([T.StructField("doc_id", id_type), *DOC_FIELDS])
     rows = cut(back.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_documents(percent, _arrow(schema)), schema), "jaccard-rows")
 
