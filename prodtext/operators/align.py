@@ -5,11 +5,13 @@ prompts (a bounded list) and are compared with that product's sentences.  For
 text, vectors are word counts and the join runs on shared (product, token)
 pairs with dot products summed per pair -- exact for count vectors, and only
 pairs that share a word meet.  Caller-supplied dense vectors are compared block
-by block in Arrow batches.
+by block in Arrow batches; blocks of a large product that are too far apart are not.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections import Counter
 
@@ -17,9 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from prodtext.functions.constants import COSINE_THRESHOLD, FEATURE_TEMPLATE
 from prodtext.functions.text import WS, replace_all, strip_ws
+from prodtext.session import cut_lineage
 
 HEADER = rf"^{WS}*(#|<h2>|<h4>)"
 MARKERS = [("#", ""), ("<h2>", ""), ("</h2>", ""), ("<h4>", ""), ("</h4>", "")]
@@ -51,47 +56,159 @@ def paragraph_sentences(paras: DataFrame, key: str = "product_id") -> DataFrame:
 
 
 # ---- J6 (dense) ----------------------------------------------------------------------------
-def _blocks(vectors: DataFrame, key: str, ids: list[str], names: tuple[str, str], block: int) -> DataFrame:
-    """(key, block, ids, vectors): a product's vectors in blocks of about ``block``, by hash."""
-    n = vectors.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-    row = F.struct(F.struct(*ids).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    return (vectors.join(n, key).withColumn("_b", F.pmod(F.xxhash64(*ids), F.col("_n")).cast("int"))
-            .groupBy(key, "_b").agg(F.collect_list(row).alias("_rows"))
-            .select(key, F.col("_b").alias(names[0]), F.col("_rows").alias(names[1])))
+MOST_PIVOTS = 128
+SLACK = 1e-6  # of an angle: rounding never prunes a pair
+
+
+def _matrix(rows: pa.ListScalar) -> tuple[pa.StructArray, np.ndarray]:
+    """A block's rows and their vectors as a matrix."""
+    vec = rows.values.field("vec")
+    return rows.values, np.asarray(vec.flatten()).reshape(len(vec), -1)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    return np.arccos(np.clip(unit @ (pivots / np.linalg.norm(pivots, axis=1)[:, None]).T, -1, 1))
+
+
+def _pairs_above(threshold: float, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+    sim = np.divide(x @ y.T, norms, out=np.full(norms.shape, -2.0), where=norms > 0)
+    i, j = np.nonzero(sim > threshold)
+    return i, j, sim[i, j]
+
+
+def _found(schema: pa.Schema, key, x: tuple, y: tuple, threshold: float) -> pa.RecordBatch:
+    """The pairs of two blocks, each (rows, matrix)."""
+    (sent, a), (feat, b) = x, y
+    i, j, sim = _pairs_above(threshold, a, b)
+    take = {**{c: sent.field(c).take(pa.array(i)) for c in ("para_ord", "sent_ord")}, "feature": feat.field("feature").take(pa.array(j))}
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(i), schema.field(0).type), take["para_ord"], take["sent_ord"], take["feature"], pa.array(sim)], schema=schema)
+
+
+class DensePairs:
+    """Cosine join of two sets of vectors within a product, with an exact pruning index.
+
+    A product whose sides each fit one block of ``block`` vectors is one pair of blocks.  In a larger one
+    vectors are grouped by the nearest of up to MOST_PIVOTS pivots, drawn from both sides by hash, and
+    groups are cut into blocks.  A block's label is the interval of its vectors' angles to each pivot.
+    Angles obey the triangle inequality, so where the intervals of two blocks lie
+    further apart at any pivot than the threshold's angle, none of their pairs can reach it.  Only labels meet
+    for that, dealt over tasks by (product, salt); then a sentence block is fetched once,
+    and a feature block once for each block that it is compared with."""
+
+    def __init__(self, sent_vecs: DataFrame, feat_vecs: DataFrame, threshold: float, key: str, block: int):
+        self.threshold, self.key, self.block = threshold, key, block
+        none = F.lit(None)
+        ids = ["para_ord", "sent_ord", "feature"]
+        types = {**{c: sent_vecs.schema[c].dataType for c in (key, "para_ord", "sent_ord")}, "feature": feat_vecs.schema["feature"].dataType}
+        self.out = T.StructType([*[T.StructField(c, types[c]) for c in (key, *ids)], T.StructField("sim", T.DoubleType())])
+        s = sent_vecs.select(key, F.lit(0).alias("side"), "para_ord", "sent_ord", none.cast(types["feature"]).alias("feature"), F.col("vec").cast("array<double>").alias("vec"))
+        f = feat_vecs.select(key, F.lit(1).alias("side"), none.cast(types["para_ord"]).alias("para_ord"), none.cast(types["sent_ord"]).alias("sent_ord"), "feature", F.col("vec").cast("array<double>").alias("vec"))
+        nonzero = F.exists("vec", lambda v: v != 0)  # zero and null vectors match nothing
+        self.vecs = s.unionByName(f).where(nonzero & F.col(key).isNotNull()).select("*", F.xxhash64("side", *ids).alias("h"))
+        n = self.vecs.groupBy(key).agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+        self.sizes = n.where("n0 > 0 AND n1 > 0").select(key, (F.col("n0") + F.col("n1")).alias("n"), (F.greatest("n0", "n1") > block).alias("large"))
+        self.row = F.struct(*ids, "vec")
+
+    def _map(self, df: DataFrame, kernel, fields: list) -> DataFrame:
+        schema = fields if isinstance(fields, T.StructType) else T.StructType([T.StructField(self.key, self.out[0].dataType), *[T.StructField(*f) for f in fields]])
+        return df.mapInArrow(functools.partial(kernel, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])), schema)
+
+    def small(self) -> DataFrame:
+        """Products of one block a side: no index."""
+        key, threshold = self.key, self.threshold
+        side = lambda n: F.collect_list(F.when(F.col("side") == n, self.row))
+        both = (self.vecs.join(self.sizes.where("NOT large").select(key), key).groupBy(key).agg(side(0).alias("sents"), side(1).alias("feats")))
+
+        def run(schema, batches):
+            for b in batches:
+                for k, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                    yield _found(schema, k, _matrix(x), _matrix(y), threshold)
+
+        return self._map(both, run, self.out)
+
+    def blocks(self) -> DataFrame:
+        """Blocks of the large products: (key, side, b, rows, lo, hi)."""
+        key, block = self.key, self.block
+        large = cut_lineage(self.sizes.where("large").withColumn("chunks", F.ceil(F.col("n") / block)))
+        vecs = self.vecs.join(large.drop("large"), key)
+        n_pivots = F.least(F.lit(MOST_PIVOTS), F.col("chunks")).cast("int")
+        drawn = vecs.where(F.pmod("h", F.lit(1 << 30)) < F.lit(4 << 30) * n_pivots / F.col("n"))  # about four times as many as needed
+        pivots = cut_lineage(drawn.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "side", "vec"))), 1, F.first(n_pivots)).alias("p"))
+                             .select(key, F.transform("p", lambda p: p["vec"]).alias("pivots")))
+        chunks = vecs.groupBy(key, "side", F.pmod(F.xxhash64("h"), "chunks").alias("chunk")).agg(F.collect_list(self.row).alias("rows")).join(pivots, key, "left")
+
+        def pivot_matrix(p):
+            return np.array(p.as_py()) if p.is_valid else None
+
+        def group(schema, batches):
+            for b in batches:
+                for k, side, rows, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                    row, x = _matrix(rows)
+                    p = pivot_matrix(p)
+                    nearest = np.zeros(len(x), np.int32) if p is None else _angles(x, p).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(x), schema.field(0).type), pa.array([side] * len(x), pa.int32()), pa.array(nearest, pa.int32()),
+                                                      *[row.field(c).cast(schema.field(c).type) for c in ("para_ord", "sent_ord", "feature", "vec")]], schema=schema)
+
+        ids = [(f.name, f.dataType) for f in self.out[1:4]]
+        members = cut_lineage(self._map(chunks.select(key, "side", "rows", "pivots"), group, [("side", T.IntegerType()), ("group", T.IntegerType()), *ids, ("vec", T.ArrayType(T.DoubleType()))]))
+        parts = members.groupBy(key, "side", "group").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+        part = F.pmod(F.xxhash64("para_ord", "sent_ord", "feature"), "parts")
+        packed = (members.join(parts, [key, "side", "group"]).groupBy(key, "side", F.concat_ws(".", "group", part).alias("b"))
+                  .agg(F.collect_list(self.row).alias("rows")).join(pivots, key, "left"))
+
+        def label(schema, batches):
+            for b in batches:
+                lows, highs = [], []
+                for rows, p in zip(b.column("rows"), b.column("pivots")):
+                    p = pivot_matrix(p)
+                    angles = np.empty((1, 0)) if p is None else _angles(_matrix(rows)[1], p)
+                    lows.append(angles.min(axis=0).tolist()), highs.append(angles.max(axis=0).tolist())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).cast(schema.field(c).type) for c in (schema.names[0], "side", "b", "rows")],
+                                                  *[pa.array(x, schema.field("lo").type) for x in (lows, highs)]], schema=schema)
+
+        angles = T.ArrayType(T.DoubleType())
+        return cut_lineage(self._map(packed, label, [("side", T.IntegerType()), ("b", T.StringType()), ("rows", packed.schema["rows"].dataType), ("lo", angles), ("hi", angles)]))
+
+    def block_pairs(self, blocks: DataFrame) -> DataFrame:
+        """(key, sb, fb): pairs of blocks whose labels leave room for a pair above the threshold."""
+        key, limit = self.key, math.acos(max(-1.0, min(1.0, self.threshold))) + SLACK
+        n = blocks.where("side = 0").groupBy(key).agg(F.ceil(F.count(F.lit(1)) / 64).alias("salts"))
+        labels = blocks.select(key, "side", "b", "lo", "hi").join(n, key)
+        sents = labels.where("side = 0").select(key, F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("sb"), F.col("lo").alias("slo"), F.col("hi").alias("shi"))
+        feats = labels.where("side = 1").select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("b").alias("fb"), "lo", "hi")
+        gap = F.zip_with(F.zip_with("slo", "hi", lambda a, z: a - z), F.zip_with("lo", "shi", lambda a, z: a - z), lambda a, z: F.greatest(a, z))
+        return sents.join(feats, [key, "salt"]).where(F.forall(gap, lambda g: g <= limit)).select(key, "sb", "fb")
+
+    def large(self) -> DataFrame:
+        key, threshold = self.key, self.threshold
+        blocks = self.blocks()
+        feats = blocks.where("side = 1").select(key, F.col("b").alias("fb"), "rows")
+        fetched = self.block_pairs(blocks).join(feats, [key, "fb"]).select(key, "sb", F.col("fb").alias("b"), F.lit(1).alias("side"), "rows")
+        stream = (blocks.where("side = 0").select(key, F.col("b").alias("sb"), F.col("b"), "side", "rows").unionByName(fetched)
+                  .repartition(key, "sb").sortWithinPartitions(key, "sb", "side", "b").select(key, "sb", "side", "rows"))
+
+        def run(schema, batches):
+            sents = None
+            for b in batches:
+                for k, side, rows in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                    if side == 0:
+                        sents = _matrix(rows)
+                    else:
+                        yield _found(schema, k, sents, _matrix(rows), threshold)
+
+        return self._map(stream, run, self.out)
 
 
 def embedding_pairs(sent_vecs: DataFrame, feat_vecs: DataFrame, threshold: float = COSINE_THRESHOLD,
                     key: str = "product_id", block: int = 512) -> DataFrame:
-    """(product, para, sent, feature, sim) with cosine > threshold, within a product.
-
-    Sentences and features are packed into blocks; every block of sentences meets every block
-    of features of its product, as one row, and the blocks are dealt over the cluster by
-    (product, sentence block, feature block), so a product with many vectors is many
-    small tasks.  A task multiplies the two blocks and hands on the pairs above the
-    threshold only: no pair below it ever is a row.  Zero vectors match nothing."""
-    ids = sent_vecs.select("para_ord", "sent_ord").schema
-    kinds = {f.name: f.dataType.simpleString() for f in [*ids, *feat_vecs.select("feature").schema, *sent_vecs.select(key).schema]}
-    s = _blocks(sent_vecs.select(key, "para_ord", "sent_ord", "vec"), key, ["para_ord", "sent_ord"], ("sb", "sents"), block)
-    f = _blocks(feat_vecs.select(key, "feature", "vec"), key, ["feature"], ("fb", "feats"), block)
-
-    def run(batches):
-        for b in batches:
-            keys = b.column(key).to_pylist()
-            for k, sents, feats in zip(keys, b.column("sents").to_pylist(), b.column("feats").to_pylist()):
-                x, y = (np.array([r["vec"] for r in side]) for side in (sents, feats))
-                norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
-                sim = np.divide(x @ y.T, norms, out=np.full(norms.shape, -2.0), where=norms > 0)
-                i, j = np.nonzero(sim > threshold)
-                yield pa.RecordBatch.from_pylist(
-                    [{key: k, **sents[a]["id"], **feats[z]["id"], "sim": float(sim[a, z])} for a, z in zip(i, j)],
-                    schema=pa.schema([(key, b.column(key).type), *[(c, _arrow(kinds[c])) for c in ("para_ord", "sent_ord", "feature")], ("sim", pa.float64())]))
-
-    out = ", ".join(f"{c} {kinds[c]}" for c in (key, "para_ord", "sent_ord", "feature")) + ", sim double"
-    return s.join(f, key).repartition(key, "sb", "fb").select(key, "sents", "feats").mapInArrow(run, out)
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+    """(product, para, sent, feature, sim) with cosine > threshold, within a product.  Zero and null
+    vectors match nothing.  No pair below the threshold ever is a row."""
+    join = DensePairs(sent_vecs, feat_vecs, threshold, key, block)
+    if join.sizes.where("large").isEmpty():
+        return join.small()
+    return join.small().unionByName(join.large())
 
 
 # ---- J6 (word counts) ----------------------------------------------------------------------
