@@ -73,11 +73,6 @@ def hash_bucket(seed, *keys) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 
 
-def literal_escape(c) -> Column:
-    """Quote a column for use as a literal regex (Java \\Q..\\E, with \\E itself escaped)."""
-    return F.concat(F.lit(r"\Q"), F.replace(col(c), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-
-
 def ordered_join(struct_list: Column, field: str, sep: str) -> Column:
     """array_join of ``field`` after sorting a collected array of structs by its first field."""
     return F.array_join(F.transform(F.array_sort(struct_list), lambda s: s[field]), sep)

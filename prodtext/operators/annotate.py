@@ -7,11 +7,14 @@ one document.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from prodtext.functions.constants import ENTITY_TAGS
-from prodtext.functions.text import literal_escape, replace_all
+from prodtext.functions.text import replace_all
 
 
 # ---- N1 / C8 -------------------------------------------------------------------------------
@@ -41,38 +44,59 @@ def tagged_entities(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
 
 
 # ---- N4 / J5 / C9 --------------------------------------------------------------------------
+POSITIONS = T.StructType([T.StructField("tag_ord", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("entity", T.StringType()),
+                          T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
 def _tag_struct(tag_ord: int, label: str):
     def f(e):
         return F.struct(F.lit(tag_ord).alias("tag_ord"), F.lit(label).alias("label"), e.alias("entity"))
     return f
 
 
+def occurrences(text: str, surfaces: list[str]) -> dict[str, list[int]]:
+    """Starts of every surface in the text, left to right and not overlapping itself, found in
+    one pass over the text by an Aho-Corasick automaton of all surfaces."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for surface in surfaces:
+        machine.add_word(surface, surface)
+    found: dict[str, list[int]] = {}
+    if len(machine):
+        machine.make_automaton()
+        for last, surface in machine.iter(text):
+            starts, start = found.setdefault(surface, []), last + 1 - len(surface)
+            if not starts or start >= starts[-1] + len(surface):
+                starts.append(start)
+    return found
+
+
 def entity_positions(tagged: DataFrame, col: str = "tagged_text") -> DataFrame:
     """Each distinct tagged surface, located literally in the stripped text: every
     non-overlapping left-to-right occurrence (including untagged ones).  Offsets are
-    code points, end exclusive.
-
-    Per document row: distinct surfaces per tag, the stripped text split on each surface,
-    and the piece lengths are computed in place; only (doc, surface, k, length) rows are
-    shuffled for the running sum, never the text."""
+    code points, end exclusive.  A text is read once, whatever the number of its surfaces."""
     tg = F.col("_tg")
     ents = []
     for i, (open_t, close_t, label) in enumerate(ENTITY_TAGS):
         found = F.array_distinct(F.regexp_extract_all(tg, F.lit(f"{open_t}([^\n]+?){close_t}"), 1))
         ents.append(F.transform(found, _tag_struct(i + 1, label)))
-    x = tagged.select("doc_id", F.col(col).alias("_tg")).select(
-        "doc_id", strip_tags_expr(tg).alias("text"), F.explode(F.concat(*ents)).alias("e"))
-    x = x.select("doc_id", "e.tag_ord", "e.label", "e.entity",
-                 F.transform(F.split(F.col("text"), literal_escape(F.col("e.entity")), -1),
-                             lambda p: F.length(p)).alias("lens"))
-    pieces = x.select("doc_id", "tag_ord", "label", "entity", F.size("lens").alias("n"),
-                      F.posexplode("lens").alias("k", "plen"))
-    w = (Window.partitionBy("doc_id", "tag_ord", "entity").orderBy("k")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pos = pieces.withColumn("start", F.sum("plen").over(w) + F.col("k") * F.length("entity"))
-    return (pos.where(F.col("k") < F.col("n") - 1)
-            .select("doc_id", "tag_ord", "label", "entity", F.col("start").cast("int").alias("start"),
-                    (F.col("start") + F.length("entity")).cast("int").alias("end")))
+    x = tagged.select("doc_id", F.col(col).alias("_tg")).select("doc_id", strip_tags_expr(tg).alias("text"), F.concat(*ents).alias("ents")).where(F.size("ents") > 0)
+    out = T.StructType([tagged.schema["doc_id"], *POSITIONS])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
+
+    def run(batches):
+        for b in batches:
+            columns: list[list] = [[] for _ in out]
+            for doc_id, text, ents in zip(*(c.to_pylist() for c in b.columns)):
+                found = occurrences(text, [e["entity"] for e in ents])
+                for e in ents:
+                    for start in found.get(e["entity"], ()):
+                        for column, v in zip(columns, (doc_id, e["tag_ord"], e["label"], e["entity"], start, start + len(e["entity"]))):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return x.mapInArrow(run, out)
 
 
 # ---- X3 / N6 -------------------------------------------------------------------------------
@@ -127,7 +151,8 @@ def gazetteer_index(dictionary: DataFrame) -> DataFrame:
 
 
 def _tokens(text: DataFrame, extra) -> DataFrame:
-    """Single-space tokens with their place, code-point offset and the token that follows."""
+    """Single-space tokens with their place, code-point offset and the token that follows.
+    ``text`` is partitioned by doc_id, so the window needs no exchange."""
     toks = text.select("doc_id", *extra, F.posexplode(F.split(F.col("text"), " ", -1)).alias("i", "tok"))
     w = Window.partitionBy("doc_id").orderBy("i")
     return toks.select("*", F.coalesce(F.sum(F.length("tok") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
@@ -137,35 +162,29 @@ def _tokens(text: DataFrame, extra) -> DataFrame:
 def gazetteer_predict(text: DataFrame, dictionary: DataFrame, fold_col: str | None = "fold") -> DataFrame:
     """Dictionary matches -> predicted spans (doc_id, start, end, label[, fold]).
 
+    Documents are partitioned once, by doc_id; tokens are placed inside that partitioning.
     Only tokens that begin a surface are kept: every token meets the surfaces of one token,
-    and with the token behind it those of two or more.  A longer surface is then verified
-    token by token, by a join on (document, place, token) of these candidates alone, so
-    neither its length nor the longest surface matters to the rest.
+    and with the token behind it those of two or more.  A longer surface is then verified in
+    its document's text, from the candidate's offset on: the tokens are not read again, and neither
+    its length nor the longest surface matters to the rest.
 
     With ``fold_col`` an entry counts only if its surface was seen in another fold
     (k-fold without training k dictionaries).  Matches contained in an earlier or
     longer match are dropped; ATTR wins a label tie."""
     extra = [fold_col] if fold_col else []
-    at = ["doc_id", *extra, "i", "start"]
+    at = ["doc_id", *extra, "start"]
     index = gazetteer_index(dictionary)
-    toks = _tokens(text, extra)
+    docs = text.select("doc_id", "text", *extra).repartition("doc_id")
+    toks = _tokens(docs, extra)
     pair = F.concat("tok", F.lit(" "), "next")
     heads = F.array(F.struct(F.lit(1).alias("n"), F.col("tok").alias("gram")), F.struct(F.lit(2).alias("n"), pair.alias("gram")))
     g = toks.select(*at, F.explode(heads).alias("g")).select(*at, "g.n", "g.gram").where(F.col("gram").isNotNull() & (F.col("gram") != ""))
     met = g.join(index, (F.lower("gram") == F.col("head")) & (F.least("n_tokens", F.lit(2)) == F.col("n")))
-    short = met.where("n_tokens <= 2").select(*at, "gram", "entries")
-    # surfaces of three and more tokens: what stands behind the first two
-    long = met.where("n_tokens > 2").select("doc_id", "i", "start", "surface_lc", "n_tokens", F.col("gram").alias("head_gram"),
-                                            F.posexplode("tokens").alias("k", "want")).where("k >= 2").withColumn("place", F.col("i") + F.col("k"))
-    behind = toks.select("doc_id", F.col("i").alias("place"), F.col("tok").alias("found"))
-    same = long.join(behind, ["doc_id", "place"]).where(F.lower("found") == F.col("want"))
-    whole = (same.groupBy("doc_id", "i", "start", "surface_lc", "n_tokens", "head_gram")
-             .agg(F.array_sort(F.collect_list(F.struct("k", "found"))).alias("rest")).where(F.size("rest") == F.col("n_tokens") - 2)
-             .select("doc_id", "i", "start", "surface_lc", F.concat_ws(" ", "head_gram", F.transform("rest", lambda x: x["found"])).alias("gram")))
-    whole = whole.join(index.select("surface_lc", "entries"), "surface_lc")
-    if fold_col:
-        whole = whole.join(text.select("doc_id", fold_col), "doc_id")
-    m = short.unionByName(whole.select(*at, "gram", "entries"))
+    # surfaces of three and more tokens: what stands in the text at the candidate's place
+    # (lower case is never shorter: one character more than the surface shows whether a token ends there)
+    here = F.expr("substring_index(substr(text, int(start) + 1, length(surface_lc) + 1), ' ', n_tokens)")
+    m = met.join(docs.select("doc_id", "text"), "doc_id").withColumn("gram", F.when(F.col("n_tokens") <= 2, F.col("gram")).otherwise(here))
+    m = m.where((F.col("n_tokens") <= 2) | (F.lower("gram") == F.col("surface_lc"))).select(*at, "gram", "entries")
     ok = (lambda e: F.exists(e["folds"], lambda x: x != F.col(fold_col))) if fold_col else (lambda e: F.lit(True))
     m = m.withColumn("label", F.array_min(F.transform(F.filter("entries", ok), lambda e: e["label"])))
     m = m.where(F.col("label").isNotNull()).withColumn("end", F.col("start") + F.length("gram"))

@@ -3,28 +3,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
 from prodtext.functions.text import hash_bucket, replace_all, strip_ws, word_array
 
 
+def _survivor(value, key) -> Column:
+    """Names a row's value and key in one string, null by itself, so that it joins like any key."""
+    part = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), c.cast("string")))
+    return F.concat(part(value), F.lit(":"), part(key))
+
+
+def _kept(df: DataFrame, key: str, by: str, first) -> DataFrame:
+    """One row per distinct ``by`` value: that of the key with the smallest ``first``; rows that repeat
+    value and key are one.  Values are grouped by their sha-256 digest (null by itself), so the
+    aggregate carries fixed-size keys and partial minima; texts join by digest and key only."""
+    digest = F.sha2(by, 256)
+    best = df.groupBy(digest.alias("_d")).agg(F.min(F.struct(first.alias("first"), F.col(key).alias("k"))).alias("_m"))
+    best = best.select(_survivor(F.col("_d"), F.col("_m.k")).alias("_s"))
+    return df.withColumn("_s", _survivor(digest, F.col(key))).join(best, "_s", "left_semi").dropDuplicates(["_s"]).drop("_s")
+
+
 # ---- A1 ------------------------------------------------------------------------------------
 def dedupe_descriptions(df: DataFrame, key: str = "doc_id", by: str = "description", seed: int = 42) -> DataFrame:
     """One survivor per distinct ``by`` value: the row with the smallest seeded hash of ``key``.
-    Values are grouped by their sha-256 digest (null by itself), so the aggregate carries
-    fixed-size keys and partial minima; texts are only joined back for the survivors."""
-    mark = F.struct(hash_bucket(seed, key).alias("h"), F.col(key).alias("k"))
-    best = df.groupBy(F.sha2(by, 256).alias("_d")).agg(F.min(mark).alias("_m")).select(F.col("_m.k").alias(key))
-    return df.join(best, key, "left_semi")
+    A null value is a value; a null key is a key; repeated rows are one."""
+    return _kept(df, key, by, hash_bucket(seed, key))
 
 
 # ---- A2 ------------------------------------------------------------------------------------
 def dedupe_ordered(df: DataFrame, by: str = "text", order: str = "doc_id") -> DataFrame:
-    """Ordered distinct: keep the first occurrence (smallest ``order``) of each value."""
-    first = df.groupBy(F.sha2(by, 256).alias("_d")).agg(F.min(order).alias(order)).select(order)
-    return df.select(order, by).join(first, order, "left_semi")
+    """Ordered distinct: keep the first occurrence (smallest ``order``, null last) of each value."""
+    return _kept(df.select(order, by), order, by, F.col(order).isNull())
 
 
 # ---- O3 ------------------------------------------------------------------------------------
@@ -44,6 +59,83 @@ def split_train_valid_test(df: DataFrame, key: str = "doc_id", seed: int = K.SPL
     return df.withColumn("split", F.when(b < t_cut, "train").when(b < v_cut, "valid").otherwise("test"))
 
 
+# ---- O3 / O4 / O5, exact sizes ------------------------------------------------------------
+def rank_cuts(df: DataFrame, ranks: Sequence[int], key: str = "doc_id", seed: int = 42, widths: Sequence[int] = (11, 11, 10)) -> list[tuple[int, object] | None]:
+    """For each rank r the place (hash, key) before which r rows lie in the order of the seeded 32-bit hash and
+    the key (null first); None where r is not below the number of rows.
+
+    No sort: the hash's bits are counted in ``widths`` passes, each inside the buckets that the pass
+    before found, so a pass brings 2^width counts for each rank to the driver; keys that share
+    the hash at a cut (few: it has 32 bits) are counted last."""
+    h, ranks = hash_bucket(seed, key), list(ranks)
+    rows = df.select(h.alias("h"), F.col(key).alias("k"))
+    prefix, left, known = [0] * len(ranks), list(ranks), 0  # the cut's first ``known`` bits, and the rows still to pass
+    for width in widths:
+        known += width
+        place = F.shiftright("h", 32 - known)
+        wanted = sorted({p for p in prefix if p is not None})
+        inside = rows.where(F.shiftright(place, width).isin(wanted)) if known > width else rows
+        counts: dict[int, dict[int, int]] = {}
+        for r in inside.groupBy(place.alias("place")).count().collect():
+            counts.setdefault(r["place"] >> width, {})[r["place"]] = r["count"]
+        for i, p in enumerate(prefix):
+            if p is None:
+                continue
+            prefix[i] = None
+            for place_no in sorted(counts.get(p, {})):
+                if left[i] < counts[p][place_no]:
+                    prefix[i] = place_no
+                    break
+                left[i] -= counts[p][place_no]
+    tied: dict[int, list] = {}
+    for r in rows.where(F.col("h").isin(sorted({p for p in prefix if p is not None}))).groupBy("h", "k").count().collect():
+        tied.setdefault(r["h"], []).append((r["k"], r["count"]))
+    out: list[tuple[int, object] | None] = []
+    for p, n in zip(prefix, left):
+        cut = None
+        for k, count in sorted(tied.get(p, []), key=lambda x: (x[0] is not None, x[0])):
+            if n < count:
+                cut = (p, k)  # rows of one key stay together: the cut is before them all
+                break
+            n -= count
+        out.append(cut)
+    return out
+
+
+def _passed(cuts: list[tuple[int, object] | None], key: str, seed: int) -> Column:
+    """How many of the cuts a row lies behind (a null key is before all others)."""
+    h, k = hash_bucket(seed, key), F.col(key)
+    total = F.lit(0)
+    for cut in cuts:
+        if cut is not None:
+            tie = F.lit(True) if cut[1] is None else F.coalesce(k >= F.lit(cut[1]), F.lit(False))
+            total = total + ((h > cut[0]) | ((h == cut[0]) & tie)).cast("int")
+    return total
+
+
+def split_exact(df: DataFrame, key: str = "doc_id", seed: int = K.SPLIT_SEED, train: float = K.TRAIN_FRACTION,
+                valid_of_rest: float = K.VALID_FRACTION_OF_REST) -> DataFrame:
+    """floor(90 %) train, floor(80 % of the rest) valid, the remainder test, in seeded hash order.  Sizes are
+    exact for distinct keys; rows of a repeated key stay in one part."""
+    n = df.count()
+    n_train = math.floor(n * train + 1e-9)
+    n_valid = math.floor((n - n_train) * valid_of_rest + 1e-9)
+    behind = _passed(rank_cuts(df, [n_train, n_train + n_valid], key, seed), key, seed)
+    return df.withColumn("split", F.when(behind == 0, "train").when(behind == 1, "valid").otherwise("test"))
+
+
+def kfold_exact(df: DataFrame, key: str = "doc_id", k: int = K.KFOLD_K, seed: int = 42) -> DataFrame:
+    """Shuffled k folds whose sizes differ by one row at most (the first n mod k have one more), for distinct keys."""
+    n = df.count()
+    cuts = [i * (n // k) + min(i, n % k) for i in range(1, k)]
+    return df.withColumn("fold", _passed(rank_cuts(df, cuts, key, seed), key, seed))
+
+
+def sample_exact(df: DataFrame, n: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """n random rows (all, if there are fewer), the same on every run."""
+    return df.where(_passed(rank_cuts(df, [n], key, seed), key, seed) == 0)
+
+
 # ---- A13 -----------------------------------------------------------------------------------
 def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n"))

@@ -13,7 +13,7 @@ from prodtext.operators import render as R
 from prodtext.plans import sqlparts as Q
 from prodtext.plans.annotation_queries import ANN_CTES, gold_of
 from prodtext.plans.registry import register
-from prodtext.session import scratch_path
+from prodtext.session import cut_lineage, scratch_path
 from prodtext.sources import sinks as SK
 from prodtext.sources.fixtures import duck_with, register_fixtures
 
@@ -127,6 +127,27 @@ def q_split(spark, sf_dir):
     return CO.split_train_valid_test(deduped(_fx(spark, sf_dir)[0])).select("doc_id", "split")
 
 
+RANKED = f"""
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY {Q.bucket(42, 'doc_id')}, doc_id NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM dd)"""
+
+
+@register("split_exact", W(DEDUP + "," + RANKED) + """
+SELECT doc_id, CASE WHEN r < n * 9 // 10 THEN 'train' WHEN r < n * 9 // 10 + (n - n * 9 // 10) * 8 // 10 THEN 'valid' ELSE 'test' END AS split FROM ranked""")
+def q_split_exact(spark, sf_dir):
+    return CO.split_exact(cut_lineage(deduped(_fx(spark, sf_dir)[0]).select("doc_id")))
+
+
+@register("kfold_exact", W(DEDUP + "," + RANKED) + """
+SELECT doc_id, CAST(CASE WHEN r < (n % 10) * (n // 10 + 1) THEN r // (n // 10 + 1) ELSE (r - n % 10) // greatest(n // 10, 1) END AS INT) AS fold FROM ranked""")
+def q_kfold_exact(spark, sf_dir):
+    return CO.kfold_exact(cut_lineage(deduped(_fx(spark, sf_dir)[0]).select("doc_id")))
+
+
+@register("sample_exact", W(DEDUP + "," + RANKED) + "SELECT doc_id FROM ranked WHERE r < 100")
+def q_sample_exact(spark, sf_dir):
+    return CO.sample_exact(cut_lineage(deduped(_fx(spark, sf_dir)[0]).select("doc_id")), 100)
+
+
 @register("split_counts", W(DEDUP) + "SELECT split, count(*) AS n FROM sp GROUP BY split")
 def q_split_counts(spark, sf_dir):
     return CO.split_counts(CO.split_train_valid_test(deduped(_fx(spark, sf_dir)[0])))

@@ -45,3 +45,35 @@ def test_line_ends_and_digest_dedupe(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", None), (4, "d", None), (5, "e", "y")], "doc_id long, name string, description string")
     got = CO.dedupe_descriptions(df).collect()
     assert sorted(str(r.description) for r in got) == ["None", "x", "y"]
+
+
+def test_dedupe_repeated_and_null_ids(spark):
+    rows = [(1, "A"), (1, "A"), (2, "A"), (None, "B"), (None, "B"), (None, "C"), (3, "C"), (4, None), (5, None), (None, None), (1, "D")]
+    df = spark.createDataFrame(rows, "doc_id long, description string")
+    got = [tuple(r) for r in CO.dedupe_descriptions(df).collect()]
+    assert sorted(t or "" for _, t in got) == ["", "A", "B", "C", "D"] and set(got) <= set(rows)
+    got = {tuple(r) for r in CO.dedupe_ordered(df, by="description").collect()}
+    assert got == {(1, "A"), (None, "B"), (3, "C"), (4, None), (1, "D")}
+
+
+def test_exact_sizes(spark):
+    for n in (0, 1, 7, 10, 95, 1000):
+        df = spark.range(n).withColumnRenamed("id", "doc_id")
+        split = {r["split"]: r["count"] for r in CO.split_exact(df).groupBy("split").count().collect()}
+        train = n * 9 // 10
+        valid = (n - train) * 8 // 10
+        assert split == {k: v for k, v in (("train", train), ("valid", valid), ("test", n - train - valid)) if v}
+    folds = [r["count"] for r in CO.kfold_exact(df.limit(995)).groupBy("fold").count().orderBy("fold").collect()]
+    assert folds == [100] * 5 + [99] * 5
+    assert CO.sample_exact(df, 37).count() == 37 and CO.sample_exact(df, 5000).count() == 1000
+    assert CO.kfold_exact(df).orderBy("doc_id").collect() == CO.kfold_exact(df.repartition(7)).orderBy("doc_id").collect()
+
+
+def test_exact_order_at_equal_hashes(spark):
+    """Passes of few bits over many rows, repeated keys and null: the order is that of (hash, key)."""
+    ids = [None, None, *[i % 150 for i in range(400)]]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    from prodtext.functions.text import hash_bucket
+    order = sorted(((r.h, r.doc_id is not None, r.doc_id or 0) for r in df.withColumn("h", hash_bucket(42, "doc_id")).collect()))
+    for rank, cut in zip((0, 5, 200, 401, 402), CO.rank_cuts(df, [0, 5, 200, 401, 402])):
+        assert cut == ((order[rank][0], order[rank][2] if order[rank][1] else None) if rank < len(order) else None)
