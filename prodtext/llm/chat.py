@@ -48,7 +48,7 @@ def parse(formatted: Column) -> Column:
     after = lambda x: F.substr(x, F.lit(len(START) + 1))
     role = lambda x: F.substring_index(after(x), "\n", 1)
     text = lambda x: F.substr(x, F.length(role(x)) + len(START) + 2)
-    sound = lambda x: F.startswith(x, F.lit(START)) & F.contains(after(x), F.lit("\n")) & ~F.contains(text(x), F.lit("<|")) & ~F.contains(F.replace(role(x), F.lit(LINE), F.lit("")), F.lit("<|"))
+    sound = lambda x: F.startswith(x, F.lit(START)) & F.contains(after(x), F.lit("\n")) & ~F.contains(text(x), F.lit("<|")) & ~F.contains(F.replace(role(x), F.lit(LINE), F.lit("\n")), F.lit("<|"))
     read = F.transform(turns, lambda x: F.struct(unescape(F.replace(role(x), F.lit(LINE), F.lit("\n"))).alias("role"), unescape(text(x)).alias("text")))
     return F.when((F.element_at(pieces, -1) == "") & F.forall(turns, sound), read)
 

@@ -28,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+WORDS_HELD = 50_000  # words that a worker remembers a result for
 ROWS_PER_FILE = 100_000
 SCAN_BYTES = 128 << 20
 
@@ -67,8 +68,10 @@ def free_name(df: DataFrame, name: str) -> str:
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast a value of any class of this package; the function returned gives it in a task.
     It travels pickled by value, is unpickled once in a worker process, and stays with the
-    broadcast variable, so what it gathers there (a memo, an encoder) serves later tasks."""
+    broadcast variable, so what it gathers there (a memo, an encoder) serves later tasks, until
+    ``release`` is called."""
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    _SHIPPED.append((spark.sparkContext, data))
 
     def get() -> object:
         if getattr(data, "unpickled", None) is None:
@@ -78,6 +81,18 @@ def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+_SHIPPED: list = []
+
+
+def release(spark: SparkSession) -> None:
+    """Have executors and their Python workers drop all values shipped so far.  Nothing that still
+    has to run may need them: call it between steps whose results are written."""
+    for context, data in _SHIPPED:
+        if context is spark.sparkContext:
+            data.destroy()
+    _SHIPPED[:] = [x for x in _SHIPPED if x[0] is not spark.sparkContext]
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,7 +4,9 @@ Every source is cut into shards of about ``shard_tokens`` words.  A shard's docu
 seeded order, lie end to end on a ring, and the ring is read in blocks of ``block_tokens``
 words from a seeded block on.  The blocks of the whole mix are apportioned to sources, and
 each source's blocks to its shards, by the highest quotients w/1, w/3, w/5 ...  A shard
-then takes the words under its quota of blocks; a ring may be read twice at most.
+then takes the words under its quota of blocks; a ring may be read twice at most, so the last block
+of a run can be a part of one.  A source whose target is at most a block takes one block; the
+others share the blocks of their targets, none more than its own target rounded up.
 
 Only DataFrame operations are used.  Blocks are never rows: a document's share of its
 shard's run follows from its place on the ring.
@@ -91,17 +93,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tupl
     sizes = cut(gathered(docs).select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, share, max_epochs)
     blocks = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sources = (targets.withColumn("one", F.lit(1))
-               .withColumn("seats", F.round(F.sum("target").over(blocks) / block_tokens).cast("long"))
-               .withColumn("cap_blocks", F.floor(F.col("source_size") * max_epochs / block_tokens).cast("long")))
-    sources = cut(sainte_lague(sources, ["one"], ["src"], "target", "seats", "cap_blocks")
-                  .select("source", "src", "source_size", "target", F.col("quota").alias("source_blocks"),
+    wide = F.col("target") > block_tokens
+    sources = (targets.withColumn("one", F.lit(1)).withColumn("shared", F.when(wide, F.col("target")).otherwise(0.0))
+               .withColumn("seats", F.round(F.sum("shared").over(blocks) / block_tokens).cast("long"))
+               .withColumn("cap_blocks", F.ceil(F.col("shared") / block_tokens).cast("long")))
+    sources = cut(sainte_lague(sources, ["one"], ["src"], "shared", "seats", "cap_blocks")
+                  .select("source", "src", "source_size", "target", F.when(wide, F.col("quota")).otherwise((F.col("target") > 0).cast("long")).alias("source_blocks"),
                           F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens))).cast("long").alias("n_shards")),
                   "mix-sources", rows=0)  # one row per source
     placed = (sizes.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source"))).drop("of")
               .withColumn("shard", md5_long(F.lit(seed), F.lit("shard"), F.col("doc_id")) % F.col("n_shards")))
     cells = (placed.groupBy("src", "shard").agg(F.sum("size").alias("ring"), F.first("source_blocks").alias("source_blocks"))
-             .withColumn("cap_blocks", F.floor(F.col("ring") * max_epochs / block_tokens).cast("long")))
+             .withColumn("cap_blocks", F.ceil(F.col("ring") * max_epochs / block_tokens).cast("long")))
     cells = (sainte_lague(cells, ["src"], ["shard"], "ring", "source_blocks", "cap_blocks")
              .select("src", "shard", "ring", F.col("quota").alias("blocks"),
                      (md5_long(F.lit(seed), F.lit("start"), F.col("src"), F.col("shard"))
@@ -109,7 +112,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tupl
     cells = cut(cells, "mix-cells", rows=sizes.count())
     order = Window.partitionBy("src", "shard").orderBy(md5_long(F.lit(seed), F.lit("place"), F.col("doc_id")), F.col("doc_id").asc_nulls_first(), "size")
     lying = (placed.withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-             .join(cells, ["src", "shard"]).withColumn("stop", F.col("start") + F.col("blocks") * block_tokens))
+             .join(cells, ["src", "shard"]).withColumn("stop", F.col("start") + F.least(F.col("blocks") * block_tokens, F.col("ring") * max_epochs)))
 
     def piece(turn: int) -> Column:
         here = F.col("at") + F.col("ring") * turn

@@ -21,19 +21,19 @@ targets AS (
     CASE WHEN o.num IS NOT NULL AND 2 * l.cap * o.w_left > l.w * o.num THEN (l.w * o.num)::DOUBLE / (2 * o.w_left)::DOUBLE ELSE l.cap::DOUBLE END AS target
   FROM levels l LEFT JOIN open_ o ON true),
 seats1 AS (
-  SELECT *, round(sum(target) OVER () / 16)::BIGINT AS seats, (2 * source_size) // 16 AS cap_blocks FROM targets),
+  SELECT *, round(sum(target) OVER () / 16)::BIGINT AS seats, ceil(target / 16)::BIGINT AS cap_blocks FROM targets WHERE target > 16),
 won1 AS (
   SELECT src FROM (
     SELECT src, seats, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, src, k) AS r
     FROM seats1, unnest(generate_series(1, least(cap_blocks, floor(target / 16)::BIGINT + 4))) AS q(k)) WHERE r <= seats),
 quota1 AS (
-  SELECT s.source, s.src, s.source_size, s.target, (SELECT count(*) FROM won1 w WHERE w.src = s.src) AS source_blocks,
-    least(65536, greatest(1, ceil(s.source_size / 32768.0)))::BIGINT AS n_shards FROM seats1 s),
+  SELECT s.source, s.src, s.source_size, s.target, CASE WHEN s.target > 16 THEN (SELECT count(*) FROM won1 w WHERE w.src = s.src) ELSE (s.target > 0)::BIGINT END AS source_blocks,
+    least(65536, greatest(1, ceil(s.source_size / 32768.0)))::BIGINT AS n_shards FROM targets s),
 placed AS (
   SELECT d.doc_id, d.size, q.*, ('0x' || substr(md5('7:shard:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % q.n_shards AS shard
   FROM sized d JOIN quota1 q ON d.source IS NOT DISTINCT FROM q.source),
 cells AS (
-  SELECT src, shard, sum(size)::BIGINT AS ring, any_value(source_blocks) AS source_blocks, (2 * sum(size)::BIGINT) // 16 AS cap_blocks,
+  SELECT src, shard, sum(size)::BIGINT AS ring, any_value(source_blocks) AS source_blocks, ceil(2 * sum(size)::BIGINT / 16)::BIGINT AS cap_blocks,
     sum(sum(size)) OVER (PARTITION BY src)::DOUBLE AS whole FROM placed GROUP BY src, shard),
 won2 AS (
   SELECT src, shard FROM (
@@ -44,7 +44,7 @@ quota2 AS (
     ('0x' || substr(md5('7:start:' || c.src || ':' || c.shard), 1, 15))::BIGINT % greatest(1, ceil(c.ring / 16.0))::BIGINT * 16 AS start
   FROM cells c LEFT JOIN (SELECT src, shard, count(*) AS n FROM won2 GROUP BY ALL) w ON w.src = c.src AND w.shard = c.shard),
 lying AS (
-  SELECT p.*, c.ring, c.start, c.start + 16 * c.blocks AS stop,
+  SELECT p.*, c.ring, c.start, c.start + least(16 * c.blocks, 2 * c.ring) AS stop,
     (sum(p.size) OVER (PARTITION BY p.src, p.shard ORDER BY ('0x' || substr(md5('7:place:' || coalesce(p.doc_id::VARCHAR, 'null')), 1, 15))::BIGINT, p.doc_id NULLS FIRST, p.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - p.size AS pos
   FROM placed p JOIN quota2 c ON c.src = p.src AND c.shard = p.shard)

@@ -25,19 +25,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     keep, versions = ["doc_id", "source", "lang", "bytes"], list(TOKENIZERS)
     rollup = tokencounts.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    rows = docs.withColumn("digest", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))
-    before = cut(tokencounts.token_counts(gathered(rows), TOKENIZERS, PATTERN, [*keep, "digest"]), "token-rows")
+    digest = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
+    rows = docs.withColumn("digest", digest).withColumn("row", F.monotonically_increasing_id())  # written once with the counts
+    before = cut(tokencounts.token_counts(gathered(rows), TOKENIZERS, PATTERN, [*keep, "digest", "row"]), "token-rows")
     rollup.commit("1-insert", tokencounts.signed(before, versions, 1))
-    copies = before.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     n_rows = before.count()
-    copies = cut(copies, "token-groups", rows=n_rows)
-    dropped = cut(before.join(copies, "digest").where("doc_id < last").drop("last", "n"), "token-copies", rows=n_rows)
-    rollup.commit("2-delete", tokencounts.signed(dropped, versions, -1))
+    last = before.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("n"))
+    last = cut(last.select("digest", F.col("last.row").alias("last_row"), "n"), "token-groups", rows=n_rows)
+    copies = before.join(last.where("n > 1"), "digest").where("row <> last_row").drop("last_row", "n")
+    rollup.commit("2-delete", tokencounts.signed(copies, versions, -1))
     tidy = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    changed = docs.withColumn("new", tidy).where("doc_id IS NOT NULL AND new <> text").drop("text").withColumnRenamed("new", "text").withColumn("bytes", F.octet_length("text").cast("long"))
-    after = cut(tokencounts.token_counts(gathered(changed), TOKENIZERS, PATTERN, keep).join(dropped.select("doc_id"), "doc_id", "left_anti"), "token-revised")
-    old = before.drop("digest").join(after.select("doc_id"), "doc_id", "left_semi")
-    rollup.commit("3-revise", tokencounts.signed(old, versions, -1).unionByName(tokencounts.signed(after, versions, 1)))
+    changed = (docs.withColumn("digest", digest).withColumn("new", tidy).where("new <> text").drop("text").withColumnRenamed("new", "text")
+               .withColumn("bytes", F.octet_length("text").cast("long")))
+    after = tokencounts.token_counts(gathered(changed), TOKENIZERS, PATTERN, ["digest", "bytes"])
+    # equal texts have equal counts, and one row of each is left: the digest names it
+    after = cut(after.groupBy("digest").agg(*[F.max(c).alias(c) for c in after.columns if c != "digest"]), "token-revised", rows=n_rows)
+    left = before.join(last, before["row"] == last["last_row"], "left_semi")
+    old = left.join(after, "digest", "left_semi")
+    new = old.select("doc_id", "source", "lang", "digest").join(after, "digest")
+    rollup.commit("3-revise", tokencounts.signed(old, versions, -1).unionByName(tokencounts.signed(new, versions, 1)))
     return rollup.totals()
 
 

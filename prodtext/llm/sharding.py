@@ -5,8 +5,8 @@ Rows with equal text form a group that stays together.  Groups that hold more th
 them); all smaller groups are summed into ``bundles`` hash bundles.  So the packing sees at
 most 4 * ``bundles`` vectors, however large the table is, and runs on the driver.  Largest
 first, each goes to the shard where the dot product of its vector with the shard's residual
-capacity is highest.  A group with more bytes than a whole shard's share cannot keep the sizes
-equal in one piece: its rows are dealt out in turn to pieces of a quarter capacity.
+capacity is highest.  A group with more than 1/``whole`` of a shard's bytes would leave the sizes
+unequal in one piece: its rows are dealt out in turn to pieces of 1/``fine``.
 
 Defined results: null text has no bytes (size 1, crc32 0) and is a group apart from empty
 text; repeated rows get slots of their own; an empty table gives an empty result; null
@@ -39,7 +39,7 @@ def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:
     return out
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096, chunk_rows: int = 4096) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096, chunk_rows: int = 4096, whole: int = 2, fine: int = 64) -> DataFrame:
     """One row per document: doc_id, size, tokens, text_crc32, shard, slot (gapless from 0 in
     each shard).  ``chunk_rows`` is the aim for the rows that one window numbers."""
     spark = docs.sparkSession
@@ -65,7 +65,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bundles: int = 4096, chu
             items.append((r["bundle"], vector))
             continue
         load = r["size"] / capacity[0]
-        pieces = 1 if load <= 1 else int(min(r["n"], math.ceil(4 * load)))
+        pieces = 1 if load * whole <= 1 else int(min(r["n"], math.ceil(fine * load)))
         large.append((bytearray(r["digest"]), next_id, pieces))
         items += [(next_id + i, vector / pieces) for i in range(pieces)]
         next_id += pieces

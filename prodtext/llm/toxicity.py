@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prodtext.llm.common import ship
+from prodtext.llm.common import WORDS_HELD, ship
 from prodtext.llm.decontamination import words_of
 from prodtext.llm.labelled import class_counts, collect_features, logistic, platt, sampled_labels, score_column, scored
 
@@ -49,10 +49,12 @@ def terms(text: str, bits: int, slots: dict[int, int] | None = None, memo: dict[
     for w in set(words_of(text.lower().encode("utf-8", "replace"))):
         t = memo.get(w)
         if t is None:
-            if len(memo) > 300_000:  # bounds a worker's memory
+            if len(memo) >= WORDS_HELD:  # bounds a worker's memory
                 memo.clear()
             t = buckets(w, bits)
-            t = memo[w] = t if slots is None else tuple(slots[x] for x in t if x in slots)
+            t = t if slots is None else tuple(slots[x] for x in t if x in slots)
+            if len(w) <= 64:
+                memo[w] = t
         if t:
             found.update(t)
     return np.array(sorted(found), dtype=np.int32)

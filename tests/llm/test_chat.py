@@ -59,3 +59,13 @@ def test_edges(spark):
     assert got[None] == [("assistant", "lost")] and got[3] == [("assistant", "twice")] * 2 and got[4] == [("user", "")]
     assert len(got[2][0][1]) == 300_000
     assert C.format_conversations(df.limit(0)).count() == 0
+
+
+def test_roles_of_broken_control_strings(spark):
+    """Roles whose line ends, backslashes and bars could meet the markers around them."""
+    import itertools
+    roles = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product("<|\n\\", repeat=n)] + ["<\n|x", "<<|nl|>|", "<|nl|><|nl|>|"]
+    rows = [(i, 0, r, "<|im_end|>") for i, r in enumerate(roles)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in C.format_conversations(turns).collect():
+        assert r.identical and [tuple(x) for x in r.parsed] == [(roles[r.conv_id], "<|im_end|>")]

@@ -91,3 +91,17 @@ def test_edges(spark, edge_docs, empty_docs):
     assert M.mix_sources(empty_docs).count() == 0 and M.mixed_documents(empty_docs).count() == 0
     nothing = spark.createDataFrame([(1, None, "a"), (2, "", "a")], "doc_id long, text string, source string")
     assert [r.taken for r in M.mix_sources(nothing).collect()] == [0, 0]
+
+
+def test_small_sources_reach_their_targets(spark):
+    """Fifty sources of seven words beside one of 800, and sources of a word or two."""
+    rows = [(i, f"s{i:02}", " ".join("abcdefg")) for i in range(50)] + [(100 + i, "zz", "w " * 80) for i in range(10)] + [(200, "t1", "one"), (201, "t2", "one two"), (202, "t0", "")]
+    got = M.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 16 for s in target)
+    assert all(taken[s] > 0 for s in taken if s != "t0") and taken["t0"] == 0
+    assert abs(sum(taken.values()) - sum(target.values())) <= 16

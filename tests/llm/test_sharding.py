@@ -68,3 +68,14 @@ def test_edges(spark, edge_docs, empty_docs):
     assert S.shard_documents(empty_docs).count() == 0
     same = [r.shard for r in rows if r.text_crc32 == zlib.crc32(b"one two three four five six")]
     assert len(same) == 3 and len(set(same)) == 1
+
+
+def test_sizes_are_near_equal_with_hot_texts(spark):
+    """One text with most of all bytes, and one just below a whole shard."""
+    hot = [(i, "h" * 99) for i in range(3000)] + [(10_000 + i, f"own {i}" + "x" * (i % 50)) for i in range(2000)]
+    nearly = [(i, "h" * 99) for i in range(500)] + [(10_000 + i, f"{i} " + "x" * (i % 90)) for i in range(6200)]
+    for rows in (hot, nearly):
+        load = {}
+        for r in checks(docs := spark.createDataFrame(rows, "doc_id long, text string"), S.shard_documents(docs)):
+            load[r.shard] = load.get(r.shard, 0) + r["size"]
+        assert len(load) == 8 and max(load.values()) <= 1.02 * min(load.values())

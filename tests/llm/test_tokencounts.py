@@ -86,3 +86,25 @@ def test_edges(spark, edge_docs, empty_docs, tmp_path):
     assert none.count() == 0
     r.commit("2", K.signed(none, list(TOKENIZERS), 1))
     assert {(s, l): d for (s, l, v), (d, _, _) in totals(r).items() if v == "bpe_50k"} == dict(want)
+
+
+def test_query_against_plain_batches(spark, tmp_path):
+    """Insert all, drop copies, tidy repeated lines: with repeated and null ids, nulls and ties."""
+    from prodtext.llm.queries import op1_token_counts
+    rows = [(5, "a\na", "s", "en"), (5, "bb cc dd", "s", "en"), (6, "ee", "s", "en"), (7, "a\na", "t", "de"), (7, "a\na", "t", "de"), (None, "ee", "t", None), (None, "x\nx\ny", None, "fr"),
+            (None, "x\nx\ny", None, "fr"), (8, None, "s", "en"), (9, None, "u", "en"), (10, "", "s", "en"), (11, "one\ntwo\none", "v", "es")]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, lang string, row int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    last = {}
+    for i, (d, t, s, lang) in enumerate(rows):
+        if t not in last or (d if d is not None else -1) >= last[t][0]:
+            last[t] = (d if d is not None else -1, s, lang)
+    want = Counter()
+    for t, (_, s, lang) in last.items():
+        tidy = "\n".join(dict.fromkeys((t or "").split("\n")))
+        for v in TOKENIZERS:
+            n = len(coder(v).encode_ordinary(tidy))
+            want[s, lang, v, "documents"] += 1
+            want[s, lang, v, "tokens"] += n
+            want[s, lang, v, "bytes"] += len(tidy.encode())
+    got = {(r.source, r.lang, r.version, m): r[m] for r in op1_token_counts(spark, str(tmp_path)).collect() for m in ("documents", "tokens", "bytes")}
+    assert got == dict(want)
