@@ -5,6 +5,7 @@ read again as the next stage's docs.  All but the last return the columns of doc
 Stages that drop documents find them by a row id.  It is given once, in a copy of the stage's
 input that is written to the shared folder, and read from there by the operator and by the join
 that drops rows: an id made anew at each reading would follow the splits, which can change.
+As its input is written, a stage first has executors drop the models of the stage before.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prodtext.llm import decontamination, mixing, sharding, simhash, toxicity
-from prodtext.llm.common import cut, free_name, gathered, read_documents, shared_dir
+from prodtext.llm.common import cut, free_name, gathered, read_documents, release, shared_dir
 
 TOXIC_FROM = 0.5
 
@@ -38,6 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest doc_id."""
+    release(spark)
     numbered, row = _numbered(docs)
     found = simhash.near_duplicates(numbered, shingle=3, max_distance=3, row=row)
     gone = cut(found.where("NOT kept").select(F.col("row").alias(row)), "pipeline-gone", rows=numbered.count())
@@ -46,6 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
+    release(spark)
     numbered, row = _numbered(docs)
     found = decontamination.decontaminate(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, slop=0, row=row)
     gone = cut(found.where(F.size("spans") > 0).select(F.col("row").alias(row)), "pipeline-gone")
@@ -54,10 +57,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents: whole ones, repeated ones and parts."""
+    release(spark)
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return sharding.shard_documents(docs)
 
 
