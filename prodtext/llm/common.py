@@ -71,26 +71,26 @@ def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     broadcast variable, so what it gathers there (a memo, an encoder) serves later tasks, until
     ``release`` is called."""
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    _SHIPPED.append((spark.sparkContext, data))
 
     def get() -> object:
         if getattr(data, "unpickled", None) is None:
             data.unpickled = pickle.loads(data.value)
         return data.unpickled
 
+    _SHIPPED.append((spark.sparkContext, data, get))
     return get
 
 
 _SHIPPED: list = []
 
 
-def release(spark: SparkSession) -> None:
-    """Have executors and their Python workers drop all values shipped so far.  Nothing that still
-    has to run may need them: call it between steps whose results are written."""
-    for context, data in _SHIPPED:
-        if context is spark.sparkContext:
-            data.destroy()
-    _SHIPPED[:] = [x for x in _SHIPPED if x[0] is not spark.sparkContext]
+def release(spark: SparkSession, only: Callable[[], object] | None = None) -> None:
+    """Have executors and their Python workers drop all values shipped so far, or that of ``only``.
+    Nothing that still has to run may need them: call it between steps whose results are written."""
+    gone = [x for x in _SHIPPED if x[0] is spark.sparkContext and only in (None, x[2])]
+    for _, data, _ in gone:
+        data.destroy()
+    _SHIPPED[:] = [x for x in _SHIPPED if x not in gone]
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
