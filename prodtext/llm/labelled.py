@@ -3,7 +3,7 @@ and calibration.
 
 The sample is the only part of the data that passes the driver.  It holds at most
 ``per_class`` rows of each label, those with the lowest hash of doc_id, whatever the size of
-the tables.
+the tables: of the rows that repeat a sampled doc_id one stays, chosen by its features.
 """
 
 from __future__ import annotations
@@ -42,12 +42,13 @@ def collect_features(docs: DataFrame, sample: DataFrame, features: Callable[[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pa.array([features(t.as_py() or "") for t in b.column("text")], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), ids], ["doc_id", "y", "ids"])
+            keys = pa.array([zlib.crc32(x.values.to_numpy().tobytes()) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), keys, ids], ["doc_id", "y", "key", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # the sample's size is bounded by its limits, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, ids array<int>")
-    table = rows.toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, key long, ids array<int>")
+    table = rows.groupBy("doc_id", "y").agg(F.min(F.struct("key", "ids")).alias("first")).select("doc_id", "y", F.col("first.ids").alias("ids")).toArrow()
     ids = table.column("ids").combine_chunks()
     values, offsets = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
     keys = [(d, zlib.crc32(values[a:z].tobytes())) for d, a, z in zip(table.column("doc_id").to_pylist(), offsets[:-1], offsets[1:])]

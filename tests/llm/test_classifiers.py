@@ -50,6 +50,38 @@ def test_machine_learns_what_only_a_pair_tells():
     assert np.mean([(m.raw(r) > 0) == t for r, t in zip(rows, y)]) > 0.95
 
 
+def test_fit_learns_a_pair_of_neutral_words():
+    """Label 1: both of two words or neither; each is in half of the texts of either label."""
+    rng = np.random.default_rng(5)
+    filler = [f"word{i}x" for i in range(300)]
+    texts, y = [], []
+    for _ in range(4000):
+        a, b = rng.integers(0, 2, 2)
+        words = [*rng.choice(filler, 12), *["quarrel"] * a, *["neighbour"] * b]
+        texts.append(" ".join(rng.permutation(words)))
+        y.append(float(a == b))
+    rows, y = [toxicity.terms(t, 30).astype(np.int64) for t in texts], np.array(y)
+    m = toxicity.fit(rows[:3000], y[:3000], (1500, 1500))
+    assert np.mean([(m.score(t) >= 0.5) == v for t, v in zip(texts[3000:], y[3000:])]) > 0.95
+
+
+def test_pair_terms_in_blocks():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2, (900, 40))
+    y = (x[:, 3] == x[:, 33]).astype(float)
+    rows = [np.flatnonzero(r) * 10 for r in x]
+    assert toxicity.pair_terms(rows, y, 4096).tolist() == toxicity.pair_terms(rows, y, 4096, block=7).tolist() == [30, 330]
+    assert not len(toxicity.pair_terms(rows, rng.integers(0, 2, 900).astype(float), 4096))
+
+
+def test_repeated_ids_reach_the_driver_once(spark):
+    docs = spark.range(10_000).selectExpr("CAST(1 AS long) AS doc_id", "concat('text ', id % 3) AS text").union(spark.sql("SELECT 2L, 'other'"))
+    sample = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, y int")
+    f = lambda t: np.array([len(t), ord(t[-1])], dtype=np.int32)
+    a, b = labelled.collect_features(docs, sample, f), labelled.collect_features(docs.repartition(5), sample, f)
+    assert len(a[0]) == 2 and sorted(a[1]) == [0, 1] and [x.tolist() for x in a[0]] == [x.tolist() for x in b[0]]
+
+
 def test_shapes():
     assert [quality._shape(w) for w in ("the", "A", "THE", "The", "THE!!", "a1b22", "the&&&", "|", "It's")] == ["a+", "A", "A+", "Aa+", "A+!+", "a0a0+", "a+&+", "|", "Aa'a"]
 
