@@ -30,13 +30,12 @@ def q_line_list_file(spark, sf_dir):
     return lists.union(RD.read_line_list(spark, f"{path}/brands").select("ord", "value")).select(F.col("ord").cast("int").alias("ord"), "value")
 
 
-@register("descriptions_csv_file", "SELECT source AS name, text AS description FROM documents WHERE text IS NOT NULL AND text <> ''")
+@register("descriptions_csv_file", "SELECT source AS name, text AS description FROM documents")
 def q_descriptions_csv_file(spark, sf_dir):
-    """Whole texts with quotes and line ends."""
+    """All texts, null and empty ones too, with quotes and line ends."""
     path = scratch_path(spark, "csv")
     fixture(spark, sf_dir, "descriptions")
-    docs = spark.table("documents").where("text IS NOT NULL AND text <> ''").select("doc_id", F.col("source").alias("name"), F.col("text").alias("description"))
-    docs.repartition(8, "doc_id").withColumnRenamed("doc_id", "_c0").write.option("header", True).option("escape", '"').csv(path)
+    SK.write_descriptions_csv(spark.table("documents").select(F.col("doc_id").alias("_c0"), F.col("source").alias("name"), F.col("text").alias("description")), path)
     return RD.read_descriptions_csv(spark, path)
 
 

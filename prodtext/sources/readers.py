@@ -32,8 +32,9 @@ def read_line_list(spark: SparkSession, path: str, value: str = "value") -> Data
 
 def read_descriptions_csv(spark: SparkSession, path: str, index_col: str = "_c0") -> DataFrame:
     """CSV with header, quoted multi-line fields; the unnamed index column is dropped.
-    Quoted line ends make a file one task's: write large corpora as many files."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    An empty field is null, a quoted empty one the empty text (and a text that is one NUL
+    character is null).  Quoted line ends make a file one task's: write large corpora as many files."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\0").csv(path)
     return df.drop(index_col, "", "Unnamed: 0")
 
 

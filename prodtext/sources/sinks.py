@@ -57,3 +57,11 @@ def write_json_arrays(df: DataFrame, path: str, col: str, group: str, order: str
              .agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("items")))
     line = F.struct("group", F.col("items")[0]["place"].alias("first"), F.transform("items", lambda x: x["item"]).alias("items"))
     lines.select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_descriptions_csv(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """CSV with header and quoted fields, as ``readers.read_descriptions_csv`` reads them.  Null is an
+    empty field, the empty text a quoted one; white space at either end stays.  Quoted line ends make
+    a file one task's, so files are many: no more than ``rows_per_file`` rows each."""
+    (df.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", '""').option("maxRecordsPerFile", rows_per_file)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

@@ -49,3 +49,14 @@ def test_json_arrays_are_bounded(spark):
     assert {k: t for k, t in got.items() if k[0] != "tie"} == want
     assert sorted(t for k, t in got.items() if k[0] == "tie") == ["other"] + ["same"] * 500
     assert sorted(k[1] for k in got if k[0] == "tie") == list(range(1, 502))
+
+
+def test_csv_tells_null_from_empty(spark, tmp_path):
+    from prodtext.sources import readers, sinks
+    texts = [None, "", " ", " lead and trail ", 'a "quoted" word', "two\nlines\r\nthree", "a,b", '"', "\\", "\\N", "plain", "x\n"]
+    rows = [(i, n, t) for i, t in enumerate(texts) for n in ("name", "", None)]
+    df = spark.createDataFrame(rows, "_c0 long, name string, description string")
+    sinks.write_descriptions_csv(df.coalesce(1), str(tmp_path / "csv"), rows_per_file=10)
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 4
+    got = [tuple(r) for r in readers.read_descriptions_csv(spark, str(tmp_path / "csv")).select("name", "description").collect()]
+    assert sorted(map(repr, got)) == sorted(repr((n, t)) for _, n, t in rows)
