@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prodtext.session import delete_at_end
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,12 +49,13 @@ def gathered(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back: later
     readers neither recompute it nor depend on the executors that made it, and the planner
-    knows its real size.
+    knows its real size.  The table is deleted when the session's JVM ends.
 
     ``rows``, a bound on the number of (short) rows where the caller knows one, sets the number of
     files: as many as ROWS_PER_FILE asks for, not one for each shuffle partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
     (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,8 @@ there (proximity).
 
 Only terms of the test set are indexed, as no other list is ever read.  The test set goes to
 every task and is bounded by ``max_test_words``; a larger one is searched in blocks of items,
-each with an index of its own terms, and the results are joined by document.
+numbered by a running sum of their words, each with an index of its own terms, and the results are
+joined by a row id that is written once.
 
 Defined results: null and empty texts have no words and are clean; items without words match
 nothing; items of one id count once; an item with null id marks words but is not listed;
@@ -25,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prodtext.llm.common import cut, gathered, ship
 
 #: every byte of [\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing, ends a word
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: the same words, before lower-casing
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEGMENT_WORDS = 1 << 17  # some hundred KB of postings: segments also travel in batches
 
 
@@ -199,28 +202,42 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     return both.groupBy("row", "doc_id", "n_words").agg(F.expr(merge).alias("spans"), joined("items"), joined("near_items"))
 
 
+def _blocks(benchmark: DataFrame, max_test_words: int) -> tuple[DataFrame, list[int]]:
+    """The distinct items as a stored table (block, id, text), and the blocks in order.  A block is
+    a run of items, ordered by (id, text), that begins inside one stretch of ``max_test_words`` words,
+    so it has that many and one item's more at most.  Items are sorted in range partitions; a word's
+    number is its place there plus the words of the partitions ahead."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).distinct()
+    held = cut(items.repartitionByRange("i", "t").withColumn("words", F.coalesce(F.regexp_count("t", F.lit(_WORD)), F.lit(0)).cast("long"))
+               .withColumn("part", F.spark_partition_id()), "items")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = held.groupBy("part").agg(F.sum("words").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("i", "t").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("words").over(inside), F.lit(0))
+    out = cut(held.join(before, "part").select(F.floor(start / max_test_words).cast("long").alias("block"), "i", "t"), "item-blocks")
+    return out, sorted(r[0] for r in out.select("block").distinct().collect())
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 2, max_test_words: int = 1_000_000, row: str | None = None) -> DataFrame:
-    """The result of ``search`` for all items of (item_id, text) against all documents."""
+    """The result of ``search`` for all items of (item_id, text) against all documents.
+
+    The driver holds the windows of one block of items at a time.  With several blocks the documents
+    are written once with their row ids, which all blocks' results are joined by, and each block's
+    result is written before the next block is made.  ``row`` names a column that has written ids."""
     rows = docs.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()).select("row", "doc_id", "text")
-    items, blocks, size = [], [], 0
-    # the test set passes the driver item by item; a task gets at most max_test_words of it
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).distinct().orderBy("i", "t").toLocalIterator():
-        words = words_of(bytes(r["t"] or b""))
-        if items and size + len(words) > max_test_words:
-            blocks.append(items)
-            items, size = [], 0
-        items.append((r["i"], words))
-        size += len(words)
-    blocks.append(items)
+    items, blocks = _blocks(benchmark, max_test_words)
+    several = len(blocks) > 1
+    if several and not row:
+        rows = cut(gathered(rows), "numbered")
     parts = []
-    for block in blocks:
-        win = Windows(block, width)
+    for block in blocks or [0]:
+        texts = items.where(F.col("block") == block).select("i", F.col("t").cast("binary").alias("t")).orderBy("i", "t").toLocalIterator()
+        win = Windows([(r["i"], words_of(bytes(r["t"] or b""))) for r in texts], width)
         index = build_index(rows, win.vocabulary, gap=width + 2 * slop + 1)
         total = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n")).collect()  # vocabulary of the block
         frequency = np.zeros(len(win.vocabulary), dtype=np.int64)
         for term, n in total:
             frequency[term] = n
-        parts.append(search(index, win.by_rarity(frequency), slop))
+        found = search(index, win.by_rarity(frequency), slop)
+        parts.append(cut(found, "found") if several else found)
     return _merged(parts)
-
-

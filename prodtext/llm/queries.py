@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prodtext.llm import chat, decontamination, exact_dedup, jaccard, langid, merkle, mixing, quality, repair, sharding, simhash, tokencounts, toxicity
 from prodtext.llm.common import crc_mod, cut, gathered, read_documents, shared_dir
 from prodtext.llm.oracles import OP2_SQL, OP3_SQL, OP5_SQL, OP8_SQL, OP11_SQL, OP12_SQL, OP13_SQL
+from prodtext.session import delete_at_end
 
 
 TOKENIZERS = {"bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "bpe_multi_50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
@@ -24,7 +25,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with each line once, where lines repeat."""
     docs = read_documents(spark, sf_dir).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     keep, versions = ["doc_id", "source", "lang", "bytes"], list(TOKENIZERS)
-    rollup = tokencounts.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    rollup = tokencounts.Rollup(spark, path)
     digest = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
     rows = docs.withColumn("digest", digest).withColumn("row", F.monotonically_increasing_id())  # written once with the counts
     before = cut(tokencounts.token_counts(gathered(rows), TOKENIZERS, PATTERN, [*keep, "digest", "row"]), "token-rows")

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from prodtext.llm import decontamination as D
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,6 +48,26 @@ def test_small_cases(spark):
     assert found(D.decontaminate(docs, bench, max_test_words=12)) == brute(DOCS, BENCH, 10)
 
 
+def test_blocks_are_stretches_of_words(spark):
+    """Blocks of whole items, in order, no longer than the bound and one item."""
+    bench = spark.createDataFrame(BENCH, "item_id long, text string").repartition(3)
+    items, blocks = D._blocks(bench, 12)
+    held = {b: [] for b in blocks}
+    for r in items.orderBy("i", "t").collect():
+        held[r.block].append(len(words(r.t)))
+    assert len(blocks) > 2 and sum(map(len, held.values())) == len(set((None if k is None else str(k), t) for k, t in BENCH))
+    assert all(sum(n[:-1]) < 12 for n in held.values())
+
+
+def test_blocks_of_a_repeated_document(spark):
+    """Blocks meet by rows, not by doc_id; ids hold although the input's order changes at each reading."""
+    docs = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "short item and more")
+                                   .when(F.col("id") % 3 == 1, "a " * 25).otherwise("clean text").alias("text")).repartition(5).orderBy(F.rand())
+    got = D.decontaminate(docs, spark.createDataFrame(BENCH, "item_id long, text string"), max_test_words=12).collect()
+    kinds = sorted((r.n_words, len(r["items"])) for r in got)
+    assert kinds == sorted([(4, 2)] * 100 + [(25, 1)] * 100 + [(2, 0)] * 100)
+
+
 def test_documents(spark, sf_dir, documents):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = documents.where("length(text) < 3000")
