@@ -36,7 +36,7 @@ def core_of(token: Column) -> Column:
 
 def type_of(token: Column) -> Column:
     """Lower case, without marks at either end; periods inside stay."""
-    return F.lower(F.regexp_replace(core_of(token), r"[^\p{L}\p{N}]+\z", ""))
+    return F.lower(F.regexp_replace(core_of(token), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++\z", ""))
 
 
 def dotted(token: Column) -> Column:
@@ -96,17 +96,22 @@ def learn_starters(df: DataFrame, types: DataFrame, abbreviations: DataFrame, te
 
 
 def split_learned(df: DataFrame, key: str, abbreviations: DataFrame, starters: DataFrame, text: str = "text", out: str = "sentences") -> DataFrame:
-    """``df`` with the sentences of each row's text; ``key`` names a column of written, distinct ids."""
+    """``df`` with the sentences of each row's text.  ``key`` names a column by which a row finds the
+    abbreviations and starters among its tokens; rows of one key, or of none, share them, which changes nothing."""
     cuts = F.split(F.regexp_replace(text, f"([.!?])([{BLANK}]+)", f"$1{SEP}$2"), SEP)
     marked = df.select(key, F.explode(F.split(text, f"[{BLANK}]+")).alias("token")).where(F.col("token") != "")
     words = marked.select(key, "token", type_of(F.col("token")).alias("word"))
     short = words.where(dotted(F.col("token"))).join(abbreviations.select("word"), "word", "left_semi").groupBy(key).agg(F.collect_set("word").alias("short_"))
     # only documents with an abbreviation have a boundary to decide
-    first = words.join(short.select(key), key, "left_semi").join(starters.select("word"), "word", "left_semi").groupBy(key).agg(F.collect_set("word").alias("starts_"))
-    held = df.join(short, key, "left").join(first, key, "left").withColumn("cuts_", cuts).withColumn("next_", F.slice("cuts_", 2, F.greatest(F.size("cuts_"), F.lit(1))))
+    first = words.join(short.select(F.col(key).alias("key_")), F.col(key).eqNullSafe(F.col("key_")), "left_semi").join(starters.select("word"), "word", "left_semi").groupBy(key).agg(F.collect_set("word").alias("starts_"))
+    held = df
+    for lists in (short, first):
+        lists = lists.withColumnRenamed(key, "key_")
+        held = held.join(lists, held[key].eqNullSafe(lists["key_"]), "left").drop("key_")
+    held = held.withColumn("cuts_", cuts).withColumn("next_", F.slice("cuts_", 2, F.greatest(F.size("cuts_"), F.lit(1))))
 
     def glue(x: Column) -> Column:
-        last = F.regexp_extract(x["cuts_"], f"[^{BLANK}]+\\z", 0)
+        last = F.regexp_extract(x["cuts_"], f"(?<![^{BLANK}])[^{BLANK}]++\\z", 0)
         after = F.regexp_extract(x["next_"], f"\\A[{BLANK}]*([^{BLANK}]+)", 1)
         capital = F.substring(core_of(after), 1, 1)
         begins = F.coalesce(F.array_contains("starts_", type_of(after)), F.lit(False)) & (capital != F.lower(capital))

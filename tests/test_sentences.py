@@ -68,6 +68,14 @@ def test_abbreviations_end_no_sentence(learned):
     assert got[900] is None and got[901] == got[902] == []
 
 
+def test_repeated_and_null_keys(learned, spark):
+    """Rows of one key, or of no key, keep sentences of their own; other columns stay."""
+    _, _, abbreviations, starters, texts, want = learned
+    df = spark.createDataFrame([(None if i % 2 else 7, i, t) for i, t in enumerate(texts)], "doc_id long, word int, text string")
+    got = {r.word: r.sentences for r in S.split_learned(df, "doc_id", abbreviations, starters).collect()}
+    assert [got[i] for i in range(len(want))] == want
+
+
 def test_nothing_to_learn(spark):
     for texts in ([], ["no end here"], ["a. b. c."], [None, ""]):
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
