@@ -51,3 +51,24 @@ def test_sample_is_seeded_and_capped(spark):
     a = [r.spec_key for r in C.spec_sample(df).orderBy("spec_ord").collect()]
     b = [r.spec_key for r in C.spec_sample(df).orderBy("spec_ord").collect()]
     assert a == b and len(a) == 10 and len(set(a)) == 10
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_are_never_broadcast(spark):
+    """Rows of products and specs are few in the planner's guess and many in fact."""
+    cat = spark.createDataFrame([("p", "t", "s"), ("q", "u", "s"), (None, "v", "s")], "product_id string, title string, schema string")
+    df = specs(spark, [("p", 1, "a", "1"), ("p", 2, "b", None)])
+    wl = spark.createDataFrame([("s", 1, "a", 1)], "schema string, ord int, spec_key string, feat_ord int")
+    some, rejected, filled = C.with_specs(cat, df), C.rejected_products(cat, df), C.spec_project_nullfill(cat, df, wl)
+    listed = C.spec_whitelist(df, cat, wl)
+    assert [r.title for r in some.collect()] == ["t"]
+    assert sorted(r.product_id or "" for r in rejected.collect()) == ["", "q"]
+    assert sorted((r.product_id or "", r.spec_value) for r in filled.collect()) == [("", None), ("p", "1"), ("q", None)]
+    assert [r.spec_value for r in listed.collect()] == ["1"]
+    for frame in (some, rejected, filled, listed):
+        assert "SortMergeJoin" in _plan(frame)
+    for frame in (some, rejected):
+        assert "Broadcast" not in _plan(frame)
