@@ -1,13 +1,15 @@
 """Generated-text quality: description extraction, truncation, character BLEU/GLEU,
 readability indices and per-prompt aggregates (T8, T11-T18, O6, O7, W8, A10-A12, A14, A15).
 
-N-gram statistics are computed as counted rows: candidates and references are
-exploded to character n-grams, aggregated per (key, n, gram) before the join
-(partial aggregation keeps the shuffle at distinct-gram size), then clipped.
+Clipped n-gram matches are counted where a candidate's text meets its reference: Spark joins the
+texts by key, and a task compares the n-grams of one pair at a time, so n-grams are never rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,27 +63,44 @@ def word_ngram_counts(df: DataFrame, keys, col: str, max_n: int = 4) -> DataFram
     return g.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def clipped_matches(hyps, refs, max_n: int) -> list[int]:
+    """For n = 1..max_n: n-grams of the sequences ``hyps``, each counted as often as ``refs`` hold it at most."""
+    out = []
+    for n in range(1, max_n + 1):
+        # an n-gram of a string is the string itself, that of a list of words a tuple
+        grams = lambda seqs: Counter(g for s in seqs for g in (
+            (s[i:i + n] for i in range(len(s) - n + 1)) if isinstance(s, str) else zip(*(s[i:] for i in range(n)))))
+        want = grams(refs)
+        out.append(sum(min(k, want[g]) for g, k in grams(hyps).items() if g in want))
+    return out
+
+
+def _clipped(max_n: int):
+    @F.pandas_udf("array<long>")
+    def udf(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        texts = lambda seqs: [s if isinstance(s, str) else list(s) for s in seqs] if seqs is not None else []
+        return pd.Series([clipped_matches(texts(h), texts(r), max_n) for h, r in zip(hyps, refs)], dtype=object)
+
+    return udf
+
+
 def _ngram_total(length_col, n):
     return F.greatest(F.lit(0), length_col - F.lit(n) + 1)
 
 
 def bleu_gleu(cands: DataFrame, refs: DataFrame, keys=("prompt_id", "sample_id"), ref_key: str = "prompt_id",
-              hyp: str = "text", ref: str = "reference", max_n: int = 4, level: str = "char",
-              ref_counts: DataFrame | None = None) -> DataFrame:
+              hyp: str = "text", ref: str = "reference", max_n: int = 4, level: str = "char") -> DataFrame:
     """BLEU (uniform weights, brevity penalty, 0 when any precision is 0) and GLEU (pooled
     clipped matches / max(total hyp, total ref)) per candidate.  ``level='char'`` scores
     strings as character sequences (what the source does); ``level='word'`` uses words."""
     keys = list(keys)
-    counter = char_ngram_counts if level == "char" else word_ngram_counts
+    units = (lambda c: F.col(c)) if level == "char" else (lambda c: word_array(F.col(c)))
     unit_len = (lambda c: F.length(c)) if level == "char" else (lambda c: F.size(word_array(F.col(c))))
-    h = counter(cands.select(*keys, hyp), keys, hyp, max_n)
-    if ref_counts is None:
-        ref_counts = counter(refs.select(ref_key, ref), [ref_key], ref, max_n)
-    r = ref_counts.withColumnRenamed("cnt", "rcnt")
-    m = h.join(r, [ref_key, "n", "gram"], "left")
-    clip = m.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("n") == n, F.least("cnt", F.coalesce("rcnt", F.lit(0))))).alias(f"m{n}")
-        for n in range(1, max_n + 1)])
+    # rows that repeat a key count together, as do references
+    h = cands.groupBy(*keys).agg(F.collect_list(units(hyp)).alias("_h"))
+    r = refs.groupBy(ref_key).agg(F.collect_list(units(ref)).alias("_r"))
+    clip = h.join(r, ref_key).withColumn("_m", _clipped(max_n)("_h", "_r")).select(
+        *keys, *[F.col("_m")[n - 1].alias(f"m{n}") for n in range(1, max_n + 1)])
     base = cands.select(*keys, unit_len(hyp).alias("c")).join(
         refs.select(ref_key, unit_len(ref).alias("r")), ref_key).join(clip, keys, "left")
     c, rl = F.col("c"), F.col("r")
@@ -168,13 +187,13 @@ def invalid_candidate_count(df: DataFrame) -> DataFrame:
 
 
 # ---- T18 -----------------------------------------------------------------------------------
-def score_candidates(cands: DataFrame, desc_col: str = "description", ref_counts: DataFrame | None = None) -> DataFrame:
+def score_candidates(cands: DataFrame, desc_col: str = "description") -> DataFrame:
     """Per valid candidate: truncated text, BLEU/GLEU vs reference, readability of the
     normalised truncated text."""
     v = cands.where(F.col("valid"))
     v = truncate_to_ref(v, desc_col, "reference", "text")
     refs = cands.select("prompt_id", "reference").dropDuplicates(["prompt_id"])
-    bg = bleu_gleu(v, refs, ref_counts=ref_counts)
+    bg = bleu_gleu(v, refs)
     r = readability(v.withColumn("norm", metric_normalize(F.col("text"))), "norm")
     return r.select("prompt_id", "sample_id", "text", "flesch", "coleman", "gunning").join(
         bg, ["prompt_id", "sample_id"])
