@@ -13,9 +13,8 @@ log-probability in every language.  The result is dealt by hash into slices of a
 ``SLICE_BYTES``; the texts are read once for each slice, a sorted hash array of which is all that
 goes to the tasks, and what the slices say is summed.  So memory is bounded and the model grows with
 the corpus.  A text gets the language of the lowest cross-entropy per character.
-Rejection is calibrated on a sample of about ``per_lang`` training texts of each language: a
-text is rejected if its cross-entropy exceeds what all but a share ``reject`` of that language's
-sample reach.
+Rejection is calibrated on all training texts: a text is rejected if its cross-entropy exceeds
+what all but a share ``reject`` of its language's training texts reach, rounded up to 1/``STEPS`` nat.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any
 training text every text is ``und``; ties go to the language that comes first by code point;
@@ -37,6 +36,7 @@ from prodtext.llm.common import cut, free_name, gathered, release, ship
 
 ORDER = 4  # of 16-bit characters: an n-gram is one 64-bit integer
 CHUNK = 1 << 21  # characters handled at once
+STEPS = 10_000  # in a nat, of the counts that rejection limits come from
 SLICE_BYTES = 32 << 20  # of n-grams and their log-probabilities, shipped at once
 _FOLD: list[np.ndarray] = []
 
@@ -309,18 +309,24 @@ def entropies(docs: DataFrame, model: Model, keep: str, slice_bytes: int = SLICE
     return every.select(keep, "n", F.transform("total", lambda x: -x / F.greatest(F.col("n"), F.lit(1))).alias("entropy"))
 
 
-def fit(docs: DataFrame, train: Column, reject: float = 0.01, per_lang: int = 500) -> Model:
-    """The model of all languages, from the rows of (doc_id, lang, text) that ``train`` marks."""
+def limits(own: DataFrame, reject: float) -> DataFrame:
+    """(lang, limit) of (lang, own) rows: the least step that all but a share ``reject`` of a language's
+    rows stay at or below.  Every row counts; a language has as many counts as it has steps, not rows."""
+    steps = own.groupBy("lang", F.ceil(F.col("own") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("lang")
+    steps = steps.withColumn("below", F.sum("n").over(whole.orderBy("step"))).withColumn("all", F.sum("n").over(whole))
+    return steps.where(F.col("below") >= F.col("all") * (1.0 - reject) - 1e-6).groupBy("lang").agg((F.min("step") / STEPS).alias("limit"))
+
+
+def fit(docs: DataFrame, train: Column, reject: float = 0.01) -> Model:
+    """The model of all languages, from all rows of (doc_id, lang, text) that ``train`` marks."""
     train_rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     model = learn(train_rows)
     if not model.langs:
         return model
-    # by hash, about per_lang texts of each language
-    texts = {r[0]: r[1] for r in train_rows.groupBy("lang").count().collect()}
-    sample = train_rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), _by_lang(texts)) < per_lang)
     place = {x: i for i, x in enumerate(model.langs)}
-    own = entropies(sample, model, "lang").where("n > 0").withColumn("own", F.element_at("entropy", _by_lang({x: i + 1 for x, i in place.items()})))
-    for lang, limit in own.groupBy("lang").agg(F.percentile("own", 1.0 - reject)).collect():
+    own = entropies(train_rows, model, "lang").where("n > 0").withColumn("own", F.element_at("entropy", _by_lang({x: i + 1 for x, i in place.items()})))
+    for lang, limit in limits(own, reject).collect():
         model.limit[place[lang]] = limit
     return model
 

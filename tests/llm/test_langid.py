@@ -128,3 +128,17 @@ def test_edges(spark, edge_docs, empty_docs):
     nothing = L.fit(empty_docs, F.lit(True))
     assert {r.lang_pred for r in L.identify(edge_docs, nothing).collect()} == {"und"}
     assert L.identify(empty_docs, model).count() == 0
+
+
+def test_rejection_limits_come_from_all_training_texts(spark):
+    """Far more texts of a language than any sample: each odd one counts."""
+    common, odd = "the cat sat on the mat", "qzx vkj wq"
+    docs = spark.createDataFrame([(i, "x", odd if i % 10 == 0 else common) for i in range(2000)], "doc_id long, lang string, text string")
+    train = F.lit(True)
+    strict, whole = L.fit(docs, train, reject=0.1), L.fit(docs, train, reject=0.0999)
+    entropy = {r.text: r.entropy[0] for r in L.entropies(docs.select("text", F.col("text").alias("t")).limit(20).select("t", "text").withColumnRenamed("t", "name").distinct(), strict, "name").withColumnRenamed("name", "text").collect()}
+    assert entropy[common] <= strict.limit[0] < entropy[odd] <= whole.limit[0] <= entropy[odd] + 1 / L.STEPS
+    rows = spark.createDataFrame([("a", x / 7) for x in range(1000)] + [("b", 2.5)], "lang string, own double")
+    got = dict(L.limits(rows, 0.01).collect())
+    assert got["b"] == 2.5 and 989 / 7 <= got["a"] <= 989 / 7 + 1 / L.STEPS
+    assert 999 / 7 <= dict(L.limits(rows, 0.0).collect())["a"] <= 999 / 7 + 1 / L.STEPS
