@@ -1,15 +1,13 @@
 """Generated-text quality: description extraction, truncation, character BLEU/GLEU,
 readability indices and per-prompt aggregates (T8, T11-T18, O6, O7, W8, A10-A12, A14, A15).
 
-Clipped n-gram matches are counted where a candidate's text meets its reference: Spark joins the
-texts by key, and a task compares the n-grams of one pair at a time, so n-grams are never rows.
+N-gram statistics are computed as counted rows.  Candidates meet their references as whole texts,
+by key; both are exploded to n-grams inside that partitioning, counted and clipped there, so
+texts are shuffled and n-grams are not.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,27 +61,6 @@ def word_ngram_counts(df: DataFrame, keys, col: str, max_n: int = 4) -> DataFram
     return g.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def clipped_matches(hyps, refs, max_n: int) -> list[int]:
-    """For n = 1..max_n: n-grams of the sequences ``hyps``, each counted as often as ``refs`` hold it at most."""
-    out = []
-    for n in range(1, max_n + 1):
-        # an n-gram of a string is the string itself, that of a list of words a tuple
-        grams = lambda seqs: Counter(g for s in seqs for g in (
-            (s[i:i + n] for i in range(len(s) - n + 1)) if isinstance(s, str) else zip(*(s[i:] for i in range(n)))))
-        want = grams(refs)
-        out.append(sum(min(k, want[g]) for g, k in grams(hyps).items() if g in want))
-    return out
-
-
-def _clipped(max_n: int):
-    @F.pandas_udf("array<long>")
-    def udf(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-        texts = lambda seqs: [s if isinstance(s, str) else list(s) for s in seqs] if seqs is not None else []
-        return pd.Series([clipped_matches(texts(h), texts(r), max_n) for h, r in zip(hyps, refs)], dtype=object)
-
-    return udf
-
-
 def _ngram_total(length_col, n):
     return F.greatest(F.lit(0), length_col - F.lit(n) + 1)
 
@@ -94,13 +71,17 @@ def bleu_gleu(cands: DataFrame, refs: DataFrame, keys=("prompt_id", "sample_id")
     clipped matches / max(total hyp, total ref)) per candidate.  ``level='char'`` scores
     strings as character sequences (what the source does); ``level='word'`` uses words."""
     keys = list(keys)
-    units = (lambda c: F.col(c)) if level == "char" else (lambda c: word_array(F.col(c)))
     unit_len = (lambda c: F.length(c)) if level == "char" else (lambda c: F.size(word_array(F.col(c))))
+    counter = char_ngram_counts if level == "char" else word_ngram_counts
     # rows that repeat a key count together, as do references
-    h = cands.groupBy(*keys).agg(F.collect_list(units(hyp)).alias("_h"))
-    r = refs.groupBy(ref_key).agg(F.collect_list(units(ref)).alias("_r"))
-    clip = h.join(r, ref_key).withColumn("_m", _clipped(max_n)("_h", "_r")).select(
-        *keys, *[F.col("_m")[n - 1].alias(f"m{n}") for n in range(1, max_n + 1)])
+    h = cands.groupBy(*keys).agg(F.collect_list(hyp).alias("_h"))
+    r = refs.groupBy(ref_key).agg(F.collect_list(ref).alias("_r"))
+    side = lambda c, no: F.transform(c, lambda x: F.struct(F.lit(no).alias("side"), x.alias("t")))
+    texts = h.join(r, ref_key).select(*keys, F.explode(F.concat(side("_h", 0), side("_r", 1))).alias("x")).select(*keys, "x.side", "x.t")
+    of = lambda no: F.coalesce(F.sum(F.when(F.col("side") == no, F.col("cnt"))), F.lit(0))
+    # grouping by more columns than the texts are partitioned by needs no exchange
+    both = counter(texts, [*keys, "side"], "t", max_n).groupBy(*keys, "n", "gram").agg(F.least(of(0), of(1)).alias("both"))
+    clip = both.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == n, F.col("both"))).alias(f"m{n}") for n in range(1, max_n + 1)])
     base = cands.select(*keys, unit_len(hyp).alias("c")).join(
         refs.select(ref_key, unit_len(ref).alias("r")), ref_key).join(clip, keys, "left")
     c, rl = F.col("c"), F.col("r")
