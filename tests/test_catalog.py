@@ -72,3 +72,12 @@ def test_products_are_never_broadcast(spark):
         assert "SortMergeJoin" in _plan(frame)
     for frame in (some, rejected):
         assert "Broadcast" not in _plan(frame)
+
+
+def test_sample_sorts_behind_the_shuffle_only(spark):
+    """A task that explodes products holds none of their specs for a sort."""
+    df = specs(spark, [("p", i, f"k{i}", "v") for i in range(15)] + [(None, 1, "a", "v"), ("q", 1, "a", None)])
+    out = C.spec_sample(df, part_cols=("product_id",))
+    assert sorted((r.product_id or "", r.spec_ord) for r in out.collect()) == [("", 1)] + [("p", i + 1) for i in range(10)] + [("q", 1)]
+    plan = _plan(C.spec_sample(df, part_cols=("product_id",)))
+    assert "Exchange" in plan and "Sort" not in plan[plan.index("Exchange"):]
