@@ -29,6 +29,11 @@ def sentences_expr(text):
     return F.transform(parts, lambda s: F.substring(s, 1, F.length(s) - 1))
 
 
+def dealt_out(reviews: DataFrame, keys) -> DataFrame:
+    """Reviews by key over the tasks, as a file's row groups can be fewer than the cores."""
+    return reviews.repartition(*keys)
+
+
 def sentence_split(df: DataFrame, text: str = "text", out: str = "sentences") -> DataFrame:
     return df.withColumn(out, sentences_expr(F.col(text)))
 
@@ -50,7 +55,8 @@ def title_of(sentence):
 
 
 def title_wrap_expr(arr):
-    return F.transform(arr, lambda s: F.when(is_title(title_of(s)), F.concat(F.lit("\n\n#### "), s, F.lit("\n\n")))
+    # a one-element array binds the title, which is made once
+    return F.transform(arr, lambda s: F.when(F.exists(F.array(title_of(s)), is_title), F.concat(F.lit("\n\n#### "), s, F.lit("\n\n")))
                        .otherwise(s))
 
 
@@ -152,7 +158,8 @@ def near_dup_pairs(sent: DataFrame, keys, ratio: float = NEAR_DUP_RATIO, scored_
 
 
 def explode_sentences(df: DataFrame, keys, col: str = "sentences") -> DataFrame:
-    return df.select(*keys, F.posexplode(col).alias("i", "s"))
+    # outer, as the filter that the planner adds to the plain one makes the sentences a second time
+    return df.select(*keys, F.posexplode_outer(col).alias("i", "s")).where(F.col("i").isNotNull())
 
 
 def drop_near_duplicates(df: DataFrame, keys, col: str = "sentences", ratio: float = NEAR_DUP_RATIO) -> DataFrame:
@@ -205,7 +212,7 @@ def clean_review(df: DataFrame, keys, text: str = "text", out: str = "clean",
                  ratio: float = NEAR_DUP_RATIO, blacklist=()) -> DataFrame:
     """The whole cleaning chain; null when the text has no sentence."""
     keys = list(keys)
-    s = df.select(*keys, sentences_expr(F.col(text)).alias("sentences"))
+    s = dealt_out(df.select(*keys, text), keys).select(*keys, sentences_expr(F.col(text)).alias("sentences"))
     s = title_detect(dedupe_sentences(s))
     s = sentence_blacklist(s, list(blacklist))
     s = drop_near_duplicates(s, keys, "sentences", ratio)

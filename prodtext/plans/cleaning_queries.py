@@ -108,7 +108,7 @@ def q_sentence_blacklist(spark, sf_dir):
 
 
 def _titled(spark, sf_dir):
-    return CL.title_detect(CL.dedupe_sentences(CL.sentence_split(reviews(spark, sf_dir))))
+    return CL.title_detect(CL.dedupe_sentences(CL.sentence_split(CL.dealt_out(reviews(spark, sf_dir), KEYS))))
 
 
 # The ratio in SQL.  Pairs whose common characters allow more than 0.9; the cells where two
@@ -189,7 +189,8 @@ WC = WR.rstrip() + "," + CLEANED_CTES + "\n"
 @register("similarity_ratio", WR + "SELECT prompt_id, sample_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(ratio, 6) AS ratio FROM nd_ratio")
 def q_similarity_ratio(spark, sf_dir):
     """Exact ratio of every same-review pair whose common characters allow more than 0.9."""
-    sent = CL.explode_sentences(_titled(spark, sf_dir), KEYS)
+    # the sentences are met by their characters and their texts: written once, as in drop_near_duplicates
+    sent = cut_lineage(CL.explode_sentences(_titled(spark, sf_dir), KEYS))
     pairs = CL.near_dup_pairs(sent, KEYS, scored_only=True)
     return round_cols(pairs, ["ratio"])
 
@@ -197,7 +198,8 @@ def q_similarity_ratio(spark, sf_dir):
 @register("near_dup_sentences", WR + """
 SELECT prompt_id, sample_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(ratio, 6) AS ratio FROM nd_ratio WHERE ratio > 0.9::DOUBLE""")
 def q_near_dup_sentences(spark, sf_dir):
-    sent = CL.explode_sentences(_titled(spark, sf_dir), KEYS)
+    # the sentences are met by their characters and their texts: written once, as in drop_near_duplicates
+    sent = cut_lineage(CL.explode_sentences(_titled(spark, sf_dir), KEYS))
     return round_cols(CL.near_dup_pairs(sent, KEYS), ["ratio"])
 
 
