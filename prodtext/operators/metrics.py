@@ -3,17 +3,22 @@ readability indices and per-prompt aggregates (T8, T11-T18, O6, O7, W8, A10-A12,
 
 N-gram statistics are computed as counted rows.  Candidates meet their references as whole texts,
 by key; both are exploded to n-grams inside that partitioning, counted and clipped there, so
-texts are shuffled and n-grams are not.
+texts are shuffled and n-grams are not.  A task counts the n-grams of about CHARS_A_TASK characters,
+whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
 from prodtext.functions.text import metric_normalize, sentence_split, syllable_estimate, word_array
 
+# a character makes up to four n-grams, each a row of the hash table that counts them
+CHARS_A_TASK = 1 << 18
 METRICS = ["bleu", "gleu", "flesch", "coleman", "gunning"]
 
 
@@ -65,6 +70,14 @@ def _ngram_total(length_col, n):
     return F.greatest(F.lit(0), length_col - F.lit(n) + 1)
 
 
+def _tasks(cands: DataFrame, hyp: str) -> int:
+    """How many tasks the n-grams are counted in.  The number is given to Spark, as the planner would
+    join small partitions of texts to few large ones, whose n-grams spill."""
+    chars = cands.agg(F.sum(F.length(hyp).cast("long"))).first()[0] or 0
+    least = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(chars / CHARS_A_TASK))
+
+
 def bleu_gleu(cands: DataFrame, refs: DataFrame, keys=("prompt_id", "sample_id"), ref_key: str = "prompt_id",
               hyp: str = "text", ref: str = "reference", max_n: int = 4, level: str = "char") -> DataFrame:
     """BLEU (uniform weights, brevity penalty, 0 when any precision is 0) and GLEU (pooled
@@ -74,8 +87,9 @@ def bleu_gleu(cands: DataFrame, refs: DataFrame, keys=("prompt_id", "sample_id")
     unit_len = (lambda c: F.length(c)) if level == "char" else (lambda c: F.size(word_array(F.col(c))))
     counter = char_ngram_counts if level == "char" else word_ngram_counts
     # rows that repeat a key count together, as do references
-    h = cands.groupBy(*keys).agg(F.collect_list(hyp).alias("_h"))
-    r = refs.groupBy(ref_key).agg(F.collect_list(ref).alias("_r"))
+    tasks = _tasks(cands, hyp)
+    h = cands.select(*keys, hyp).repartition(tasks, ref_key).groupBy(*keys).agg(F.collect_list(hyp).alias("_h"))
+    r = refs.select(ref_key, ref).repartition(tasks, ref_key).groupBy(ref_key).agg(F.collect_list(ref).alias("_r"))
     side = lambda c, no: F.transform(c, lambda x: F.struct(F.lit(no).alias("side"), x.alias("t")))
     texts = h.join(r, ref_key).select(*keys, F.explode(F.concat(side("_h", 0), side("_r", 1))).alias("x")).select(*keys, "x.side", "x.t")
     of = lambda no: F.coalesce(F.sum(F.when(F.col("side") == no, F.col("cnt"))), F.lit(0))
