@@ -74,6 +74,24 @@ def test_products_are_never_broadcast(spark):
         assert "Broadcast" not in _plan(frame)
 
 
+def test_catalog_is_not_broadcast_for_its_keys(spark):
+    """The wanted keys are few, whatever the planner guesses of their joins; products are many."""
+    from prodtext.sources import fixtures as FX
+    features, groups, blacklist = (spark.sql(FX.FIXTURES[n](FX.SPARK)) for n in ("features", "groups", "blacklist"))
+    cat = spark.range(2000).selectExpr("if(id % 9 = 0, NULL, cast(id as string)) AS product_id", "'t' AS title", "if(id % 2 = 0, 'medium', NULL) AS schema")
+    out = C.specs_by_category(cat, specs(spark, [("2", 1, "bore", "7"), ("2", 2, "gauge", "No"), (None, 1, "bore", "1")]), features, groups, blacklist)
+
+    def broadcasts(node):
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        return [node.toString()] * node.nodeName().startswith("BroadcastExchange") + [x for k in kids for x in broadcasts(k)]
+
+    found = broadcasts(out._jdf.queryExecution().executedPlan().initialPlan())
+    assert found and not any("Range" in x for x in found)
+    got = {(r.spec_key, r.spec_value) for r in out.where("product_id = '2'").collect()}
+    assert ("bore", "7") in got and "gauge" not in {k for k, _ in got}
+    assert out.where("product_id IS NULL AND spec_value IS NOT NULL").isEmpty()
+
+
 def test_sample_sorts_behind_the_shuffle_only(spark):
     """A task that explodes products holds none of their specs for a sort."""
     df = specs(spark, [("p", i, f"k{i}", "v") for i in range(15)] + [(None, 1, "a", "v"), ("q", 1, "a", None)])
