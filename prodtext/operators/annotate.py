@@ -7,9 +7,12 @@ one document.
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,9 +60,22 @@ def _tag_struct(tag_ord: int, label: str):
     return f
 
 
+FEW_SURFACES = 8
+
+
+def _starts(text: str, surface: str) -> list[int]:
+    starts, at = [], text.find(surface)
+    while at >= 0:
+        starts.append(at)
+        at = text.find(surface, at + len(surface))
+    return starts
+
+
 def occurrences(text: str, surfaces: list[str]) -> dict[str, list[int]]:
-    """Starts of every surface in the text, left to right and not overlapping itself, found in
-    one pass over the text by an Aho-Corasick automaton of all surfaces."""
+    """Starts of every surface in the text, left to right and not overlapping itself: each of a few
+    surfaces is searched for by itself, more in one pass over the text by an Aho-Corasick automaton of all."""
+    if len(surfaces) <= FEW_SURFACES:
+        return {surface: starts for surface in surfaces if (starts := _starts(text, surface))}
     import ahocorasick
 
     machine = ahocorasick.Automaton()
@@ -142,19 +158,27 @@ def gazetteer_train(spans: DataFrame, folds: DataFrame | None = None, fold_col:
     ``spans`` carry their surface (``entity``); ``folds`` maps doc_id -> fold."""
     s = spans.join(folds.select("doc_id", fold_col), "doc_id") if fold_col else spans
     s = s.select(F.lower("entity").alias("surface_lc"), "label",
-                 (F.col(fold_col) if fold_col else F.lit(0)).alias("fold"))
+                 (F.col(fold_col) if fold_col else F.lit(0)).alias("fold")).distinct()
     return s.groupBy("surface_lc", "label").agg(
         F.array_sort(F.collect_set("fold")).alias("folds"),
         F.size(F.split(F.first("surface_lc"), " ")).alias("n_tokens"))
 
 
+MANY_TOKENS = 4
+
+
 def gazetteer_index(dictionary: DataFrame) -> DataFrame:
-    """One row per surface: (surface_lc, tokens, n_tokens, head, entries array<struct<label, folds>>).
-    ``head`` is what a text is searched for: the first token, or the first two of a longer surface."""
-    index = dictionary.groupBy("surface_lc").agg(F.array_sort(F.collect_list(F.struct("label", "folds"))).alias("entries"))
+    """One row per surface: (surface_lc, n_tokens, head, n_head, entries array<struct<label, folds>>).
+    ``head`` is what texts are searched for, ``n_head`` tokens long: the whole surface up to ``MANY_TOKENS``
+    tokens; of a longer one, as many first tokens as the largest power of two below or at its length."""
+    entries = dictionary.groupBy("surface_lc", "label").agg(F.flatten(F.collect_list("folds")).alias("folds"))
+    index = entries.groupBy("surface_lc").agg(F.array_sort(F.collect_list(F.struct("label", "folds"))).alias("entries"))
     tokens = F.split("surface_lc", " ", -1)
-    return index.select("surface_lc", "entries", tokens.alias("tokens"), F.size(tokens).alias("n_tokens"),
-                        F.array_join(F.slice(tokens, 1, 2), " ").alias("head"))
+    n = F.size(tokens)
+    whole = F.expr(f"1 << int(length(bin(size(split(surface_lc, ' ', -1)))) - 1)")
+    n_head = F.when(n <= MANY_TOKENS, n).otherwise(whole)
+    return index.select("surface_lc", "entries", n.alias("n_tokens"), n_head.alias("n_head"),
+                        F.array_join(F.slice(tokens, 1, n_head), " ").alias("head"))
 
 
 MARK_BITS = 24  # 64 places a row: at most 2^18 rows of two longs, which the planner broadcasts
@@ -196,45 +220,153 @@ def _tokens(text: DataFrame, extra) -> DataFrame:
     return toks.select("doc_id", *extra, "tok", F.get("starts", F.col("i")).alias("start"), F.get("toks", F.col("i") + 1).alias("next"))
 
 
+BLOCK_BYTES = 4 << 20  # texts that meet their part of the dictionary together
+
+
+def _one_text(docs: pa.Table) -> pa.Table:
+    """One row per document: the texts of one id (and fold) follow each other token by token."""
+    names = [c for c in docs.column_names if c not in ("block", "text", "lowered")]
+    rows: dict = {}
+    for at, i in enumerate(zip(*(docs[c].to_pylist() for c in names))):
+        rows.setdefault(i, []).append(at)
+    if len(rows) == docs.num_rows:
+        return docs
+    whole = docs.take([found[0] for found in rows.values()])
+    for c in ("text", "lowered"):
+        texts = docs[c].to_pylist()
+        mixed = [" ".join(t for at in zip_longest(*(texts[k].split(" ") for k in found)) for t in at if t is not None) for found in rows.values()]
+        whole = whole.set_column(whole.schema.get_field_index(c), c, pa.array(mixed, docs.schema.field(c).type))
+    return whole
+
+
+def _cut(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All single-space tokens of the texts, and how many each has."""
+    cut = pc.split_pattern(pa.concat_arrays(texts.chunks), " ") if texts.num_chunks else pa.array([], pa.list_(pa.string()))
+    return cut.flatten(), np.asarray(pc.list_value_length(cut), dtype="int64")
+
+
+def _runs(toks: pa.Array, at: np.ndarray, n: int) -> pa.Array:
+    """The runs of n tokens that begin at these places."""
+    return toks.take(pa.array(at)) if n == 1 else pc.binary_join_element_wise(*(toks.take(pa.array(at + k)) for k in range(n)), " ")
+
+
+def _block_heads(lengths: list[int]):
+    """The distinct runs of so many tokens in a block's texts.  A run's number comes from those of
+    its two halves, so only distinct runs are ever written out."""
+    def run(key, docs):
+        toks, counts = _cut(_one_text(docs)["lowered"])
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(toks))  # tokens to the end of the text, this one included
+        numbers = {1: np.asarray(toks.dictionary_encode().indices, dtype="int64")}
+
+        def number(n: int) -> np.ndarray:
+            if n not in numbers:
+                half = 1 << ((n - 1).bit_length() - 1)
+                first, second = number(half), number(n - half)
+                pairs = np.full(len(toks), -1, dtype="int64")
+                here = np.flatnonzero(left >= n)
+                _, pairs[here] = np.unique(first[here] * len(toks) + second[here + half], return_inverse=True)
+                numbers[n] = pairs
+            return numbers[n]
+
+        heads = []
+        for n in lengths:
+            found, at = np.unique(number(n), return_index=True)
+            heads.append(_runs(toks, at[found >= 0], n))
+        head = pa.concat_arrays(heads).cast(pa.string()) if heads else pa.array([], pa.string())
+        head = head.filter(pc.not_equal(head, ""))
+        return pa.table({"block": pa.array(np.full(len(head), key[0].as_py(), dtype="int32")), "head": head})
+
+    return run
+
+
+def _block_spans(schema: pa.Schema, fold_col: str | None):
+    """Places a block's part of the dictionary in its texts: at each token the longest surface, if it
+    ends behind all before it."""
+    def run(docs, words):
+        docs, words = _one_text(docs), words.combine_chunks()
+        (toks, counts), (low, _) = _cut(docs["text"]), _cut(docs["lowered"])
+        doc, places = np.repeat(np.arange(len(counts)), counts), np.arange(len(toks))
+        behind = np.repeat(np.cumsum(counts), counts)  # where the text ends
+        width = np.asarray(pc.utf8_length(toks), dtype="int64") + 1
+        start = np.cumsum(width) - width  # over all texts of the block, one behind the other
+        if fold_col:  # folds as numbers, the same for documents and entries
+            folds = pa.concat_arrays([c for t, name in ((docs, fold_col), (words, "low"), (words, "high")) for c in t[name].chunks])
+            folds = np.asarray(folds.dictionary_encode().indices.fill_null(-1), dtype="int64")
+            fold, least, most = np.split(folds, [docs.num_rows, docs.num_rows + words.num_rows])
+        longest, tag = np.zeros(len(toks), dtype="int64"), np.zeros(len(toks), dtype="int64")
+        sizes, label = np.asarray(words["n_tokens"], dtype="int64"), words["label"].to_pylist()
+        labels = sorted(set(label))
+        of_label = np.asarray([labels.index(x) for x in label], dtype="int64")
+        coded = low.dictionary_encode()
+        word, vocabulary = np.asarray(coded.indices, dtype="int64"), coded.dictionary
+        for n in np.unique(sizes):  # a longer surface, then an earlier label, takes the place
+            n_rows = np.flatnonzero(sizes == n)
+            surfaces = pa.concat_arrays(words["surface_lc"].chunks).take(pa.array(n_rows))
+            if n == 1:
+                at = places
+            else:
+                ends, _ = _cut(pa.chunked_array([surfaces]))
+                ends = [ends.take(pa.array(np.arange(k, len(ends), n))) for k in (0, n - 1)]
+                first, last = (np.asarray(pc.is_in(vocabulary, value_set=x), dtype=bool) for x in ends)
+                at = places[places + n <= behind]
+                at = at[first[word[at]] & last[word[at + n - 1]]]
+            for k in range(len(labels) - 1, -1, -1):
+                rows = n_rows[of_label[n_rows] == k]
+                mine = surfaces.filter(pa.array(of_label[n_rows] == k))
+                if n == 1:
+                    found = np.asarray(pc.index_in(vocabulary, value_set=mine).fill_null(-1), dtype="int64")[word[at]]
+                else:
+                    found = np.asarray(pc.index_in(_runs(low, at, n), value_set=mine).fill_null(-1), dtype="int64")
+                hit = found >= 0
+                if fold_col and len(rows):  # seen in another fold
+                    mine_fold, row = fold[doc[at]], rows[found]
+                    hit &= (mine_fold >= 0) & ((least[row] != mine_fold) | (most[row] != mine_fold))
+                longest[at[hit]], tag[at[hit]] = n, k
+        at = np.flatnonzero(longest)
+        end = start[at + longest[at] - 1] + width[at + longest[at] - 1] - 1
+        before = np.concatenate([[-1], np.maximum.accumulate(end)[:-1]]) if len(at) else end
+        kept = end > before
+        at, end = at[kept], end[kept]
+        parts = [np.flatnonzero(longest[at] == n) for n in np.unique(longest[at])]
+        entity = pa.concat_arrays([_runs(toks, at[p], int(longest[at[p[0]]])) for p in parts]) if parts else pa.array([], pa.string())
+        entity = entity.take(pa.array(np.argsort(np.concatenate(parts), kind="stable"))) if parts else entity
+        base = start[(np.cumsum(counts) - counts)[doc[at]]]
+        ids = [pa.concat_arrays(docs[f.name].chunks).take(pa.array(doc[at])) if docs.num_rows else pa.array([], f.type) for f in list(schema)[:-4]]
+        spans = [pa.array((start[at] - base).astype("int32")), pa.array((end - base).astype("int32")), pa.array(labels, pa.string()).take(pa.array(tag[at])), entity.cast(pa.string())]
+        return pa.Table.from_arrays(ids + spans, schema=schema)
+
+    return run
+
+
 def gazetteer_predict(text: DataFrame, dictionary: DataFrame, fold_col: str | None = "fold") -> DataFrame:
     """Dictionary matches -> predicted spans (doc_id, start, end, label[, fold]).
 
-    Documents are partitioned once, by doc_id; tokens are placed inside that partitioning.
-    Only tokens that begin a surface are kept: every token meets the surfaces of one token,
-    and with the token behind it those of two or more; before they are shuffled to meet these, most
-    others are dropped by ``head_marks``.  A longer surface is then verified in
-    its document's text, from the candidate's offset on: the tokens are not read again, and neither
-    its length nor the longest surface matters to the rest.
+    Documents are dealt by id to blocks of about ``BLOCK_BYTES`` of text, however many there are.  The
+    distinct runs of tokens of a block, as long as the heads of surfaces are, meet the index; most that
+    begin no surface are dropped by ``head_marks`` before they are shuffled.  So a word is
+    looked up once a block, not at each place it stands at, and a block gets the part of the
+    dictionary that its own words call for, which is placed in its texts token by token.
 
     With ``fold_col`` an entry counts only if its surface was seen in another fold
     (k-fold without training k dictionaries).  Matches contained in an earlier or
     longer match are dropped; ATTR wins a label tie."""
     extra = [fold_col] if fold_col else []
-    at = ["doc_id", *extra, "start"]
-    # feeds the marks and the join
+    # feeds the marks, the lengths and the join
     index = cut_lineage(gazetteer_index(dictionary))
-    docs = text.select("doc_id", "text", *extra).repartition("doc_id")
-    toks = _tokens(docs, extra)
-    pair = F.concat("tok", F.lit(" "), "next")
-    heads = F.array(F.struct(F.lit(1).alias("n"), F.col("tok").alias("gram")), F.struct(F.lit(2).alias("n"), pair.alias("gram")))
-    g = toks.select(*at, F.explode(heads).alias("g")).select(*at, "g.n", "g.gram").where(F.col("gram").isNotNull() & (F.col("gram") != ""))
-    # written out: the planner then sees how small the marks are
-    g = _marked(g.withColumn("head", F.lower("gram")), cut_lineage(head_marks(index)))
-    met = g.withColumnRenamed("head", "_head").join(index, (F.col("_head") == F.col("head")) & (F.least("n_tokens", F.lit(2)) == F.col("n")))
-    # surfaces of three and more tokens: what stands in the text at the candidate's place
-    # (lower case is never shorter: one character more than the surface shows whether a token ends there)
-    here = F.expr("substring_index(substr(text, int(start) + 1, length(surface_lc) + 1), ' ', n_tokens)")
-    m = met.join(docs.select("doc_id", "text"), "doc_id").withColumn("gram", F.when(F.col("n_tokens") <= 2, F.col("gram")).otherwise(here))
-    m = m.where((F.col("n_tokens") <= 2) | (F.lower("gram") == F.col("surface_lc"))).select(*at, "gram", "entries")
-    ok = (lambda e: F.exists(e["folds"], lambda x: x != F.col(fold_col))) if fold_col else (lambda e: F.lit(True))
-    m = m.withColumn("label", F.array_min(F.transform(F.filter("entries", ok), lambda e: e["label"])))
-    m = m.where(F.col("label").isNotNull()).withColumn("end", F.col("start") + F.length("gram"))
-    w = (Window.partitionBy("doc_id").orderBy(F.col("start"), F.col("end").desc())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    m = m.select("doc_id", *extra, "start", "end", "label", "gram").withColumn("prev_end", F.max("end").over(w))
-    keep = m.where(F.col("prev_end").isNull() | (F.col("prev_end") < F.col("end")))
-    return keep.select("doc_id", *extra, F.col("start").cast("int").alias("start"),
-                       F.col("end").cast("int").alias("end"), "label", F.col("gram").alias("entity"))
+    marks = cut_lineage(head_marks(index))  # written out: the planner then sees how small they are
+    lengths = sorted(r["n_head"] for r in index.select("n_head").distinct().collect())
+    texts = text.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", *extra, "text")
+    blocks = 1 + (texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BLOCK_BYTES
+    docs = (texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition("block")
+            .withColumn("lowered", F.lower("text")))
+    heads = docs.groupBy("block").applyInArrow(_block_heads(lengths), "block int, head string")
+    words = (_marked(heads, marks).join(index, "head").select("block", "surface_lc", "n_tokens", F.explode("entries").alias("e"))
+             .select("block", "surface_lc", "n_tokens", "e.label", F.array_min("e.folds").alias("low"), F.array_max("e.folds").alias("high"))
+             .where(F.col("label").isNotNull() & (F.lit(not fold_col) | F.col("low").isNotNull())))
+    out = T.StructType([docs.schema[c] for c in ("doc_id", *extra)]
+                       + [T.StructField(c, t) for c, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("label", T.StringType()), ("entity", T.StringType()))])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
+    return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_block_spans(schema, fold_col), out)
 
 
 # ---- N8 / A4 / C7 --------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prodtext.functions import constants as K
-from prodtext.functions.text import hash_bucket, replace_all, strip_ws, word_array
+from prodtext.functions.text import WS, hash_bucket, replace_all, word_array
 
 
 def _survivor(value, key) -> Column:
@@ -142,35 +142,45 @@ def split_counts(df: DataFrame) -> DataFrame:
 
 
 # ---- S6 / S7 -------------------------------------------------------------------------------
+def _not_blank(c: str) -> Column:
+    """Whether the text holds anything but whitespace; the search ends there."""
+    return F.col(c).rlike(WS.replace("[", "[^", 1))
+
+
 def read_records(spark, path: str, terminator: str = " " + K.OVERV_END) -> DataFrame:
     """Records separated by ' <OVERV_END>': newlines removed, blank remainders dropped."""
     raw = spark.read.option("lineSep", terminator).text(path)
     rec = raw.select(F.replace("value", F.lit("\n"), F.lit("")).alias("record"))
-    return rec.where(strip_ws("record") != "")
+    return rec.where(_not_blank("record"))
 
 
 def read_model_inputs(spark, path: str, terminator: str = " " + K.OVERV_END) -> DataFrame:
     """Same split, terminator re-appended (what the model sees)."""
     raw = spark.read.option("lineSep", terminator).text(path)
-    blank = strip_ws("value") == ""
-    return raw.where(~blank).select(F.concat("value", F.lit(terminator)).alias("text"))
+    return raw.where(_not_blank("value")).select(F.concat("value", F.lit(terminator)).alias("text"))
 
 
 # ---- N9 / P12 ------------------------------------------------------------------------------
+def _between(c: Column, start: str, end: str) -> Column:
+    """First non-greedy hit between the markers, null without one; the pattern's '.' stops at a newline
+    only, Java's at more line ends.  A text without newlines is cut at the markers by plain search, as a
+    lazy pattern tries the end at every character."""
+    pattern = f"{start}([^\n]*?){end}"
+    rest = F.substr(c, F.instr(c, start) + F.lit(len(start)))
+    plain = F.when(F.contains(c, F.lit(start)) & F.contains(rest, F.lit(end)), F.substring_index(rest, end, 1))
+    return F.when(F.contains(c, F.lit("\n")), F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))).otherwise(plain)
+
+
 def parse_training_record(df: DataFrame, col: str = "record") -> DataFrame:
     """record -> originalInput, input, title, Description (first non-greedy hit);
     a part that does not match is null and named in ``reject_reason``."""
     r = F.col(col)
-    # the patterns' '.' stops at a newline only, Java's at more line ends
-    feat_pat = f"{K.FEAT_START} ([^\n]*?) {K.FEAT_END}"
-    name_pat = f"{K.NAME_START} ([^\n]*?) {K.NAME_END}"
-    desc_pat = f"{K.DESCR_START} ([^\n]*?) {K.DESCR_END}"
-    orig = F.split_part(r, F.lit(f" {K.DESCR_START}"), F.lit(1))
-    inp = F.when(orig.rlike(feat_pat), replace_all(F.regexp_extract(orig, feat_pat, 1),
-                                                    [(K.NEXT_FEAT, "<br>"), ("br><h2>", ""), ("</li><li>", "")]))
-    title = F.when(orig.rlike(name_pat), F.regexp_extract(orig, name_pat, 1))
-    desc = F.when(r.rlike(desc_pat), F.regexp_extract(r, desc_pat, 1))
-    out = df.select(orig.alias("originalInput"), inp.alias("input"), title.alias("title"), desc.alias("Description"))
+    df = df.select(r.alias("record"), F.substring_index(r, f" {K.DESCR_START}", 1).alias("originalInput"))  # cut once
+    r, orig = F.col("record"), F.col("originalInput")
+    inp = replace_all(_between(orig, f"{K.FEAT_START} ", f" {K.FEAT_END}"), [(K.NEXT_FEAT, "<br>"), ("br><h2>", ""), ("</li><li>", "")])
+    title = _between(orig, f"{K.NAME_START} ", f" {K.NAME_END}")
+    desc = _between(r, f"{K.DESCR_START} ", f" {K.DESCR_END}")
+    out = df.select(orig, inp.alias("input"), title.alias("title"), desc.alias("Description"))
     reason = F.concat_ws(",", F.when(F.col("input").isNull(), F.lit("no features")),
                          F.when(F.col("title").isNull(), F.lit("no title")),
                          F.when(F.col("Description").isNull(), F.lit("no description")))

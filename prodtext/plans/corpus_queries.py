@@ -29,8 +29,7 @@ def deduped(desc):
 
 def described_attrs(spark, desc, tagged):
     """Dictionary learned from the tagged corpus, applied to every description."""
-    gold = gold_of(tagged, True)
-    d = A.gazetteer_train(gold, fold_col=None)
+    d = A.gazetteer_train(gold_of(tagged), fold_col=None)
     text = desc.where(F.col("description").isNotNull()).select("doc_id", F.col("description").alias("text"))
     return A.attr_list(A.gazetteer_predict(text, d, fold_col=None))
 

@@ -1,5 +1,7 @@
 """Round trip render -> write -> read -> parse; split/fold invariants; packing."""
 
+import random
+import re
 import uuid
 
 
@@ -77,3 +79,29 @@ def test_exact_order_at_equal_hashes(spark):
     order = sorted(((r.h, r.doc_id is not None, r.doc_id or 0) for r in df.withColumn("h", hash_bucket(42, "doc_id")).collect()))
     for rank, cut in zip((0, 5, 200, 401, 402), CO.rank_cuts(df, [0, 5, 200, 401, 402])):
         assert cut == ((order[rank][0], order[rank][2] if order[rank][1] else None) if rank < len(order) else None)
+
+
+def test_parsed_parts_are_those_of_the_patterns(spark):
+    """Plain search finds what the non-greedy patterns find, with newlines and without."""
+    rnd = random.Random(3)
+    bits = ["<NAME_START> ", " <NAME_END>", " <FEAT_START> ", " <FEAT_END>", " <DESCR_START> ", " <DESCR_END>", "a", "é😀 ", " ", "\n", "\r", "<NEXT_FEAT>", "br><h2>", "<DESCR_START>"]
+    records = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(25))) for _ in range(1500)]
+    rows = CO.parse_training_record(spark.createDataFrame(list(enumerate(records)), "i int, record string").orderBy("i")).collect()
+    assert len(rows) == len(records)
+
+    def hit(tag, text):
+        found = re.search(f"<{tag}_START> ([^\n]*?) <{tag}_END>", text)
+        return found and found.group(1)
+
+    for record, r in zip(records, rows):
+        orig = record.split(" <DESCR_START>", 1)[0]
+        feats = hit("FEAT", orig)
+        want = (orig, feats and feats.replace("<NEXT_FEAT>", "<br>").replace("br><h2>", "").replace("</li><li>", ""), hit("NAME", orig), hit("DESCR", record))
+        assert (r.originalInput, r.input, r.title, r.Description) == want, record
+
+
+def test_blank_records_are_found_without_rewriting_the_text(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("a b <OVERV_END>  \n\t  <OVERV_END>c　 <OVERV_END>\n", encoding="utf-8")
+    found = CO.read_records(spark, str(tmp_path))
+    assert sorted(r.record for r in found.collect()) == ["a b", "c　"]
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
