@@ -181,7 +181,7 @@ def gazetteer_index(dictionary: DataFrame) -> DataFrame:
                         F.array_join(F.slice(tokens, 1, n_head), " ").alias("head"))
 
 
-MARK_BITS = 24  # 64 places a row: at most 2^18 rows of two longs, which the planner broadcasts
+MARK_BITS = 24  # 64 places a row: at most 2^18 rows of two longs, which are broadcast
 
 
 def _place(head):
@@ -196,9 +196,10 @@ def head_marks(index: DataFrame) -> DataFrame:
 
 
 def _marked(grams: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows whose ``head`` falls on a set bit: all heads of the index, and few others."""
+    """The rows whose ``head`` falls on a set bit: all heads of the index, and few others.  The marks are
+    bounded (4 MB), so they are sent to the rows, as the other way would shuffle all of these."""
     g = grams.withColumn("place", _place("head")).withColumn("word", F.shiftright("place", 6))
-    return g.join(marks, "word").where(F.expr("shiftright(bits, int(place & 63)) & 1 = 1")).drop("word", "place", "bits")
+    return g.join(F.broadcast(marks), "word").where(F.expr("shiftright(bits, int(place & 63)) & 1 = 1")).drop("word", "place", "bits")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -353,7 +354,7 @@ def gazetteer_predict(text: DataFrame, dictionary: DataFrame, fold_col: str | No
     extra = [fold_col] if fold_col else []
     # feeds the marks, the lengths and the join
     index = cut_lineage(gazetteer_index(dictionary))
-    marks = cut_lineage(head_marks(index))  # written out: the planner then sees how small they are
+    marks = head_marks(index)
     lengths = sorted(r["n_head"] for r in index.select("n_head").distinct().collect())
     texts = text.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", *extra, "text")
     blocks = 1 + (texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BLOCK_BYTES
