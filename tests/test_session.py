@@ -46,3 +46,23 @@ def test_unset_locally_creates_one_scratch_folder(monkeypatch):
     s = _Spark(None, "local[8]")
     first = S.ensure_checkpoint_dir(s)
     assert S.ensure_checkpoint_dir(s) == first == s.sparkContext.dir
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """What a cut table was made with is deleted once it is written."""
+    import time
+
+    from prodtext.session import cut_lineage
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName().split("_")[1] for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before, conf = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    assert cut_lineage(spark.range(1000).repartition(4, "id")).count() == 1000
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1  # the count's own
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == conf
