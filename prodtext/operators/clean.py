@@ -2,21 +2,27 @@
 
 A review is split into sentences (regex in place of a trained sentence tokenizer),
 de-duplicated in order, title-wrapped, near-duplicates dropped, and re-joined.
-Sentence pairs of one review meet through an equi-join on rare common characters,
-an exact bound on common characters thins them out, and an Arrow UDF computes the
-exact Ratcliff-Obershelp ratio of the pairs that are left.
+Sentence pairs of one review meet by rare common characters,
+an exact bound on common characters thins them out, and the
+exact Ratcliff-Obershelp ratio is computed of the pairs that are left, in the task that has the review.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from collections import Counter
+from difflib import SequenceMatcher
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from prodtext.functions.constants import NEAR_DUP_RATIO
 from prodtext.functions.stopwords import STOPWORDS_EN
-from prodtext.session import cut_lineage
 from prodtext.functions.text import SENTENCE_BREAK, SEP, is_title, replace_all, strip_ws, word_array
 
 
@@ -86,75 +92,137 @@ def sentence_blacklist(df: DataFrame, phrases, col: str = "sentences") -> DataFr
 
 
 # ---- T4 ------------------------------------------------------------------------------------
-@F.pandas_udf(DoubleType())
-def similarity_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib SequenceMatcher(None, a, b).ratio() (argument order matters, autojunk on)."""
-    from difflib import SequenceMatcher
-
-    out = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        out.append(SequenceMatcher(None, x, y).ratio())
-    return pd.Series(out, dtype="float64")
-
-
-def _occurrences(sent: DataFrame, keys) -> DataFrame:
-    """(keys, i, len, chars): a sentence's characters as (character, count), by character; an
-    empty sentence has one mark of its own, so that empty sentences can meet."""
-    chars = F.when(F.col("len") == 0, F.array(F.lit(""))).otherwise(F.split("s", ""))
-    return sent.select(*keys, "i", "len", F.explode(chars).alias("_ch")).groupBy(*keys, "i", "len", "_ch").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-
-
-def candidate_pairs(sent: DataFrame, keys, ratio: float) -> DataFrame:
-    """(keys, i, j, bound), i < j, for all pairs whose character bound exceeds ``ratio``.
+class _Sentences:
+    """The sentences of one review by their place, as character counts, and the rarest first characters
+    of each (its marks) by which the others find it.
 
     difflib's ratio is 2M/(la+lb), and M is at most the number of characters (with
     repetition) that both sentences hold.  So ratio > r needs 2*min(la, lb)/(la+lb) > r, hence
     lb >= la*r/(2-r), and more than la*r/(2-r) common characters.  Sets of character
     occurrences (character, k-th) with so many in common share one among the first
     len - floor(len*r/(2-r)) of each in any common order; the order is by rarity in
-    the review.  Only sentences that share such an occurrence meet, in an equi-join; then the
-    bound 2*common/(la+lb) > r is computed exactly.  This holds for every ratio in (0, 1) and
-    every length, and is the only route."""
-    keys = list(keys)
-    occ = _occurrences(sent, keys)
-    freq = occ.groupBy(*keys, "_ch").agg(F.sum("_n").alias("_freq"))
-    per = occ.join(freq, [*keys, "_ch"]).groupBy(*keys, "i", "len").agg(F.array_sort(F.collect_list(F.struct("_freq", F.col("_ch").alias("ch"), F.col("_n").alias("n")))).alias("_a"))
-    # one character's occurrences follow each other, so a prefix is a list of (character, count)
-    marks = F.flatten(F.transform("_a", lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda k: F.struct(x["ch"].alias("ch"), k.alias("k")))))
-    need = F.floor(F.col("len") * F.lit(ratio / (2.0 - ratio)) - F.lit(1e-9))
-    counts = F.map_from_entries(F.transform("_a", lambda x: F.struct(x["ch"], x["n"])))
-    pre = per.select(*keys, "i", "len", counts.alias("counts"), F.explode(F.slice(marks, 1, F.greatest(F.lit(1), (F.col("len") - need).cast("int")))).alias("m"))
-    pre = pre.select(*keys, F.col("m.ch").alias("_ch"), F.col("m.k").alias("_k"), "i", "len")
-    later = pre.select(*keys, "_ch", "_k", F.col("i").alias("j"), F.col("len").alias("lb"))
-    met = (pre.join(later, [*keys, "_ch", "_k"]).where((F.col("i") < F.col("j")) & (2.0 * F.least("len", "lb") > F.lit(ratio) * (F.col("len") + F.col("lb")) - 1e-9) | (F.col("i") < F.col("j")) & (F.col("len") + F.col("lb") == 0))
-           .select(*keys, "i", "j").distinct())
-    side = per.select(*keys, "i", "len", counts.alias("ca"))
-    both = (met.join(side, [*keys, "i"])
-            .join(side.select(*keys, F.col("i").alias("j"), F.col("len").alias("lb"), F.col("ca").alias("cb")), [*keys, "j"]))
-    common = F.aggregate(F.map_entries("ca"), F.lit(0), lambda t, e: t + F.least(e["value"], F.coalesce(F.element_at("cb", e["key"]), F.lit(0))))
-    bound = F.when(F.col("len") + F.col("lb") == 0, F.lit(1.0)).otherwise(2.0 * common / (F.col("len") + F.col("lb")))
-    return both.select(*keys, "i", "j", bound.alias("bound")).where(F.col("bound") > ratio)
+    the review.  Only sentences that share such an occurrence meet; then the
+    bound 2*common/(la+lb) > r is computed exactly, then the ratio.  This holds for every ratio in (0, 1) and
+    every length, and is the only route.  Texts of one place and length count together, as rows that
+    repeat a key do."""
+
+    def __init__(self, places, texts, ratio: float):
+        self.ratio = ratio
+        self.texts: dict = {}
+        counts: dict = {}
+        for i, s in zip(places, texts):
+            if "#" not in s:
+                self.texts.setdefault(i, Counter())[s] += 1
+                counts.setdefault((i, len(s)), Counter()).update(s or ("",))  # an empty sentence has a mark of its own, so that empty ones can meet
+        frequency: Counter = Counter()
+        for c in counts.values():
+            frequency.update(c)
+        self.at: dict = {}
+        for (i, length), c in counts.items():
+            left = max(1, length - math.floor(length * (ratio / (2.0 - ratio)) - 1e-9))
+            marks = []
+            for _, ch, n in sorted((frequency[ch], ch, n) for ch, n in c.items()):
+                marks += [(ch, k) for k in range(min(n, left))]
+                left -= n
+                if left <= 0:
+                    break
+            self.at.setdefault(i, []).append((length, c, marks))
+
+    def _bounded(self, i, j) -> int:
+        """In how many ways the characters at two places allow a ratio above the threshold."""
+        n = 0
+        for la, a, _ in self.at[i]:
+            for lb, b, _ in self.at[j]:
+                if la + lb == 0:
+                    n += 1 > self.ratio
+                elif 2.0 * sum(min(x, b[ch]) for ch, x in a.items() if ch in b) / (la + lb) > self.ratio:
+                    n += 1
+        return n
+
+    def candidates(self):
+        """(i, j, n): i < j whose character bound exceeds the threshold, in n ways; j by j."""
+        index: dict = {}
+        for j in sorted(self.at):
+            met = set()
+            for lb, _, marks in self.at[j]:
+                for m in marks:
+                    met.update(i for i, la in index.get(m, ()) if i not in met and (la + lb == 0 or 2.0 * min(la, lb) > self.ratio * (la + lb) - 1e-9))
+            for length, _, marks in self.at[j]:
+                for m in marks:
+                    index.setdefault(m, []).append((j, length))
+            for i in sorted(met):
+                if n := self._bounded(i, j):
+                    yield i, j, n
+
+    def ratios(self):
+        """(i, j, ratio, n): difflib's SequenceMatcher(None, a, b).ratio() of the candidates' texts (argument
+        order matters, autojunk on), n times."""
+        match = SequenceMatcher(None)
+        second = None  # what difflib works out of a second text serves all first ones
+        for i, j, n in self.candidates():
+            for b, nb in self.texts[j].items():
+                if b != second:
+                    match.set_seq2(b)
+                    second = b
+                for a, na in self.texts[i].items():
+                    match.set_seq1(a)
+                    yield i, j, match.ratio(), n * na * nb
+
+    def repeated(self) -> set:
+        """Places of the sentences that an earlier one resembles; each ends at the first found."""
+        found: set = set()
+        match = SequenceMatcher(None)
+        second = None
+        for i, j, _ in self.candidates():
+            if j in found:
+                continue
+            for b in self.texts[j]:
+                if b != second:
+                    match.set_seq2(b)
+                    second = b
+                for a in self.texts[i]:
+                    match.set_seq1(a)
+                    if match.ratio() > self.ratio:
+                        found.add(j)
+        return found
 
 
 # ---- J7 ------------------------------------------------------------------------------------
+ROWS_A_BATCH = 1 << 16
+
+
 def near_dup_pairs(sent: DataFrame, keys, ratio: float = NEAR_DUP_RATIO, scored_only: bool = False) -> DataFrame:
     """(keys, i, j, ratio) for i < j, neither containing '#', ratio(s_i, s_j) > ``ratio``.
 
-    The Arrow UDF computes the exact ratio of ``candidate_pairs`` only.  ``scored_only``
-    returns all of these, also those at or below the threshold: the pairs whose common
-    characters alone would allow a higher ratio."""
+    A review's sentences are gathered by its keys and its pairs found there: no character and no
+    candidate pair is ever a row.  ``scored_only`` returns all candidates, also those at or below the
+    threshold: the pairs whose common characters alone would allow a higher ratio."""
     keys = list(keys)
-    s = sent.where(~F.col("s").contains("#")).withColumn("len", F.length("s"))
-    cand = candidate_pairs(s, keys, ratio)
-    sa = s.select(*keys, "i", F.col("s").alias("a"))
-    sb = s.select(*keys, F.col("i").alias("j"), F.col("s").alias("b"))
-    scored = cand.join(sa, [*keys, "i"]).join(sb, [*keys, "j"]).withColumn("ratio", similarity_ratio_udf("a", "b"))
-    if not scored_only:
-        scored = scored.where(F.col("ratio") > ratio)
-    return scored.select(*keys, "i", "j", "ratio")
+    s = sent.where(~F.col("s").contains("#")).dropna(subset=[*keys, "i"])  # a null key meets nothing
+    reviews = s.groupBy(*keys).agg(F.collect_list("i").alias("_i"), F.collect_list("s").alias("_s"))
+    place = sent.schema["i"].dataType
+    out = T.StructType([*[sent.schema[k] for k in keys], T.StructField("i", place), T.StructField("j", place), T.StructField("ratio", T.DoubleType())])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
+
+    def rows(b, at, found):
+        return pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at, pa.int64())).cast(schema.field(k).type) for k in range(len(keys))],
+                                           *[pa.array([x[n] for x in found], schema.field(len(keys) + n).type) for n in range(3)]], schema=schema)
+
+    def run(batches):
+        for b in batches:
+            at, found = [], []
+            for row, (places, texts) in enumerate(zip(b.column("_i"), b.column("_s"))):
+                for i, j, r, n in _Sentences(places.as_py(), texts.as_py(), ratio).ratios():
+                    if scored_only or r > ratio:
+                        for _ in range(n):
+                            at.append(row), found.append((i, j, r))
+                            if len(at) >= ROWS_A_BATCH:
+                                yield rows(b, at, found)
+                                at, found = [], []
+            if at:
+                yield rows(b, at, found)
+
+    return reviews.mapInArrow(run, out)
 
 
 def explode_sentences(df: DataFrame, keys, col: str = "sentences") -> DataFrame:
@@ -162,18 +230,32 @@ def explode_sentences(df: DataFrame, keys, col: str = "sentences") -> DataFrame:
     return df.select(*keys, F.posexplode_outer(col).alias("i", "s")).where(F.col("i").isNotNull())
 
 
-def drop_near_duplicates(df: DataFrame, keys, col: str = "sentences", ratio: float = NEAR_DUP_RATIO) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, keys, col: str = "sentences", ratio: float = NEAR_DUP_RATIO, rows: str | None = None) -> DataFrame:
     """Remove sentence j when any earlier sentence i (even one removed itself) is similar;
-    an anti-join, so not transitive and order independent."""
+    not transitive and order independent.  Rows of one key get the sentences of all of them, one of a null
+    key none.  ``rows`` names a column for the number of rows of the key (1 for a null key)."""
     keys = list(keys)
-    # the sentence rows feed the candidate search, the pair texts and the anti-join: cut
-    # lineage once (parquet in the shared checkpoint folder)
-    sent = cut_lineage(explode_sentences(df, keys, col))
-    removed = near_dup_pairs(sent, keys, ratio).select(*keys, F.col("j").alias("i")).distinct()
-    kept = sent.join(removed, keys + ["i"], "left_anti")
-    agg = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("_k"))
-    out = df.drop(col).join(agg, keys, "left")
-    return out.withColumn(col, F.coalesce(F.transform("_k", lambda x: x["s"]), F.array().cast("array<string>"))).drop("_k")
+    rest = [c for c in df.columns if c not in (*keys, col)]
+    null = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    own = F.when(null, F.xxhash64(col))  # rows of a null key have nothing to do with each other
+    each = df.select(*keys, own.alias("_own"), F.struct(F.lit(0).alias("_"), *rest).alias("_row"), F.transform(col, lambda s, i: F.struct(i.alias("i"), s.alias("s"))).alias("_k"))
+    groups = each.groupBy(*keys, "_own").agg(F.collect_list("_row").alias("_rows"), F.array_sort(F.flatten(F.collect_list("_k"))).alias("_k"))
+    groups = groups.withColumn("_k", F.when(~null, F.col("_k")))
+
+    @F.pandas_udf("array<boolean>")
+    def kept_udf(places: pd.Series, texts: pd.Series) -> pd.Series:
+        def kept(i, s):
+            if i is None:
+                return None
+            gone = _Sentences(i, s, ratio).repeated()
+            return [x not in gone for x in i]
+        return pd.Series([kept(i, s) for i, s in zip(places, texts)], dtype=object)
+
+    groups = groups.withColumn("_kept", kept_udf(F.transform("_k", lambda x: x["i"]), F.transform("_k", lambda x: x["s"])))
+    kept = F.transform(F.filter("_k", lambda x, i: F.get("_kept", i)), lambda x: x["s"])
+    n = F.when(null, F.lit(1)).otherwise(F.size("_rows"))
+    out = groups.select(*keys, *([n.alias(rows)] if rows else []), F.coalesce(kept, F.array().cast("array<string>")).alias(col), F.explode("_rows").alias("_row"))
+    return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], *([rows] if rows else []), col)
 
 
 # ---- W7 ------------------------------------------------------------------------------------
@@ -212,9 +294,12 @@ def clean_review(df: DataFrame, keys, text: str = "text", out: str = "clean",
                  ratio: float = NEAR_DUP_RATIO, blacklist=()) -> DataFrame:
     """The whole cleaning chain; null when the text has no sentence."""
     keys = list(keys)
-    s = dealt_out(df.select(*keys, text), keys).select(*keys, sentences_expr(F.col(text)).alias("sentences"))
-    s = title_detect(dedupe_sentences(s))
-    s = sentence_blacklist(s, list(blacklist))
-    s = drop_near_duplicates(s, keys, "sentences", ratio)
-    s = s.select(*keys, heading_dedupe_expr(join_sentences_expr(F.col("sentences"))).alias(out))
-    return df.join(s, keys, "left")
+    rest = [c for c in df.columns if c not in keys]
+    # the texts are dealt out once, and go with their sentences to the end
+    s = dealt_out(df, keys).select("*", sentences_expr(F.col(text)).alias("_sentences"))
+    s = title_detect(dedupe_sentences(s, "_sentences"), "_sentences")
+    s = sentence_blacklist(s, list(blacklist), "_sentences")
+    s = drop_near_duplicates(s, keys, "_sentences", ratio, rows="_n")
+    s = s.select(*keys, *rest, heading_dedupe_expr(join_sentences_expr(F.col("_sentences"))).alias(out), "_n")
+    # each row of a key meets each cleaned text of the key
+    return s.select(*keys, *rest, out, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_n")).drop("_n")

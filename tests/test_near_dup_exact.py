@@ -51,3 +51,29 @@ def test_size_of_a_review_does_not_matter(spark):
     df = spark.createDataFrame(few + many, "k long, i int, s string")
     got = {(r.k, r.i, r.j) for r in CL.near_dup_pairs(df, ["k"], 0.7).collect()}
     assert {(0, 0, 1), (1, 0, 1)} <= got
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_characters_are_never_shuffled(spark):
+    """One exchange gathers a review; its characters and candidate pairs are no rows."""
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(CRAFTED)], "k long, i int, s string")
+    assert _exchanges(CL.near_dup_pairs(df, ["k"], 0.9)) == 1
+    reviews = spark.createDataFrame([(1, "One two three. One two three four. Five.")], "k long, text string")
+    assert _exchanges(CL.clean_review(reviews, ["k"])) == 1
+
+
+def test_rows_of_one_key_and_null_keys(spark):
+    """Each copy of a sentence meets each copy of a later one; null keys meet nothing."""
+    rows = [(k, i, s) for k in (1, 1, 2, None) for i, s in enumerate(["the same words here", "the same words there", "something else"])]
+    got = sorted((r.k, r.i, r.j) for r in CL.near_dup_pairs(spark.createDataFrame(rows, "k long, i int, s string"), ["k"], 0.9).collect())
+    assert got == [(1, 0, 1)] * 4 + [(2, 0, 1)]
+    text = "The same words here. The same words there. Something else."
+    df = spark.createDataFrame([(1, "a", text), (1, "b", text), (2, "c", text), (None, "d", text), (None, "e", text), (3, "f", None)], "k long, name string, text string")
+    cleaned = sorted((r.name, r.clean) for r in CL.clean_review(df, ["k"]).collect())
+    once = "The same words here. Something else."
+    twice = "The same words here. The same words here. Something else. Something else."
+    assert cleaned[:5] == [("a", twice)] * 2 + [("b", twice)] * 2 + [("c", once)]
+    assert cleaned[5:] == [("d", None), ("e", None), ("f", None)]
