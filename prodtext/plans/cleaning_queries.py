@@ -267,7 +267,7 @@ FROM per_prompt p JOIN c_per c ON c.prompt_id = p.prompt_id JOIN c_first f ON f.
 def q_evaluate_candidates_clean(spark, sf_dir):
     """T18 with the cleaned columns: BLEU/GLEU of the truncated cleaned review (falls back to
     raw), and the first valid sample's review as it is and cleaned."""
-    e = cut_lineage(extracted(spark, sf_dir))
+    e = cut_lineage(extracted(spark, sf_dir).drop("raw"))
     c = CL.clean_review(e.where("valid").select(*KEYS, F.col("description").alias("text")), KEYS)
     # feeds the scoring and the first sample's columns
     c = cut_lineage(c.select(*KEYS, F.coalesce("clean", "text").alias("clean_text")))
