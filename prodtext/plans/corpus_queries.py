@@ -13,7 +13,7 @@ from prodtext.operators import render as R
 from prodtext.plans import sqlparts as Q
 from prodtext.plans.annotation_queries import ANN_CTES, gold_of
 from prodtext.plans.registry import register
-from prodtext.session import cut_lineage, scratch_path
+from prodtext.session import cut_lineage, scratch_path, shuffles_freed
 from prodtext.sources import sinks as SK
 from prodtext.sources.fixtures import duck_with, register_fixtures
 
@@ -37,7 +37,9 @@ def described_attrs(spark, desc, tagged):
 def records(spark, sf_dir, fill: bool = True):
     """Deduplicated descriptions with split and attributes; ``fill``: no attribute is an empty list."""
     desc, tagged = _fx(spark, sf_dir)
-    d = CO.split_train_valid_test(deduped(desc)).join(described_attrs(spark, desc, tagged), "doc_id", "left")
+    # written, so that the shuffles of texts which find the attributes end before those of the records begin
+    attrs = cut_lineage(described_attrs(spark, desc, tagged))
+    d = CO.split_train_valid_test(deduped(desc)).join(attrs, "doc_id", "left")
     return d.withColumn("att_list", F.coalesce("att_list", F.array().cast("array<string>"))) if fill else d
 
 
@@ -176,7 +178,9 @@ def q_training_skip_count(spark, sf_dir):
 def _record_files(spark, sf_dir) -> str:
     """Write the rendered records as text (S9) into the shared checkpoint folder."""
     path = scratch_path(spark, "records")
-    SK.write_records(R.render_training_record(records(spark, sf_dir)), path)
+    rendered = R.render_training_record(records(spark, sf_dir))
+    with shuffles_freed(spark):
+        SK.write_records(rendered, path, compression="gzip")
     return path
 
 

@@ -9,9 +9,9 @@ from prodtext.operators.annotate import strip_tags_expr
 from prodtext.session import cut_lineage
 
 
-def write_records(df: DataFrame, path: str, col: str = "record") -> None:
-    """One record per line."""
-    df.select(col).write.mode("overwrite").text(path)
+def write_records(df: DataFrame, path: str, col: str = "record", compression: str = "none") -> None:
+    """One record per line; a compressed file is read by one task."""
+    df.select(col).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def write_product_json(df: DataFrame, path: str, key: str = "product_id", buckets: int = 64) -> None:
